@@ -174,7 +174,8 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def held_out():
-    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    """A null doc_id is not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

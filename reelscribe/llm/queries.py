@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, brown, fingerprints, language_id, packing, quality, sharding, token_counts
+from . import bpe, brown, fingerprints, language_id, packing, quality, sharding, substrings, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_perplexity_rules": quality.op2_perplexity_rules,
     "op3_brown_scores": brown.op3_brown_scores,
+    "op4_block_anchors": substrings.op4_block_anchors,
     "op5_packing": packing.op5_packing,
     "op7_bpe_rounds": bpe.op7_bpe_rounds,
     "op8_byte_shards": sharding.op8_byte_shards,

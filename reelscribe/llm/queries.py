@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, brown, fingerprints, language_id, packing, quality, sharding, substrings, token_counts
+from . import bpe, brown, fingerprints, jaccard, language_id, packing, quality, sharding, substrings, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_brown_scores": brown.op3_brown_scores,
     "op4_block_anchors": substrings.op4_block_anchors,
     "op5_packing": packing.op5_packing,
+    "op6_shingle_jaccard": jaccard.op6_shingle_jaccard,
     "op7_bpe_rounds": bpe.op7_bpe_rounds,
     "op8_byte_shards": sharding.op8_byte_shards,
     "op9_language_id": language_id.op9_language_id,

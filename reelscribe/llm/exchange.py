@@ -23,13 +23,19 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def chunked(docs: DataFrame, total: int, size: int = CHUNK, least: int = 48) -> DataFrame:
-    """``chunk, doc_id, text`` with A-Z kept as they are; every consumer shares one exchange of it."""
+def row_key():
+    """Equal for rows of equal doc_id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.lit(0), F.col("text").cast("string"))
+
+
+def chunked(docs: DataFrame, total: int, *more, size: int = CHUNK, least: int = 48) -> DataFrame:
+    """``chunk, doc_id, text`` and what ``more`` adds; every consumer shares one exchange of it."""
     count = max(least, -(-total // size))
     return docs.select(
         F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(count)).cast("int").alias("chunk"),
         F.col("doc_id").cast("long"),
         F.col("text").cast("string"),
+        *more,
     )
 
 

@@ -140,6 +140,22 @@ def word_scores(model: LanguageModel, vocab: pa.Array) -> tuple[np.ndarray, np.n
     return out, written
 
 
+def languages_of(texts: pa.Array, model: LanguageModel) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's language and score, as ``identify`` defines them."""
+    names = np.array([*model.languages, "und"], dtype=object)
+    words = split_words(texts)
+    best, share = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
+    if len(names) > 1 and len(words.codes):
+        scores, written = word_scores(model, words.vocab)
+        n = sum_by_text(written.astype(np.int64)[words.codes], words.offsets)
+        sums = np.stack([sum_by_text(column[words.codes], words.offsets) for column in scores.T], axis=1)
+        has = n > 0
+        sums = sums[has] * np.minimum(1, EVIDENCE / n[has])[:, None]
+        best[has] = sums.argmax(1)
+        share[has] = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
+    return names[best], share
+
+
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``doc_id, lang_pred, score`` per row of ``docs(doc_id, text)``.
 
@@ -147,24 +163,14 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     score 0. Otherwise score is the softmax share of the best language, with the evidence of a longer
     text scaled down to that of ``EVIDENCE`` words; ties go to the first language in order.
     """
-    languages = np.array([*model.languages, "und"], dtype=object)
 
     def predict(batches):
         for batch in batches:
             texts = as_array(batch.column("text"))
             for lo, hi in slices(texts):
-                words = split_words(texts.slice(lo, hi - lo))
-                best, share = np.full(hi - lo, len(languages) - 1), np.zeros(hi - lo)
-                if len(languages) > 1 and len(words.codes):
-                    scores, written = word_scores(model, words.vocab)
-                    n = sum_by_text(written.astype(np.int64)[words.codes], words.offsets)
-                    sums = np.stack([sum_by_text(column[words.codes], words.offsets) for column in scores.T], axis=1)
-                    has = n > 0
-                    sums = sums[has] * np.minimum(1, EVIDENCE / n[has])[:, None]
-                    best[has] = sums.argmax(1)
-                    share[has] = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
+                best, share = languages_of(texts.slice(lo, hi - lo), model)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(languages[best], pa.string()), pa.array(share)],
+                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(best, pa.string()), pa.array(share)],
                     ["doc_id", "lang_pred", "score"],
                 )
 
@@ -173,6 +179,19 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     )
 
 
+def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language with a score of ``least`` or more."""
+
+    def keep(batches):
+        for batch in batches:
+            texts = as_array(batch.column("text"))
+            for lo, hi in slices(texts):
+                best, share = languages_of(texts.slice(lo, hi - lo), model)
+                yield batch.slice(lo, hi - lo).filter(pa.array((best != "und") & (share >= least)))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out():
     """A null doc_id is not held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .exchange import arrays, bucket_bits, chunked, first_value, runs, table, text_bytes
 from .words import as_array, hash_strings, horner, slices, split_words, window_starts
@@ -190,8 +191,8 @@ def kept_text(text: str | None, gone: np.ndarray) -> tuple[str, str | None]:
     return b" ".join(kept).decode(), b"".join(left).decode() + raw[at:].decode()
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_words, n_removed, spans, kept_text, left_text`` per row of ``docs(doc_id, text)``.
+def remove_repeats(docs: DataFrame, *more) -> DataFrame:
+    """``doc_id, n_words, n_removed, spans, kept_text, left_text`` per row of ``docs(doc_id, text)``, and ``more`` columns.
 
     A word goes if a window of 50 consecutive words covers it whose word sequence also starts in a document
     with a smaller doc_id; windows are judged on the input. spans lists the removed maximal repeats as word
@@ -201,7 +202,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     total = text_bytes(docs)
     bits = bucket_bits(total)
-    chunks = chunked(docs, total)
+    chunks = chunked(docs, total, *more)
     by_chunk = chunks.groupBy("chunk")
     probes = by_chunk.applyInArrow(lambda rows: probe(rows, bits), "bucket int, chunk int, keys binary")
     hits = probes.groupBy("bucket").applyInArrow(shared, "bucket int, chunk int, keys binary")
@@ -228,12 +229,23 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             out["left_text"].append(left)
         span = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
         kinds = [pa.int64(), pa.int64(), span, pa.string(), pa.string()]
-        return pa.table({"doc_id": rows["doc_id"], **{k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds)}})
+        passed = {name: rows[name] for name in rows.column_names if name not in ("chunk", "doc_id", "text")}
+        return pa.table({"doc_id": rows["doc_id"], **{k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds)}} | passed)
 
-    return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(
-        finish,
-        "doc_id long, n_words long, n_removed long, spans array<struct<start: int, length: int>>, kept_text string, left_text string",
+    schema = T._parse_datatype_string(
+        "doc_id long, n_words long, n_removed long, spans array<struct<start: int, length: int>>, kept_text string, left_text string"
     )
+    return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(finish, T.StructType(schema.fields + chunks.schema.fields[3:]))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, with the repeats gone from text and n_chars, if there, counted anew."""
+    others = [c for c in docs.columns if c != "text"]
+    left = remove_repeats(docs, F.struct(*others).alias("rest"))
+    rows = left.select("rest.*", F.col("left_text").alias("text"))
+    if "n_chars" in others:
+        rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
+    return rows.select(*docs.columns)
 
 
 def op4_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:

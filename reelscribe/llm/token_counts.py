@@ -122,7 +122,7 @@ def token_counts(docs: DataFrame, pieces: list[bytes]) -> DataFrame:
     def count(batches):
         for batch in batches:
             texts = as_array(batch.column("text"))
-            for lo, hi in slices(texts, 32 << 20):
+            for lo, hi in slices(texts, 16 << 20):
                 words = split_words(texts.slice(lo, hi - lo))
                 each = piece_lengths(auto, [START + w for w in words.vocab.cast(pa.binary()).to_pylist()])
                 unknown = each < 0

@@ -39,7 +39,7 @@ def byte_lengths(texts: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def slices(texts: pa.Array, most: int = 16 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` bytes of text each; a longer text is a range of its own."""
     ends = np.cumsum(byte_lengths(texts))
     lo = 0
@@ -48,6 +48,7 @@ def slices(texts: pa.Array, most: int = 16 << 20) -> Iterator[tuple[int, int]]:
         hi = max(lo + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield lo, hi
         lo = hi
+    pa.default_memory_pool().release_unused()
 
 
 def lower_ascii(texts: pa.Array) -> pa.Array:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..constants import MIN_ANCHORS, MIN_VOTE
 
-RECORDING = Window.partitionBy("recording_id").orderBy("pair_idx").rowsBetween(Window.unboundedPreceding, 0)
+
+def recording():
+    return Window.partitionBy("recording_id").orderBy("pair_idx").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def ratio() -> Column:
@@ -24,7 +26,7 @@ def cumulative(shifts: DataFrame) -> DataFrame:
     Two frames have the same segment exactly if every pair between them is reliable.
     """
     broken = F.when(reliable(), 0).otherwise(1)
-    return shifts.withColumn("cumulative_shift", F.sum("shift").over(RECORDING)).withColumn("segment_id", F.sum(broken).over(RECORDING))
+    return shifts.withColumn("cumulative_shift", F.sum("shift").over(recording())).withColumn("segment_id", F.sum(broken).over(recording()))
 
 
 def placed_lines(observations: DataFrame, shifts: DataFrame) -> DataFrame:

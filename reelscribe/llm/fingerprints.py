@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .words import as_array, shingle_sets, slices
 
 K = 64
+#: Ranges of doc_ids at most; a task streams its range, so ranges may be larger than memory.
+MOST_RANGES = 20_000
 #: Stands for a null doc_id, which comes before all others.
 LOWEST = -(2**63) + 1
 
@@ -94,7 +96,7 @@ def fingerprint_pairs(docs: DataFrame, parts: int | None = None) -> DataFrame:
     ids = docs.select(at.alias("at"))
     if parts is None:
         total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        parts = max(8, -(-total // (8 << 20)))
+        parts = min(MOST_RANGES, max(8, -(-total // (8 << 20))))
     shares = [i / parts for i in range(1, parts)]
     found = (shares and ids.agg(F.percentile_approx("at", shares, 4 * parts)).first()[0]) or []
     cuts = np.unique(np.array(found, np.int64))

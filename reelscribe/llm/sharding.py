@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import kept
+from ..plans.storage import kept
 
 
 def byte_shards(docs: DataFrame, shards: int = 8, together: float = 1 / 16) -> DataFrame:

@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def stages(spark):
-    from reelscribe.llm.storage import kept
+    from reelscribe.plans.storage import kept
 
     docs = [spark.read.parquet(f"{SF}/documents.parquet")]
     for name, stage in corpus_pipeline.STAGES:

@@ -16,7 +16,7 @@ from ..plans.storage import kept
 def byte_shards(docs: DataFrame, shards: int = 8, together: float = 1 / 16) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot`` per row of ``docs(doc_id, text)``.
 
-    size is the text's UTF-8 bytes (0 for null) plus 1. The global order is that of the text's hash, then
+    size is the text's UTF-8 bytes (0 for null) plus 1. The global order is that of the text's MD5 (its first 60 bits), then
     doc_id, so equal texts (null and empty alike) are neighbours. A row goes to the shard where its group of equal texts starts
     on the byte axis; a group of more than ``together`` of a shard's target is cut at the targets row by
     row, so one that holds a third of the table can't unbalance it. Null doc_ids come first; repeated
@@ -27,7 +27,7 @@ def byte_shards(docs: DataFrame, shards: int = 8, together: float = 1 / 16) -> D
         F.col("doc_id").cast("long"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("text_crc32"),
-        F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"),
+        F.conv(F.substring(F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b""))), 1, 15), 16, 10).cast("long").alias("h"),
     )
     ranged = kept(
         keys.repartitionByRange("h", "doc_id").withColumn("part", F.spark_partition_id()), "byte_shards"

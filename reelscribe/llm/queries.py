@@ -16,4 +16,67 @@ QUERIES = {
     "op9_language_id": language_id.op9_language_id,
     "op10_fingerprints": fingerprints.op10_fingerprints,
 }
-SQL: dict[str, str] = {}
+
+#: Each document's words and their places from 1.
+WORDS = r"""
+texts AS (SELECT doc_id, regexp_extract_all({text}, '[^\x20\x09-\x0D]+') AS words FROM documents),
+placed AS (SELECT doc_id, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM texts)"""
+
+REPEATS = f"""
+WITH {WORDS.format(text="coalesce(text, '')")},
+windows AS (
+  SELECT doc_id, n, i, word, md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) AS h FROM placed
+),
+least AS (SELECT h, min(doc_id) AS first_id FROM windows WHERE i + 49 <= n GROUP BY h),
+marked AS (
+  SELECT w.doc_id, w.i, w.word, CASE WHEN w.i + 49 <= w.n AND l.first_id < w.doc_id THEN w.i END AS bad FROM windows w LEFT JOIN least l USING (h)
+),
+covered AS (SELECT doc_id, i, word, coalesce(max(bad) OVER (PARTITION BY doc_id ORDER BY i) >= i - 49, false) AS gone FROM marked),
+per_document AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM covered GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN per_document p USING (doc_id)
+"""
+
+NEAR = f"""
+WITH RECURSIVE {WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")},
+five AS (
+  SELECT doc_id, n, i, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS shingle FROM placed
+),
+sets AS (SELECT DISTINCT doc_id, md5(least(n, 5) || ' ' || shingle) AS h FROM five WHERE i = 1 OR i + 4 <= n),
+sizes AS (SELECT doc_id, count(*) AS n_shingles FROM sets GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n_shingles + y.n_shingles - c)
+),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n_shingles, 0) AS n_shingles, component_id FROM low LEFT JOIN sizes USING (doc_id)
+"""
+
+SHARDS = """
+WITH RECURSIVE bits AS (
+  SELECT range AS n, range AS v, 0 AS step FROM range(256)
+  UNION ALL SELECT n, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, step + 1 FROM bits WHERE step < 8
+),
+lookup AS (SELECT list(v ORDER BY n) AS tab FROM bits WHERE step = 8),
+octets AS (
+  SELECT doc_id, [4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: CAST('0x' || b AS BIGINT)) AS b FROM documents
+),
+sums AS (SELECT doc_id, xor(list_reduce(b, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM octets, lookup),
+sized AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents
+),
+axis AS (SELECT *, CAST(sum(size) OVER (ORDER BY h, doc_id) - size AS BIGINT) AS start, CAST(sum(size) OVER () AS BIGINT) AS total FROM sized),
+grouped AS (SELECT *, min(start) OVER (PARTITION BY h) AS first, sum(size) OVER (PARTITION BY h) AS bytes FROM axis),
+cut AS (
+  SELECT *, least(7, CAST(floor(CASE WHEN bytes * 128 <= total THEN first ELSE start END * 8 / total) AS INT)) AS shard FROM grouped
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY start, doc_id) - 1 AS slot,
+  CAST(NULL AS INT) AS grown_shard
+FROM cut JOIN sums USING (doc_id)
+"""
+
+#: The others score with trained models, run merge rounds of a vocabulary file or sketch hashes, which SQL can't express.
+SQL: dict[str, str] = {"op4_block_anchors": REPEATS, "op6_shingle_jaccard": NEAR, "op8_byte_shards": SHARDS}

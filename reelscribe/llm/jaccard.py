@@ -126,8 +126,16 @@ def survive(rows: pa.Table, hits: pa.Table, bits: int) -> pa.Table:
 
 
 def point(own: np.ndarray) -> np.ndarray:
-    """A set's group counts."""
-    return np.bincount((mix(own + np.uint64(1)) >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.uint16)
+    """A set's group counts, up to 65,535."""
+    counts = np.bincount((mix(own + np.uint64(1)) >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
+    return np.minimum(counts, 0xFFFF).astype(np.uint16)
+
+
+def group_counts(column: pa.ChunkedArray) -> np.ndarray:
+    """The points of a binary column; a count that may be over 65,535 bounds nothing."""
+    points = np.concatenate(arrays(column, "<u2")).reshape(-1, GROUPS).astype(np.uint32)
+    points[points == 0xFFFF] = 0xFFFFFFFF
+    return points
 
 
 def fine_point(own: np.ndarray, each: int) -> bytes:
@@ -243,13 +251,16 @@ def block_rows(survivors: DataFrame, bits: int, salts: int) -> DataFrame:
     return survivors.select("set_key", "n_shingles", "hashes").mapInArrow(emit, text)
 
 
-FOUND = {"a": pa.int64(), "b": pa.int64(), "block": pa.int64(), "members": pa.binary(), "centre": pa.int64()}
+FOUND = {"a": pa.int64(), "b": pa.int64(), "block": pa.int64(), "members": pa.binary(), "centre": pa.int64(), "same": pa.binary()}
 
 
 def gather(rows: pa.Table, salted: bool) -> pa.Table:
-    """A bucket's candidates (a, b), and its large blocks with their members and first centre."""
+    """A bucket's candidates (a, b), and its large blocks with their members and first centre.
+
+    If salted, small blocks too, and the hashes of all blocks with the same members here: in another salt their members may differ.
+    """
     keys = np.concatenate(arrays(rows["keys"], "<i8"))
-    sizes, points = np.concatenate(arrays(rows["sizes"], "<i8")), np.concatenate(arrays(rows["points"], "<u2")).reshape(-1, GROUPS)
+    sizes, points = np.concatenate(arrays(rows["sizes"], "<i8")), group_counts(rows["points"])
     starts = np.cumsum([0, *(len(x) // 8 for x in rows["keys"].to_pylist())])
     owners = np.concatenate([x + s for x, s in zip(arrays(rows["owners"], "<i4"), starts)])
     hashes = np.concatenate(arrays(rows["hashes"], "<u8"))
@@ -264,35 +275,37 @@ def gather(rows: pa.Table, salted: bool) -> pa.Table:
     begin = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
     count = np.diff(np.concatenate([begin, [len(hashes)]]))
     same = np.add.reduceat(mix(owners.astype(np.uint64) + np.uint64(1)), begin) ^ count.astype(np.uint64)
-    _, pick = np.unique(same, return_index=True)  # blocks of the same sets are one
+    _, pick, fold, times = np.unique(same, return_index=True, return_inverse=True, return_counts=True)  # blocks of the same sets are one
+    folded, ends = hashes[begin[np.argsort(fold, kind="stable")]], np.cumsum(times)
     begin, count = begin[pick], count[pick]
+
+    def alike(i: int) -> bytes:
+        return (folded[ends[i] - times[i] : ends[i]] if salted else hashes[begin[i] : begin[i] + 1]).tobytes()
+
     pairs: list[np.ndarray] = []
-    blocks: list[tuple[int, bytes, int]] = []
+    blocks: list[tuple[int, bytes, int, bytes]] = []
     for size in range(2, SMALL + 1):
         at = begin[count == size][:, None] + np.arange(size)
         left, right = np.triu_indices(size, 1)
         pairs.append(np.stack([owners[at[:, left]].reshape(-1), owners[at[:, right]].reshape(-1)], 1))
-    for lo, n in zip(begin[count > SMALL].tolist(), count[count > SMALL].tolist()):
+    for i in np.flatnonzero(count > SMALL):
+        lo, n = begin[i], count[i]
         own = owners[lo : lo + n]
         found = np.array(stars(points[own], sizes[own], [fine[i] for i in own]), np.int64).reshape(-1, 2)
         pairs.append(own[found])
         centre = own[found[0, 0]] if len(found) else own[0]
-        blocks.append((int(hashes[lo].view(np.int64)), keys[own].tobytes(), int(keys[centre])))
+        blocks.append((int(hashes[lo].view(np.int64)), keys[own].tobytes(), int(keys[centre]), alike(i)))
     if salted:  # parts of small blocks may go on in other salts
-        blocks += [
-            (int(hashes[lo].view(np.int64)), keys[owners[lo : lo + n]].tobytes(), int(keys[owners[lo]]))
-            for lo, n in zip(begin[count <= SMALL].tolist(), count[count <= SMALL].tolist())
-        ]
+        for i in np.flatnonzero(count <= SMALL):
+            lo, n = begin[i], count[i]
+            blocks.append((int(hashes[lo].view(np.int64)), keys[owners[lo : lo + n]].tobytes(), int(keys[owners[lo]]), alike(i)))
     both = np.unique(np.sort(np.concatenate(pairs), 1), axis=0)
     both = both[bound(points[both[:, 0]], points[both[:, 1]], sizes[both[:, 0]], sizes[both[:, 1]])]
     both = both[np.fromiter((fine_bound(fine[x], fine[y], sizes[x], sizes[y]) for x, y in both), bool, len(both))]
-    none = [None] * len(blocks)
-    return pa.concat_tables(
-        [
-            table({"a": keys[both[:, 0]], "b": keys[both[:, 1]], "block": [None] * len(both), "members": [None] * len(both), "centre": [None] * len(both)}, FOUND),
-            table({"a": none, "b": none, "block": [x[0] for x in blocks], "members": [x[1] for x in blocks], "centre": [x[2] for x in blocks]}, FOUND),
-        ]
-    )
+    empty = dict.fromkeys(FOUND, [None] * len(both)) | {"a": keys[both[:, 0]], "b": keys[both[:, 1]]}
+    none = dict.fromkeys(FOUND, [None] * len(blocks))
+    parts = {name: [x[i] for x in blocks] for i, name in enumerate(("block", "members", "centre", "same"))}
+    return pa.concat_tables([table(empty, FOUND), table(none | parts, FOUND)])
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -319,7 +332,7 @@ CELL = {"a": pa.int64(), "b": pa.int64()}
 def cross_pairs(rows: pa.Table) -> pa.Table:
     """Pairs of a grid cell that the bound lets through and that lie in different components."""
     keys, comp, sizes, part = (rows[c].to_numpy() for c in ("set_key", "component", "n_shingles", "part"))
-    points = np.concatenate(arrays(rows["point"], "<u2")).reshape(-1, GROUPS)
+    points = group_counts(rows["point"])
     fine = rows["fine"].to_pylist()
     tree, out = CountTree(points, sizes), []
     kinds, counts = np.unique(comp, return_counts=True)
@@ -362,20 +375,23 @@ def grouped(docs: DataFrame) -> DataFrame:
     blocks = block_rows(shown, wide, salts)
     found = kept(
         blocks.groupBy("bucket", "salt").applyInArrow(
-            lambda rows: gather(rows, salts > 1), "a long, b long, block long, members binary, centre long"
+            lambda rows: gather(rows, salts > 1), "a long, b long, block long, members binary, centre long, same binary"
         ),
         "candidates",
     )
     pairs = found.where("a is not null").select("a", "b")
-    large = found.where("block is not null")
+    large = found.where("block is not null").select("block", "members", "centre", "same")
+    unpack = F.pandas_udf(lambda s: s.map(lambda x: np.frombuffer(x, np.int64)), "array<long>")
     if salts > 1:  # centres of a block's salts are candidates of the least of them
-        least = large.groupBy("block").agg(F.min("centre").alias("a"))
-        pairs = pairs.unionByName(large.select("block", "centre").join(least, "block").where("centre <> a").select("a", F.col("centre").alias("b")))
+        spread = large.select(F.explode(unpack("same")).alias("block"), "members", "centre")
+        meet = spread.groupBy("block").agg(F.min("centre").alias("a"), F.count("*").alias("n")).where("n > 1")
+        spread = kept(spread.join(meet, "block"), "salted_blocks")
+        pairs = pairs.unionByName(spread.where("centre <> a").select("a", F.col("centre").alias("b")))
+        large = large.where(F.octet_length("members") > 8 * SMALL).select("block", "members").unionByName(spread.select("block", "members"))
     links = kept(verify(pairs.distinct(), survivors), "links")
     roots = connected_components(links)
 
     # Large blocks that lie in several components.
-    unpack = F.pandas_udf(lambda s: s.map(lambda x: np.frombuffer(x, np.int64)), "array<long>")
     members = large.select("block", F.explode(unpack("members")).alias("set_key"))
     members = members.join(roots.select(F.col("a").alias("set_key"), F.col("b").alias("root")), "set_key", "left")
     members = members.select("block", "set_key", F.coalesce("root", "set_key").alias("component"))

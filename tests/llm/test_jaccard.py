@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from reelscribe.llm import components, jaccard
@@ -72,6 +73,22 @@ def test_groups_of_near_copies(spark, monkeypatch, salted):
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
 
 
+def test_short_near_copies_meet_across_salts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SALTED", 40)
+    rng = random.Random(11)
+    texts = []
+    for _ in range(300):
+        w = words(rng, rng.randrange(9, 13), 10**6).split()
+        texts += [" ".join(w), " ".join(w[1:] if rng.random() < 0.5 else [*w[:-1], "other"])]
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+
+def test_counts_over_16_bits_bound_nothing():
+    own = np.arange(6_000_000, dtype=np.uint64)
+    points = jaccard.group_counts(pa.chunked_array([[jaccard.point(x).tobytes() for x in (own, own[:-1])]]))
+    assert jaccard.bound(points[0], points[1], len(own), len(own) - 1)
+
+
 def test_tree_finds_all_that_the_bound_allows():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 9, (40, jaccard.GROUPS))

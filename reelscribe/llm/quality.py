@@ -1,11 +1,10 @@
 """Operator 2: quality rules with a modified Kneser-Ney n-gram perplexity.
 
 Spark counts the character 5-grams of every word (between word-start and word-end marks) per language
-over the whole table. What makes up under ``LEAST`` of a language's 5-grams counts as unseen, so a
-language's model has at most 1 / LEAST entries per order whatever the table's size. The counts become
-interpolated modified Kneser-Ney probabilities and back-off weights, stored per order in arrays sorted
-by 64-bit n-gram hash and searched by bisection. A second pass scores each distinct word of a slice once
-per language. A document's level is the upper quartile of its words' perplexities: a few odd words (a key, an
+over the whole table and turns all of them into interpolated modified Kneser-Ney probabilities, order by order, in
+joins on grams. The grams grow with the table, so they are never broadcast: each chunk of documents asks buckets
+of their key space for the probabilities of its distinct grams, all of which are known, and scores each distinct
+word once per language. A document's level is the upper quartile of its words' perplexities: a few odd words (a key, an
 address, a foreign name) leave it alone, text that is odd throughout moves it. Documents whose level is outside
 their language's band are rejected.
 """
@@ -21,11 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import kept
-from .exchange import row_key
-from .words import as_array, horner, lookup, mix, slices, split_words, sum_by_text, window_starts
+from .exchange import CHUNK, arrays, bucket_bits, first_value, row_key, runs, table, text_bytes
+from .words import Words, as_array, hash_strings, horner, lookup, mix, slices, split_words, sum_by_text, window_starts
 
 ORDER = 5
-LEAST = 2e-6
 #: Band half-width in robust standard deviations of log perplexity, and the least such deviation.
 WIDTH, NARROWEST = 6.0, 0.02
 START, END, NUL = "\x02", "\x03", "�"
@@ -50,7 +48,11 @@ def row_hash(points: np.ndarray) -> np.ndarray:
 
 def discounts(counts: np.ndarray) -> np.ndarray:
     """Discounts of counts 1, 2 and 3 or more; a half each where counts of counts give none."""
-    n = [np.count_nonzero(counts == i) for i in range(1, 5)]
+    return counted_discounts([np.count_nonzero(counts == i) for i in range(1, 5)])
+
+
+def counted_discounts(n: list[int]) -> np.ndarray:
+    """``discounts`` from how many counts are 1, 2, 3 and 4."""
     out = np.array([0.5, 1.0, 1.5])
     if n[0] and n[1]:
         y = n[0] / (n[0] + 2 * n[1])
@@ -151,19 +153,66 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return known.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, least: float = LEAST) -> dict[str, list[Level]]:
-    """A model for each language of ``docs(text, lang)``, from all its rows."""
-    counts = kept(count_grams(docs), "grams")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    found = counts.join(F.broadcast(totals), "lang").where(F.col("n") >= F.col("total") * least)  # a row per language
-    table = found.select("lang", "gram", "n").toPandas()
-    out = {}
-    for lang, own in table.groupby("lang", sort=True):
-        raw = own["gram"].to_numpy().astype(f"<U{ORDER}").view(np.uint32).reshape(-1, ORDER)
-        out[str(lang)] = estimate(mix(raw.astype(np.uint64) + np.uint64(1)), own["n"].to_numpy())
+def gram_scores(counts: DataFrame) -> DataFrame:
+    """``lang, gram, p``: what ``estimate`` gives each gram of ORDER, from all of ``counts(lang, gram, n)``."""
+    spark, suffix = counts.sparkSession, F.expr("substring(gram, 2)")
+    levels = {ORDER: counts}
+    for order in range(ORDER - 1, 0, -1):  # a shorter gram counts its distinct left neighbours
+        levels[order] = kept(levels[order + 1].groupBy("lang", suffix.alias("gram")).agg(F.count("*").alias("n")), "grams")
+    low = None
+    for order in range(1, ORDER + 1):
+        sizes = [F.count_if(F.col("n") == i).alias(f"n{i}") for i in range(1, 5)]
+        found = levels[order].groupBy("lang").agg(*sizes).collect()  # a row per language
+        cuts = [(r["lang"], *map(float, counted_discounts([r[f"n{i}"] for i in range(1, 5)]))) for r in found]
+        cuts = F.broadcast(spark.createDataFrame(cuts, "lang string, d1 double, d2 double, d3 double"))
+        cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        context = F.substring("gram", 1, order - 1) if order > 1 else F.lit("")
+        grams = levels[order].join(cuts, "lang").select("lang", "gram", "n", cut.alias("cut"), context.alias("context"), suffix.alias("suffix"))
+        total = grams.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"), F.count("*").alias("types"))
+        grams = grams.join(total, ["lang", "context"])
+        if low is None:
+            grams = grams.withColumn("lower", 1 / (F.col("types") + 1))
+        else:
+            grams = grams.join(low.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower")), ["lang", "suffix"])
+        low = grams.select("lang", "gram", ((F.col("n") - F.col("cut") + F.col("freed") * F.col("lower")) / F.col("total")).alias("p"))
+    return low
+
+
+def gram_keys(points: np.ndarray, lang: str) -> np.ndarray:
+    """Keys of a language's grams from their hashes."""
+    return mix(points + hash_strings(pa.array([lang]))[0])
+
+
+class Part(NamedTuple):
+    """A slice ``lo:hi`` of a chunk's texts; per language (number, words used, offsets of their marked code points, places and keys of grams)."""
+
+    lo: int
+    hi: int
+    words: Words
+    of_word: np.ndarray
+    grams: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def chunk_parts(texts: pa.Array, lang_column: pa.Array) -> list[Part]:
+    langs = lang_column.dictionary_encode()
+    which, out = langs.indices.to_numpy(zero_copy_only=False), []
+    for lo, hi in slices(texts):
+        words = split_words(texts.slice(lo, hi - lo))
+        of_word, grams = np.repeat(which[lo:hi], np.diff(words.offsets)), []
+        for lang in np.unique(of_word):
+            there = np.flatnonzero(used_words(words.codes, of_word, lang, len(words.vocab)))
+            raw, offsets = marked(words.vocab.take(pa.array(there)))
+            ok = np.flatnonzero(window_starts(offsets, ORDER, len(raw)))
+            hashes = horner(mix(raw.astype(np.uint64) + np.uint64(1)), ORDER)[ok]
+            grams.append((int(lang), there, offsets, ok, gram_keys(hashes, langs.dictionary[int(lang)].as_py())))
+        out.append(Part(lo, hi, words, of_word, grams))
     return out
 
 
+def distinct_grams(parts: list[Part]) -> np.ndarray:
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *(g[4] for part in parts for g in part.grams)]))
+
+
 def repeated_words(codes: np.ndarray) -> int:
     """Words that lie in 3-word windows found twice or more."""
     if len(codes) < 4:
@@ -199,62 +248,94 @@ def byte_hits(texts: pa.Array, wanted: bytes) -> np.ndarray:
     return np.diff(np.searchsorted(hit, ends))
 
 
-def measure(docs: DataFrame, model: dict[str, list[Level]]) -> DataFrame:
-    """``doc_id, row_key, lang``, the base counts, ``base_failed``, ``log_perplexity`` and ``log_level`` (null without words) per row."""
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_perplexity", "log_level"]
+ASKED = {"bucket": pa.int32(), "chunk": pa.int32(), "keys": pa.binary()}
+ANSWERED = {"chunk": pa.int32(), "bucket": pa.int32(), "logp": pa.binary()}
+MEASURED = (
+    "doc_id long, row_key long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+    "n_repeat_words long, base_failed boolean, log_perplexity double, log_level double"
+)
 
-    def run(batches):
-        for batch in batches:
-            texts, lang_column = as_array(batch.column("text")), as_array(batch.column("lang"))
-            langs = lang_column.dictionary_encode()
-            which = langs.indices.to_numpy(zero_copy_only=False)
-            for lo, hi in slices(texts):
-                part = texts.slice(lo, hi - lo)
-                words = split_words(part)
-                n_words = np.diff(words.offsets)
-                of_word = np.repeat(which[lo:hi], n_words)
-                size = pc.utf8_length(words.vocab).to_numpy(zero_copy_only=False).astype(np.int64)
-                chars = sum_by_text(size[words.codes], words.offsets)
-                logp = np.zeros(len(words.codes))
-                for lang in np.unique(of_word):
-                    levels = model.get(langs.dictionary[int(lang)].as_py())
-                    if not levels:
-                        continue
-                    there = np.flatnonzero(used_words(words.codes, of_word, lang, len(words.vocab)))
-                    raw, offsets = marked(words.vocab.take(pa.array(there)))
-                    ok = np.flatnonzero(window_starts(offsets, ORDER, len(raw)))
-                    each = np.zeros(len(raw))
-                    each[ok] = gram_logp(levels, mix(raw.astype(np.uint64) + np.uint64(1)), ok)
-                    full = np.zeros(len(words.vocab))
-                    full[there] = sum_by_text(each, offsets)
-                    mine = of_word == lang
-                    logp[mine] = full[words.codes[mine]]
-                each_word = -logp / (size[words.codes] + 1)
-                level = np.array([upper_quartile(each_word[a:b]) for a, b in zip(words.offsets[:-1], words.offsets[1:])], float)
-                repeats = np.array([repeated_words(words.codes[a:b]) for a, b in zip(words.offsets[:-1], words.offsets[1:])], np.int64)
-                lines = [repeated_lines(x or b"") for x in part.cast(pa.binary()).to_pylist()]
-                score = np.where(n_words > 0, -sum_by_text(logp, words.offsets) / np.maximum(1, chars + n_words), np.nan)
-                columns = [
-                    n_words, chars, byte_hits(part, b"#*$%&|<>"), np.array(lines, np.int64), repeats,
-                    (n_words < 50) | (100 * repeats > 50 * n_words),
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), batch.column("row_key").slice(lo, hi - lo), lang_column.slice(lo, hi - lo)]
-                    + [pa.array(c) for c in columns]
-                    + [pa.array(score, from_pandas=True), pa.array(level, from_pandas=True)],
-                    ["doc_id", "row_key", "lang", *names],
-                )
-
-    return docs.select(
+
+def measure(docs: DataFrame, scores: DataFrame) -> DataFrame:
+    """``doc_id, row_key, lang``, the base counts, ``base_failed``, ``log_perplexity`` and ``log_level`` (null without words) per row.
+
+    ``scores(lang, gram, p)`` has every gram of ``docs``. A chunk is a hash class of rows, so rows of one doc_id spread.
+    """
+    total = text_bytes(docs)
+    bits, count = bucket_bits(total), max(48, -(-total // CHUNK))
+    chunks = docs.select(
+        F.pmod(row_key(), F.lit(count)).cast("int").alias("chunk"),
         F.col("doc_id").cast("long"),
         row_key().alias("row_key"),
         F.col("text").cast("string"),
         F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"),
-    ).mapInArrow(
-        run,
-        "doc_id long, row_key long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-        "n_repeat_words long, base_failed boolean, log_perplexity double, log_level double",
-    )
+    ).groupBy("chunk")
+
+    def key(batches):
+        for batch in batches:
+            langs = as_array(batch.column("lang"))
+            raw = np.array(batch.column("gram").to_pylist(), f"<U{ORDER}").view(np.uint32).reshape(-1, ORDER)
+            hashes, keys = row_hash(mix(raw.astype(np.uint64) + np.uint64(1))), np.zeros(len(raw), np.uint64)
+            coded = langs.dictionary_encode()
+            which = coded.indices.to_numpy(zero_copy_only=False)
+            for i, lang in enumerate(coded.dictionary.to_pylist()):
+                keys[which == i] = gram_keys(hashes[which == i], lang)
+            bucket = (keys >> np.uint64(64 - bits)).astype(np.int32)
+            logp = np.log(batch.column("p").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(keys.view(np.int64)), pa.array(logp)], ["bucket", "key", "logp"])
+
+    def ask(rows: pa.Table) -> pa.Table:
+        keys = distinct_grams(chunk_parts(as_array(rows["text"]), as_array(rows["lang"])))
+        cut = [(b, keys[lo:hi].tobytes()) for b, lo, hi in runs(keys, bits)]
+        return table({"bucket": [b for b, _ in cut], "chunk": [first_value(rows["chunk"])] * len(cut), "keys": [k for _, k in cut]}, ASKED)
+
+    def answer(requests: pa.Table, held: pa.Table) -> pa.Table:
+        keys = held["key"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        keys, logp = keys[order], held["logp"].to_numpy()[order]
+        found = [logp[lookup(keys, wanted)].tobytes() for wanted in arrays(requests["keys"], "<u8")]
+        return table({"chunk": requests["chunk"].to_pylist(), "bucket": requests["bucket"].to_pylist(), "logp": found}, ANSWERED)
+
+    def weigh(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        texts, langs = as_array(rows["text"]), as_array(rows["lang"])
+        parts = chunk_parts(texts, langs)
+        known, got = distinct_grams(parts), arrays(answers["logp"], "<f8")
+        order = np.argsort(answers["bucket"].to_numpy(), kind="stable")
+        gram_logps = np.concatenate([np.empty(0), *(got[i] for i in order)])
+        done = [measured(texts.slice(x.lo, x.hi - x.lo), x, known, gram_logps) for x in parts]
+        columns = [pa.array(np.concatenate(c), from_pandas=True) for c in zip(*done)]
+        names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_perplexity", "log_level"]
+        return pa.table({"doc_id": rows["doc_id"], "row_key": rows["row_key"], "lang": rows["lang"], **dict(zip(names, columns))})
+
+    held = scores.mapInArrow(key, "bucket int, key long, logp double")
+    requests = chunks.applyInArrow(ask, "bucket int, chunk int, keys binary")
+    answers = requests.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(answer, "chunk int, bucket int, logp binary")
+    return chunks.cogroup(answers.groupBy("chunk")).applyInArrow(weigh, MEASURED)
+
+
+def measured(texts: pa.Array, part: Part, known: np.ndarray, gram_logps: np.ndarray) -> list[np.ndarray]:
+    """The columns of ``measure`` from ``n_words`` on, for one slice."""
+    words = part.words
+    n_words = np.diff(words.offsets)
+    size = pc.utf8_length(words.vocab).to_numpy(zero_copy_only=False).astype(np.int64)
+    chars = sum_by_text(size[words.codes], words.offsets)
+    logp = np.zeros(len(words.codes))
+    for lang, there, offsets, ok, keys in part.grams:
+        each = np.zeros(offsets[-1])
+        each[ok] = gram_logps[lookup(known, keys)]
+        full = np.zeros(len(words.vocab))
+        full[there] = sum_by_text(each, offsets)
+        mine = part.of_word == lang
+        logp[mine] = full[words.codes[mine]]
+    each_word = -logp / (size[words.codes] + 1)
+    level = np.array([upper_quartile(each_word[a:b]) for a, b in zip(words.offsets[:-1], words.offsets[1:])], float)
+    repeats = np.array([repeated_words(words.codes[a:b]) for a, b in zip(words.offsets[:-1], words.offsets[1:])], np.int64)
+    lines = [repeated_lines(x or b"") for x in texts.cast(pa.binary()).to_pylist()]
+    score = np.where(n_words > 0, -sum_by_text(logp, words.offsets) / np.maximum(1, chars + n_words), np.nan)
+    return [
+        n_words, chars, byte_hits(texts, b"#*$%&|<>"), np.array(lines, np.int64), repeats,
+        (n_words < 50) | (100 * repeats > 50 * n_words), score, level,
+    ]
 
 
 def judge(docs: DataFrame, width: float = WIDTH, narrowest: float = NARROWEST) -> DataFrame:
@@ -265,7 +346,7 @@ def judge(docs: DataFrame, width: float = WIDTH, narrowest: float = NARROWEST) -
     ``narrowest``) to each side. A null lang is a language of its own, ``und``. Rows without words fail the
     base rules and have a null perplexity. Repeated rows count and return each; no rows give no rows.
     """
-    scored = kept(measure(docs, fit(docs)), "quality")
+    scored = kept(measure(docs, gram_scores(kept(count_grams(docs), "grams"))), "quality")
     sound = scored.where(~F.col("base_failed") & F.col("log_level").isNotNull())
     middle = sound.groupBy("lang").agg(F.percentile_approx("log_level", 0.5, 10_000).alias("middle"))
     spread = (

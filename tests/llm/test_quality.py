@@ -30,6 +30,21 @@ def test_probabilities_sum_to_one():
         assert total == pytest.approx(1, abs=1e-9)
 
 
+def test_a_rare_gram_is_scored_from_all_counts(spark):
+    common, rare = "word " * 700_000, " ".join("".join(c) for c in itertools.product("abcd", repeat=3))
+    docs = spark.createDataFrame([(1, common, "en"), (2, rare, "en"), (3, rare, "fr")], "doc_id long, text string, lang string")
+    counts = quality.count_grams(docs).where("lang = 'en'").toPandas()
+    p = points(list(counts["gram"]))
+    levels = quality.estimate(p, counts["n"].to_numpy())
+    expected = dict(zip(counts["gram"], np.exp(quality.gram_logp(levels, p.reshape(-1), np.arange(0, p.size, quality.ORDER)))))
+    got = {r.gram: r.p for r in quality.gram_scores(quality.count_grams(docs)).where("lang = 'en'").collect()}
+    assert got == pytest.approx(expected)
+    words = rare.split()
+    logs = [np.log(expected[m[i : i + 5]]) for w in words for m in ["\x02" * 4 + w + "\x03"] for i in range(len(w) + 1)]
+    row = quality.judge(docs).where("doc_id = 2").first()
+    assert row.perplexity == pytest.approx(np.exp(-sum(logs) / len(logs)))
+
+
 def test_discounts_of_chen_and_goodman():
     counts = np.array([1] * 40 + [2] * 15 + [3] * 8 + [4] * 5)
     y = 40 / 70

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import IGNORED, SCORE_IGNORED, TIME_LABEL, WHITE
@@ -23,10 +23,35 @@ def score_normalized(text: Column) -> Column:
     return F.regexp_replace(text, f"[{SCORE_IGNORED}]", "")
 
 
-def similarity(left: Column, right: Column) -> Column:
-    """1 less the edit distance's share of the longer text; two empty texts are alike."""
-    longest = F.greatest(F.char_length(left), F.char_length(right))
-    return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(left, right) / longest)
+def norm_of(lines: DataFrame) -> Column:
+    """The column ``norm`` where an earlier stage has kept it, else ``normalized`` text."""
+    return F.col("norm") if "norm" in lines.columns else normalized(F.col("text"))
+
+
+def common_start(left: Column, right: Column) -> Column:
+    """How many characters two texts begin with alike, by halves: each step compares a stretch of a power of two."""
+    least = F.least(F.char_length(left), F.char_length(right))
+    powers = F.reverse(F.sequence(F.lit(0), F.greatest(F.floor(F.log2(least)), F.lit(0)).cast("int")))
+
+    def step(found: Column, power: Column) -> Column:
+        size = F.pow(F.lit(2), power).cast("int")
+        same = left.substr(found + 1, size) == right.substr(found + 1, size)
+        return F.when((found + size <= least) & same, found + size).otherwise(found)
+
+    return F.when(least > 0, F.aggregate(powers, F.lit(0), step)).otherwise(F.lit(0))
+
+
+def edit_distance(lines: DataFrame, left: str, right: str, name: str, bound: str | None = None) -> DataFrame:
+    """Adds ``name``, the edit distance of two columns; with ``bound``, an SQL expression, -1 beyond it.
+
+    What the texts begin and end with alike doesn't count, so a slip in a long line costs no whole table of cells.
+    """
+    keep = lines.columns
+    cut = lines.withColumn("_same", common_start(F.col(left), F.col(right)))
+    cut = cut.withColumn("_l", F.reverse(F.expr(f"substring({left}, _same + 1)"))).withColumn("_r", F.reverse(F.expr(f"substring({right}, _same + 1)")))
+    cut = cut.withColumn("_same", common_start(F.col("_l"), F.col("_r")))
+    cut = cut.withColumn("_l", F.expr("substring(_l, _same + 1)")).withColumn("_r", F.expr("substring(_r, _same + 1)"))
+    return cut.select(*keep, F.expr(f"levenshtein(_l, _r{f', {bound}' if bound else ''})").alias(name))
 
 
 def utf16_length(text: Column) -> Column:

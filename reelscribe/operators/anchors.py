@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from ..constants import FUZZY_SIMILARITY, MIN_ANCHORS, MIN_KEY_LENGTH, MIN_VOTE, RESCUE_VOTE, SHIFT_TOLERANCE
 from ..functions.geometry import band
-from ..functions.text import normalized, similarity
+from ..functions.text import edit_distance, norm_of
+from .folds import dealt
 
 PAIR = ["recording_id", "pair_idx"]
 
 
 def anchor_lines(observations: DataFrame, fixed: DataFrame) -> DataFrame:
-    """Lines that can anchor: outside fixed bands, with a key of four characters or more."""
-    keyed = observations.select("recording_id", "frame_idx", "line_no", "y", normalized(F.col("text")).alias("key"), band(F.col("y")).alias("band"))
+    """Lines that can anchor: outside fixed bands, with a key of four characters or more. Null texts can't."""
+    keyed = observations.select("recording_id", "frame_idx", "line_no", "y", norm_of(observations).alias("key"), band(F.col("y")).alias("band"))
     return (
-        keyed.join(fixed.select("recording_id", "band"), ["recording_id", "band"], "left_anti")
-        .where(F.char_length("key") >= MIN_KEY_LENGTH)
+        keyed.where(F.char_length("key") >= MIN_KEY_LENGTH)
+        .join(fixed.select("recording_id", "band"), ["recording_id", "band"], "left_anti")
         .drop("band")
     )
 
@@ -41,91 +42,94 @@ def exact_anchors(lines: DataFrame) -> DataFrame:
 def fuzzy_anchors(lines: DataFrame, exact: DataFrame, least: float = FUZZY_SIMILARITY) -> DataFrame:
     """Alike keys of lines without an exact anchor, where each is the other's one best partner.
 
-    Lengths that differ by more than the allowed share are pruned before any distance is computed.
+    Lengths that differ by more than the allowed share are pruned before any distance is computed, and the distance is
+    a bounded one: it gives up on a pair that is too far, and what it returns for the others is all that is needed.
     """
     before, after = sides(lines)
     before = before.join(exact.select(*PAIR, "prev_line"), [*PAIR, "prev_line"], "left_anti").withColumnRenamed("key", "prev_key")
     after = after.join(exact.select(*PAIR, "cur_line"), [*PAIR, "cur_line"], "left_anti").withColumnRenamed("key", "cur_key")
     long_, short = (f(F.char_length("prev_key"), F.char_length("cur_key")) for f in (F.greatest, F.least))
-    near = before.join(after, PAIR).where(short >= long_ * F.lit(least) - F.lit(1e-9))
-    allowed = f"cast(ceil((1 - {float(least)}D) * greatest(char_length(prev_key), char_length(cur_key))) as int)"
-    near = near.where(F.expr(f"levenshtein(prev_key, cur_key, {allowed}) >= 0"))  # gives up on a pair once it is too far
-    near = near.withColumn("similarity", similarity(F.col("prev_key"), F.col("cur_key"))).where(F.col("similarity") >= least)
+    near = dealt(before, *PAIR).join(dealt(after, *PAIR), PAIR).where(short >= long_ * F.lit(least) - F.lit(1e-9)).withColumn("longest", long_)
+    # The windows below stand between the distance and the filter on it, so that it is computed once.
+    near = edit_distance(near, "prev_key", "cur_key", "far", f"cast(ceil((1 - {float(least)}D) * longest) as int)").drop("prev_key", "cur_key")
+    far = F.when(F.col("far") >= 0, 1 - F.col("far") / F.col("longest")).otherwise(F.lit(-1.0))
+    near = near.withColumn("similarity", F.when(far >= least, far).otherwise(F.lit(-1.0)))
     for side in ("prev_line", "cur_line"):
         best = Window.partitionBy(*PAIR, side).orderBy(F.desc("similarity"))
         rest = F.lead("similarity").over(best)
         near = near.withColumn(f"best_{side}", (F.row_number().over(best) == 1) & (rest.isNull() | (rest < F.col("similarity"))))
-    chosen = near.where("best_prev_line and best_cur_line")
+    chosen = near.where("best_prev_line and best_cur_line and similarity >= 0")
     return chosen.select(*PAIR, "prev_line", "cur_line", "prev_y", "cur_y", "similarity", F.lit("fuzzy").alias("kind"))
 
 
-def clusters(diffs: Column) -> Column:
-    """Sorted values in chains whose steps are at most the tolerance: an array of arrays."""
-
-    def add(chains: Column, v: Column) -> Column:
-        last = F.try_element_at(chains, F.lit(-1))
-        joins = v - F.try_element_at(last, F.lit(-1)) <= SHIFT_TOLERANCE
-        longer = F.concat(F.slice(chains, 1, F.size(chains) - 1), F.array(F.concat(last, F.array(v))))
-        return F.when((F.size(chains) > 0) & joins, longer).otherwise(F.concat(chains, F.array(F.array(v))))
-
-    return F.aggregate(F.sort_array(diffs), F.array().cast("array<array<double>>"), add)
-
-
-def vote(diffs: Column) -> Column:
-    """``shift, votes, total, members, runner_up`` of the largest cluster (of equal ones the lowest); the shift is its
-    upper median element, 0 where there is none."""
-    ranked = F.array_sort(F.transform(clusters(diffs), lambda c: F.struct((-F.size(c)).alias("n"), c[0].alias("first"), c.alias("members"))))
-    top, next_ = F.try_element_at(ranked, F.lit(1)), F.try_element_at(ranked, F.lit(2))
-    members = F.coalesce(top["members"], F.array().cast("array<double>"))
-    votes = F.size(members)
-    middle = F.try_element_at(members, (F.floor(votes / 2) + 1).cast("int"))
-    return F.struct(
-        F.coalesce(middle, F.lit(0.0)).alias("shift"),
-        votes.cast("long").alias("votes"),
-        F.size(diffs).cast("long").alias("total"),
-        members.alias("members"),
-        (-next_["n"]).alias("runner_up"),
+def votes(diffs: DataFrame, keys: list[str]) -> DataFrame:
+    """``*keys, total, runner_up, best(votes, members)`` of ``diffs(*keys, diff)``.
+
+    Sorted values whose steps are at most the tolerance are a cluster; the largest wins, of equal ones the lowest.
+    ``runner_up`` is the size of the next one, null without any.
+    """
+    by_value = Window.partitionBy(*keys).orderBy("diff")
+    step = F.col("diff") - F.lag("diff").over(by_value)
+    cut = diffs.withColumn("cut", F.when(step > SHIFT_TOLERANCE, 1).otherwise(0))
+    chained = cut.withColumn("cluster", F.sum("cut").over(by_value.rowsBetween(Window.unboundedPreceding, 0)))
+    clusters = chained.groupBy(*keys, "cluster").agg(F.count("*").alias("votes"), F.min("diff").alias("first"), F.sort_array(F.collect_list("diff")).alias("members"))
+    return clusters.groupBy(*keys).agg(
+        F.sum("votes").alias("total"),
+        F.try_element_at(F.sort_array(F.collect_list("votes"), asc=False), F.lit(2)).alias("runner_up"),
+        F.max_by(F.struct("votes", "members"), F.struct("votes", -F.col("first"))).alias("best"),
     )
 
 
-def vote_share(v: Column) -> Column:
-    return v["votes"] / F.greatest(v["total"], F.lit(1))
+def upper_median(members: Column) -> Column:
+    return F.try_element_at(members, (F.floor(F.size(members) / 2) + 1).cast("int"))
 
 
 def shifts(frames: DataFrame, exact: DataFrame, fuzzy: DataFrame) -> DataFrame:
     """One row per pair of neighbouring ``frames(recording_id, frame_idx)``: its shift and the evidence for it.
 
     Reliable exact anchors set the shift; agreeing fuzzy ones only add votes. Otherwise all anchors together may
-    rescue a pair by a clear, large majority. Otherwise the exact vote stands, which may be none. A pair's anchors
-    are at most its frames' lines, so they meet in one row and the table of cases is plain column logic.
+    rescue a pair by a clear, large majority. Otherwise the exact vote stands, which may be none. A recording of one
+    frame has no pairs.
     """
-    every = exact.unionByName(fuzzy).withColumn("diff", F.col("prev_y") - F.col("cur_y"))
-    of = {k: F.collect_list(F.when(F.col("kind") == k, F.col("diff"))).alias(k) for k in ("exact", "fuzzy")}
-    pairs = frames.where("frame_idx > 0").select("recording_id", F.col("frame_idx").alias("pair_idx")).distinct()
+    every = exact.unionByName(fuzzy).select(*PAIR, "kind", (F.col("prev_y") - F.col("cur_y")).alias("diff"))
+    ballots = F.when(F.col("kind") == "exact", F.array(F.lit("own"), F.lit("joint"))).otherwise(F.array(F.lit("joint")))
+    counted = votes(every.withColumn("ballot", F.explode(ballots)), [*PAIR, "ballot"])
+    counted = counted.withColumn("v", F.struct("total", "runner_up", "best.votes", "best.members"))
+    state = counted.groupBy(*PAIR).agg(*(F.max(F.when(F.col("ballot") == b, F.col("v"))).alias(b) for b in ("own", "joint")))
     none = F.array().cast("array<double>")
-    state = pairs.join(every.groupBy(*PAIR).agg(*of.values()), PAIR, "left")
-    state = state.select(*PAIR, F.coalesce("exact", none).alias("e"), F.coalesce("fuzzy", none).alias("f"))
-    state = state.withColumn("own", vote(F.col("e"))).withColumn("all", vote(F.concat("e", "f")))
-    own, joint = F.col("own"), F.col("all")
-    sure = (own["total"] >= MIN_ANCHORS) & (vote_share(own) >= MIN_VOTE)
-    clear = joint["runner_up"].isNull() | (joint["votes"] > joint["runner_up"])
-    rescue = ~sure & (joint["votes"] >= MIN_ANCHORS) & (vote_share(joint) >= RESCUE_VOTE) & clear
-    near = F.when(sure, own["members"]).when(rescue, joint["members"]).otherwise(none)
-    state = state.withColumn("sure", sure).withColumn("rescue", rescue).withColumn("near", near)
-    taken = F.filter("f", lambda d: F.exists("near", lambda v: F.abs(v - d) <= SHIFT_TOLERANCE))
-    state = state.withColumn("taken", taken).withColumn("widened", vote(F.concat("e", "taken")))
-    pick = F.when(F.col("sure"), F.col("widened")).when(F.col("rescue"), joint).otherwise(own)
-    candidates = F.when(~F.col("sure"), joint)
+    each = every.groupBy(*PAIR).agg(*(F.collect_list(F.when(F.col("kind") == k, F.col("diff"))).alias(k) for k in ("exact", "fuzzy")))
+    state = state.join(each, PAIR)
+
+    def count(ballot: str, field: str) -> Column:
+        return F.coalesce(F.col(ballot)[field], F.lit(0).cast("long"))
+
+    own_share, joint_share = (count(b, "votes") / F.greatest(count(b, "total"), F.lit(1)) for b in ("own", "joint"))
+    sure = (count("own", "total") >= MIN_ANCHORS) & (own_share >= MIN_VOTE)
+    clear = F.col("joint")["runner_up"].isNull() | (count("joint", "votes") > count("joint", "runner_up"))
+    rescue = (count("joint", "votes") >= MIN_ANCHORS) & (joint_share >= RESCUE_VOTE) & clear
+    state = state.withColumn("sure", sure).withColumn("rescue", ~F.col("sure") & rescue)
+    near = F.when(F.col("sure"), F.col("own.members")).when(F.col("rescue"), F.col("joint.members")).otherwise(none)
+    state = state.withColumn("near", near)
+    state = state.withColumn("taken", F.filter("fuzzy", lambda d: F.exists("near", lambda v: F.abs(v - d) <= SHIFT_TOLERANCE)))
+    # Fuzzy anchors taken beside a reliable exact vote may join its cluster to others: those few pairs are counted anew.
+    wide = state.where(F.col("sure") & (F.size("taken") > 0)).select(*PAIR, F.explode(F.concat("exact", "taken")).alias("diff"))
+    widened = votes(wide, PAIR).select(*PAIR, F.col("best.votes").alias("wide_votes"), F.col("total").alias("wide_total"))
+    pairs = frames.where("frame_idx > 0").select("recording_id", F.col("frame_idx").alias("pair_idx")).distinct()
+    state = pairs.join(state.join(widened, PAIR, "left"), PAIR, "left")
+    zero = F.lit(0).cast("long")
+    sure, rescued = F.coalesce("sure", F.lit(False)), F.coalesce("rescue", F.lit(False))
+    shift = upper_median(F.when(rescued, F.col("joint.members")).otherwise(F.col("own.members")))
+    found, accepted = (F.greatest(F.size(F.coalesce(c, none)), F.lit(0)).cast("long") for c in ("fuzzy", "taken"))
     return state.select(
         *PAIR,
-        F.when(F.col("rescue"), joint["shift"]).otherwise(own["shift"]).alias("shift"),
-        pick["votes"].alias("votes"),
-        pick["total"].alias("total"),
-        own["total"].alias("exact_total"),
-        F.size("f").cast("long").alias("fuzzy_candidates"),
-        F.size("taken").cast("long").alias("fuzzy_accepted"),
-        (F.size("f") - F.size("taken")).cast("long").alias("fuzzy_rejected"),
-        F.col("rescue").alias("fuzzy_rescue"),
-        F.coalesce(candidates["votes"], F.lit(0).cast("long")).alias("candidate_votes"),
-        F.coalesce(candidates["total"], F.lit(0).cast("long")).alias("candidate_total"),
+        F.coalesce(shift, F.lit(0.0)).alias("shift"),
+        F.coalesce("wide_votes", F.when(rescued, count("joint", "votes")).otherwise(count("own", "votes"))).alias("votes"),
+        F.coalesce("wide_total", F.when(rescued, count("joint", "total")).otherwise(count("own", "total"))).alias("total"),
+        count("own", "total").alias("exact_total"),
+        found.alias("fuzzy_candidates"),
+        accepted.alias("fuzzy_accepted"),
+        (found - accepted).alias("fuzzy_rejected"),
+        rescued.alias("fuzzy_rescue"),
+        F.when(sure, zero).otherwise(count("joint", "votes")).alias("candidate_votes"),
+        F.when(sure, zero).otherwise(count("joint", "total")).alias("candidate_total"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import ALIGN_TOLERANCE, BUBBLE_DX, BUBBLE_DY, OTHER, SELF
 from ..functions.text import is_time_label
-from .folds import fold, islands
+from .folds import Columns, fold, islands
 
 
 def align_peaks(lines: DataFrame) -> DataFrame:
@@ -35,27 +35,31 @@ def hits(lines: DataFrame, peaks: DataFrame) -> DataFrame:
     return near.withColumn("left_hit", left).withColumn("right_hit", right)
 
 
-def nearest_groups(lines: list[dict]) -> list[dict]:
+def nearest_groups(lines: Columns) -> Columns:
     """Each line joins the group that it follows most closely, of equally close ones the least shifted, then newest."""
-    groups: list[dict] = []
-    for line in lines:
-        best, found = None, None
-        for i in range(len(groups) - 1, -1, -1):
-            dy, dx = line["gy"] - groups[i]["last_y"], abs(line["x"] - groups[i]["last_x"])
-            if 0 <= dy < BUBBLE_DY and dx < BUBBLE_DX and (best is None or (dy, dx) < best):
-                best, found = (dy, dx), i
-        if found is None:
-            found = len(groups)
-            groups.append({"rows": []})
-        g = groups[found]
-        g["rows"].append(line)
-        g["last_y"], g["last_x"] = max(r["gy"] for r in g["rows"]), line["x"]
+    gy, x = lines["gy"], lines["x"]
+    of: list[int] = []
+    bottom: list[float] = []  # of each group: its lowest line so far, and the left edge of its newest
+    left: list[float] = []
+    for i in range(len(gy)):
+        near = [
+            (gy[i] - bottom[g], abs(x[i] - left[g]), -g)
+            for g in range(len(bottom))
+            if 0 <= gy[i] - bottom[g] < BUBBLE_DY and abs(x[i] - left[g]) < BUBBLE_DX
+        ]
+        g = -min(near)[2] if near else len(bottom)
+        if g == len(bottom):
+            bottom.append(gy[i])
+            left.append(x[i])
+        of.append(g)
+        bottom[g], left[g] = max(bottom[g], gy[i]), x[i]
+    order = sorted(range(len(of)), key=lambda i: (of[i], gy[i], x[i]))
+    row, rows = 0, []
+    for n, i in enumerate(order):
+        row = row + 1 if n and of[order[n - 1]] == of[i] else 0
+        rows.append(row)
     keep = ("seq", "frame_idx", "text", "x", "y", "w", "h", "gy", "left_hit", "right_hit", "left_peak")
-    return [
-        {k: r[k] for k in keep} | {"group_no": i, "row_no": n}
-        for i, g in enumerate(groups)
-        for n, r in enumerate(sorted(g["rows"], key=lambda r: (r["gy"], r["x"])))
-    ]
+    return {c: [lines[c][i] for i in order] for c in keep} | {"group_no": [of[i] for i in order], "row_no": rows}
 
 
 BUBBLE = ["recording_id", "island", "group_no"]

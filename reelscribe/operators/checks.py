@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import OTHER, SELF, VISUAL_MESSAGE
 from ..functions.geometry import finite, half_up
 from ..functions.text import score_normalized, trimmed
-from .folds import fold
+from .folds import Columns, fold
 
 
 def reconcile(timings: DataFrame, keys: list[str], parts: list[str]) -> DataFrame:
@@ -112,36 +112,44 @@ def ratio(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b).ratio()
 
 
-def assign(rows: list[dict], least: float = 0.55) -> list[dict]:
+def most_alike(text: str, others: list[str], free: list[int]) -> tuple[int | None, float]:
+    """The first of the ``free`` others that is most like the text; cheap upper bounds come before the whole ratio."""
+    for i in free:
+        if others[i] == text:
+            return i, 1.0  # nothing is more alike, and none before it is equal
+    best, at = 0.0, None
+    matcher = difflib.SequenceMatcher(None)
+    matcher.set_seq1(text)
+    for i in free:
+        longest = len(text) + len(others[i])
+        if longest and 2 * min(len(text), len(others[i])) <= best * longest:
+            continue
+        matcher.set_seq2(others[i])
+        if matcher.quick_ratio() > best and (r := matcher.ratio()) > best:
+            best, at = r, i
+    return at, best
+
+
+def assign(rows: Columns, least: float = 0.55) -> Columns:
     """Each true message, in order, takes the most alike unused prediction, if that is alike enough; the run's totals."""
-    truth = [r for r in rows if r["is_truth"]]
-    said = [r for r in rows if not r["is_truth"]]
-    used: set[int] = set()
-    matched: list[tuple[dict, int | None, float]] = []
-    for t in truth:
-        best, at = 0.0, None
-        for i, p in enumerate(said):
-            if i not in used:
-                r = ratio(t["norm"], p["norm"])
-                if r > best:
-                    best, at = r, i
-        if at is not None and best > least:
-            used.add(at)
-            matched.append((t, at, best))
-        else:
-            matched.append((t, None, 0.0))
-    places = [at for _, at, _ in matched if at is not None]
-    return [
-        {
-            "n_truth": len(truth),
-            "n_predicted": len(said),
-            "n_matched": len(places),
-            "n_exact": sum(r >= 0.999 for _, _, r in matched),
-            "n_speaker": sum(at is not None and t["who"] == said[at]["who"] for t, at, _ in matched),
-            "char_ratio": ratio("".join(t["norm"] for t in truth), "".join(said[i]["norm"] for i in places)),
-            "in_order": places == sorted(places),
-        }
-    ]
+    cut = rows["is_truth"].index(True) if True in rows["is_truth"] else len(rows["is_truth"])
+    norm, who = rows["norm"], rows["who"]
+    free, taken = list(range(cut)), []  # predictions lead
+    for t in range(cut, len(norm)):
+        at, alike = most_alike(norm[t], norm, free)
+        if at is not None and alike > least:
+            free.remove(at)
+            taken.append((t, at, alike))
+    places = [at for _, at, _ in taken]
+    return {
+        "n_truth": [len(norm) - cut],
+        "n_predicted": [cut],
+        "n_matched": [len(taken)],
+        "n_exact": [sum(r >= 0.999 for _, _, r in taken)],
+        "n_speaker": [sum(who[t] == who[at] for t, at, _ in taken)],
+        "char_ratio": [ratio("".join(norm[cut:]), "".join(norm[i] for i in places))],
+        "in_order": [places == sorted(places)],
+    }
 
 
 SCORE = "n_truth int, n_predicted int, n_matched int, n_exact int, n_speaker int, char_ratio double, in_order boolean"
@@ -151,11 +159,11 @@ def transcript_scores(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     """Scores per run of ``truth`` and ``predicted``, both ``(run_id, msg_no, who, text)``.
 
     True messages that are one bracketed picture don't count. An assignment depends on those before it, so a run's
-    messages are one fold.
+    messages are one fold. Null texts are left out; a run without true messages matches nothing.
     """
     columns = ["run_id", "msg_no", "who", score_normalized(F.col("text")).alias("norm")]
     real = truth.where(~F.col("text").rlike(VISUAL_MESSAGE)).select(*columns, F.lit(True).alias("is_truth"))
-    said = predicted.select(*columns, F.lit(False).alias("is_truth"))
+    said = predicted.where("text is not null").select(*columns, F.lit(False).alias("is_truth"))
     return fold(real.unionByName(said), ["run_id"], ["is_truth", "msg_no"], assign, SCORE)
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, deque
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,40 +13,41 @@ from ..constants import (
     DEDUPE_WINDOW, MAJORITY, REPEAT_LENGTH, REPEAT_WINDOW, SAME_BOX_OVERLAP, SPATIAL_DX, SPATIAL_DY, VARIANT_SIMILARITY,
 )
 from ..functions.geometry import finite
-from ..functions.text import normalized, trimmed
-from .folds import fold, islands
+from ..functions.text import edit_distance, norm_of, normalized, trimmed, utf16_length
+from .folds import Columns, dealt, fold, islands, keep_rows
 
 CANON = ["gy", "x", "frame_idx", "line_no"]
 
 
-def overlap_share(a: dict, b: dict) -> float:
-    wide = min(a["x"] + a["w"], b["x"] + b["w"]) - max(a["x"], b["x"])
-    high = min(a["gy"] + a["h"], b["gy"] + b["h"]) - max(a["gy"], b["gy"])
-    least = min(a["w"] * a["h"], b["w"] * b["h"])
-    return max(0, wide) * max(0, high) / least if least else 0
-
-
-def sightings(lines: list[dict]) -> list[dict]:
+def sightings(lines: Columns) -> Columns:
     """Groups of an island's sorted lines. A line joins the newest group whose longest line lies near it in another
-    frame and shares most of its box; a strictly longer line becomes the group's longest."""
-    groups: list[list[dict]] = []
-    longest: list[dict] = []
-    for line in lines:
-        for g in range(len(groups) - 1, -1, -1):
-            top = longest[g]
-            if abs(top["gy"] - line["gy"]) <= DEDUPE_WINDOW and top["frame_idx"] != line["frame_idx"] and overlap_share(top, line) >= SAME_BOX_OVERLAP:
-                groups[g].append(line)
-                if len(line["text"]) > len(top["text"]):
-                    longest[g] = line
-                break
-        else:
-            groups.append([line])
-            longest.append(line)
-    return [
-        line | {"group_no": g, "is_longest": line is longest[g], "sighting": s}
-        for g, members in enumerate(groups)
-        for s, line in enumerate(members)
-    ]
+    frame and shares most of its box; a strictly longer line becomes the group's longest.
+
+    A group is known by its longest line, so the groups are an array of line numbers. Lines come from the top: groups
+    whose longest line has fallen out of the window never match again, and the search starts behind the leading ones.
+    """
+    gy, x, w, h = (np.array(lines[c], float) for c in ("gy", "x", "w", "h"))
+    frame, size = np.array(lines["frame_idx"]), np.fromiter(map(len, lines["text"]), int, len(gy))
+    longest, of, count, low = np.zeros(len(gy), int), np.zeros(len(gy), int), 0, 0
+    for i in range(len(gy)):
+        while low < count and gy[longest[low]] < gy[i] - DEDUPE_WINDOW:
+            low += 1
+        top = longest[low:count]
+        wide = np.minimum(x[top] + w[top], x[i] + w[i]) - np.maximum(x[top], x[i])
+        high = np.minimum(gy[top] + h[top], gy[i] + h[i]) - np.maximum(gy[top], gy[i])
+        least = np.minimum(w[top] * h[top], w[i] * h[i])
+        share = np.divide(np.maximum(wide, 0) * np.maximum(high, 0), least, out=np.zeros(len(top)), where=least > 0)
+        near = np.flatnonzero((share >= SAME_BOX_OVERLAP) & (np.abs(gy[top] - gy[i]) <= DEDUPE_WINDOW) & (frame[top] != frame[i]))
+        of[i] = low + near[-1] if len(near) else count
+        if not len(near):
+            longest[count] = i
+            count += 1
+        elif size[i] > size[longest[of[i]]]:
+            longest[of[i]] = i
+    place = np.argsort(of, kind="stable")
+    sighting = np.empty(len(of), int)
+    sighting[place] = np.arange(len(of)) - np.searchsorted(of[place], of[place])
+    return lines | {"group_no": of.tolist(), "is_longest": (longest[of] == np.arange(len(of))).tolist(), "sighting": sighting.tolist()}
 
 
 SIGHTING = (
@@ -58,22 +61,24 @@ def sighting_groups(content: DataFrame) -> DataFrame:
 
     ``content(recording_id, segment_id, frame_idx, line_no, text, x, y, w, h, gy)``. Only lines of one segment can
     merge, and none over a stretch of more than the window without lines, so each such island is folded alone.
+    Lines without a text to compare are left out; a null recording is one of its own.
     """
-    keyed = content.withColumn("norm", normalized(F.col("text"))).where(F.char_length("norm") > 0)
+    keyed = content.withColumn("norm", norm_of(content)).where(F.char_length("norm") > 0)
     cut = islands(keyed, ["recording_id", "segment_id"], "gy", DEDUPE_WINDOW, ["x", "frame_idx", "line_no"], inclusive=True)
-    names = [x.split()[0] for x in SIGHTING.split(", ")]
-    return fold(
-        cut, ["recording_id", "segment_id", "island"], CANON, lambda rows: ({n: r[n] for n in names} for r in sightings(rows)), SIGHTING
-    )
+    return fold(cut, ["recording_id", "segment_id", "island"], CANON, sightings, SIGHTING)
 
 
 GROUP = ["recording_id", "segment_id", "island", "group_no"]
 
 
 def frame_observations(groups: DataFrame) -> DataFrame:
-    """One row per group and frame: parts of one frame become their joint box and their texts from left to right."""
+    """One row per group and frame: parts of one frame become their joint box and their texts from left to right.
+
+    ``longest`` is the group's longest line if it is in the frame, ``head`` its first line's place likewise.
+    """
     parts = F.array_sort(F.collect_list(F.struct("x", "sighting", "text")))
     bottom = F.greatest(F.max(F.col("y") + F.col("h")) - F.min("y"), F.max(F.col("gy") + F.col("h")) - F.min("gy"))
+    alone = F.struct("frame_idx", F.lit(1).cast("long").alias("n_parts"), "text", "norm", "x", "y", "w", "h", "gy", F.array("text").alias("parts"))
     joined = groups.groupBy(*GROUP, "frame_idx").agg(
         parts.alias("parts"),
         F.count("*").alias("n_parts"),
@@ -82,42 +87,50 @@ def frame_observations(groups: DataFrame) -> DataFrame:
         F.min("y").alias("y"),
         F.min("gy").alias("gy"),
         F.when(F.count("*") == 1, F.max("h")).otherwise(bottom).alias("h"),
-        F.min("sighting").alias("first_sighting"),
+        F.max("norm").alias("norm"),
+        F.max(F.when(F.col("is_longest"), alone)).alias("longest"),
+        F.max(F.when(F.col("sighting") == 0, F.struct(*CANON))).alias("head"),
     )
     text = F.array_join(F.transform("parts", lambda p: p["text"]), "")
-    return joined.withColumn("text", text).withColumn("parts", F.transform("parts", lambda p: p["text"])).withColumn("norm", normalized(F.col("text")))
+    return joined.withColumn("text", text).withColumn("parts", F.transform("parts", lambda p: p["text"])).withColumn("norm", F.when(F.col("n_parts") == 1, F.col("norm")).otherwise(normalized(F.col("text"))))
 
 
 def selections(content: DataFrame, consensus: bool = True, similarity: float = VARIANT_SIMILARITY) -> DataFrame:
     """One row per group: the line that stands for it, how it was chosen, and what there was to choose from.
 
     With three frames or more, the text of more than half of them (three at least) is proposed, in its earliest
-    frame and rather whole than joined from parts. It is refused if it is unlike the longest sighting.
+    frame and rather whole than joined from parts. It is refused if it is unlike the longest sighting. Groups are
+    dealt once; frames, variants and choice are aggregates of that one partitioning.
     """
     if not 0 <= similarity <= 1:
         raise ValueError("similarity must be between 0 and 1")
-    groups = sighting_groups(content)
-    frames = frame_observations(groups)
+    frames = frame_observations(dealt(sighting_groups(content), *GROUP))
     seen = F.struct("frame_idx", "n_parts", "text", "norm", "x", "y", "w", "h", "gy", "parts")
-    per = frames.groupBy(*GROUP).agg(F.count("*").alias("n_frames"), F.count_if(F.col("n_parts") > 1).alias("n_composed"))
     variants = frames.groupBy(*GROUP, "norm").agg(
-        F.count("*").alias("n"), F.min("frame_idx").alias("first_frame"), F.min_by(seen, F.struct(F.col("n_parts") > 1, "frame_idx")).alias("proposed")
+        F.count("*").alias("n"),
+        F.min("frame_idx").alias("first_frame"),
+        F.min_by(seen, F.struct(F.col("n_parts") > 1, "frame_idx")).alias("proposed"),
+        F.count_if(F.col("n_parts") > 1).alias("n_composed"),
+        F.sum("n_parts").alias("n_sightings"),
+        F.max("longest").alias("longest"),
+        F.max("head").alias("head"),
     )
-    best = variants.groupBy(*GROUP).agg(F.max_by(F.struct("n", "proposed"), F.struct("n", -F.col("first_frame"))).alias("best"))
-    longest = groups.where("is_longest").select(
-        *GROUP,
-        F.struct("frame_idx", F.lit(1).cast("long").alias("n_parts"), "text", "norm", "x", "y", "w", "h", "gy", F.array("text").alias("parts")).alias("longest"),
+    joined = variants.groupBy(*GROUP).agg(
+        F.max_by(F.struct("n", "proposed"), F.struct("n", -F.col("first_frame"))).alias("best"),
+        F.sum("n").alias("n_frames"),
+        F.sum("n_composed").alias("n_composed"),
+        F.sum("n_sightings").alias("n_sightings"),
+        F.max("longest").alias("longest"),
+        F.max("head").alias("group_rank"),
     )
-    head = groups.where("sighting = 0").select(*GROUP, F.struct(*CANON).alias("group_rank"))
-    sizes = groups.groupBy(*GROUP).agg(F.count("*").alias("n_sightings"))
-    joined = longest.join(head, GROUP).join(sizes, GROUP).join(per, GROUP).join(best, GROUP)
     norm, other = F.col("best.proposed.norm"), F.col("longest.norm")
-    far = F.levenshtein(norm, other)
-    alike = 1 - far / F.greatest(F.char_length(norm), F.char_length(other))
     eligible = F.lit(consensus) & (F.col("n_frames") >= MAJORITY)
     majority = eligible & (F.col("best.n") >= MAJORITY) & (F.col("best.n") * 2 > F.col("n_frames"))
+    joined = joined.withColumn("majority", majority).withColumn("one", F.when(F.col("majority"), norm)).withColumn("two", F.when(F.col("majority"), other))
+    joined = edit_distance(joined, "one", "two", "far")
+    alike = 1 - F.col("far") / F.greatest(F.char_length(norm), F.char_length(other))
     kind = (
-        F.when(~majority, "longer-fallback").when((norm != other) & (alike < similarity), "unrelated-majority-rejected").otherwise("strict-majority")
+        F.when(~F.col("majority"), "longer-fallback").when((norm != other) & (alike < similarity), "unrelated-majority-rejected").otherwise("strict-majority")
     )
     chosen = joined.withColumn("kind", kind).withColumn("line", F.when(F.col("kind") == "strict-majority", F.col("best.proposed")).otherwise(F.col("longest")))
     return chosen.select(
@@ -129,9 +142,9 @@ def selections(content: DataFrame, consensus: bool = True, similarity: float = V
         "n_frames",
         "n_composed",
         F.col("longest.text").alias("longer_text"),
-        F.when(majority, F.col("best.proposed.text")).alias("proposed_text"),
-        F.when(majority, alike).alias("variant_similarity"),
-        F.when(majority, far).alias("variant_edit_distance"),
+        F.when(F.col("majority"), F.col("best.proposed.text")).alias("proposed_text"),
+        alike.alias("variant_similarity"),
+        F.col("far").alias("variant_edit_distance"),
     )
 
 
@@ -158,61 +171,74 @@ def clean_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("text", trimmed(F.col("text"))).withColumn("x", x).withColumn("y", y).where((F.char_length("text") > 0) & finite(F.col("x")) & finite(F.col("y")))
 
 
-def nearest_kept(rows: list[dict]) -> list[dict]:
-    kept: list[dict] = []
-    for row in rows:
-        at = next((i for i, k in enumerate(kept) if abs(k["y"] - row["y"]) < SPATIAL_DY and abs(k["x"] - row["x"]) < SPATIAL_DX), None)
-        if at is None:
-            kept.append(row | {"slot": row["line_no"]})
-        elif len(row["text"]) > len(kept[at]["text"]):
-            kept[at] = row | {"slot": kept[at]["slot"]}
-    return kept
+def nearest_kept(lines: Columns) -> Columns:
+    """Slots are lines that lay near no slot; a slot shows the longest of the lines that first came near it."""
+    x, y, size = lines["x"], lines["y"], [len(t) for t in lines["text"]]
+    slots: list[list[int]] = []  # the line that opened it and the one that it shows
+    for i in range(len(y)):
+        near = (s for s in slots if abs(y[s[1]] - y[i]) < SPATIAL_DY and abs(x[s[1]] - x[i]) < SPATIAL_DX)
+        slot = next(near, None)
+        if slot is None:
+            slots.append([i, i])
+        elif size[i] > size[slot[1]]:
+            slot[1] = i
+    shown = {c: [lines[c][at] for _, at in slots] for c in ("line_no", "text", "x", "y", "side")}
+    return shown | {"slot": [lines["line_no"][first] for first, _ in slots]}
 
 
 def spatial_dedupe(lines: DataFrame) -> DataFrame:
     """Of lines within a small box of each other the longer stays, in the first one's slot.
 
     ``lines(recording_id, line_no, text, x, y, side)``; a vertical step as large as the box starts a new island.
+    Null and blank texts and coordinates that are no numbers are left out; a null recording is one of its own.
     """
     cut = islands(clean_lines(lines), ["recording_id"], "y", SPATIAL_DY, ["x", "line_no"], inclusive=False)
     schema = "line_no int, text string, x double, y double, side string, slot int"
-    names = [x.split()[0] for x in schema.split(", ")]
-    out = fold(cut, ["recording_id", "island"], ["y", "x", "line_no"], lambda rows: ({n: r[n] for n in names} for r in nearest_kept(rows)), schema)
-    return out.drop("island")
+    return fold(cut, ["recording_id", "island"], ["y", "x", "line_no"], nearest_kept, schema).drop("island")
+
+
+def repeat_test(least: int, window: int) -> Callable[[], Callable[[str, int], bool]]:
+    """Tests lines in order against the last ``window`` kept ones, which are all that it holds."""
+
+    def begin() -> Callable[[str, int], bool]:
+        recent: deque[str] = deque()
+        times: Counter = Counter()
 
+        def keep(text: str, units: int) -> bool:
+            if units >= least and times[text]:
+                return False
+            recent.append(text)
+            times[text] += 1
+            if len(recent) > window:
+                gone = recent.popleft()
+                times[gone] -= 1
+                if not times[gone]:
+                    del times[gone]
+            return True
 
-def repeats(rows: list[dict], least: int, window: int) -> list[dict]:
-    kept: list[dict] = []
-    recent: Counter = Counter()
-    for row in rows:
-        if row["units"] >= least and recent[row["trimmed"]]:
-            continue
-        kept.append(row)
-        recent[row["trimmed"]] += 1
-        if len(kept) > window:
-            recent[kept[-1 - window]["trimmed"]] -= 1
-    return kept
+        return keep
 
+    return begin
 
-def text_dedupe(lines: DataFrame, keys: list[str], least: int = REPEAT_LENGTH, window: int = REPEAT_WINDOW) -> DataFrame:
+
+def text_dedupe(lines: DataFrame, keys: list[str], least: int = REPEAT_LENGTH, window: int = REPEAT_WINDOW, order: list[str] | None = None) -> DataFrame:
     """Drops a line of ``least`` UTF-16 units or more whose trimmed text is among the last ``window`` kept ones.
 
-    ``lines(*keys, line_no, text)``; what is kept decides what goes, so a key's lines are one fold.
+    ``lines(*keys, *order, text)``, order ``line_no`` unless given. What is kept decides what goes, so a key's lines are
+    streamed in order, and only the window is held. Null texts are left out.
     """
-    from ..functions.text import utf16_length
-
-    ready = lines.select(*keys, "line_no", "text", trimmed(F.col("text")).alias("trimmed"))
+    order = order or ["line_no"]
+    ready = lines.where("text is not null").select(*keys, *order, "text", trimmed(F.col("text")).alias("trimmed"))
     ready = ready.withColumn("units", utf16_length(F.col("trimmed")))
-    return fold(
-        ready, keys, ["line_no"], lambda rows: ({"line_no": r["line_no"], "text": r["text"]} for r in repeats(rows, least, window)), "line_no int, text string"
-    )
+    return keep_rows(ready, keys, order, ["trimmed", "units"], repeat_test(least, window)).select(*keys, *order, "text")
 
 
-def side_dedupe(messages: DataFrame, window: int = REPEAT_WINDOW) -> DataFrame:
-    """``text_dedupe`` of ``messages(recording_id, line_no, side, text)`` in one stream per recording; a side's letter
+def side_dedupe(messages: DataFrame, window: int = REPEAT_WINDOW, order: list[str] | None = None) -> DataFrame:
+    """``text_dedupe`` of ``messages(recording_id, *order, side, text)`` in one stream per recording; a side's letter
     leads each text, so two sides never share one, and the least length counts it."""
+    order = order or ["line_no"]
     letter = F.when(F.col("side") == "self", "M").otherwise("T")
-    coded = messages.select("recording_id", "line_no", F.concat(letter, "text").alias("text"))
-    kept = text_dedupe(coded, ["recording_id"], REPEAT_LENGTH + 1, window)
+    coded = messages.select("recording_id", *order, F.concat(letter, "text").alias("text"))
+    kept = text_dedupe(coded, ["recording_id"], REPEAT_LENGTH + 1, window, order)
     side = F.when(F.col("text").startswith("M"), "self").otherwise("other")
-    return kept.select("recording_id", "line_no", side.alias("side"), F.expr("substring(text, 2)").alias("text"))
+    return kept.select("recording_id", *order, side.alias("side"), F.expr("substring(text, 2)").alias("text"))

@@ -1,56 +1,104 @@
 """Ordered folds over keyed groups, streamed through sorted partitions.
 
 Some steps depend on the order in which lines were taken. Their groups are cut as small as the rules allow
-(see each use), dealt by key and sorted by Spark; a task then streams its rows and holds one group at a time.
+(see each use), dealt by key and sorted by Spark; a task then streams its rows and holds one group at a time, or,
+where a rule only looks back a bounded way (``keep_rows``), no group at all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+Columns = dict[str, list]
+#: Rows that a fold gathers before it passes them on.
+ROWS = 5000
 
-def fold(
-    df: DataFrame, keys: list[str], order: list[str | Column], step: Callable[[list[dict]], Iterable[dict]], schema: str
-) -> DataFrame:
-    """Rows of ``step`` for each group of ``keys``, whose rows it gets in ``order``; rows lead with the keys."""
+
+def runs(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, int, int]]:
+    """``key, lo, hi`` for each stretch of equal keys."""
+    lo = 0
+    for key, stretch in groupby(zip(*(batch.column(k).to_pylist() for k in keys))):
+        hi = lo + sum(1 for _ in stretch)
+        yield key, lo, hi
+        lo = hi
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key over as many tasks as the session shuffles with. The number is stated, since the work on these
+    rows costs far more than their bytes tell, and partitions merged by size would leave it to a few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def sorted_groups(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
+    return dealt(df, *keys).sortWithinPartitions(*keys, *order)
+
+
+def fold(df: DataFrame, keys: list[str], order: list[str | Column], step: Callable[[Columns], Columns], schema: str) -> DataFrame:
+    """Rows of ``step`` for each group of ``keys``: it gets the group's columns in ``order`` and returns those of
+    ``schema``; rows lead with the keys. Null keys are a group; no rows give no rows."""
     types = T.StructType([df.schema[k] for k in keys] + T._parse_datatype_string(schema).fields)
     target = to_arrow_schema(types)
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[dict] = []
-        last = None
-        out: list[dict] = []
+        out: Columns = {name: [] for name in target.names}
+        group: Columns = {}
+        last: tuple | None = None
+
+        def close() -> None:
+            made = step(group)
+            size = len(next(iter(made.values())))
+            for name, value in zip(keys, last):
+                out[name] += [value] * size
+            for name in target.names[len(keys) :]:
+                out[name] += made[name]
+
         for batch in batches:
-            for row in batch.to_pylist():
-                key = tuple(row[k] for k in keys)
-                if group and key != last:
-                    out += [dict(zip(keys, last)) | r for r in step(group)]
-                    group = []
-                    if len(out) >= 5000:
-                        yield pa.RecordBatch.from_pylist(out, target)
-                        out = []
+            columns = batch.to_pydict()
+            for key, lo, hi in runs(batch, keys):
+                if last is not None and key != last:
+                    close()
+                    group = {}
+                    if len(out[keys[0]]) >= ROWS:
+                        yield pa.RecordBatch.from_pydict(out, target)
+                        out = {name: [] for name in target.names}
+                for name, values in columns.items():
+                    group.setdefault(name, []).extend(values[lo:hi])
                 last = key
-                group.append(row)
-        if group:
-            out += [dict(zip(keys, last)) | r for r in step(group)]
-        if out:
-            yield pa.RecordBatch.from_pylist(out, target)
+        if last is not None:
+            close()
+            yield pa.RecordBatch.from_pydict(out, target)
+
+    return sorted_groups(df, keys, order).mapInArrow(rows, types)
+
+
+def keep_rows(df: DataFrame, keys: list[str], order: list[str | Column], columns: list[str], begin: Callable[[], Callable[..., bool]]) -> DataFrame:
+    """The rows that a test keeps. ``begin`` gives a fresh test for each group of ``keys``; it is asked for one row
+    after another, in ``order``, with the values of ``columns``. Only its own state is held."""
 
-    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return dealt.mapInArrow(rows, types)
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, test = None, begin()
+        for batch in batches:
+            mask: list[bool] = []
+            values = [batch.column(c).to_pylist() for c in columns]
+            for key, lo, hi in runs(batch, keys):
+                if key != last:
+                    last, test = key, begin()
+                mask += map(test, *(v[lo:hi] for v in values))
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return sorted_groups(df, keys, order).mapInArrow(rows, df.schema)
 
 
 def islands(df: DataFrame, keys: list[str], at: str, gap: float, order: list[str | Column], inclusive: bool) -> DataFrame:
     """Numbers stretches of ``at`` in ``island``: a new one begins where the step from the row before is over
     ``gap`` (or equals it, unless ``inclusive``)."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys).orderBy(at, *order)
     step = F.col(at) - F.lag(at).over(w)
     begins = (step > gap) if inclusive else (step >= gap)

@@ -6,15 +6,19 @@ Spark deals rows freely; only key frames and stitching follow a recording's orde
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import REFINE, SUBSAMPLE, TEMPLATE_HEIGHT, TEMPLATE_TOP
-from .folds import fold
+from ..functions.geometry import bubble_colour
+from .folds import Columns, fold
 
 
 def rgba(data: bytes, width: int, height: int) -> np.ndarray:
@@ -101,69 +105,73 @@ def adjacent_shifts(images: DataFrame) -> DataFrame:
 
 def key_frames_of(steps: list[int], view: int, overlap: float = 0.6) -> tuple[list[int], int, int]:
     """Frames to keep so that neighbours overlap; frames that bounced back are never kept. Also counts bounced frames
-    and gaps of a whole view."""
-    bounced = {i + 1 for i, dy in enumerate(steps) if dy < 0}
-    at = np.concatenate([[0], np.cumsum(np.maximum(0, steps))]).tolist()
+    and gaps of a whole view.
 
-    def solid(k: int) -> int:
-        while k > 0 and k in bounced:
-            k -= 1
-        return k
-
-    keep, wide = [0], 0
-    for k in range(1, len(at)):
+    ``at`` is each frame's place (a bounced one has its forerunner's), ``solid`` the last frame up to it that hasn't
+    bounced. Both ascend, so the next crossing of the limit and the next solid frame are binary searches.
+    """
+    moved = np.concatenate([[0], np.asarray(steps, np.int64)])
+    at = np.cumsum(np.maximum(moved, 0))
+    solid = np.maximum.accumulate(np.where(moved < 0, 0, np.arange(len(moved))))
+    keep, crossing = [0], 0
+    while True:
         last = keep[-1]
-        if at[k] - at[last] > view * overlap:
-            best = solid(k - 1 if k - 1 > last else k)
-            if best <= last:
-                best = solid(k)
-            if best > last:
-                wide += at[best] - at[last] >= view
-                keep.append(best)
-    end = solid(len(at) - 1)
-    return keep + [end] * (end > keep[-1]), len(bounced), wide
+        crossing = max(crossing + 1, int(np.searchsorted(at, at[last] + view * overlap, side="right")))
+        after = int(np.searchsorted(solid, last, side="right"))
+        if max(crossing, after) >= len(at):
+            break
+        keep.append(int(solid[crossing - 1]) if after < crossing else after)
+        crossing = max(crossing, keep[-1])
+    if solid[-1] > keep[-1]:
+        wide = int(np.count_nonzero(np.diff(at[keep]) >= view))
+        return [*keep, int(solid[-1])], int(np.count_nonzero(moved < 0)), wide
+    return keep, int(np.count_nonzero(moved < 0)), int(np.count_nonzero(np.diff(at[keep]) >= view))
 
 
 def key_frames(shifts: DataFrame, view: int, overlap: float = 0.6) -> DataFrame:
-    """``recording_id, keep, dropped, too_far``; what is kept depends on what was, so a recording is one fold."""
-
-    def run(rows: list[dict]):
-        keep, dropped, wide = key_frames_of([r["dy"] for r in rows], view, overlap)
-        return [{"keep": keep, "dropped": dropped, "too_far": wide}]
-
-    return fold(shifts, ["recording_id"], ["pair_idx"], run, "keep array<int>, dropped int, too_far int")
-
-
-def placements(images: list[np.ndarray]) -> tuple[list[int], list[int], int, list[int]]:
-    """Placed images and their offsets, skipped ones, and those placed without a sound match.
-
-    Each image is matched with the last one placed. A poor match says nothing of the direction, so it is looked at
-    first and moves on by most of a view; then images without new content are skipped.
-    """
-    placed, offsets, skipped, unsure = [0], [0], 0, []
-    for i in range(1, len(images)):
-        dy, conf = full_shift(images[placed[-1]], images[i])
-        if conf < 0.5:
-            unsure.append(i)
-            dy = int(np.floor(len(images[i]) * 0.95 + 0.5))
-        elif dy <= 0:
-            skipped += 1
-            continue
-        placed.append(i)
-        offsets.append(offsets[-1] + dy)
-    return placed, offsets, skipped, unsure
+    """``recording_id, keep, dropped, too_far`` of ``shifts(recording_id, pair_idx, dy)``; what is kept depends on what
+    was, so a recording is one fold, of integers only."""
+
+    def run(rows: Columns) -> Columns:
+        keep, dropped, wide = key_frames_of(rows["dy"], view, overlap)
+        return {"keep": [keep], "dropped": [dropped], "too_far": [wide]}
+
+    return fold(shifts.select("recording_id", "pair_idx", "dy"), ["recording_id"], ["pair_idx"], run, "keep array<int>, dropped int, too_far int")
+
+
+def advance(last: np.ndarray, image: np.ndarray) -> tuple[int, bool]:
+    """How far an image lies below the last one placed (0: it shows nothing new), and whether that is sure. A poor
+    match says nothing of the direction, so it is judged first and stands for most of a view."""
+    dy, conf = full_shift(last, image)
+    if conf < 0.5:
+        return int(np.floor(len(image) * 0.95 + 0.5)), False
+    return max(dy, 0), True
+
+
+def stitch(images: list[np.ndarray]) -> dict:
+    """One canvas of a recording's images; each is matched with the last one placed."""
+    last, tops, unsure = grey(images[0]), {0: 0}, []
+    for i, image in enumerate(images[1:], 1):
+        light = grey(image)
+        move, sure = advance(last, light)
+        if move:
+            tops[i] = max(tops.values()) + move
+            last = light
+        unsure += [] if sure else [i]
+    canvas = np.zeros((max(tops.values()) + len(images[0]), *images[0].shape[1:]), np.uint8)
+    for i, top in tops.items():
+        canvas[top : top + len(images[i])] = images[i]
+    return {
+        "data": canvas.tobytes(), "width": canvas.shape[1], "height": len(canvas), "offsets": list(tops.values()), "skipped": len(images) - len(tops), "unsure": unsure,
+    }
 
 
 def stitched(frames: DataFrame) -> DataFrame:
     """``recording_id, data, width, height, offsets, skipped, unsure`` of key frames ``(recording_id, frame_idx, data, width, height)``."""
 
-    def run(rows: list[dict]):
-        images = [rgba(r["data"], r["width"], r["height"]) for r in rows]
-        placed, offsets, skipped, unsure = placements([grey(x) for x in images])
-        canvas = np.zeros((offsets[-1] + len(images[0]), images[0].shape[1], 4), np.uint8)
-        for i, top in zip(placed, offsets):
-            canvas[top : top + len(images[i])] = images[i]
-        return [{"data": canvas.tobytes(), "width": canvas.shape[1], "height": len(canvas), "offsets": offsets, "skipped": skipped, "unsure": unsure}]
+    def run(rows: Columns) -> Columns:
+        made = stitch([rgba(d, w, h) for d, w, h in zip(rows["data"], rows["width"], rows["height"])])
+        return {name: [value] for name, value in made.items()}
 
     return fold(frames, ["recording_id"], ["frame_idx"], run, "data binary, width int, height int, offsets array<int>, skipped int, unsure array<int>")
 
@@ -204,8 +212,9 @@ def scroll_region(greys: np.ndarray, high: float = 0.70, low: float = 0.28, gap:
 def scroll_regions(frames: DataFrame) -> DataFrame:
     """``recording_id, top, bottom, threshold, ok`` of a few grey preview frames ``(recording_id, frame_idx, data, width, height)``."""
 
-    def run(rows: list[dict]):
-        return [scroll_region(np.stack([np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"]) for r in rows]))]
+    def run(rows: Columns) -> Columns:
+        greys = [np.frombuffer(d, np.uint8).reshape(h, w) for d, w, h in zip(rows["data"], rows["width"], rows["height"])]
+        return {name: [value] for name, value in scroll_region(np.stack(greys)).items()}
 
     return fold(frames, ["recording_id"], ["frame_idx"], run, "top int, bottom int, threshold double, ok boolean")
 
@@ -218,31 +227,58 @@ def bright_median(pixels: np.ndarray, threshold: float = 150, least: int = 20) -
     return (np.median(chosen, axis=0).tolist() if len(chosen) else None), len(bright)
 
 
+def region_sample(image: np.ndarray | None, x: int, y: int, w: int, h: int) -> tuple[list[float] | None, int, int, str | None]:
+    """Bright median, bright pixels, decoded pixels and error of one region; a null image could not be decoded."""
+    if w is None or h is None or w <= 0 or h <= 0:
+        return None, 0, 0, "E_RECT"
+    if image is None:
+        return None, 0, 0, "E_DECODE"
+    height, width = image.shape[:2]
+    left, top, right, bottom = max(0, x), max(0, y), min(width, x + w), min(height, y + h)
+    if right <= left or bottom <= top:
+        return None, 0, 0, "E_RECT"
+    if (left, top, right, bottom) == (0, 0, width, height):
+        return None, 0, 0, "E_FULL_FRAME_FORBIDDEN"
+    rgb, bright = bright_median(image[top:bottom, left:right])
+    return rgb, bright, (bottom - top) * (right - left), None
+
+
 def region_samples(requests: DataFrame, frames: DataFrame) -> DataFrame:
     """``recording_id, id, rgb, bright_pixels, decoded_pixels, side, error`` for each requested region.
 
-    ``requests(recording_id, id, frame_idx, x, y, width, height)``; an empty box, one outside and a whole frame are
-    errors of their own row. Requests of one frame meet its pixels once, by a join on the frame.
+    ``requests(recording_id, id, frame_idx, x, y, width, height)``. An empty box or one outside is E_RECT, a whole frame
+    E_FULL_FRAME_FORBIDDEN, an unknown frame E_FRAME, bytes that are no RGBA image of the stated size E_DECODE (of whole
+    pixels but another number of channels E_CONFIG); each is an error of its own row. Requests are grouped by frame, so
+    an image travels to them once, and images that nobody asks for don't travel.
     """
-    images = frames.select("recording_id", "frame_idx", "data", F.col("width").alias("frame_width"), F.col("height").alias("frame_height"))
-    joined = requests.join(images, ["recording_id", "frame_idx"], "left")
-
-    def run(data, width, height, x, y, w, h):
-        if data is None:
-            return None, 0, 0, None, "E_FRAME"
-        left, top, right, bottom = max(0, x), max(0, y), min(width, x + w), min(height, y + h)
-        if w <= 0 or h <= 0 or right <= left or bottom <= top:
-            return None, 0, 0, None, "E_RECT"
-        if (left, top, right, bottom) == (0, 0, width, height):
-            return None, 0, 0, None, "E_FULL_FRAME_FORBIDDEN"
-        part = rgba(data, width, height)[top:bottom, left:right]
-        rgb, bright = bright_median(part)
-        side = "me" if rgb[1] - rgb[2] > 40 else "them" if min(rgb) > 245 else None
-        return rgb, bright, part.shape[0] * part.shape[1], side, None
-
-    schema = "rgb array<double>, bright_pixels int, decoded_pixels int, side string, error string"
-    sample = per_row(run, schema, "data", "frame_width", "frame_height", "x", "y", "width", "height")
-    return joined.select("recording_id", "id", sample.alias("s")).select("recording_id", "id", "s.*")
+    key = ["recording_id", "frame_idx"]
+    asked = requests.select(*key, "id", "x", "y", "width", "height")
+    images = frames.join(asked.select(*key).distinct(), key, "left_semi").select(*key, "data", "width", "height")
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        image, missing = None, None
+        if found.num_rows:
+            data, width, height = (found[c][0].as_py() for c in ("data", "width", "height"))
+            try:
+                image = rgba(data, width, height)
+            except (TypeError, ValueError):
+                missing = "E_CONFIG" if data and width and height and len(data) % (width * height) == 0 else None
+        else:
+            missing = "E_FRAME"
+        boxes = zip(*(rows[c].to_pylist() for c in ("x", "y", "width", "height")))
+        samples = [region_sample(image, *box) for box in boxes]
+        rgb, bright, decoded, error = map(list, zip(*samples)) if samples else ([], [], [], [])
+        error = [missing if e == "E_DECODE" and missing else e for e in error]
+        return pa.table(
+            {"recording_id": rows["recording_id"], "id": rows["id"], "rgb": pa.array(rgb, pa.list_(pa.float64())), "bright_pixels": pa.array(bright, pa.int32()),
+             "decoded_pixels": pa.array(decoded, pa.int32()), "error": pa.array(error, pa.string())}
+        )
+
+    schema = T.StructType([asked.schema["recording_id"], asked.schema["id"]] + T._parse_datatype_string("rgb array<double>, bright_pixels int, decoded_pixels int, error string").fields)
+    sampled = asked.groupBy(*key).cogroup(images.groupBy(*key)).applyInArrow(run, schema)
+    colour = bubble_colour(*(F.col("rgb")[i] for i in range(3)))
+    side = F.when(colour == "self", "me").when(colour == "other", "them")
+    return sampled.select("recording_id", "id", "rgb", "bright_pixels", "decoded_pixels", side.alias("side"), "error")
 
 
 def bitmap(pixels: np.ndarray) -> bytes:
@@ -263,17 +299,35 @@ def bitmaps(images: DataFrame) -> DataFrame:
 
 def segment_lines(lines: DataFrame, images: DataFrame) -> DataFrame:
     """``recording_id, line_no, text, x, y, rgb`` of ``lines(recording_id, line_no, text, x, y, w, h, segment_top)`` on the
-    long image; colours are medians of bright pixels behind each box, clipped to the image."""
-    joined = lines.join(images, "recording_id")
-
-    def run(data, width, height, x, y, w, h, top):
-        left, right = max(0, int(np.floor(x))), min(width, int(np.ceil(x + w)))
-        upper, lower = max(0, int(np.floor(y + top))), min(height, int(np.ceil(y + top + h)))
-        if left >= right or upper >= lower:
-            return (None,)
-        return (bright_median(rgba(data, width, height)[upper:lower, left:right])[0],)
-
-    rgb = per_row(run, "rgb array<double>", "data", "width", "height", "x", "y", "w", "h", "segment_top")
-    return joined.select("recording_id", "line_no", "text", "x", (F.col("y") + F.col("segment_top")).alias("y"), rgb.alias("s")).select(
-        "recording_id", "line_no", "text", "x", "y", "s.rgb"
-    )
+    long image; colours are medians of bright pixels behind each box, clipped to the image. An image meets all its
+    lines in one group; lines without an image are left out."""
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        image = rgba(*(found[c][0].as_py() for c in ("data", "width", "height"))) if found.num_rows else None
+        rows = rows if found.num_rows else rows.slice(0, 0)
+        rgb = []
+        for x, y, w, h, top in zip(*(rows[c].to_pylist() for c in ("x", "y", "w", "h", "segment_top"))):
+            left, right = max(0, int(np.floor(x))), min(image.shape[1], int(np.ceil(x + w)))
+            upper, lower = max(0, int(np.floor(y + top))), min(image.shape[0], int(np.ceil(y + top + h)))
+            rgb.append(bright_median(image[upper:lower, left:right])[0] if left < right and upper < lower else None)
+        below = [y + top for y, top in zip(rows["y"].to_pylist(), rows["segment_top"].to_pylist())]
+        return pa.table({c: rows[c] for c in ("recording_id", "line_no", "text", "x")} | {"y": pa.array(below, pa.float64()), "rgb": pa.array(rgb, pa.list_(pa.float64()))})
+
+    boxes = lines.select("recording_id", "line_no", "text", *(F.col(c).cast("double") for c in ("x", "y", "w", "h", "segment_top")))
+    schema = T.StructType(boxes.schema.fields[:4] + T._parse_datatype_string("y double, rgb array<double>").fields)
+    return boxes.groupBy("recording_id").cogroup(images.groupBy("recording_id")).applyInArrow(run, schema)
+
+
+def parse_ppm(data: bytes) -> tuple[bytes, int, int]:
+    """RGBA bytes and size of a binary PPM (P6, 8 bits a channel); comments may stand between the header's fields."""
+    head = re.match(rb"P6(?:\s+|#[^\n]*\n)+(\d+)(?:\s+|#[^\n]*\n)+(\d+)(?:\s+|#[^\n]*\n)+(\d+)\s", data)
+    if not head or int(head[3]) != 255:
+        raise ValueError("not a binary PPM of 8 bits a channel")
+    width, height = int(head[1]), int(head[2])
+    rgb = np.frombuffer(data, np.uint8, 3 * width * height, head.end()).reshape(height, width, 3)
+    return np.dstack([rgb, np.full((height, width), 255, np.uint8)]).tobytes(), width, height
+
+
+def ppm_images(files: DataFrame) -> DataFrame:
+    """``path, data, width, height`` of ``files(path, content)``, as Spark's binaryFile source gives them."""
+    return files.select("path", per_row(parse_ppm, "data binary, width int, height int", "content").alias("i")).select("path", "i.*")

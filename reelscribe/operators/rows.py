@@ -8,26 +8,25 @@ from pyspark.sql import functions as F
 from ..constants import BUBBLE_DX, BUBBLE_DY, OTHER, ROW_DY, SELF
 from ..functions.text import is_time_label
 from .dedupe import clean_lines, side_dedupe, spatial_dedupe, text_dedupe
-from .folds import fold, islands
+from .folds import Columns, fold, islands
 
 
-def row_texts(lines: list[dict], at: str) -> list[dict]:
+def row_texts(lines: Columns, at: str) -> Columns:
     """A line starts a row if it is a row's height or more below the row's first line; rows read from left to right."""
-    rows: list[list[dict]] = []
-    for line in lines:
-        if rows and line[at] - rows[-1][0][at] < ROW_DY:
-            rows[-1].append(line)
-        else:
-            rows.append([line])
-    return [
-        {"row_no": i, at: row[0][at], "text": " ".join(p["text"] for p in sorted(row, key=lambda p: p["x"]))} for i, row in enumerate(rows)
-    ]
+    first: list[int] = []
+    for i, top in enumerate(lines[at]):
+        if not first or top - lines[at][first[-1]] >= ROW_DY:
+            first.append(i)
+    cuts = list(zip(first, [*first[1:], len(lines[at])]))
+    texts = [" ".join(t for _, t in sorted(zip(lines["x"][lo:hi], lines["text"][lo:hi]), key=lambda p: p[0])) for lo, hi in cuts]
+    return {"row_no": list(range(len(cuts))), at: [lines[at][lo] for lo, _ in cuts], "text": texts}
 
 
 def visual_rows(lines: DataFrame, at: str = "y", order: list[str | Column] | None = None) -> DataFrame:
     """``recording_id, row_no, <at>, text`` of ``lines(recording_id, text, x, <at>, ...)`` in canonical ``order``.
 
-    A step of a row's height between lines always starts a row, so each stretch between such steps is a fold.
+    A step of a row's height between lines always starts a row, so each stretch between such steps is a fold. The
+    rows' order in a recording is that of (island, row_no).
     """
     order = order or ["x", "line_no"]
     cut = islands(lines, ["recording_id"], at, ROW_DY, order, inclusive=False)
@@ -51,21 +50,20 @@ def format_plain(lines: DataFrame) -> DataFrame:
     """Spatial dedupe, rows, dedupe of repeated rows, one text per recording."""
     near = spatial_dedupe(lines)
     rows = visual_rows(near, "y", ["x", "slot"])
-    numbered = rows.select("recording_id", (F.col("island") * 100_000 + F.col("row_no")).cast("int").alias("line_no"), "text")
-    return document(text_dedupe(numbered, ["recording_id"]), ["line_no"])
+    return document(text_dedupe(rows, ["recording_id"], order=["island", "row_no"]), ["island", "row_no"])
 
 
-def side_runs(lines: list[dict]) -> list[dict]:
+def side_runs(lines: Columns) -> Columns:
     """Consecutive lines of one side merge while each is close below the last and beside the first."""
-    out: list[dict] = []
-    for line in lines:
-        top = out[-1] if out else None
-        if top and top["side"] == line["side"] and 0 <= line["y"] - top["last_y"] < BUBBLE_DY and abs(line["x"] - top["x"]) < BUBBLE_DX:
-            top["text"] += line["text"]
-            top["last_y"] = line["y"]
-        else:
-            out.append({k: line[k] for k in ("side", "text", "x", "y")} | {"last_y": line["y"]})
-    return [m | {"message_no": i} for i, m in enumerate(out)]
+    side, x, y = lines["side"], lines["x"], lines["y"]
+    first: list[int] = []
+    for i in range(len(y)):
+        goes_on = first and side[first[-1]] == side[i] and 0 <= y[i] - y[i - 1] < BUBBLE_DY and abs(x[i] - x[first[-1]]) < BUBBLE_DX
+        if not goes_on:
+            first.append(i)
+    cuts = list(zip(first, [*first[1:], len(y)]))
+    head = {c: [lines[c][lo] for lo, _ in cuts] for c in ("side", "x", "y")}
+    return head | {"message_no": list(range(len(cuts))), "text": ["".join(lines["text"][lo:hi]) for lo, hi in cuts], "last_y": [y[hi - 1] for _, hi in cuts]}
 
 
 def chat_messages(lines: DataFrame) -> DataFrame:
@@ -83,7 +81,6 @@ def format_chat(lines: DataFrame) -> DataFrame:
     """Spatial dedupe, messages, dedupe per side, one tagged text per recording."""
     near = spatial_dedupe(lines).withColumn("line_no", F.col("slot"))
     messages = chat_messages(near)
-    numbered = messages.select("recording_id", (F.col("island") * 100_000 + F.col("message_no")).cast("int").alias("line_no"), "side", "text")
     who = F.when(F.col("side") == "self", SELF).otherwise(OTHER)
-    kept = side_dedupe(numbered)
-    return document(kept.withColumn("text", F.concat(F.lit("["), who, F.lit("] "), F.col("text"))), ["line_no"])
+    kept = side_dedupe(messages, order=["island", "message_no"])
+    return document(kept.withColumn("text", F.concat(F.lit("["), who, F.lit("] "), F.col("text"))), ["island", "message_no"])

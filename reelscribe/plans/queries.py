@@ -11,6 +11,7 @@ from ..functions.text import frame_file, normalized
 from ..operators import anchors, bands, bubbles, checks, dedupe, placement, planning, rows
 from ..sources import bundles
 from . import scroll
+from .oracles import SQL as SQL
 from .storage import kept
 
 
@@ -92,7 +93,8 @@ def content_lines(spark, sf_dir):
 
 
 def dedupe_lines(spark, sf_dir):
-    return chosen(spark, sf_dir)[1].select("recording_id", "group_rank", "kind", "frame_idx", "text", "x", "gy", "n_sightings", "n_frames")
+    rank = (F.col("group_rank.frame_idx").alias("rank_frame"), F.col("group_rank.line_no").alias("rank_line"))
+    return chosen(spark, sf_dir)[1].select("recording_id", *rank, "kind", "frame_idx", "text", "x", "gy", "n_sightings", "n_frames")
 
 
 def dedupe_stats(spark, sf_dir):
@@ -183,9 +185,9 @@ def chat_transcripts(spark, sf_dir):
 
 
 def region_requests(spark, sf_dir):
+    box = F.struct("sample.frame_idx", (F.col("sample.x") - 140.25).alias("x"), (F.col("sample.y") + 0.5).alias("y"), "sample.w", "sample.h")
+    wanted = labelled(spark, sf_dir)[1].where("sample is not null").select("recording_id", "bubble_no", box.alias("sample"))
     lines = bubble_lines(spark, sf_dir)
-    box = F.struct("frame_idx", (F.col("x") - 140.25).alias("x"), (F.col("y") + 0.5).alias("y"), "w", "h")
-    wanted = lines.where("seq % 3 = 0").select("recording_id", F.col("seq").alias("bubble_no"), box.alias("sample"))
     frames = lines.select("recording_id", "frame_idx").distinct().withColumn("uri", frame_file(F.col("frame_idx") + 1))
     return bubbles.region_requests(wanted, frames)
 
@@ -256,95 +258,3 @@ QUERIES = {
         timing_reconcile, bundle_validation, normalized_lines, transcript_scores, digests,
     )
 }
-
-LINES = """
-lines AS (SELECT doc_id AS recording_id, i - 1 AS line_no, parts[i] AS text,
-    53 * (i - 1) + (17 * (i - 1) * (i - 1) + 5 * doc_id) % 29 AS top
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL), unnest(range(1, len(parts) + 1)) AS u(i))"""
-FRAMES = LINES + """,
-sized AS (SELECT * FROM (SELECT recording_id, greatest(1, CAST(ceil((max(top) - 390) / 131.0) AS BIGINT) + 1) AS n_frames FROM lines GROUP BY 1) WHERE n_frames >= 4),
-frames AS (SELECT recording_id, k AS frame_idx FROM sized, unnest(range(0, n_frames)) AS u(k)),
-obs AS (SELECT l.recording_id, CAST(frame_idx AS INTEGER) AS frame_idx, CAST(line_no AS INTEGER) AS line_no, text, CAST(134 AS DOUBLE) AS x,
-    CAST(160 + top - 131 * frame_idx AS DOUBLE) AS y, CAST(least(20 * length(text), 451) AS DOUBLE) AS w, CAST(28 AS DOUBLE) AS h
-  FROM lines l JOIN frames f USING (recording_id) WHERE top - 131 * frame_idx >= 0 AND top - 131 * frame_idx < 420
-  UNION ALL SELECT recording_id, CAST(frame_idx AS INTEGER), -1, 'Fixed header', 134, 100, 240, 28 FROM frames)"""
-ANCHORS = FRAMES + """,
-total AS (SELECT recording_id, count(*) AS frames FROM frames GROUP BY 1),
-fixed AS (SELECT recording_id, band, hits, frames FROM (SELECT recording_id, CAST(floor(y / 20 + 0.5) AS BIGINT) AS band, count(DISTINCT frame_idx) AS hits FROM obs GROUP BY 1, 2)
-  JOIN total USING (recording_id) WHERE hits / frames >= 0.8),
-keyed AS (SELECT *, regexp_replace(text, '[\\s\\x0B\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}，。、,.…"'']', '', 'g') AS key,
-    CAST(floor(y / 20 + 0.5) AS BIGINT) AS band FROM obs),
-open_lines AS (SELECT * FROM keyed k WHERE NOT EXISTS (SELECT 1 FROM fixed f WHERE f.recording_id = k.recording_id AND f.band = k.band)),
-content AS (SELECT * FROM open_lines WHERE length(key) > 0),
-keys AS (SELECT * FROM open_lines WHERE length(key) >= 4),
-single AS (SELECT recording_id, frame_idx, key, any_value(line_no) AS line_no, any_value(y) AS y FROM keys GROUP BY 1, 2, 3 HAVING count(*) = 1),
-exact AS (SELECT c.recording_id, c.frame_idx AS pair_idx, p.line_no AS prev_line, c.line_no AS cur_line, p.y - c.y AS diff
-  FROM keys c JOIN single p ON p.recording_id = c.recording_id AND p.frame_idx + 1 = c.frame_idx AND p.key = c.key),
-chained AS (SELECT *, coalesce(sum(new) OVER (PARTITION BY recording_id, pair_idx ORDER BY diff ROWS UNBOUNDED PRECEDING), 0) AS cluster
-  FROM (SELECT *, CASE WHEN diff - lag(diff) OVER (PARTITION BY recording_id, pair_idx ORDER BY diff) > 3 THEN 1 ELSE 0 END AS new FROM exact)),
-grouped AS (SELECT recording_id, pair_idx, cluster, count(*) AS votes, min(diff) AS first, list(diff ORDER BY diff) AS members FROM chained GROUP BY 1, 2, 3),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY recording_id, pair_idx ORDER BY votes DESC, first) AS rank, sum(votes) OVER (PARTITION BY recording_id, pair_idx) AS total,
-    lead(votes) OVER (PARTITION BY recording_id, pair_idx ORDER BY votes DESC, first) AS runner_up FROM grouped),
-best AS (SELECT recording_id, pair_idx, members[votes // 2 + 1] AS shift, votes, CAST(total AS BIGINT) AS total FROM ranked WHERE rank = 1),
-shifts AS (SELECT f.recording_id, CAST(f.frame_idx AS INTEGER) AS pair_idx, coalesce(shift, 0) AS shift, coalesce(votes, 0) AS votes, coalesce(total, 0) AS total
-  FROM frames f LEFT JOIN best b ON b.recording_id = f.recording_id AND b.pair_idx = f.frame_idx WHERE f.frame_idx > 0),
-moved AS (SELECT *, sum(shift) OVER w AS cumulative_shift, CAST(sum(CASE WHEN total >= 3 AND votes / total >= 0.4 THEN 0 ELSE 1 END) OVER w AS BIGINT) AS segment_id
-  FROM shifts WINDOW w AS (PARTITION BY recording_id ORDER BY pair_idx ROWS UNBOUNDED PRECEDING))"""
-CHAT = """
-parts AS (SELECT conv_id AS recording_id, turn, role, i - 1 AS part, p[i] AS text FROM (SELECT *, string_split(text, chr(10)) AS p FROM conversations
-    WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL), unnest(range(1, len(p) + 1)) AS u(i)),
-seqs AS (SELECT *, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY turn, part, role, text) - 1 AS INTEGER) AS seq, CAST(least(20 * length(text), 451) AS DOUBLE) AS w
-  FROM parts WHERE trim(text, ' ') <> ''),
-chat AS (SELECT *, CASE WHEN role = 'user' THEN 585 - w ELSE 134 END AS x, CAST(70 * turn + 40 * seq AS DOUBLE) AS gy, seq // 4 AS frame_idx FROM seqs),
-width AS (SELECT recording_id, greatest(max(x + w), 1) AS width FROM chat GROUP BY 1),
-peaks AS (SELECT recording_id,
-    (SELECT x FROM (SELECT x, count(*) AS n, min(seq) AS seen FROM chat c WHERE c.recording_id = t.recording_id AND length(text) >= 2 AND x < width / 2 GROUP BY 1) ORDER BY n DESC, seen LIMIT 1) AS left_peak,
-    (SELECT r FROM (SELECT x + w AS r, count(*) AS n, min(seq) AS seen FROM chat c WHERE c.recording_id = t.recording_id AND length(text) >= 2 AND x + w > width / 2 GROUP BY 1) ORDER BY n DESC, seen LIMIT 1) AS right_peak
-  FROM width t)"""
-
-SQL = {
-    "frame_plan": """
-WITH r AS (SELECT doc_id AS recording_id, CAST(n_chars * 7 + 0.5 AS DOUBLE) AS d FROM documents WHERE doc_id IS NOT NULL AND n_chars > 0)
-SELECT recording_id, CAST(i AS INTEGER) AS source_idx, least(d - 1, CAST(i * 250 AS DOUBLE)) AS time_ms, i % 5 = 0 AS selected, i % 5 = 0 AS extracted
-FROM r, unnest(range(0, greatest(1, CAST(floor(d / 250 + 0.5) AS BIGINT)))) AS u(i)""",
-    "uniform_plan": """
-WITH r AS (SELECT doc_id AS recording_id, CAST(n_chars * 7 + 0.5 AS DOUBLE) AS d FROM documents WHERE doc_id IS NOT NULL AND n_chars > 0)
-SELECT recording_id, CAST(i AS INTEGER) AS idx, floor(i * greatest(0, d - 1) / 11 + 0.5) AS time_ms FROM r, unnest(range(0, 12)) AS u(i)""",
-    "ocr_segments": """
-SELECT doc_id AS image_id, CAST(i AS INTEGER) AS segment, 1200 * i AS top, least(1400, n_chars - 1200 * i) AS height
-FROM documents, unnest(range(0, (n_chars - 1) // 1200 + 1)) AS u(i) WHERE doc_id IS NOT NULL AND n_chars >= 1""",
-    "scroll_observations": f"WITH {FRAMES} SELECT * FROM obs",
-    "fixed_bands": f"WITH {ANCHORS} SELECT * FROM fixed",
-    "exact_anchors": f"WITH {ANCHORS} SELECT recording_id, pair_idx, prev_line, cur_line, diff FROM exact",
-    "shift_votes": f"WITH {ANCHORS} SELECT * FROM shifts",
-    "frame_placement": f"WITH {ANCHORS} SELECT recording_id, pair_idx, cumulative_shift, segment_id FROM moved",
-    "anchor_warnings": f"""WITH {ANCHORS} SELECT * FROM (SELECT recording_id, pair_idx, CASE WHEN total = 0 THEN 'no_common_text' WHEN total < 3 THEN 'few_anchors'
-  WHEN votes / total < 0.4 THEN 'scattered_votes' END AS reason, votes, total FROM shifts) WHERE reason IS NOT NULL""",
-    "content_lines": f"""WITH {ANCHORS} SELECT c.recording_id, count(*) AS n_content, sum(y + coalesce(cumulative_shift, 0)) AS sum_gy
-FROM content c LEFT JOIN moved m ON m.recording_id = c.recording_id AND m.pair_idx = c.frame_idx GROUP BY 1""",
-    "align_peaks": f"WITH {CHAT} SELECT * FROM peaks",
-    "speaker_sides": f"""WITH {CHAT} SELECT recording_id, seq, coalesce(abs(x - left_peak) <= 30, false) AS left_hit, coalesce(abs(x + w - right_peak) <= 30, false) AS right_hit
-FROM chat JOIN peaks USING (recording_id)""",
-    "region_requests": f"""WITH {CHAT}, b AS (SELECT recording_id, seq, frame_idx, x - 140.25 AS x, gy % 1600 + 0.5 AS y, w FROM chat WHERE seq % 3 = 0)
-SELECT recording_id, 'bubble-' || seq AS id, seq AS bubble_no, frame_idx, 'f_' || lpad(CAST(frame_idx + 1 AS VARCHAR), 4, '0') || '.jpg' AS uri,
-  CAST(greatest(0, floor(x)) AS BIGINT) AS x, CAST(greatest(0, floor(y)) AS BIGINT) AS y,
-  CAST(ceil(x + w) - greatest(0, floor(x)) AS BIGINT) AS width, CAST(ceil(y + 30) - greatest(0, floor(y)) AS BIGINT) AS height FROM b""",
-    "bubble_colours": """
-SELECT p_partkey, CASE WHEN g - b > 40 THEN 'self' WHEN r > 200 AND g > 200 AND b > 200 THEN 'other' ELSE 'system' END AS side
-FROM (SELECT p_partkey, p_partkey * 7 % 256 AS r, p_partkey * 11 % 256 AS g, p_partkey * 13 % 256 AS b FROM part)""",
-    "timing_reconcile": """
-WITH s AS (SELECT user_id, CAST(ts AS DATE) AS day, sum(CAST(round(value * 100) AS BIGINT)) AS ms FROM events
-  WHERE user_id IS NOT NULL AND ts IS NOT NULL AND value >= 0 AND event_type IS NOT NULL GROUP BY 1, 2),
-t AS (SELECT user_id, day, CAST(ms AS DOUBLE) AS accounted_ms, CAST(ms + user_id * 13 % 300 AS DOUBLE) AS total_ms FROM s)
-SELECT user_id, day, total_ms, accounted_ms, total_ms - accounted_ms AS unclassified_ms, greatest(100, total_ms * 0.01) AS threshold_ms,
-  abs(total_ms - accounted_ms) > greatest(100, total_ms * 0.01) AS should_warn FROM t""",
-    "bundle_validation": f"""WITH {FRAMES},
-f AS (SELECT recording_id, CAST(frame_idx AS INTEGER) AS frame_no, CASE WHEN recording_id % 10 = 7 AND frame_idx = 2 THEN 250.0 ELSE frame_idx * 250.0 END AS time_ms,
-  frame_idx + 1 + CASE WHEN recording_id % 11 = 5 AND frame_idx > 1 THEN 1 ELSE 0 END AS file_no FROM frames),
-v AS (SELECT recording_id, frame_no, file_no <> frame_no + 1 AS bad_file, time_ms <= lag(time_ms) OVER (PARTITION BY recording_id ORDER BY frame_no) AS bad_time FROM f)
-SELECT recording_id, frame_no, CASE WHEN bad_file THEN 'sequence' ELSE 'time' END AS rule FROM v WHERE bad_file OR bad_time""",
-    "normalized_lines": f"""WITH {LINES} SELECT recording_id, sum(length(regexp_replace(text, '[\\s\\x0B\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\x{{FEFF}}，。、,.…"'']', '', 'g'))) AS n_chars,
-  count(*) AS n_lines FROM lines GROUP BY 1""",
-    "digests": """SELECT doc_id AS run_id, sha256(text) AS sha256, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN text LIKE '%' || chr(10) THEN 1 ELSE 0 END END AS n_lines,
-  length(text) AS n_chars FROM documents WHERE text IS NOT NULL""",
-}

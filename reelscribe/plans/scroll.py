@@ -8,12 +8,14 @@ matched ones put lines into the same bands in all frames, and bands are all that
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import normalized
 from ..operators import anchors, bands, dedupe, placement
+from ..operators.folds import dealt
 from ..operators.rows import render_plain
 from .storage import kept
 
@@ -28,10 +30,10 @@ def document_lines(documents: DataFrame) -> DataFrame:
     return lines.withColumn("top", PITCH * i + F.pmod(17 * i * i + 5 * F.col("recording_id"), F.lit(29)))
 
 
-def scroll_frames(lines: DataFrame, least: int = 4) -> DataFrame:
-    """``recording_id, n_frames, frame_idx``: as many frames as it takes to see the last line; short ones are left out."""
+def scroll_frames(lines: DataFrame) -> DataFrame:
+    """``recording_id, n_frames, frame_idx``: as many frames as it takes to see the last line, one at least."""
     need = F.ceil((F.max("top") - TOP_SLACK) / F.lit(float(SCROLL))) + 1
-    counted = lines.groupBy("recording_id").agg(F.greatest(F.lit(1).cast("long"), need).alias("n_frames")).where(F.col("n_frames") >= least)
+    counted = lines.groupBy("recording_id").agg(F.greatest(F.lit(1).cast("long"), need).alias("n_frames"))
     return counted.withColumn("frame_idx", F.explode(F.sequence(F.lit(0), (F.col("n_frames") - 1).cast("int"))))
 
 
@@ -43,7 +45,7 @@ def scroll_observations(documents: DataFrame, misread: bool = False) -> DataFram
     """
     lines = document_lines(documents)
     frames = scroll_frames(lines)
-    sized = lines.join(frames.select("recording_id", "n_frames").distinct(), "recording_id")
+    sized = lines.join(frames.where("frame_idx = 0").select("recording_id", "n_frames"), "recording_id")
     low = F.greatest(F.lit(0).cast("long"), F.floor((F.col("top") - VIEW) / F.lit(float(SCROLL))) + 1)
     high = F.least(F.col("n_frames") - 1, F.floor(F.col("top") / F.lit(float(SCROLL))))
     seen = sized.where(low <= high).withColumn("frame_idx", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
@@ -59,33 +61,67 @@ def scroll_observations(documents: DataFrame, misread: bool = False) -> DataFram
     )
 
 
-class Analysis(NamedTuple):
-    """The stages of the anchor plan, all lazy and keyed by recording."""
+class Analysis:
+    """The stages of the anchor plan, keyed by recording, from ``observations(recording_id, frame_idx, line_no, text, x,
+    y, w, h)`` and ``frames(recording_id, frame_idx)``.
 
-    frames: DataFrame
-    fixed: DataFrame
-    exact: DataFrame
-    fuzzy: DataFrame
-    shifts: DataFrame
-    placed: DataFrame
-    content: DataFrame
-    warnings: DataFrame
+    Nothing is computed before it is asked for. Stages that several later ones read are written once to the shared
+    folder when they are first asked for, which also keeps the plans small. A recording of one frame has no pairs; its
+    lines stay where they are.
+    """
 
+    def __init__(self, observations: DataFrame, frames: DataFrame, fuzzy: bool = True):
+        self.given, self.given_frames, self.with_fuzzy = observations, frames, fuzzy
 
-def analyse(observations: DataFrame, frames: DataFrame, fuzzy: bool = True) -> Analysis:
-    """Fixed bands, anchors, shifts, placement and self-check of recordings of two frames or more.
+    @cached_property
+    def observations(self) -> DataFrame:
+        """Dealt by recording, with ``norm``, the text that is compared, computed once."""
+        return kept(dealt(self.given, "recording_id").withColumn("norm", normalized(F.col("text"))), "observations")
 
-    ``observations(recording_id, frame_idx, line_no, text, x, y, w, h)`` and ``frames(recording_id, frame_idx)``. Stages
-    that several later ones read are written once to the shared folder, which also keeps the plans small.
-    """
-    observations, frames = kept(observations, "observations"), kept(frames, "frames")
-    fixed = kept(bands.fixed_bands(observations, frames), "fixed_bands")
-    lines = anchors.anchor_lines(observations, fixed)
-    exact = kept(anchors.exact_anchors(lines), "exact_anchors")
-    near = anchors.fuzzy_anchors(lines, exact) if fuzzy else exact.where("false")
-    moved = kept(anchors.shifts(frames, exact, near), "shifts")
-    placed = placement.placed_lines(observations, moved)
-    return Analysis(frames, fixed, exact, near, moved, placed, bands.content_lines(placed, fixed), placement.anchor_warnings(moved))
+    @cached_property
+    def frames(self) -> DataFrame:
+        return kept(self.given_frames, "frames")
+
+    @cached_property
+    def fixed(self) -> DataFrame:
+        return kept(bands.fixed_bands(self.observations, self.frames), "fixed_bands")
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        return kept(anchors.anchor_lines(self.observations, self.fixed), "anchor_lines")
+
+    @cached_property
+    def exact(self) -> DataFrame:
+        found = anchors.exact_anchors(self.lines)
+        return kept(found, "exact_anchors") if self.with_fuzzy else found
+
+    @cached_property
+    def fuzzy(self) -> DataFrame:
+        return kept(anchors.fuzzy_anchors(self.lines, self.exact), "fuzzy_anchors") if self.with_fuzzy else self.exact.where("false")
+
+    @cached_property
+    def shifts(self) -> DataFrame:
+        return anchors.shifts(self.frames, self.exact, self.fuzzy)
+
+    @cached_property
+    def kept_shifts(self) -> DataFrame:
+        return kept(self.shifts, "shifts")
+
+    @cached_property
+    def placed(self) -> DataFrame:
+        return placement.placed_lines(self.observations, self.kept_shifts)
+
+    @cached_property
+    def content(self) -> DataFrame:
+        return kept(bands.content_lines(self.placed, self.fixed), "content")
+
+    @cached_property
+    def warnings(self) -> DataFrame:
+        return placement.anchor_warnings(self.kept_shifts)
+
+
+def analyse(observations: DataFrame, frames: DataFrame, fuzzy: bool = True) -> Analysis:
+    return Analysis(observations, frames, fuzzy)
 
 
 def plain_transcripts(observations: DataFrame, frames: DataFrame) -> DataFrame:
@@ -98,9 +134,9 @@ def run_stats(found: Analysis, chosen: DataFrame) -> DataFrame:
     key = "recording_id"
     frames = found.frames.groupBy(key).agg(F.countDistinct("frame_idx").alias("frame_count"))
     fixed = found.fixed.groupBy(key).agg(F.count("*").alias("fixed_band_count"))
-    pairs = found.shifts.groupBy(key).agg(F.count("*").alias("anchor_pairs"), F.sum("shift").alias("cumulative_shift"))
+    pairs = found.kept_shifts.groupBy(key).agg(F.count("*").alias("anchor_pairs"), F.sum("shift").alias("cumulative_shift"))
     warned = found.warnings.groupBy(key).agg(F.count("*").alias("warnings"))
-    seen = found.placed.groupBy(key).agg(F.count("*").alias("ocr_lines"))
+    seen = found.observations.groupBy(key).agg(F.count("*").alias("ocr_lines"))
     content = found.content.groupBy(key).agg(F.count("*").alias("content_lines"))
     unique = chosen.groupBy(key).agg(F.count("*").alias("unique_lines"))
     out = frames

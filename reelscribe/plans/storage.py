@@ -7,22 +7,41 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 _unset: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in local tests, a temporary one."""
+    """The folder in spark.checkpoint.dir. Where that is unset a session with a local master, as in tests, has a
+    temporary one; with any other master it is an error, since machines would not share it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _unset:
             _unset.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
         folder = _unset[0]
     return folder.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` once as Parquet in the shared folder and reads it back."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Writes ``df`` once as Parquet in the shared folder and reads it back. The table goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    files, where = _file_system(spark, path)
+    files.deleteOnExit(where)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.kept_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``kept`` that nothing reads any more."""
+    for table in tables:
+        files, where = _file_system(table.sparkSession, table.kept_path)
+        files.delete(where, True)

@@ -36,9 +36,10 @@ def test_four_of_five_frames_fix_a_band(spark):
 
 
 def test_vote_takes_the_upper_median_of_the_largest_cluster(spark):
-    df = spark.createDataFrame([([20.0, 26.0, 23.0, 100.0],), ([5.0, 50.0],), ([1.0, 2.0, 3.0, 4.0],), ([],)], "d array<double>")
-    got = df.select(anchors.vote(F.col("d")).alias("v")).select("v.shift", "v.votes", "v.total").collect()
-    assert [tuple(r) for r in got] == [(23.0, 3, 4), (5.0, 1, 2), (3.0, 4, 4), (0.0, 0, 0)]
+    lists = [[20.0, 26.0, 23.0, 100.0], [5.0, 50.0], [1.0, 2.0, 3.0, 4.0]]
+    df = spark.createDataFrame([(i, d) for i, ds in enumerate(lists) for d in ds], "k int, diff double")
+    got = anchors.votes(df, ["k"]).select("k", anchors.upper_median(F.col("best.members")), "best.votes", "total", "runner_up").orderBy("k").collect()
+    assert [tuple(r) for r in got] == [(0, 23.0, 3, 4, 1), (1, 5.0, 1, 2, 1), (2, 3.0, 4, 4, None)]
 
 
 LONG = "the quick brown fox number "
@@ -136,8 +137,20 @@ def test_plain_rows_break_at_a_row_height(spark):
     assert rows.document(out, ["island", "row_no"]).first().markdown == "先 后\n新行"
 
 
+def share(a, b):
+    wide, high = (max(0, min(a[p] + a[s], b[p] + b[s]) - max(a[p], b[p])) for p, s in (("x", "w"), ("gy", "h")))
+    return wide * high / min(a["w"] * a["h"], b["w"] * b["h"])
+
+
 def brute_sightings(lines):
-    return [(r["frame_idx"], r["line_no"], r["group_no"]) for r in dedupe.sightings(lines)]
+    """The rule over all earlier groups of all lines, without windows or islands."""
+    groups, out = {}, []
+    for r in lines:
+        near = [g for g, t in groups.items() if abs(t["gy"] - r["gy"]) <= 90 and t["frame_idx"] != r["frame_idx"] and share(t, r) >= 0.6]
+        g = max(near) if near else len(groups)
+        groups[g] = max(groups.get(g, r), r, key=lambda t: len(t["text"]))
+        out.append((r["frame_idx"], r["line_no"], g))
+    return out
 
 
 def test_islands_fold_like_one_fold(spark):
@@ -156,3 +169,32 @@ def test_islands_fold_like_one_fold(spark):
         for r in dedupe.sighting_groups(spark.createDataFrame(lines, PLACED)).collect():
             got.setdefault((r.island, r.group_no), set()).add((r.frame_idx, r.line_no))
         assert sorted(map(sorted, whole.values())) == sorted(map(sorted, got.values()))
+
+
+def test_one_frame_has_no_fixed_bands_and_no_pairs(spark):
+    obs, frames = observations(spark, [[("only line", 200), ("and another", 260)]])
+    found = scroll.analyse(obs, frames)
+    assert found.fixed.count() == 0 and found.kept_shifts.count() == 0
+    assert [r.markdown for r in scroll.plain_transcripts(obs, frames).collect()] == ["only line\nand another"]
+
+
+def test_null_texts_ids_and_empty_tables(spark):
+    obs, frames = observations(spark, [[("line one", 200), ("line two", 260)], [("line one", 150), ("line two", 210)]])
+    odd = obs.unionByName(spark.createDataFrame([(1, 1, 9, None, 0.0, 300.0, 10.0, 10.0), (None, 0, 0, "lost", 0.0, 10.0, 10.0, 10.0)], OBS))
+    found = scroll.analyse(odd, frames)
+    assert {r.text for r in found.content.where("recording_id = 1").collect()} == {"line one", "line two"}
+    assert found.kept_shifts.first()["shift"] == 50.0
+    none = scroll.analyse(obs.where("false"), frames.where("false"))
+    assert none.kept_shifts.count() == 0 and dedupe.selections(none.content).count() == 0
+    assert rows.format_plain(obs.where("false").select("recording_id", "line_no", "text", "x", "y", F.lit("self").alias("side"))).count() == 0
+
+
+def test_a_recording_of_thirty_thousand_lines(spark):
+    lines = spark.range(30_000).select(
+        F.lit(7).cast("long").alias("recording_id"), F.col("id").cast("int").alias("line_no"), F.concat(F.lit("line number "), F.col("id").cast("string")).alias("text"),
+        F.lit(0.0).alias("x"), (F.col("id") * 30).cast("double").alias("y"), F.when(F.col("id") % 2 == 0, "self").otherwise("other").alias("side"),
+    )
+    plain = rows.format_plain(lines).first().markdown.split("\n")
+    assert plain == [f"line number {i}" for i in range(30_000)]
+    chat = rows.format_chat(lines).first().markdown.split("\n")
+    assert len(chat) == 30_000 and chat[29_999].endswith("line number 29999")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reelscribe.constants import ANCHOR_PARTS, SHIFT_PARTS
 from reelscribe.functions.geometry import band, bubble_colour, containment
-from reelscribe.functions.text import cache_file, normalized, score_normalized, similarity, utf16_length
+from reelscribe.functions.text import cache_file, edit_distance, normalized, score_normalized, utf16_length
 from reelscribe.operators import bubbles, checks, dedupe, planning, rows
 from reelscribe.sources import bundles
 
@@ -25,7 +25,10 @@ def one(spark, column):
 def test_scalars(spark):
     lit = F.lit
     assert one(spark, normalized(lit("a，b 。c　d…\"'“"))) == "abcd“" and one(spark, score_normalized(lit("“a”"))) == "a"
-    assert one(spark, similarity(lit(""), lit(""))) == 1.0 and one(spark, similarity(lit("牛a"), lit("羊a"))) == 0.5
+    pairs = [("", "", 0), ("牛a", "羊a", 1), ("abcdef", "abxdef", 1), ("aaaa", "aa", 2), ("kitten", "sitting", 3), ("x" * 40_000, "x" * 20_000 + "y" + "x" * 19_999, 1), ("ab", "", 2)]
+    df = spark.createDataFrame(pairs, "a string, b string, wanted int")
+    assert [r.far for r in edit_distance(df, "a", "b", "far").collect()] == [n for *_, n in pairs]
+    assert [r.far for r in edit_distance(df, "a", "b", "far", "1").collect()] == [n if n <= 1 else -1 for *_, n in pairs]
     assert (one(spark, utf16_length(lit("A牛😀"))), one(spark, F.octet_length(lit("A牛😀")))) == (4, 8)
     assert [one(spark, band(lit(y))) for y in (-50.0, 9.9, 10.0, 101.0)] == [-2, 0, 1, 5]
     assert one(spark, cache_file(lit("f_0001.JPEG"))) == "f_0001.json"

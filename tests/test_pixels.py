@@ -89,3 +89,37 @@ def test_segment_lines(spark):
     lines = spark.createDataFrame([(1, 0, "t", 2.0, 3.0, 10.0, 10.0, 2.0), (1, 1, "out", 90.0, 3.0, 5.0, 5.0, 0.0)], "recording_id long, line_no int, text string, x double, y double, w double, h double, segment_top double")
     got = pixels.segment_lines(lines, frames(spark, [image]).drop("frame_idx")).orderBy("line_no").collect()
     assert (got[0].y, list(got[0].rgb), got[1].rgb) == (5.0, [250, 250, 250], None)
+
+
+def rule_of_key_frames(steps, view):
+    """The rule frame by frame, on sets."""
+    bounced = {i + 1 for i, dy in enumerate(steps) if dy < 0}
+    at = {0: 0}
+    for i, dy in enumerate(steps):
+        at[i + 1] = at[i] + max(0, dy)
+    fine = [k for k in at if k not in bounced]
+    keep = [0]
+    for k in list(at)[1:]:
+        if at[k] - at[keep[-1]] > view * 0.6:
+            before, upto = (max(f for f in fine if f <= n) for n in (k - 1, k))
+            keep += [f for f in (before, upto) if f > keep[-1]][:1]
+    keep += [fine[-1]] if fine[-1] > keep[-1] else []
+    return keep, len(bounced), sum(at[b] - at[a] >= view for a, b in zip(keep, keep[1:]))
+
+
+def test_key_frames_follow_the_rule():
+    rng = np.random.default_rng(8)
+    for _ in range(400):
+        steps = rng.choice([-9, 0, 10, 25, 61, 130], rng.integers(0, 14)).tolist()
+        got, wanted = pixels.key_frames_of(steps, 100), rule_of_key_frames(steps, 100)
+        assert (got[0], got[1]) == wanted[:2], steps
+
+
+def test_ppm_and_bad_frames(spark):
+    data = b"P6 # made by hand\n2 1\n255\n" + bytes([1, 2, 3, 4, 5, 6])
+    r = pixels.ppm_images(spark.createDataFrame([("a.ppm", bytearray(data))], "path string, content binary")).first()
+    assert (bytes(r.data), r.width, r.height) == (bytes([1, 2, 3, 255, 4, 5, 6, 255]), 2, 1)
+    bad = spark.createDataFrame([(1, 0, bytearray(b"xyz"), 2, 2), (1, 1, bytearray(b"x" * 12), 2, 2), (1, 2, None, 2, 2)], "recording_id long, frame_idx int, data binary, width int, height int")
+    asked = spark.createDataFrame([(1, str(f), f, 0, 0, 1, 1) for f in range(4)], "recording_id long, id string, frame_idx int, x int, y int, width int, height int")
+    got = {r.id: r.error for r in pixels.region_samples(asked, bad).collect()}
+    assert got == {"0": "E_DECODE", "1": "E_CONFIG", "2": "E_DECODE", "3": "E_FRAME"}

@@ -4,6 +4,9 @@ A chunk is a hash class of doc_ids, holding a bounded amount of text. What a chu
 keys travels as one binary column per (chunk, bucket) of the key space, sorted, so that a shuffle of
 hundreds of millions of keys moves a few bytes each and no row objects. A key that every document has
 reaches its bucket once per chunk, not once per document, so no bucket grows with one key's frequency.
+
+``chunked`` deals rows by a hash of their doc_id; rows that needn't meet can instead stay where they are scanned
+(``batch_chunks``), and then travel once, as compressed blocks, to meet the answers.
 """
 
 from __future__ import annotations
@@ -12,9 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import as_array, slices
+
 #: Bytes of text per chunk and per bucket.
 CHUNK, BUCKET = 8 << 20, 16 << 20
 
@@ -63,3 +69,47 @@ def arrays(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
 
 def first_value(column: pa.ChunkedArray) -> int:
     return column[0].as_py()
+
+
+def batch_chunks(batch: pa.RecordBatch, most: int = CHUNK) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """``chunk, rows`` of a scanned batch: stretches of at most ``most`` bytes of text, named by a hash of their row_keys.
+
+    Two scans of the same files cut the same chunks. Who asks in one scan and uses the answers in another compares
+    their numbers (``answers_of``), so that rows that changed in between are an error and never a wrong result.
+    """
+    for lo, hi in slices(as_array(batch.column("text")), most):
+        rows = batch.slice(lo, hi - lo)
+        yield xxhash.xxh3_64_intdigest(rows.column("row_key").to_numpy().tobytes()) - (1 << 63), rows
+
+
+def packed_rows(rows: pa.RecordBatch) -> bytes:
+    """Rows as one compressed block, about a third of their text."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked_rows(block: bytes) -> pa.Table:
+    return pa.ipc.open_stream(block).read_all()
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """``chunk, block``: the rows of ``docs(row_key, text, …)`` as compressed blocks, one for each chunk of the scan."""
+
+    def pack(batches):
+        for batch in batches:
+            for chunk, rows in batch_chunks(batch):
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([packed_rows(rows)], pa.binary())], ["chunk", "block"])
+
+    return docs.mapInArrow(pack, "chunk long, block binary")
+
+
+def answers_of(answers: pa.Table, name: str, kind: str, wanted: int) -> np.ndarray:
+    """A chunk's packed answers in order of bucket; equal chunks ask alike, so one answer a bucket is taken."""
+    got = arrays(answers[name], kind)
+    _, first = np.unique(answers["bucket"].to_numpy(), return_index=True)
+    flat = np.concatenate([np.empty(0, kind), *(got[i] for i in first)])
+    if len(flat) != wanted:
+        raise ValueError(f"{len(flat)} answers for {wanted} questions: the rows changed between two scans")
+    return flat

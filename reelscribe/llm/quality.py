@@ -1,12 +1,12 @@
 """Operator 2: quality rules with a modified Kneser-Ney n-gram perplexity.
 
-Spark counts the character 5-grams of every word (between word-start and word-end marks) per language
-over the whole table and turns all of them into interpolated modified Kneser-Ney probabilities, order by order, in
-joins on grams. The grams grow with the table, so they are never broadcast: each chunk of documents asks buckets
-of their key space for the probabilities of its distinct grams, all of which are known, and scores each distinct
-word once per language. A document's level is the upper quartile of its words' perplexities: a few odd words (a key, an
-address, a foreign name) leave it alone, text that is odd throughout moves it. Documents whose level is outside
-their language's band are rejected.
+One scan counts the character 5-grams of every word (between word-start and word-end marks) per language. Counts meet in
+buckets of the grams' key space, sorted arrays of hashes; Spark turns all of them into interpolated modified
+Kneser-Ney probabilities, order by order, in joins on grams. The grams grow with the table, so they are never broadcast:
+the buckets answer each chunk of the scan with the probabilities of its distinct grams, all of which are known, and a
+second scan scores each distinct word once per language. A document's level is the upper quartile of its words'
+perplexities: a few odd words (a key, an address, a foreign name) leave it alone, text that is odd throughout moves
+it. Documents whose level is outside their language's band are rejected.
 """
 
 from __future__ import annotations
@@ -16,12 +16,14 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..plans.storage import kept
-from .exchange import CHUNK, arrays, bucket_bits, first_value, row_key, runs, table, text_bytes
-from .words import Words, as_array, hash_strings, horner, lookup, mix, slices, split_words, sum_by_text, window_starts
+from ..plans.storage import discard, kept
+from .exchange import answers_of, arrays, batch_chunks, blocks, bucket_bits, first_value, runs, table, text_bytes, unpacked_rows
+from .words import Words, as_array, hash_strings, horner, lookup, mix, split_words, sum_by_text, window_starts
 
 ORDER = 5
 #: Band half-width in robust standard deviations of log perplexity, and the least such deviation.
@@ -121,41 +123,114 @@ def used_words(codes: np.ndarray, of_word: np.ndarray, lang: int, size: int) ->
     return np.bincount(codes[of_word == lang], minlength=size)
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """``lang, gram, n``: character 5-grams of all words of ``docs(text, lang)``; a null lang is ``und``."""
+class Part(NamedTuple):
+    """A chunk's words and, per language, (words used, offsets of their marked code points, places and keys of grams)."""
+
+    words: Words
+    of_word: np.ndarray
+    grams: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    marks: list[np.ndarray]
+    languages: list[str]
+
+
+def gram_keys(points: np.ndarray, lang: str) -> np.ndarray:
+    """Keys of a language's grams from their hashes."""
+    return mix(points + hash_strings(pa.array([lang]))[0])
+
 
-    def count(batches):
+def chunk_part(rows: pa.RecordBatch | pa.Table) -> Part:
+    texts, langs = as_array(rows.column("text")), as_array(rows.column("lang")).dictionary_encode()
+    words, names = split_words(texts), langs.dictionary.to_pylist()
+    of_word = np.repeat(langs.indices.to_numpy(zero_copy_only=False), np.diff(words.offsets))
+    grams, marks = [], []
+    for lang in np.unique(of_word):
+        there = np.flatnonzero(used_words(words.codes, of_word, lang, len(words.vocab)))
+        raw, offsets = marked(words.vocab.take(pa.array(there)))
+        ok = np.flatnonzero(window_starts(offsets, ORDER, len(raw)))
+        hashes = horner(mix(raw.astype(np.uint64) + np.uint64(1)), ORDER)[ok]
+        grams.append((int(lang), there, offsets, ok, gram_keys(hashes, names[int(lang)])))
+        marks.append(raw)
+    return Part(words, of_word, grams, marks, names)
+
+
+def distinct_grams(part: Part) -> np.ndarray:
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *(g[4] for g in part.grams)]))
+
+
+TOLD = {"bucket": pa.int32(), "chunk": pa.int64(), "keys": pa.binary(), "counts": pa.binary(), "grams": pa.string(), "langs": pa.list_(pa.string()), "of_lang": pa.binary()}
+TOLD_TEXT = "bucket int, chunk long, keys binary, counts binary, grams string, langs array<string>, of_lang binary"
+
+
+def tell(chunk: int, part: Part, bits: int) -> pa.Table:
+    """The chunk's distinct grams by bucket: keys in order, counts, the grams themselves in a row, their languages."""
+    found = []
+    for (lang, there, offsets, ok, keys), raw in zip(part.grams, part.marks):
+        times = used_words(part.words.codes, part.of_word, lang, len(part.words.vocab))
+        keys, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        counts = np.bincount(back, weights=np.repeat(times[there], np.diff(offsets))[ok])
+        found.append((keys, counts.astype("<u4"), raw[ok[first][:, None] + np.arange(ORDER)], np.full(len(keys), lang, "<u2")))
+    out = {name: [] for name in TOLD}
+    if found:
+        keys, counts, points, of_lang = map(np.concatenate, zip(*found))
+        order = np.argsort(keys)
+        keys, counts, of_lang = keys[order], counts[order], of_lang[order]
+        text = points[order].astype("<u4").tobytes().decode("utf-32-le")
+        for bucket, lo, hi in runs(keys, bits):
+            values = (bucket, chunk, keys[lo:hi].tobytes(), counts[lo:hi].tobytes(), text[ORDER * lo : ORDER * hi], part.languages, of_lang[lo:hi].tobytes())
+            for name, value in zip(TOLD, values):
+                out[name].append(value)
+    return table(out, TOLD)
+
+
+MERGED = {"bucket": pa.int32(), "key": pa.int64(), "lang": pa.string(), "gram": pa.string(), "n": pa.int64(), "chunk": pa.int64(), "places": pa.binary()}
+MERGED_TEXT = "bucket int, key long, lang string, gram string, n long, chunk long, places binary"
+
+
+def merge(rows: pa.Table) -> pa.Table:
+    """A bucket's distinct grams with their counts, and for each chunk the places of its grams among them."""
+    each = arrays(rows["keys"], "<u8")
+    keys, first, back = np.unique(np.concatenate(each), return_index=True, return_inverse=True)
+    n = np.zeros(len(keys), np.int64)
+    np.add.at(n, back, np.concatenate(arrays(rows["counts"], "<u4")).astype(np.int64))
+    points = np.frombuffer("".join(rows["grams"].to_pylist()).encode("utf-32-le"), "<u4").reshape(-1, ORDER)
+    grams = np.ascontiguousarray(points[first]).view(f"<U{ORDER}")[:, 0]
+    langs = np.concatenate([np.array(names, object)[own] for names, own in zip(rows["langs"].to_pylist(), arrays(rows["of_lang"], "<u2"))])[first]
+    places = [x.astype("<i4").tobytes() for x in np.split(back, np.cumsum([len(x) for x in each])[:-1])]
+    bucket = first_value(rows["bucket"])
+    held = {"bucket": [bucket] * len(keys), "key": keys.view(np.int64), "lang": langs, "gram": grams.astype(object), "n": n}
+    asked = {"bucket": [bucket] * len(each), "chunk": rows["chunk"].to_pylist(), "places": places}
+    return pa.concat_tables([table(dict.fromkeys(MERGED, [None] * size) | own, MERGED) for size, own in ((len(keys), held), (len(each), asked))])
+
+
+def scanned(docs: DataFrame, *more) -> DataFrame:
+    """``row_key, doc_id, text, lang`` and what ``more`` adds; a null lang is ``und``."""
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN))
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.lit(0), F.col("text").cast("string"), lang).alias("row_key")
+    return docs.select(key, F.col("doc_id").cast("long"), F.col("text").cast("string"), lang.alias("lang"), *more)
+
+
+def gram_table(docs: DataFrame) -> DataFrame:
+    """All grams of ``docs(row_key, text, lang, …)`` by bucket, ``bucket, key, lang, gram, n``, and rows ``bucket, chunk,
+    places`` that say which of a bucket's grams a chunk of the scan has."""
+    bits = bucket_bits(text_bytes(docs))
+
+    def ask(batches):
         for batch in batches:
-            texts, langs = as_array(batch.column("text")), as_array(batch.column("lang")).dictionary_encode()
-            which = langs.indices.to_numpy(zero_copy_only=False)
-            for lo, hi in slices(texts):
-                words = split_words(texts.slice(lo, hi - lo))
-                of_word = np.repeat(which[lo:hi], np.diff(words.offsets))
-                for lang in np.unique(of_word):
-                    times = used_words(words.codes, of_word, lang, len(words.vocab))
-                    there = np.flatnonzero(times)
-                    raw, offsets = marked(words.vocab.take(pa.array(there)))
-                    ok = np.flatnonzero(window_starts(offsets, ORDER, len(raw)))
-                    weight = np.repeat(times[there], np.diff(offsets))[ok]
-                    keys = horner(mix(raw.astype(np.uint64) + np.uint64(1)), ORDER)[ok]
-                    _, first, back = np.unique(keys, return_index=True, return_inverse=True)
-                    grams = np.ascontiguousarray(raw[ok[first][:, None] + np.arange(ORDER)]).view(f"<U{ORDER}")[:, 0]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([langs.dictionary[int(lang)].as_py()] * len(grams), pa.string()),
-                            pa.array(grams.astype(object), pa.string()),
-                            pa.array(np.bincount(back, weights=weight).astype(np.int64)),
-                        ],
-                        ["lang", "gram", "n"],
-                    )
-
-    known = docs.select("text", F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"))
-    return known.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+            for chunk, rows in batch_chunks(batch):
+                yield from tell(chunk, chunk_part(rows), bits).to_batches()
+
+    return docs.mapInArrow(ask, TOLD_TEXT).groupBy("bucket").applyInArrow(merge, MERGED_TEXT)
+
+
+def count_grams(docs: DataFrame) -> DataFrame:
+    """``lang, gram, n``: character 5-grams of all words of ``docs(doc_id, text, lang)``; a null lang is ``und``."""
+    return gram_table(scanned(docs)).where("gram is not null").select("lang", "gram", "n")
 
 
 def gram_scores(counts: DataFrame) -> DataFrame:
-    """``lang, gram, p``: what ``estimate`` gives each gram of ORDER, from all of ``counts(lang, gram, n)``."""
+    """``lang, gram, p`` and any further columns: what ``estimate`` gives each gram of ORDER, from all of ``counts(lang, gram, n, …)``."""
     spark, suffix = counts.sparkSession, F.expr("substring(gram, 2)")
+    more = [c for c in counts.columns if c not in ("lang", "gram", "n")]
     levels = {ORDER: counts}
     for order in range(ORDER - 1, 0, -1):  # a shorter gram counts its distinct left neighbours
         levels[order] = kept(levels[order + 1].groupBy("lang", suffix.alias("gram")).agg(F.count("*").alias("n")), "grams")
@@ -164,55 +239,20 @@ def gram_scores(counts: DataFrame) -> DataFrame:
         sizes = [F.count_if(F.col("n") == i).alias(f"n{i}") for i in range(1, 5)]
         found = levels[order].groupBy("lang").agg(*sizes).collect()  # a row per language
         cuts = [(r["lang"], *map(float, counted_discounts([r[f"n{i}"] for i in range(1, 5)]))) for r in found]
-        cuts = F.broadcast(spark.createDataFrame(cuts, "lang string, d1 double, d2 double, d3 double"))
+        cuts = spark.createDataFrame(cuts, "lang string, d1 double, d2 double, d3 double")  # of known size: broadcast if that is small
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         context = F.substring("gram", 1, order - 1) if order > 1 else F.lit("")
-        grams = levels[order].join(cuts, "lang").select("lang", "gram", "n", cut.alias("cut"), context.alias("context"), suffix.alias("suffix"))
+        grams = levels[order].join(cuts, "lang").select("lang", "gram", "n", cut.alias("cut"), context.alias("context"), suffix.alias("suffix"), *(more if order == ORDER else []))
         total = grams.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"), F.count("*").alias("types"))
         grams = grams.join(total, ["lang", "context"])
         if low is None:
             grams = grams.withColumn("lower", 1 / (F.col("types") + 1))
         else:
             grams = grams.join(low.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("lower")), ["lang", "suffix"])
-        low = grams.select("lang", "gram", ((F.col("n") - F.col("cut") + F.col("freed") * F.col("lower")) / F.col("total")).alias("p"))
+        low = grams.select(*(more if order == ORDER else []), "lang", "gram", ((F.col("n") - F.col("cut") + F.col("freed") * F.col("lower")) / F.col("total")).alias("p"))
     return low
 
 
-def gram_keys(points: np.ndarray, lang: str) -> np.ndarray:
-    """Keys of a language's grams from their hashes."""
-    return mix(points + hash_strings(pa.array([lang]))[0])
-
-
-class Part(NamedTuple):
-    """A slice ``lo:hi`` of a chunk's texts; per language (number, words used, offsets of their marked code points, places and keys of grams)."""
-
-    lo: int
-    hi: int
-    words: Words
-    of_word: np.ndarray
-    grams: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-
-
-def chunk_parts(texts: pa.Array, lang_column: pa.Array) -> list[Part]:
-    langs = lang_column.dictionary_encode()
-    which, out = langs.indices.to_numpy(zero_copy_only=False), []
-    for lo, hi in slices(texts):
-        words = split_words(texts.slice(lo, hi - lo))
-        of_word, grams = np.repeat(which[lo:hi], np.diff(words.offsets)), []
-        for lang in np.unique(of_word):
-            there = np.flatnonzero(used_words(words.codes, of_word, lang, len(words.vocab)))
-            raw, offsets = marked(words.vocab.take(pa.array(there)))
-            ok = np.flatnonzero(window_starts(offsets, ORDER, len(raw)))
-            hashes = horner(mix(raw.astype(np.uint64) + np.uint64(1)), ORDER)[ok]
-            grams.append((int(lang), there, offsets, ok, gram_keys(hashes, langs.dictionary[int(lang)].as_py())))
-        out.append(Part(lo, hi, words, of_word, grams))
-    return out
-
-
-def distinct_grams(parts: list[Part]) -> np.ndarray:
-    return np.unique(np.concatenate([np.empty(0, np.uint64), *(g[4] for part in parts for g in part.grams)]))
-
-
 def repeated_words(codes: np.ndarray) -> int:
     """Words that lie in 3-word windows found twice or more."""
     if len(codes) < 4:
@@ -248,73 +288,45 @@ def byte_hits(texts: pa.Array, wanted: bytes) -> np.ndarray:
     return np.diff(np.searchsorted(hit, ends))
 
 
-ASKED = {"bucket": pa.int32(), "chunk": pa.int32(), "keys": pa.binary()}
-ANSWERED = {"chunk": pa.int32(), "bucket": pa.int32(), "logp": pa.binary()}
+ANSWERED = {"chunk": pa.int64(), "bucket": pa.int32(), "logp": pa.binary()}
 MEASURED = (
-    "doc_id long, row_key long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-    "n_repeat_words long, base_failed boolean, log_perplexity double, log_level double"
+    "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+    "base_failed boolean, log_perplexity double, log_level double"
 )
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_perplexity", "log_level"]
 
 
-def measure(docs: DataFrame, scores: DataFrame) -> DataFrame:
-    """``doc_id, row_key, lang``, the base counts, ``base_failed``, ``log_perplexity`` and ``log_level`` (null without words) per row.
-
-    ``scores(lang, gram, p)`` has every gram of ``docs``. A chunk is a hash class of rows, so rows of one doc_id spread.
-    """
-    total = text_bytes(docs)
-    bits, count = bucket_bits(total), max(48, -(-total // CHUNK))
-    chunks = docs.select(
-        F.pmod(row_key(), F.lit(count)).cast("int").alias("chunk"),
-        F.col("doc_id").cast("long"),
-        row_key().alias("row_key"),
-        F.col("text").cast("string"),
-        F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"),
-    ).groupBy("chunk")
-
-    def key(batches):
-        for batch in batches:
-            langs = as_array(batch.column("lang"))
-            raw = np.array(batch.column("gram").to_pylist(), f"<U{ORDER}").view(np.uint32).reshape(-1, ORDER)
-            hashes, keys = row_hash(mix(raw.astype(np.uint64) + np.uint64(1))), np.zeros(len(raw), np.uint64)
-            coded = langs.dictionary_encode()
-            which = coded.indices.to_numpy(zero_copy_only=False)
-            for i, lang in enumerate(coded.dictionary.to_pylist()):
-                keys[which == i] = gram_keys(hashes[which == i], lang)
-            bucket = (keys >> np.uint64(64 - bits)).astype(np.int32)
-            logp = np.log(batch.column("p").to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(keys.view(np.int64)), pa.array(logp)], ["bucket", "key", "logp"])
-
-    def ask(rows: pa.Table) -> pa.Table:
-        keys = distinct_grams(chunk_parts(as_array(rows["text"]), as_array(rows["lang"])))
-        cut = [(b, keys[lo:hi].tobytes()) for b, lo, hi in runs(keys, bits)]
-        return table({"bucket": [b for b, _ in cut], "chunk": [first_value(rows["chunk"])] * len(cut), "keys": [k for _, k in cut]}, ASKED)
+def measure(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``doc_id, lang``, the base counts, ``base_failed``, ``log_perplexity`` and ``log_level`` (null without words) per row,
+    and further columns of ``docs``, which is ``scanned``; ``found`` is its ``gram_table``."""
 
     def answer(requests: pa.Table, held: pa.Table) -> pa.Table:
         keys = held["key"].to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        keys, logp = keys[order], held["logp"].to_numpy()[order]
-        found = [logp[lookup(keys, wanted)].tobytes() for wanted in arrays(requests["keys"], "<u8")]
-        return table({"chunk": requests["chunk"].to_pylist(), "bucket": requests["bucket"].to_pylist(), "logp": found}, ANSWERED)
-
-    def weigh(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        texts, langs = as_array(rows["text"]), as_array(rows["lang"])
-        parts = chunk_parts(texts, langs)
-        known, got = distinct_grams(parts), arrays(answers["logp"], "<f8")
-        order = np.argsort(answers["bucket"].to_numpy(), kind="stable")
-        gram_logps = np.concatenate([np.empty(0), *(got[i] for i in order)])
-        done = [measured(texts.slice(x.lo, x.hi - x.lo), x, known, gram_logps) for x in parts]
-        columns = [pa.array(np.concatenate(c), from_pandas=True) for c in zip(*done)]
-        names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_perplexity", "log_level"]
-        return pa.table({"doc_id": rows["doc_id"], "row_key": rows["row_key"], "lang": rows["lang"], **dict(zip(names, columns))})
-
-    held = scores.mapInArrow(key, "bucket int, key long, logp double")
-    requests = chunks.applyInArrow(ask, "bucket int, chunk int, keys binary")
-    answers = requests.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(answer, "chunk int, bucket int, logp binary")
-    return chunks.cogroup(answers.groupBy("chunk")).applyInArrow(weigh, MEASURED)
+        logp = np.log(held["p"].to_numpy())[np.argsort(keys)]
+        found = [logp[places].tobytes() for places in arrays(requests["places"], "<i4")]
+        return table({"chunk": requests["chunk"].to_pylist(), "bucket": requests["asked"].to_pylist(), "logp": found}, ANSWERED)
+
+    def weigh(held: pa.Table, answers: pa.Table) -> pa.Table:
+        done = []
+        for block in held["block"].to_pylist():
+            rows = unpacked_rows(block)
+            part = chunk_part(rows)
+            known = distinct_grams(part)
+            columns = measured(as_array(rows["text"]), part, known, answers_of(answers, "logp", "<f8", len(known)))
+            named = dict(zip(COUNTS, (pa.array(c, from_pandas=True) for c in columns)))
+            done.append(pa.table({"doc_id": rows["doc_id"], "lang": rows["lang"]} | named | {c: rows[c] for c in more}))
+        return pa.concat_tables(done) if done else to_arrow_schema(schema).empty_table()
+
+    more = [c for c in docs.columns if c not in ("row_key", "doc_id", "text", "lang")]
+    schema = T.StructType(T._parse_datatype_string(MEASURED).fields + [docs.schema[c] for c in more])
+    scores = gram_scores(found.where("gram is not null").select("lang", "gram", "n", "bucket", "key")).select("bucket", "key", "p")
+    requests = found.where("chunk is not null").select(F.col("bucket").alias("asked"), "chunk", "places")
+    answers = requests.groupBy("asked").cogroup(scores.groupBy("bucket")).applyInArrow(answer, "chunk long, bucket int, logp binary")
+    return blocks(docs).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(weigh, schema)
 
 
 def measured(texts: pa.Array, part: Part, known: np.ndarray, gram_logps: np.ndarray) -> list[np.ndarray]:
-    """The columns of ``measure`` from ``n_words`` on, for one slice."""
+    """The ``COUNTS`` of a chunk."""
     words = part.words
     n_words = np.diff(words.offsets)
     size = pc.utf8_length(words.vocab).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -338,35 +350,49 @@ def measured(texts: pa.Array, part: Part, known: np.ndarray, gram_logps: np.ndar
     ]
 
 
+def median(rows: DataFrame, value: str, name: str, step: float = 1e-5) -> DataFrame:
+    """``lang, name``: the lower median per language, to ``step``. Values are counted in cells, so it needs no sorted
+    group and doesn't depend on how rows are dealt."""
+    cells = rows.groupBy("lang", F.floor(F.col(value) / step).alias("cell")).agg(F.count("*").alias("n"))
+    inside = Window.partitionBy("lang")
+    running = F.sum("n").over(inside.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
+    half = cells.withColumn("upto", running).withColumn("all", F.sum("n").over(inside)).where("2 * upto >= all")
+    return half.groupBy("lang").agg((F.min("cell") * step).alias(name))
+
+
+def judged(docs: DataFrame, width: float, narrowest: float) -> DataFrame:
+    found = kept(gram_table(docs), "grams")
+    scored = kept(measure(docs, found), "quality")
+    discard(found)
+    sound = scored.where(~F.col("base_failed") & F.col("log_level").isNotNull()).select("lang", "log_level")
+    middle = median(sound, "log_level", "middle")
+    spread = sound.join(middle, "lang").select("lang", F.abs(F.col("log_level") - F.col("middle")).alias("off"))
+    half = F.greatest(F.col("mad") * 1.4826, F.lit(narrowest)) * width
+    bands = middle.join(median(spread, "off", "mad"), "lang").select("lang", (F.col("middle") - half).alias("low"), (F.col("middle") + half).alias("high"))
+    rows = [tuple(r) for r in bands.collect()]  # one per language
+    bands = docs.sparkSession.createDataFrame(rows, "lang string, low double, high double")
+    inside = F.coalesce(F.col("log_level").between(F.col("low"), F.col("high")), F.lit(False))
+    return scored.join(bands, "lang", "left").withColumn("kept", ~F.col("base_failed") & inside)
+
+
 def judge(docs: DataFrame, width: float = WIDTH, narrowest: float = NARROWEST) -> DataFrame:
     """The base counts, ``base_failed``, ``perplexity``, ``level``, its language's ``low`` and ``high``, ``kept`` per row.
 
     Takes ``docs(doc_id, text, lang)``. A language's band is the median log level of its rows that pass the
     base rules, ``width`` robust standard deviations (1.4826 times the median absolute deviation, at least
-    ``narrowest``) to each side. A null lang is a language of its own, ``und``. Rows without words fail the
-    base rules and have a null perplexity. Repeated rows count and return each; no rows give no rows.
+    ``narrowest``) to each side. A null lang is a language of its own, ``und``. Rows without words, and null texts, fail
+    the base rules and have a null perplexity. A very long text is a chunk of its own. Further columns are ignored.
+    Repeated rows count and return each; no rows give no rows.
     """
-    scored = kept(measure(docs, gram_scores(kept(count_grams(docs), "grams"))), "quality")
-    sound = scored.where(~F.col("base_failed") & F.col("log_level").isNotNull())
-    middle = sound.groupBy("lang").agg(F.percentile_approx("log_level", 0.5, 10_000).alias("middle"))
-    spread = (
-        sound.join(F.broadcast(middle), "lang")  # a row per language
-        .groupBy("lang", "middle")
-        .agg(F.percentile_approx(F.abs(F.col("log_level") - F.col("middle")), 0.5, 10_000).alias("mad"))
-    )
-    half = F.greatest(F.col("mad") * 1.4826, F.lit(narrowest)) * width
-    bands = spread.select("lang", F.exp(F.col("middle") - half).alias("low"), F.exp(F.col("middle") + half).alias("high"))
-    judged = scored.join(F.broadcast(bands), "lang", "left")
-    judged = judged.withColumn("perplexity", F.exp("log_perplexity")).withColumn("level", F.exp("log_level"))
-    inside = F.coalesce(F.col("level").between(F.col("low"), F.col("high")), F.lit(False))
-    return judged.withColumn("kept", ~F.col("base_failed") & inside).drop("log_perplexity", "log_level")
+    out = judged(scanned(docs), width, narrowest)
+    exact = {name: F.exp(old) for name, old in (("perplexity", "log_perplexity"), ("level", "log_level"), ("low", "low"), ("high", "high"))}
+    return out.withColumns(exact).drop("log_perplexity", "log_level")
 
 
 def keep_sound(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that pass; equal rows share a verdict."""
-    sound = judge(docs).where("kept").select(F.col("row_key").alias("sound_key"), F.col("lang").alias("sound_lang")).distinct()
-    same = (F.col("sound_key") == row_key()) & (F.col("sound_lang") == F.coalesce(F.col("lang"), F.lit(UNKNOWN)))
-    return docs.join(sound, same, "left_semi")
+    """The rows of ``docs``, all columns under any names, that pass; each row travels through the scoring itself."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+    return judged(scanned(docs, whole), WIDTH, NARROWEST).where("kept").select("whole.*")
 
 
 def op2_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..plans.storage import discard, kept
-from .exchange import answers_of, arrays, batch_chunks, blocks, bucket_bits, first_value, runs, table, text_bytes, unpacked_rows
+from .exchange import answers_of, arrays, batch_chunks, blocks, bucket_bits, first_value, packed_rows, runs, table, text_bytes, unpacked_rows
 from .words import Words, as_array, hash_strings, horner, lookup, mix, split_words, sum_by_text, window_starts
 
 ORDER = 5
@@ -157,12 +157,12 @@ def distinct_grams(part: Part) -> np.ndarray:
     return np.unique(np.concatenate([np.empty(0, np.uint64), *(g[4] for g in part.grams)]))
 
 
-TOLD = {"bucket": pa.int32(), "chunk": pa.int64(), "keys": pa.binary(), "counts": pa.binary(), "grams": pa.string(), "langs": pa.list_(pa.string()), "of_lang": pa.binary()}
-TOLD_TEXT = "bucket int, chunk long, keys binary, counts binary, grams string, langs array<string>, of_lang binary"
+TOLD = {"bucket": pa.int32(), "chunk": pa.int64(), "block": pa.binary()}
 
 
 def tell(chunk: int, part: Part, bits: int) -> pa.Table:
-    """The chunk's distinct grams by bucket: keys in order, counts, the grams themselves in a row, their languages."""
+    """The chunk's distinct grams by bucket, in order of their keys: the grams themselves in a row, their counts and
+    languages, compressed. Keys follow from grams and languages, so they don't travel."""
     found = []
     for (lang, there, offsets, ok, keys), raw in zip(part.grams, part.marks):
         times = used_words(part.words.codes, part.of_word, lang, len(part.words.vocab))
@@ -176,8 +176,8 @@ def tell(chunk: int, part: Part, bits: int) -> pa.Table:
         keys, counts, of_lang = keys[order], counts[order], of_lang[order]
         text = points[order].astype("<u4").tobytes().decode("utf-32-le")
         for bucket, lo, hi in runs(keys, bits):
-            values = (bucket, chunk, keys[lo:hi].tobytes(), counts[lo:hi].tobytes(), text[ORDER * lo : ORDER * hi], part.languages, of_lang[lo:hi].tobytes())
-            for name, value in zip(TOLD, values):
+            values = {"grams": [text[ORDER * lo : ORDER * hi]], "counts": [counts[lo:hi].tobytes()], "of_lang": [of_lang[lo:hi].tobytes()], "langs": [part.languages]}
+            for name, value in zip(TOLD, (bucket, chunk, packed_rows(pa.RecordBatch.from_pydict(values)))):
                 out[name].append(value)
     return table(out, TOLD)
 
@@ -187,19 +187,24 @@ MERGED_TEXT = "bucket int, key long, lang string, gram string, n long, chunk lon
 
 
 def merge(rows: pa.Table) -> pa.Table:
-    """A bucket's distinct grams with their counts, and for each chunk the places of its grams among them."""
-    each = arrays(rows["keys"], "<u8")
-    keys, first, back = np.unique(np.concatenate(each), return_index=True, return_inverse=True)
+    """A bucket's distinct grams with their keys and counts, and for each chunk the places of its grams among them."""
+    told = pa.concat_tables([unpacked_rows(x) for x in rows["block"].to_pylist()])
+    counts, of_lang = arrays(told["counts"], "<u4"), arrays(told["of_lang"], "<u2")
+    points = np.frombuffer("".join(told["grams"].to_pylist()).encode("utf-32-le"), "<u4").reshape(-1, ORDER)
+    names = sorted({name for own in told["langs"].to_pylist() for name in own})
+    lang = np.concatenate([np.searchsorted(names, own)[of] for own, of in zip(told["langs"].to_pylist(), of_lang)])
+    each = row_hash(mix(points.astype(np.uint64) + np.uint64(1)))
+    for i, name in enumerate(names):
+        each[lang == i] = gram_keys(each[lang == i], name)
+    keys, first, back = np.unique(each, return_index=True, return_inverse=True)
     n = np.zeros(len(keys), np.int64)
-    np.add.at(n, back, np.concatenate(arrays(rows["counts"], "<u4")).astype(np.int64))
-    points = np.frombuffer("".join(rows["grams"].to_pylist()).encode("utf-32-le"), "<u4").reshape(-1, ORDER)
+    np.add.at(n, back, np.concatenate(counts).astype(np.int64))
     grams = np.ascontiguousarray(points[first]).view(f"<U{ORDER}")[:, 0]
-    langs = np.concatenate([np.array(names, object)[own] for names, own in zip(rows["langs"].to_pylist(), arrays(rows["of_lang"], "<u2"))])[first]
-    places = [x.astype("<i4").tobytes() for x in np.split(back, np.cumsum([len(x) for x in each])[:-1])]
+    places = [x.astype("<i4").tobytes() for x in np.split(back, np.cumsum([len(x) for x in counts])[:-1])]
     bucket = first_value(rows["bucket"])
-    held = {"bucket": [bucket] * len(keys), "key": keys.view(np.int64), "lang": langs, "gram": grams.astype(object), "n": n}
-    asked = {"bucket": [bucket] * len(each), "chunk": rows["chunk"].to_pylist(), "places": places}
-    return pa.concat_tables([table(dict.fromkeys(MERGED, [None] * size) | own, MERGED) for size, own in ((len(keys), held), (len(each), asked))])
+    held = {"bucket": [bucket] * len(keys), "key": keys.view(np.int64), "lang": np.array(names, object)[lang[first]], "gram": grams.astype(object), "n": n}
+    asked = {"bucket": [bucket] * len(counts), "chunk": rows["chunk"].to_pylist(), "places": places}
+    return pa.concat_tables([table(dict.fromkeys(MERGED, [None] * size) | own, MERGED) for size, own in ((len(keys), held), (len(counts), asked))])
 
 
 def scanned(docs: DataFrame, *more) -> DataFrame:
@@ -219,7 +224,7 @@ def gram_table(docs: DataFrame) -> DataFrame:
             for chunk, rows in batch_chunks(batch):
                 yield from tell(chunk, chunk_part(rows), bits).to_batches()
 
-    return docs.mapInArrow(ask, TOLD_TEXT).groupBy("bucket").applyInArrow(merge, MERGED_TEXT)
+    return docs.mapInArrow(ask, "bucket int, chunk long, block binary").groupBy("bucket").applyInArrow(merge, MERGED_TEXT)
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -360,17 +365,20 @@ def median(rows: DataFrame, value: str, name: str, step: float = 1e-5) -> DataFr
     return half.groupBy("lang").agg((F.min("cell") * step).alias(name))
 
 
+def by_language(rows: DataFrame) -> DataFrame:
+    """The same rows, one per language, as a table of known size, which Spark broadcasts if it is small."""
+    return rows.sparkSession.createDataFrame([tuple(r) for r in rows.collect()], rows.schema)
+
+
 def judged(docs: DataFrame, width: float, narrowest: float) -> DataFrame:
     found = kept(gram_table(docs), "grams")
     scored = kept(measure(docs, found), "quality")
     discard(found)
     sound = scored.where(~F.col("base_failed") & F.col("log_level").isNotNull()).select("lang", "log_level")
-    middle = median(sound, "log_level", "middle")
+    middle = by_language(median(sound, "log_level", "middle"))
     spread = sound.join(middle, "lang").select("lang", F.abs(F.col("log_level") - F.col("middle")).alias("off"))
     half = F.greatest(F.col("mad") * 1.4826, F.lit(narrowest)) * width
-    bands = middle.join(median(spread, "off", "mad"), "lang").select("lang", (F.col("middle") - half).alias("low"), (F.col("middle") + half).alias("high"))
-    rows = [tuple(r) for r in bands.collect()]  # one per language
-    bands = docs.sparkSession.createDataFrame(rows, "lang string, low double, high double")
+    bands = by_language(middle.join(median(spread, "off", "mad"), "lang").select("lang", (F.col("middle") - half).alias("low"), (F.col("middle") + half).alias("high")))
     inside = F.coalesce(F.col("log_level").between(F.col("low"), F.col("high")), F.lit(False))
     return scored.join(bands, "lang", "left").withColumn("kept", ~F.col("base_failed") & inside)
 

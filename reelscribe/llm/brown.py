@@ -1,13 +1,20 @@
 """Operator 3: Brown class-based n-gram scores.
 
-Word counts are gathered over all training documents. The most frequent words are put into classes by the
-exchange algorithm, which moves a word to the class that raises the class-bigram likelihood most until a
-sweep moves none; every other word belongs to a class of its ending. A text's score adds, for each token, the
-smoothed log probability of its class after the class before it and of the word in its class.
-
-The vocabulary grows with the corpus, so it is never broadcast: words are 64-bit keys, counted in buckets
-of the key space, and each chunk of documents asks the buckets for the counts of its distinct words. What is
-sent to every task is bounded: ``FREQUENT`` words' classes and the class tables.
+Word counts are gathered over all training documents, and exchange clustering gives every training word a class:
+
+1. The ``CORE`` most frequent words are put into classes by the sequential exchange algorithm, which moves a word to the
+   class that raises the class-bigram likelihood most until a sweep moves none. Their matrix of counts has a fixed size.
+2. Every other training word goes to the class under which its neighbours are likeliest: Spark gathers each word's counts
+   of the classes before and after it in buckets of the key space, whatever the size of the vocabulary.
+3. ``SWEEPS`` sweeps then exchange all words, the core too, given the classes of all their neighbours. A sweep that
+   doesn't raise the likelihood is taken back and ends the exchange, as does one that moves no word.
+
+A text's score adds, for each token, the smoothed log probability of its class after the class before it and of the word
+in its class. Words never seen in training go to the class that holds most words seen once with their ending.
+
+The vocabulary grows with the corpus, so it is never broadcast: words are 64-bit keys, counted in buckets of the key
+space, and the buckets answer each chunk of documents with counts and classes of its distinct words. One scan writes the
+documents as numbers; all passes read those. What is sent to every task is bounded: the core's classes and class tables.
 """
 
 from __future__ import annotations
@@ -19,32 +26,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import kept
-from .exchange import arrays, bucket_bits, chunked, first_value, runs, table, text_bytes
-from .words import Words, as_array, hash_strings, lookup, lower_ascii, slices, split_words, sum_by_text
+from ..plans.storage import discard, kept
+from .exchange import answers_of, arrays, batch_chunks, bucket_bits, first_value, packed_rows, row_key, runs, table, text_bytes, unpacked_rows
+from .words import as_array, hash_strings, lookup, lower_ascii, split_words, sum_by_text
 
-#: Words that the exchange algorithm places, their classes, and classes of endings (a power of two).
-FREQUENT, CLASSES, ENDINGS = 1024, 48, 16
+#: Words that are exchanged one by one, classes of words, endings (a power of two), sweeps over the whole vocabulary.
+CORE, CLASSES, ENDINGS, SWEEPS = 1024, 48, 16, 1
+#: Classes that aren't exchanged: the text's end, and words without a class yet.
+END, OPEN, FIXED = 0, 1, 2
+WIDTH = FIXED + CLASSES
 #: Weight of the class unigram in transitions, in observations.
 PRIOR = 50.0
-#: Key of the token that ends a text: no word has it.
+#: Key of the token that ends a text: no word has it, and it sorts first.
 END_KEY = np.uint64(0)
 
 
-class BrownModel(NamedTuple):
-    """``known`` are the frequent keys (sorted) with their class and count. Transitions are log10 of
-    p(class | class before); ``totals`` and ``unseen`` are a class's tokens and its mass for unseen words."""
-
-    known: np.ndarray
-    classes: np.ndarray
-    counts: np.ndarray
-    transitions: np.ndarray
-    totals: np.ndarray
-    unseen: np.ndarray
-    tokens: int
-    types: int
-
-
 def word_keys(vocab: pa.Array) -> np.ndarray:
     """A key per word: a 60-bit hash, then the class of the word's last two bytes in the low bits."""
     hashed = hash_strings(vocab)
@@ -59,45 +55,81 @@ def word_keys(vocab: pa.Array) -> np.ndarray:
     return np.where(keys == END_KEY, np.uint64(ENDINGS), keys)
 
 
-def keyed(texts: pa.Array) -> tuple[Words, np.ndarray]:
-    words = split_words(lower_ascii(texts))
-    return words, word_keys(words.vocab)
-
-
-def packed(sorted_keys: np.ndarray, counts: np.ndarray, bits: int) -> dict[str, list]:
-    out = {"bucket": [], "keys": [], "counts": []}
-    for bucket, lo, hi in runs(sorted_keys, bits):
-        out["bucket"].append(bucket)
-        out["keys"].append(sorted_keys[lo:hi].tobytes())
-        out["counts"].append(counts[lo:hi].astype(np.int64).tobytes())
-    return out
-
+CHUNKED = {"chunk": pa.int64(), "keys": pa.binary(), "counts": pa.binary(), "block": pa.binary()}
 
-COUNTED = {"bucket": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``chunk, keys, counts, block`` for each chunk of ``docs(row_key, doc_id, text, train)``: sorted distinct word keys (the
+    end's first), their counts in training texts, and the compressed rows with their tokens as places in ``keys``."""
 
-def count_words(docs: DataFrame, bits: int) -> DataFrame:
-    """``bucket, keys, counts``: one row per bucket of the key space, over all rows of ``docs(text)``."""
-
-    def count(batches):
+    def number(batches):
+        for batch in batches:
+            for chunk, rows in batch_chunks(batch):
+                words = split_words(lower_ascii(as_array(rows.column("text"))))
+                keys, place = np.unique(np.concatenate([[END_KEY], word_keys(words.vocab)]), return_inverse=True)
+                n = np.diff(words.offsets) + 1
+                tokens = np.zeros(int(n.sum()), "<u4")
+                inner = np.ones(len(tokens), bool)
+                inner[np.cumsum(n) - 1] = False
+                tokens[inner] = place[1:][words.codes]
+                train = rows.column("train").to_numpy(zero_copy_only=False).astype(bool)
+                counts = np.bincount(tokens[np.repeat(train, n)], minlength=len(keys)).astype("<u4")
+                whole = {"tokens": [tokens.tobytes()], "n": [n.tolist()], "train": [train.tolist()], "doc_id": pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64()))}
+                out = {"chunk": [chunk], "keys": [keys.tobytes()], "counts": [counts.tobytes()], "block": [packed_rows(pa.RecordBatch.from_pydict(whole))]}
+                yield from table(out, CHUNKED).to_batches()
+
+    return docs.mapInArrow(number, "chunk long, keys binary, counts binary, block binary")
+
+
+class Texts(NamedTuple):
+    """A chunk's rows: tokens as places, each one's text, the texts' offsets, which texts are for training, doc_ids."""
+
+    tokens: np.ndarray
+    of_text: np.ndarray
+    offsets: np.ndarray
+    train: np.ndarray
+    doc_ids: pa.Array
+
+    @classmethod
+    def read(cls, block: bytes) -> Texts:
+        rows = unpacked_rows(block)
+        n, train = (np.array(rows[c][0].as_py(), kind) for c, kind in (("n", np.int64), ("train", bool)))
+        tokens = np.frombuffer(rows["tokens"][0].as_py(), "<u4").astype(np.int64)
+        return cls(tokens, np.repeat(np.arange(len(n)), n), np.concatenate([[0], np.cumsum(n)]), train, pa.array(rows["doc_id"][0].as_py(), pa.int64()))
+
+    def neighbours(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the training tokens: places, classes before and classes after. A text begins after an end."""
+        own = classes[self.tokens]
+        before = np.concatenate([[END], own[:-1]])
+        after = np.concatenate([own[1:], [END]])  # what follows an end belongs to another text and isn't used
+        use = self.train[self.of_text]
+        return self.tokens[use], before[use], after[use]
+
+
+COUNTED = {"bucket": pa.int32(), "chunk": pa.int64(), "keys": pa.binary(), "counts": pa.binary(), "places": pa.binary()}
+COUNTED_TEXT = "bucket int, chunk long, keys binary, counts binary, places binary"
+
+
+def vocabulary(chunks: DataFrame, bits: int) -> DataFrame:
+    """``bucket, keys, counts`` for each bucket of the key space, and rows ``bucket, chunk, places``: where in them a chunk's are."""
+
+    def ask(batches):
         for batch in batches:
-            texts = as_array(batch.column("text"))
-            for lo, hi in slices(texts):
-                words, keys = keyed(texts.slice(lo, hi - lo))
-                keys = np.concatenate([[END_KEY], keys])
-                n = np.concatenate([[hi - lo], np.bincount(words.codes, minlength=len(words.vocab))])
-                order = np.argsort(keys)
-                yield table(packed(keys[order], n[order], bits), COUNTED).combine_chunks().to_batches()[0]
+            for chunk, keys, counts in zip(batch.column("chunk").to_pylist(), arrays(batch.column("keys"), "<u8"), arrays(batch.column("counts"), "<u4")):
+                cut = [(b, chunk, keys[lo:hi].tobytes(), counts[lo:hi].tobytes(), None) for b, lo, hi in runs(keys, bits)]
+                yield from table(dict(zip(COUNTED, map(list, zip(*cut)))), COUNTED).to_batches()
 
     def add(rows: pa.Table) -> pa.Table:
-        keys, n = np.concatenate(arrays(rows["keys"], "<u8")), np.concatenate(arrays(rows["counts"], "<i8"))
-        keys, at = np.unique(keys, return_inverse=True)
-        sums = np.zeros(len(keys), np.int64)
-        np.add.at(sums, at, n)
-        return table({"bucket": [first_value(rows["bucket"])], "keys": [keys.tobytes()], "counts": [sums.tobytes()]}, COUNTED)
+        each = arrays(rows["keys"], "<u8")
+        keys, back = np.unique(np.concatenate(each), return_inverse=True)
+        counts = np.zeros(len(keys), np.int64)
+        np.add.at(counts, back, np.concatenate(arrays(rows["counts"], "<u4")).astype(np.int64))
+        places = [x.astype("<i4").tobytes() for x in np.split(back, np.cumsum([len(x) for x in each])[:-1])]
+        bucket, none = first_value(rows["bucket"]), [None] * len(each)
+        out = {"bucket": [bucket] * (len(each) + 1), "chunk": [None, *rows["chunk"].to_pylist()], "keys": [keys.tobytes(), *none], "counts": [counts.tobytes(), *none], "places": [None, *places]}
+        return table(out, COUNTED)
 
-    parts = docs.select("text").mapInArrow(count, "bucket int, keys binary, counts binary")
-    return parts.groupBy("bucket").applyInArrow(add, "bucket int, keys binary, counts binary")
+    return chunks.select("chunk", "keys", "counts").mapInArrow(ask, COUNTED_TEXT).groupBy("bucket").applyInArrow(add, COUNTED_TEXT)
 
 
 def frequent_words(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,43 +148,29 @@ def frequent_words(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray
     return keys[order], top["n"].to_numpy(np.int64)[order]
 
 
-def place_of(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """0 for the end, then a place for each ending, then one for each frequent word."""
+def core_classes(keys: np.ndarray, known: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Classes of a chunk's keys where only the core has any."""
     at = lookup(known, keys)
-    rare = np.where(keys == END_KEY, 0, 1 + (keys & np.uint64(ENDINGS - 1)).astype(np.int64))
-    return np.where(at >= 0, 1 + ENDINGS + at, rare)
-
-
-def token_places(words: Words, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' tokens one after another, each text closed by its end (place 0); the ends' positions."""
-    n = np.diff(words.offsets)
-    ends = np.cumsum(n + 1) - 1
-    out = np.zeros(len(words.codes) + len(n), np.int64)
-    inner = np.ones(len(out), bool)
-    inner[ends] = False
-    out[inner] = place[words.codes]
-    return out, ends
+    return np.where(at >= 0, of[at] if len(of) else OPEN, np.where(keys == END_KEY, END, OPEN))
 
 
-def bigram_counts(docs: DataFrame, known: np.ndarray) -> np.ndarray:
-    """Counts of neighbouring places over all rows of ``docs(text)``; the matrix's size is fixed."""
-    size = 1 + ENDINGS + len(known)
+def core_bigrams(chunks: DataFrame, known: np.ndarray) -> np.ndarray:
+    """Counts of neighbouring places (the end, any other word, the core's words) in training texts; the size is fixed."""
+    size = FIXED + len(known)
 
     def count(batches):
         total = np.zeros(size * size, np.int64)
         for batch in batches:
-            texts = as_array(batch.column("text"))
-            for lo, hi in slices(texts):
-                words, keys = keyed(texts.slice(lo, hi - lo))
-                tokens, _ = token_places(words, place_of(keys, known))
-                before = np.concatenate([[0], tokens[:-1]])
-                total += np.bincount(before * size + tokens, minlength=size * size)
+            for keys, block in zip(arrays(batch.column("keys"), "<u8"), batch.column("block").to_pylist()):
+                place = core_classes(keys, known, FIXED + np.arange(len(known)))
+                own, before, _ = Texts.read(block).neighbours(place)
+                total += np.bincount(before * size + place[own], minlength=size * size)
         there = np.flatnonzero(total)
         for lo in range(0, len(there), 1 << 16):
             own = there[lo : lo + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], ["pair", "n"])
 
-    summed = docs.select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    summed = chunks.select("keys", "block").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(size * size)
     out[summed["pair"].to_numpy(np.int64)] = summed["n"]
     return out.reshape(size, size)
@@ -162,13 +180,13 @@ def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 10) -> np.ndarray:
-    """A class for each place: the end's and the endings' are their own, frequent words share ``classes``.
+def exchange(bigrams: np.ndarray, classes: int, fixed: int = FIXED) -> np.ndarray:
+    """A class for each place: the first ``fixed`` places are classes of their own, the other words share ``classes``.
 
     Words start dealt out by frequency. A sweep takes each word, most frequent first, out of its class and puts
     it where the likelihood of the class bigrams is highest. It ends when a sweep moves no word.
     """
-    fixed, size = 1 + ENDINGS, len(bigrams)
+    size = len(bigrams)
     total = fixed + classes
     order = fixed + np.argsort(-bigrams.sum(0)[fixed:], kind="stable")
     of = np.arange(size)
@@ -178,7 +196,8 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 10) -> np.ndarray:
     right, left = bigrams @ member, bigrams.T @ member  # of each place: counts of classes after and before it
     grid = member.T @ right
     free = np.arange(fixed, total)
-    for _ in range(sweeps):
+    moved = 1
+    while moved:
         moved = 0
         for w in order:
             own, loop = of[w], bigrams[w, w]
@@ -195,6 +214,7 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 10) -> np.ndarray:
             gain += xlogx(diagonal + after[free] + before[free] + loop) - xlogx(diagonal)
             outs, ins = rows.sum(1) + before[free], columns.sum(1) + after[free]  # with what goes to and comes from w
             gain -= xlogx(outs + after.sum() + loop) - xlogx(outs) + xlogx(ins + before.sum() + loop) - xlogx(ins)
+            gain[own - fixed] += 1e-9 * (1 + abs(gain[own - fixed]))  # a tie moves nothing, so sweeps come to an end
             new = int(free[gain.argmax()])
             grid[new] += after
             grid[:, new] += before
@@ -208,119 +228,246 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = 10) -> np.ndarray:
                 row = bigrams[w]
                 left[:, own] -= row
                 left[:, new] += row
-        if not moved:
-            break
     return of
 
 
-def class_totals(counts: DataFrame, known: np.ndarray, of: np.ndarray, classes: int) -> tuple[np.ndarray, int, int]:
-    """Per class its tokens and its words counted once; all tokens and all types."""
-    width = 1 + ENDINGS + classes
+def grid_of(bigrams: np.ndarray, of: np.ndarray) -> np.ndarray:
+    member = np.zeros((len(of), WIDTH))
+    member[np.arange(len(of)), of] = 1
+    return member.T @ bigrams @ member
 
-    def add(batches):
-        for batch in batches:
-            for keys, n in zip(arrays(batch.column("keys"), "<u8"), arrays(batch.column("counts"), "<i8")):
-                own = of[place_of(keys, known)]
-                parts = [np.bincount(own, weights=w, minlength=width).astype(np.int64) for w in (n, n == 1, np.ones(len(n)))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), *map(pa.array, parts)], ["c", "tokens", "once", "types"])
 
-    summed = counts.mapInArrow(add, "c long, tokens long, once long, types long").groupBy("c")
-    found = summed.agg(F.sum("tokens").alias("tokens"), F.sum("once").alias("once"), F.sum("types").alias("types")).toPandas()
-    out = np.zeros((width, 3), np.int64)
-    if len(found):
-        out[found["c"].to_numpy(np.int64)] = found[["tokens", "once", "types"]].to_numpy(np.int64)
-    return out[:, :2], int(out[:, 0].sum()), int(out[:, 2].sum())
+def likelihood(grid: np.ndarray) -> float:
+    """The part of the training likelihood that depends on the classes."""
+    return float(xlogx(grid).sum() - xlogx(grid.sum(0)).sum() - xlogx(grid.sum(1)).sum())
 
 
-def fit(docs: DataFrame, bits: int) -> tuple[BrownModel, DataFrame]:
-    """The bounded model and the table of all counts, from all rows of ``docs(text)``."""
-    counts = kept(count_words(docs, bits), "word_counts")
-    known, n = frequent_words(counts, FREQUENT)
-    bigrams = bigram_counts(docs, known)
-    of = exchange(bigrams, CLASSES)
-    totals, tokens, types = class_totals(counts, known, of, CLASSES)
-    member = np.zeros((len(of), 1 + ENDINGS + CLASSES))
-    member[np.arange(len(of)), of] = 1
-    grid = member.T @ bigrams @ member
-    single = (totals[:, 0] + 1) / (totals[:, 0] + 1).sum()
-    transitions = np.log10((grid + PRIOR * single) / (grid.sum(1, keepdims=True) + PRIOR))
-    unseen = np.zeros(len(totals))  # only classes of endings meet unseen words
-    rare = np.arange(1, 1 + ENDINGS)
-    unseen[rare] = np.where(totals[rare, 0] > 0, (totals[rare, 1] + 0.5) / (totals[rare, 0] + 1), 1)
-    return BrownModel(known, of, n, transitions, totals[:, 0], unseen, tokens, types), counts
+TOLD = {"bucket": pa.int32(), "block": pa.binary(), "pair": pa.int32(), "n": pa.int64()}
+TOLD_TEXT = "bucket int, block binary, pair int, n long"
 
 
-def distinct_keys(texts: pa.Array, known: np.ndarray) -> np.ndarray:
-    """Sorted keys, other than the frequent ones, of the words of a chunk."""
-    keys = [k for lo, hi in slices(texts) for k in [keyed(texts.slice(lo, hi - lo))[1]]]
-    keys = np.unique(np.concatenate([np.array([END_KEY]), *keys]))  # the end is always asked for
-    return keys[lookup(known, keys) < 0]
+def context_rows(texts: list[Texts], keys: np.ndarray, classes: np.ndarray, wanted: np.ndarray, bits: int) -> pa.Table:
+    """By bucket, the wanted words' counts of classes before them and (from WIDTH on) after them, compressed."""
+    tokens, before, after = (np.concatenate(c) for c in zip(*(t.neighbours(classes) for t in texts)))
+    use = wanted[tokens]
+    tokens, before, after = tokens[use], before[use], after[use]
+    both = np.concatenate([tokens * 2 * WIDTH + before, tokens * 2 * WIDTH + WIDTH + after])
+    pair, n = np.unique(both, return_counts=True)
+    word, context = pair // (2 * WIDTH), (pair % (2 * WIDTH)).astype(np.uint8)
+    words, first = np.unique(word, return_index=True)
+    ends = np.append(first[1:], len(word))
+    out = {name: [] for name in TOLD}
+    for bucket, lo, hi in runs(keys[words], bits):
+        a, b = first[lo], ends[hi - 1]
+        own = {"keys": keys[words[lo:hi]].tobytes(), "sizes": (ends[lo:hi] - first[lo:hi]).astype(np.uint8).tobytes(), "contexts": context[a:b].tobytes(), "n": n[a:b].astype("<u4").tobytes()}
+        values = (bucket, packed_rows(pa.RecordBatch.from_pydict({k: [v] for k, v in own.items()})), None, None)
+        for name, value in zip(TOLD, values):
+            out[name].append(value)
+    return table(out, TOLD)
 
 
-def score(docs: DataFrame, model: BrownModel, counts: DataFrame, bits: int, total: int) -> DataFrame:
-    """``doc_id, n_tokens, n_known, base_score, score`` per row of ``docs(doc_id, text)``.
+def bucket_contexts(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A bucket's words, sorted, and their context counts."""
+    told = pa.concat_tables([unpacked_rows(x) for x in blocks])
+    keys = np.concatenate(arrays(told["keys"], "<u8"))
+    sizes, contexts, n = (np.concatenate(arrays(told[c], kind)) for c, kind in (("sizes", "u1"), ("contexts", "u1"), ("n", "<u4")))
+    keys, back = np.unique(keys, return_inverse=True)
+    cell = np.repeat(back, sizes) * 2 * WIDTH + contexts
+    return keys, np.bincount(cell, weights=n, minlength=len(keys) * 2 * WIDTH).reshape(len(keys), 2 * WIDTH)
+
+
+def best_classes(counts: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """The class of greatest likelihood for each word, given its neighbours' classes and the class bigrams ``grid``."""
+    smooth = grid + 0.1
+    to = np.log(smooth / smooth.sum(1, keepdims=True))  # [d, c]: log p(c | d)
+    size = np.log(grid.sum(0) + 1.0)
+    n = counts[:, :WIDTH].sum(1, keepdims=True)
+    score = counts[:, :WIDTH] @ to + counts[:, WIDTH:] @ to.T - n * size
+    return FIXED + score[:, FIXED:].argmax(1)
+
+
+PLACED = {"bucket": pa.int32(), "keys": pa.binary(), "counts": pa.binary(), "classes": pa.binary()}
+PLACED_TEXT = "bucket int, keys binary, counts binary, classes binary"
 
-    A null or empty text is its end alone. Repeated rows are scored each; no rows give no rows.
-    """
-    chunks = chunked(docs, total)
-    asked = {"bucket": pa.int32(), "chunk": pa.int32(), "keys": pa.binary()}
-    answered = {"chunk": pa.int32(), "bucket": pa.int32(), "counts": pa.binary()}
 
-    def ask(rows: pa.Table) -> pa.Table:
-        keys = distinct_keys(as_array(rows["text"]), model.known)
-        cut = [(b, keys[lo:hi].tobytes()) for b, lo, hi in runs(keys, bits)]
-        chunk = first_value(rows["chunk"])
-        return table({"bucket": [b for b, _ in cut], "chunk": [chunk] * len(cut), "keys": [k for _, k in cut]}, asked)
+def placed(words: DataFrame, contexts: DataFrame, grid: np.ndarray, known: np.ndarray, of: np.ndarray) -> DataFrame:
+    """``bucket, keys, counts, classes`` of the vocabulary; words with contexts get their best class, of the others the core
+    keeps its own and words never seen in training are open."""
 
-    def answer(requests: pa.Table, held: pa.Table) -> pa.Table:
+    def place(held: pa.Table, told: pa.Table) -> pa.Table:
         keys = np.concatenate([np.empty(0, np.uint64), *arrays(held["keys"], "<u8")])
-        n = np.concatenate([np.empty(0, np.int64), *arrays(held["counts"], "<i8")])
-        found = [lookup(keys, wanted) for wanted in arrays(requests["keys"], "<u8")]
-        packed_counts = [(np.where(at >= 0, n[at], 0) if len(n) else np.zeros(len(at), np.int64)).tobytes() for at in found]
-        return table({"chunk": requests["chunk"].to_pylist(), "bucket": requests["bucket"].to_pylist(), "counts": packed_counts}, answered)
-
-    def weigh(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = as_array(rows["text"])
-        keys = distinct_keys(texts, model.known)
-        order = np.argsort(answers["bucket"].to_numpy(), kind="stable")
-        parts = arrays(answers["counts"], "<i8")
-        n = np.concatenate([np.empty(0, np.int64), *(parts[i] for i in order)])
-        merged = np.concatenate([keys, model.known])
-        counted = np.concatenate([n, model.counts])
-        order = np.argsort(merged)
-        merged, counted = merged[order], counted[order]
-        out = {name: [] for name in ("n_tokens", "n_known", "base_score", "score")}
-        for lo, hi in slices(texts):
-            words, own = keyed(texts.slice(lo, hi - lo))
-            own = np.concatenate([own, [END_KEY]])
-            c = counted[lookup(merged, own)]
-            place = place_of(own, model.known)
-            of = model.classes[place]
+        classes = core_classes(keys, known, of)
+        if told.num_rows:
+            there, counts = bucket_contexts(told["block"].to_pylist())
+            classes[lookup(keys, there)] = best_classes(counts, grid)
+        return table({"bucket": held["bucket"].to_pylist(), "keys": [keys.tobytes()], "counts": held["counts"].to_pylist(), "classes": [classes.astype("u1").tobytes()]}, PLACED)
+
+    told = contexts.where("bucket is not null").select(F.col("bucket").alias("told_bucket"), "block")
+    return words.groupBy("bucket").cogroup(told.groupBy("told_bucket")).applyInArrow(place, PLACED_TEXT)
+
+
+def answered(requests: DataFrame, words: DataFrame, endings: np.ndarray | None = None, counts: bool = False) -> DataFrame:
+    """``chunk, bucket, classes, counts``: classes (and counts) of each chunk's keys; with ``endings``, unseen words get theirs."""
+    kinds = {"chunk": pa.int64(), "bucket": pa.int32(), "classes": pa.binary(), "counts": pa.binary()}
+
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        keys, n, classes = (arrays(held[c], kind)[0] for c, kind in (("keys", "<u8"), ("counts", "<i8"), ("classes", "u1")))
+        if endings is not None:
+            classes = np.where((n == 0) & (keys != END_KEY), endings[(keys & np.uint64(ENDINGS - 1)).astype(int)], classes)
+        places = arrays(asked["places"], "<i4")
+        out = {"chunk": asked["chunk"].to_pylist(), "bucket": asked["asked"].to_pylist(), "classes": [classes[p].astype("u1").tobytes() for p in places]}
+        return table(out | {"counts": [n[p].tobytes() if counts else None for p in places]}, kinds)
+
+    asked = requests.select(F.col("bucket").alias("asked"), "chunk", "places")
+    return asked.groupBy("asked").cogroup(words.groupBy("bucket")).applyInArrow(answer, "chunk long, bucket int, classes binary, counts binary")
+
+
+def counted_pass(chunks: DataFrame, answers: DataFrame, bits: int, contexts: bool) -> DataFrame:
+    """``pair, n``: class bigrams of training texts given all words' classes; and, if asked for, ``bucket, block``: contexts."""
+
+    def count(held: pa.Table, found: pa.Table) -> pa.Table:
+        out = [table(dict.fromkeys(TOLD, []), TOLD)]
+        if held.num_rows:
+            texts = [Texts.read(block) for block in held["block"].to_pylist()]
+            keys = arrays(held["keys"], "<u8")[0] if contexts else np.empty(0, np.uint64)
+            classes = answers_of(found, "classes", "u1", held["size"][0].as_py()).astype(np.int64)
+            own, before, _ = (np.concatenate(c) for c in zip(*(t.neighbours(classes) for t in texts)))
+            grid = np.bincount(before * WIDTH + classes[own], minlength=WIDTH * WIDTH)
+            there = np.flatnonzero(grid)
+            none = [None] * len(there)
+            out.append(table({"bucket": none, "block": none, "pair": there, "n": grid[there]}, TOLD))
+            if contexts:
+                out.append(context_rows(texts, keys, classes, np.arange(len(classes)) > 0, bits))
+        return pa.concat_tables(out)
+
+    size = (F.octet_length("keys") / 8).cast("long").alias("size")
+    held = chunks.select("chunk", "block", size, *(["keys"] if contexts else []))
+    return held.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(count, TOLD_TEXT)
+
+
+def summed_grid(passed: DataFrame) -> np.ndarray:
+    found = passed.where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # class pairs
+    grid = np.zeros(WIDTH * WIDTH)
+    grid[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(float)
+    return grid.reshape(WIDTH, WIDTH)
+
+
+def first_contexts(chunks: DataFrame, known: np.ndarray, of: np.ndarray, bits: int) -> DataFrame:
+    """``bucket, block``: contexts of the words beyond the core, whose own neighbours beyond it are open."""
+
+    def count(batches):
+        for batch in batches:
+            for keys, block in zip(arrays(batch.column("keys"), "<u8"), batch.column("block").to_pylist()):
+                classes = core_classes(keys, known, of)
+                yield from context_rows([Texts.read(block)], keys, classes, classes == OPEN, bits).to_batches()
+
+    return chunks.select("keys", "block").mapInArrow(count, TOLD_TEXT)
+
+
+class BrownModel(NamedTuple):
+    """Transitions are log10 of p(class | class before); ``totals`` and ``unseen`` are a class's tokens and its mass for
+    words never seen, ``endings`` the class of such a word by its ending."""
+
+    grid: np.ndarray
+    transitions: np.ndarray
+    totals: np.ndarray
+    unseen: np.ndarray
+    endings: np.ndarray
+    tokens: int
+    types: int
+
+
+def class_model(words: DataFrame, grid: np.ndarray) -> BrownModel:
+    """From the class bigrams and the classes of ``words(keys, counts, classes)``, gathered in Spark by class and ending."""
+
+    def add(batches):
+        for batch in batches:
+            for keys, n, of in zip(*(arrays(batch.column(c), kind) for c, kind in (("keys", "<u8"), ("counts", "<i8"), ("classes", "u1")))):
+                cell = of.astype(np.int64) * ENDINGS + (keys & np.uint64(ENDINGS - 1)).astype(np.int64)
+                parts = [np.bincount(cell, weights=w, minlength=WIDTH * ENDINGS).astype(np.int64) for w in (n, n == 1, n > 0)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(WIDTH * ENDINGS)), *map(pa.array, parts)], ["cell", "tokens", "once", "types"])
+
+    summed = words.select("keys", "counts", "classes").mapInArrow(add, "cell long, tokens long, once long, types long").groupBy("cell")
+    found = summed.agg(*(F.sum(c).alias(c) for c in ("tokens", "once", "types"))).toPandas()  # classes times endings
+    cells = np.zeros((3, WIDTH * ENDINGS), np.int64)
+    if len(found):
+        cells[:, found["cell"].to_numpy(np.int64)] = found[["tokens", "once", "types"]].to_numpy(np.int64).T
+    tokens, once, types = cells.reshape(3, WIDTH, ENDINGS)
+    totals, free = tokens.sum(1), once[FIXED:]
+    endings = FIXED + np.where(free.sum(0) > 0, free.argmax(0), free.sum(1).argmax())
+    unseen = np.zeros(WIDTH)
+    open_ = np.unique(endings)
+    unseen[open_] = np.where(totals[open_] > 0, (once.sum(1)[open_] + 0.5) / (totals[open_] + 1), 1)
+    single = (totals + 1) / (totals + 1).sum()
+    transitions = np.log10((grid + PRIOR * single) / (grid.sum(1, keepdims=True) + PRIOR))
+    return BrownModel(grid, transitions, totals, unseen, endings, int(totals.sum()), int(types.sum()))
+
+
+class Fitted(NamedTuple):
+    model: BrownModel
+    chunks: DataFrame
+    requests: DataFrame
+    words: DataFrame
+
+
+def fit(docs: DataFrame, sweeps: int = SWEEPS) -> Fitted:
+    """The model, the numbered chunks of ``docs(doc_id, text)``, what they ask for, and all words with counts and classes.
+    Rows that are held out are numbered too, but nothing is learned from them."""
+    bits = bucket_bits(text_bytes(docs))
+    given = docs.select(row_key().alias("row_key"), F.col("doc_id").cast("long"), F.col("text").cast("string"), (~held_out()).alias("train"))
+    chunks = kept(numbered(given), "chunks")
+    found = kept(vocabulary(chunks, bits), "vocabulary")
+    counts, requests = found.where("chunk is null").select("bucket", "keys", "counts"), found.where("chunk is not null").select("bucket", "chunk", "places")
+    known, _ = frequent_words(counts, CORE)
+    bigrams = core_bigrams(chunks, known)
+    of = exchange(bigrams, CLASSES)
+    grid, known_classes = grid_of(bigrams, of), of[FIXED:]
+    words = kept(placed(counts, first_contexts(chunks, known, known_classes, bits), grid, known, known_classes), "classes")
+    for last in range(sweeps + 1):
+        passed = kept(counted_pass(chunks, answered(requests, words), bits, last < sweeps), "class_bigrams")
+        now = summed_grid(passed)
+        if last and likelihood(now) <= likelihood(grid):
+            words = before  # the sweep is taken back
+            break
+        grid, before = now, words
+        if last < sweeps:
+            words = kept(placed(counts, passed, grid, known, known_classes), "classes")
+        discard(passed)
+    return Fitted(class_model(words, grid), chunks, requests, words)
+
+
+def score(fitted: Fitted) -> DataFrame:
+    """``doc_id, n_tokens, n_known, base_score, score`` per row.
+
+    A null or empty text is its end alone. Repeated rows are scored each; no rows give no rows.
+    """
+    model = fitted.model
+    kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
+
+    def weigh(held: pa.Table, found: pa.Table) -> pa.Table:
+        done = [table(dict.fromkeys(kinds, []), kinds)]
+        for block, size in zip(held["block"].to_pylist(), held["size"].to_pylist()):
+            texts = Texts.read(block)
+            of = answers_of(found, "classes", "u1", size).astype(np.int64)
+            c = answers_of(found, "counts", "<i8", size)
             unseen = model.unseen[of]
             with np.errstate(divide="ignore"):
                 emit = np.log10(np.where(c > 0, (1 - unseen) * c / np.maximum(model.totals[of], 1), unseen))
-            emit[place == 0] = 0 if c[-1] else emit[place == 0]  # the end is its class's only word
-            end = len(own) - 1
-            tokens, ends = token_places(words, np.arange(end))
-            tokens[ends] = end
-            offsets = np.concatenate([[0], ends + 1])
-            classes = of[tokens]
-            before = np.concatenate([[0], classes[:-1]])
+            emit[0] = 0  # the end is its class's only word
             base = np.log10((c + 1) / (model.tokens + model.types + 1))
-            out["n_tokens"].append(np.diff(offsets))
-            out["n_known"].append(sum_by_text((c > 0).astype(np.int64)[tokens], offsets))
-            out["base_score"].append(sum_by_text(base[tokens], offsets))
-            out["score"].append(sum_by_text(emit[tokens] + model.transitions[before, classes], offsets))
-        return pa.table({"doc_id": rows["doc_id"], **{k: np.concatenate(v) for k, v in out.items()}})
-
-    requests = chunks.groupBy("chunk").applyInArrow(ask, "bucket int, chunk int, keys binary")
-    answers = requests.groupBy("bucket").cogroup(counts.groupBy("bucket"))
-    answers = answers.applyInArrow(answer, "chunk int, bucket int, counts binary").where("chunk is not null")
-    return (
-        chunks.groupBy("chunk")
-        .cogroup(answers.groupBy("chunk"))
-        .applyInArrow(weigh, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    )
+            classes = of[texts.tokens]
+            before = np.concatenate([[END], classes[:-1]])
+            each = {
+                "n_tokens": np.diff(texts.offsets), "n_known": sum_by_text((c > 0).astype(np.int64)[texts.tokens], texts.offsets),
+                "base_score": sum_by_text(base[texts.tokens], texts.offsets), "score": sum_by_text(emit[texts.tokens] + model.transitions[before, classes], texts.offsets),
+            }
+            done.append(pa.table({"doc_id": texts.doc_ids, **each}, pa.schema(list(kinds.items()))))
+        return pa.concat_tables(done)
+
+    size = (F.octet_length("keys") / 8).cast("long").alias("size")
+    answers = answered(fitted.requests, fitted.words, model.endings, counts=True)
+    held = fitted.chunks.select("chunk", "block", size)
+    return held.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(weigh, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def held_out():
@@ -329,12 +476,13 @@ def held_out():
 
 
 def class_scores(docs: DataFrame) -> DataFrame:
-    """Learns from the rows of ``docs(doc_id, text)`` that aren't held out and scores all rows."""
-    total = text_bytes(docs)
-    bits = bucket_bits(total)
-    model, counts = fit(docs.where(~held_out()), bits)
-    scored = score(docs, model, counts, bits, total)
-    return scored.withColumn("held_out", held_out()).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+    """Learns from the rows of ``docs(doc_id, text)`` that aren't held out and scores all rows; see ``score``.
+
+    A null doc_id is not held out. A very long text is a chunk of its own. Further columns are ignored. Words are known by
+    60-bit hashes (and four bits of their ending), so two words may in principle share a count.
+    """
+    fitted = fit(docs)
+    return score(fitted).withColumn("held_out", held_out()).withColumn("train_tokens", F.lit(fitted.model.tokens).cast("long"))
 
 
 def op3_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

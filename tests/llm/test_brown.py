@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from reelscribe.llm import brown
@@ -43,7 +44,7 @@ def likelihood(bigrams, of):
 
 def test_exchange_finds_a_local_best():
     rng = np.random.default_rng(5)
-    fixed = 1 + brown.ENDINGS
+    fixed = brown.FIXED
     size = fixed + 12
     kind = np.arange(12) % 2
     bigrams = rng.integers(0, 3, (size, size)).astype(float)
@@ -66,12 +67,44 @@ def test_classes_beat_the_base_on_held_out_text(spark):
     assert len(rows) > 50 and rows.score.sum() > rows.base_score.sum()
 
 
-def test_class_probabilities_sum_to_one(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    model, counts = brown.fit(docs, 6)
+def test_every_training_word_is_exchanged_and_scores_follow_from_the_classes(spark):
+    docs = documents(spark)
+    fitted = brown.fit(docs)
+    model = fitted.model
     assert np.allclose((10.0**model.transitions).sum(1), 1)
-    by_class = np.zeros(len(model.totals))
-    for r in counts.collect():
-        keys, n = np.frombuffer(r["keys"], "<u8"), np.frombuffer(r["counts"], "<i8")
-        np.add.at(by_class, model.classes[brown.place_of(keys, model.known)], n)
-    assert (by_class == model.totals).all()
+    classes, counts = {}, {}
+    for r in fitted.words.collect():
+        keys, n, of = (np.frombuffer(r[c], kind) for c, kind in (("keys", "<u8"), ("counts", "<i8"), ("classes", "u1")))
+        classes |= dict(zip(keys.tolist(), of.tolist()))
+        counts |= dict(zip(keys.tolist(), n.tolist()))
+    rows = [(r.doc_id, brute_words(lower(r.text))) for r in docs.collect()]
+    vocab = sorted({w for _, ws in rows for w in ws})
+    key = dict(zip(vocab, brown.word_keys(pa.array([w.decode() for w in vocab])).tolist()))
+    out = [d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows]
+    tokens = [[key[w] for w in ws] + [0] for _, ws in rows]
+    seen = Counter(t for ts, o in zip(tokens, out) if not o for t in ts)
+    assert all(counts[k] == seen[k] for k in counts)
+    assert all(classes[k] >= brown.FIXED for k in seen if k)  # no word of the training texts is left out
+    grid = np.zeros((brown.WIDTH, brown.WIDTH))
+    for ts, o in zip(tokens, out):
+        for a, b in zip([0] + ts, [] if o else ts):
+            grid[classes[a], classes[b]] += 1
+    assert (grid == model.grid).all()
+
+    def score(ts):
+        of = [classes[t] if seen[t] or not t else int(model.endings[t % brown.ENDINGS]) for t in ts]
+        total = sum(model.transitions[a, b] for a, b in zip([0] + of, of))
+        for t, c in zip(ts, of):
+            if t:
+                total += math.log10((1 - model.unseen[c]) * seen[t] / model.totals[c] if seen[t] else model.unseen[c])
+        return total
+
+    wanted = sorted(((d is not None, d, round(score(ts), 4)) for (d, _), ts in zip(rows, tokens)), key=str)
+    got = sorted(((r.doc_id is not None, r.doc_id, round(r.score, 4)) for r in brown.score(fitted).collect()), key=str)
+    assert got == wanted
+
+
+def test_a_sweep_never_lowers_the_likelihood(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    none, some = (brown.likelihood(brown.fit(docs, n).model.grid) for n in (0, 2))
+    assert some >= none

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import kept
+from ..plans.storage import discard, kept
 
 
 def state_of(edges: DataFrame) -> tuple:
@@ -28,7 +28,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         floor = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(floor, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        last = edges
         edges = kept(small.unionByName(floor.select("a", F.col("m").alias("b"))).distinct(), "stars")
+        discard(last)
         before, state = state, state_of(edges)
         if state == before:
             return edges

@@ -1,11 +1,11 @@
 """Packed exchange of 64-bit keys between chunks of documents and buckets of the key space.
 
-A chunk is a hash class of doc_ids, holding a bounded amount of text. What a chunk asks or tells about its
+A chunk is a hash class of rows, holding a bounded amount of text. What a chunk asks or tells about its
 keys travels as one binary column per (chunk, bucket) of the key space, sorted, so that a shuffle of
 hundreds of millions of keys moves a few bytes each and no row objects. A key that every document has
 reaches its bucket once per chunk, not once per document, so no bucket grows with one key's frequency.
 
-``chunked`` deals rows by a hash of their doc_id; rows that needn't meet can instead stay where they are scanned
+``chunked`` deals rows by a hash of doc_id and text; rows that needn't meet can instead stay where they are scanned
 (``batch_chunks``), and then travel once, as compressed blocks, to meet the answers.
 """
 
@@ -35,10 +35,11 @@ def row_key():
 
 
 def chunked(docs: DataFrame, total: int, *more, size: int = CHUNK, least: int = 48) -> DataFrame:
-    """``chunk, doc_id, text`` and what ``more`` adds; every consumer shares one exchange of it."""
+    """``chunk, doc_id, text`` and what ``more`` adds; every consumer shares one exchange of it. Rows of one doc_id, or
+    without any, spread over the chunks by their texts."""
     count = max(least, -(-total // size))
     return docs.select(
-        F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(count)).cast("int").alias("chunk"),
+        F.pmod(row_key(), F.lit(count)).cast("int").alias("chunk"),
         F.col("doc_id").cast("long"),
         F.col("text").cast("string"),
         *more,

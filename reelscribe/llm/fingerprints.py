@@ -82,7 +82,8 @@ def range_of(starts: np.ndarray):
 
 
 def fingerprint_pairs(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """``doc_id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next`` per row.
+    """``doc_id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next, distinct_shingles, in_edited``
+    per row; the last two estimate the text's distinct shingles and the share of them that the edited text has.
 
     Takes ``docs(doc_id, text)``; a null text is empty. The next document is the next row by doc_id
     (nulls first), rows of one doc_id by text; after the last row comes the first, so a single row is
@@ -116,7 +117,7 @@ def fingerprint_pairs(docs: DataFrame, parts: int | None = None) -> DataFrame:
     return ordered.mapInArrow(
         _compare,
         "doc_id long, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, "
-        "near_edited double, near_next double",
+        "near_edited double, near_next double, distinct_shingles double, in_edited double",
     )
 
 
@@ -153,7 +154,7 @@ def _rows(pairs: list[tuple[int, str, str]]) -> pa.RecordBatch:
     sketches = [sketch(s) for s in shingle_sets(pa.array([*chain, *changed, *extra], pa.string()))]
     own, after, others = sketches[: len(chain)], sketches[len(chain) : len(chain) + len(pairs)], iter(sketches[len(chain) + len(pairs) :])
     nexts = [own[x] if x >= 0 else next(others) for x in follow]
-    names = ["doc_id", "n_chars", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = ["doc_id", "n_chars", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "distinct_shingles", "in_edited"]
     return pa.RecordBatch.from_arrays(
         [
             pa.array([x[0] for x in pairs], pa.int64()),
@@ -163,11 +164,43 @@ def _rows(pairs: list[tuple[int, str, str]]) -> pa.RecordBatch:
             pa.array([to_text(x) for x in after], pa.string()),
             pa.array([resemblance(a, b) for a, b in zip(own, after)], pa.float64()),
             pa.array([resemblance(a, b) for a, b in zip(own, nexts)], pa.float64()),
+            pa.array([distinct_count(a) for a in own[: len(pairs)]], pa.float64()),
+            pa.array([containment(a, b) for a, b in zip(own, after)], pa.float64()),
         ],
         names,
     )
 
 
+def merged_sketches(docs: DataFrame, key: str, salts: int = 64) -> DataFrame:
+    """``key, fingerprint, distinct_shingles`` of each value of ``key``, from sketches of its parts.
+
+    A task merges what it sees of a key in each batch, salted groups merge those, and at most ``salts`` sketches of a key
+    meet in the end, so a key with a third of all rows is no group of rows anywhere. Null keys are a value of their own.
+    """
+
+    def part(batches):
+        for batch in batches:
+            texts, keys = as_array(batch.column("text")), as_array(batch.column("key")).dictionary_encode(null_encoding="encode")
+            codes, found = keys.indices.to_pylist(), {}
+            for lo, hi in slices(texts):
+                for code, own in zip(codes[lo:hi], shingle_sets(texts.slice(lo, hi - lo))):
+                    found[code] = merge(found[code], sketch(own)) if code in found else sketch(own)
+            names = keys.dictionary.to_pylist()
+            columns = [pa.array([names[c] for c in found], pa.string()), pa.array([x.tobytes() for x in found.values()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "sketch"])
+
+    def together(rows: pa.Table) -> pa.Table:
+        whole = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in rows["sketch"].to_pylist()]))[:K]
+        return pa.table({"key": rows["key"].slice(0, 1), "sketch": pa.array([whole.tobytes()], pa.binary())})
+
+    schema = "key string, sketch binary"
+    parts = docs.select(F.col(key).cast("string").alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(part, schema)
+    parts = parts.withColumn("salt", F.pmod(F.xxhash64("sketch"), F.lit(salts))).groupBy("key", "salt").applyInArrow(together, schema)
+    text = F.pandas_udf(lambda s: s.map(lambda x: to_text(np.frombuffer(x, np.uint64))), "string")
+    count = F.pandas_udf(lambda s: s.map(lambda x: distinct_count(np.frombuffer(x, np.uint64))), "double")
+    return parts.groupBy("key").applyInArrow(together, schema).select("key", text("sketch").alias("fingerprint"), count("sketch").alias("distinct_shingles"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return fingerprint_pairs(docs).select(
@@ -178,4 +211,6 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "edited_fingerprint",
         "near_edited",
         "near_next",
+        "distinct_shingles",
+        "in_edited",
     )

@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import kept
@@ -427,20 +427,21 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, without near copies: one row of each component stays.
+    """The rows of ``docs``, all columns under any names, without near copies: one row of each component stays.
 
-    It is that of the least doc_id (null last), of several the one of the least row key, and of equal rows any
-    one. Rows without words all stay.
+    It is that of the least doc_id (null last), of several the one of the least row key, and of rows that share doc_id and
+    text the one whose other columns have the least hash. Rows without words, null texts among them, all stay. Repeats of
+    one row are reduced before they are shuffled.
     """
     found = grouped(docs)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
-    stays = found.where("n_shingles > 0").groupBy("root").agg(F.min_by("row_key", order).alias("stays_key"))
-    stays = stays.select("stays_key", F.lit(False).alias("stays_wordless"))
-    wordless = found.where("n_shingles = 0").select(F.col("row_key").alias("stays_key"), F.lit(True).alias("stays_wordless"))
-    chosen = stays.unionByName(wordless.distinct())
-    rows = docs.withColumn("stays_key", row_key()).join(chosen, "stays_key")
-    first = F.row_number().over(Window.partitionBy("stays_key").orderBy("stays_key"))
-    return rows.withColumn("stays_number", first).where("stays_number = 1 or stays_wordless").select(*docs.columns)
+    stays = found.where("n_shingles > 0").groupBy("root").agg(F.min_by("row_key", order).alias("key")).select("key")
+    worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+    keyed = docs.where(worded).select(row_key().alias("key"), F.xxhash64(*hashed).alias("tie"), whole)
+    once = keyed.groupBy("key").agg(F.min_by("whole", "tie").alias("whole")).join(stays, "key", "left_semi")
+    return once.select("whole.*").unionByName(docs.where(~worded))
 
 
 def op6_shingle_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,20 +85,23 @@ def count_features(docs: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, most_rows: int = 20_000, least: float = 2e-5) -> LanguageModel:
+def fit(docs: DataFrame, most_rows: int = 5_000, least: float = 2e-5) -> LanguageModel:
     """Learns from rows of ``docs(doc_id, text, lang)`` that have a lang and a text.
 
-    Of more than ``most_rows`` such rows, a hash of doc_id picks about that many; that is the classifier's
-    bound. A feature needs at least two sightings and ``least`` of its language's total.
+    Of a language with more than ``most_rows`` such rows a hash of doc_id and text picks about that many; that is the
+    classifier's bound, and a rare language keeps all its rows. A feature needs at least two sightings and ``least`` of
+    its language's total. Further columns are ignored; no rows give a model without languages.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = known.count()
-    if rows > most_rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(most_rows / rows * (1 << 30)))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    rows = known.groupBy("lang").count().collect()  # a row per language
+    shares = [(r["lang"], min(1.0, most_rows / r["count"])) for r in rows]
+    shares = docs.sparkSession.createDataFrame(shares, "lang string, share double")  # of known size: broadcast if that is small
+    picked = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    known = known.join(shares, "lang").where(picked)
     counts = count_features(known.select("text", "lang"))
     totals = counts.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
     found = (
-        counts.join(F.broadcast(totals), ["lang", "kind"])  # a row per language and kind
+        counts.join(totals, ["lang", "kind"])  # a row per language and kind
         .where((F.col("n") >= 2) & (F.col("n") >= F.col("total") * least))
         .select("lang", "kind", "key", F.log(F.col("n") / F.col("total")).alias("logp"))
         .toPandas()
@@ -161,7 +164,8 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     A null text, one without a letter, and any text under a model without languages are ``und`` with
     score 0. Otherwise score is the softmax share of the best language, with the evidence of a longer
-    text scaled down to that of ``EVIDENCE`` words; ties go to the first language in order.
+    text scaled down to that of ``EVIDENCE`` words; ties go to the first language in order. A very long text is a slice
+    of its own. Repeated rows and null doc_ids are rows like others.
     """
 
     def predict(batches):

@@ -43,11 +43,13 @@ def byte_shards(docs: DataFrame, shards: int = 8, together: float = 1 / 16) -> D
     placed = ranged.join(offsets, "part").withColumn(
         "start", F.col("before") + F.coalesce(F.sum("size").over(local), F.lit(0))
     )
-    groups = placed.groupBy("h").agg(
-        F.min("start").alias("first"), F.sum("size").alias("group_bytes"), F.count("*").alias("rows")
-    )
+    # A group of equal texts may lie in many ranges; its totals are put together from one row per range and joined back
+    # by range, so that a group of any size is never one key's rows.
+    every = Window.partitionBy("h")
+    groups = placed.groupBy("part", "h").agg(F.min("start").alias("first"), F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    groups = groups.select("part", "h", F.min("first").over(every).alias("first"), F.sum("bytes").over(every).alias("group_bytes"), F.sum("rows").over(every).alias("rows"))
     groups = groups.where("rows > 1").drop("rows")
-    cut = placed.join(groups, "h", "left").withColumn(
+    cut = placed.join(groups, ["part", "h"], "left").withColumn(
         "at",
         F.when(F.col("group_bytes") <= F.col("total") * F.lit(together / shards), F.col("first")).otherwise(F.col("start")),
     )

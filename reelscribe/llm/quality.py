@@ -243,8 +243,9 @@ def gram_scores(counts: DataFrame) -> DataFrame:
     for order in range(1, ORDER + 1):
         sizes = [F.count_if(F.col("n") == i).alias(f"n{i}") for i in range(1, 5)]
         found = levels[order].groupBy("lang").agg(*sizes).collect()  # a row per language
-        cuts = [(r["lang"], *map(float, counted_discounts([r[f"n{i}"] for i in range(1, 5)]))) for r in found]
-        cuts = spark.createDataFrame(cuts, "lang string, d1 double, d2 double, d3 double")  # of known size: broadcast if that is small
+        cuts = np.array([counted_discounts([r[f"n{i}"] for i in range(1, 5)]) for r in found]).reshape(-1, 3)
+        names = pa.array([r["lang"] for r in found], pa.string())
+        cuts = spark.createDataFrame(pa.table({"lang": names, "d1": cuts[:, 0], "d2": cuts[:, 1], "d3": cuts[:, 2]}))
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         context = F.substring("gram", 1, order - 1) if order > 1 else F.lit("")
         grams = levels[order].join(cuts, "lang").select("lang", "gram", "n", cut.alias("cut"), context.alias("context"), suffix.alias("suffix"), *(more if order == ORDER else []))
@@ -366,8 +367,8 @@ def median(rows: DataFrame, value: str, name: str, step: float = 1e-5) -> DataFr
 
 
 def by_language(rows: DataFrame) -> DataFrame:
-    """The same rows, one per language, as a table of known size, which Spark broadcasts if it is small."""
-    return rows.sparkSession.createDataFrame([tuple(r) for r in rows.collect()], rows.schema)
+    """The same rows, one per language, as an Arrow table: its size is known, and Spark broadcasts it if it is small."""
+    return rows.sparkSession.createDataFrame(rows.toArrow())
 
 
 def judged(docs: DataFrame, width: float, narrowest: float) -> DataFrame:

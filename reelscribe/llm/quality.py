@@ -186,6 +186,17 @@ MERGED = {"bucket": pa.int32(), "key": pa.int64(), "lang": pa.string(), "gram":
 MERGED_TEXT = "bucket int, key long, lang string, gram string, n long, chunk long, places binary"
 
 
+def packed_places(places: np.ndarray) -> bytes:
+    """Ascending places as steps, byte plane by byte plane: the upper planes are nearly all zero, and shrink to nothing
+    where files and shuffles compress them."""
+    return np.diff(places, prepend=0).astype("<u4").view("u1").reshape(-1, 4).T.tobytes()
+
+
+def unpacked_places(packed: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(packed, "u1").reshape(4, -1).T).view("<u4")[:, 0]
+    return np.cumsum(steps.astype(np.int64))
+
+
 def merge(rows: pa.Table) -> pa.Table:
     """A bucket's distinct grams with their keys and counts, and for each chunk the places of its grams among them."""
     told = pa.concat_tables([unpacked_rows(x) for x in rows["block"].to_pylist()])
@@ -200,7 +211,7 @@ def merge(rows: pa.Table) -> pa.Table:
     n = np.zeros(len(keys), np.int64)
     np.add.at(n, back, np.concatenate(counts).astype(np.int64))
     grams = np.ascontiguousarray(points[first]).view(f"<U{ORDER}")[:, 0]
-    places = [x.astype("<i4").tobytes() for x in np.split(back, np.cumsum([len(x) for x in counts])[:-1])]
+    places = [packed_places(x) for x in np.split(back, np.cumsum([len(x) for x in counts])[:-1])]
     bucket = first_value(rows["bucket"])
     held = {"bucket": [bucket] * len(keys), "key": keys.view(np.int64), "lang": np.array(names, object)[lang[first]], "gram": grams.astype(object), "n": n}
     asked = {"bucket": [bucket] * len(counts), "chunk": rows["chunk"].to_pylist(), "places": places}
@@ -309,7 +320,7 @@ def measure(docs: DataFrame, found: DataFrame) -> DataFrame:
     def answer(requests: pa.Table, held: pa.Table) -> pa.Table:
         keys = held["key"].to_numpy().view(np.uint64)
         logp = np.log(held["p"].to_numpy())[np.argsort(keys)]
-        found = [logp[places].tobytes() for places in arrays(requests["places"], "<i4")]
+        found = [logp[unpacked_places(x)].tobytes() for x in requests["places"].to_pylist()]
         return table({"chunk": requests["chunk"].to_pylist(), "bucket": requests["asked"].to_pylist(), "logp": found}, ANSWERED)
 
     def weigh(held: pa.Table, answers: pa.Table) -> pa.Table:

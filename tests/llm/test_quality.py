@@ -45,6 +45,12 @@ def test_a_rare_gram_is_scored_from_all_counts(spark):
     assert row.perplexity == pytest.approx(np.exp(-sum(logs) / len(logs)))
 
 
+@pytest.mark.parametrize("places", [[], [0], [7], [0, 1, 300, 70_000, 20_000_000]])
+def test_places_come_back(places):
+    packed = quality.packed_places(np.array(places, np.int64))
+    assert len(packed) == 4 * len(places) and quality.unpacked_places(packed).tolist() == places
+
+
 def test_discounts_of_chen_and_goodman():
     counts = np.array([1] * 40 + [2] * 15 + [3] * 8 + [4] * 5)
     y = 40 / 70

@@ -313,9 +313,9 @@ MEASURED = (
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_perplexity", "log_level"]
 
 
-def measure(docs: DataFrame, found: DataFrame) -> DataFrame:
+def measure(docs: DataFrame, found: DataFrame, more: list[str]) -> DataFrame:
     """``doc_id, lang``, the base counts, ``base_failed``, ``log_perplexity`` and ``log_level`` (null without words) per row,
-    and further columns of ``docs``, which is ``scanned``; ``found`` is its ``gram_table``."""
+    and the columns ``more`` of ``docs``, which is ``scanned``; ``found`` is its ``gram_table``."""
 
     def answer(requests: pa.Table, held: pa.Table) -> pa.Table:
         keys = held["key"].to_numpy().view(np.uint64)
@@ -334,7 +334,6 @@ def measure(docs: DataFrame, found: DataFrame) -> DataFrame:
             done.append(pa.table({"doc_id": rows["doc_id"], "lang": rows["lang"]} | named | {c: rows[c] for c in more}))
         return pa.concat_tables(done) if done else to_arrow_schema(schema).empty_table()
 
-    more = [c for c in docs.columns if c not in ("row_key", "doc_id", "text", "lang")]
     schema = T.StructType(T._parse_datatype_string(MEASURED).fields + [docs.schema[c] for c in more])
     scores = gram_scores(found.where("gram is not null").select("lang", "gram", "n", "bucket", "key")).select("bucket", "key", "p")
     requests = found.where("chunk is not null").select(F.col("bucket").alias("asked"), "chunk", "places")
@@ -382,9 +381,9 @@ def by_language(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.createDataFrame(rows.toArrow())
 
 
-def judged(docs: DataFrame, width: float, narrowest: float) -> DataFrame:
-    found = kept(gram_table(docs), "grams")
-    scored = kept(measure(docs, found), "quality")
+def judged(docs: DataFrame, width: float, narrowest: float, more: list[str]) -> DataFrame:
+    found = kept(gram_table(docs.select("row_key", "doc_id", "text", "lang")), "grams")
+    scored = kept(measure(docs, found, more), "quality")
     discard(found)
     sound = scored.where(~F.col("base_failed") & F.col("log_level").isNotNull()).select("lang", "log_level")
     middle = by_language(median(sound, "log_level", "middle"))
@@ -404,15 +403,19 @@ def judge(docs: DataFrame, width: float = WIDTH, narrowest: float = NARROWEST) -
     the base rules and have a null perplexity. A very long text is a chunk of its own. Further columns are ignored.
     Repeated rows count and return each; no rows give no rows.
     """
-    out = judged(scanned(docs), width, narrowest)
+    out = judged(scanned(docs), width, narrowest, [])
     exact = {name: F.exp(old) for name, old in (("perplexity", "log_perplexity"), ("level", "log_level"), ("low", "low"), ("high", "high"))}
     return out.withColumns(exact).drop("log_perplexity", "log_level")
 
 
 def keep_sound(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns under any names, that pass; each row travels through the scoring itself."""
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
-    return judged(scanned(docs, whole), WIDTH, NARROWEST).where("kept").select("whole.*")
+    """The rows of ``docs``, all columns under any names, that pass; each row travels through the scoring itself, and
+    its text, where it is a string, once."""
+    once = "text" in docs.columns and docs.schema["text"].dataType == T.StringType()
+    others = [c for c in docs.columns if not (once and c == "text")]
+    rest = F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest")
+    sound = judged(scanned(docs, rest), WIDTH, NARROWEST, ["text", "rest"] if once else ["rest"]).where("kept")
+    return sound.select(*(F.col(f"rest.`{c}`") if c in others else F.col("text") for c in docs.columns))
 
 
 def op2_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

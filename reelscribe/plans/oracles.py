@@ -223,6 +223,32 @@ answered AS (SELECT *, kind = 'pixel-pending' AS pending, bubble_no % 7 <> 0 AS
 resolved AS (SELECT recording_id, g, bubble_no, text, coalesce(label, CASE WHEN given THEN said END) AS label, pending AND (NOT given OR said IS NULL) AS warned, pending AND NOT given AS failed,
   CASE WHEN NOT pending THEN kind WHEN NOT given THEN 'pixel-error' WHEN said IS NOT NULL THEN 'pixel-color' ELSE 'pixel-unresolved' END AS kind FROM answered)"""
 
+#: Where each frame's view starts on the page, and the pixels of views and previews, as the queries derive them.
+POSITIONS = frames() + """,
+placed AS (SELECT recording_id, frame_idx, CAST(sum(CASE WHEN frame_idx = 0 THEN 100 ELSE 4 * ((7 * recording_id + 20 * frame_idx) % 30 - 5) END)
+  OVER (PARTITION BY recording_id ORDER BY frame_idx) AS BIGINT) AS position FROM frames)"""
+
+
+def page(recording: str, row: str, column: str = "0") -> str:
+    return f"((7 * {row} * {row} + 31 * {row} + 13 * {recording}) % 251 + {column})"
+
+
+def pixels(rows: str, columns: str) -> str:
+    """``pixels(recording_id, frame_idx, y, x, r, g, b)`` for ranges of rows and columns of all views."""
+    return f"""
+pixels AS (SELECT recording_id, frame_idx, y, x, v % 256 AS r, 3 * v % 256 AS g, (5 * v + 7) % 256 AS b FROM (
+  SELECT recording_id, frame_idx, y, x, CASE WHEN frame_idx % 3 = 1 AND y % 28 = 12 THEN 17 * x + 5 * frame_idx % 200 ELSE {page('recording_id', '(y + position)', 'x')} END AS v
+  FROM placed, unnest({rows}) AS a(y), unnest({columns}) AS b(x)))"""
+
+
+#: The coarse search in full: every template row against every place.
+PIXEL_SHIFTS = POSITIONS + f""", {pixels("range(8, 472, 4)", "range(0, 4, 4)")},
+coarse AS (SELECT recording_id, frame_idx, (y - 8) // 4 AS i, (77 * r + 150 * g + 29 * b) // 256 AS v FROM pixels),
+sums AS (SELECT n.recording_id, n.frame_idx, o.i - n.i + 15 AS t, sum(abs(o.v - n.v)) AS s FROM coarse n JOIN coarse o ON o.recording_id = n.recording_id AND o.frame_idx = n.frame_idx - 1
+    AND o.i BETWEEN n.i - 15 AND n.i + 26 WHERE n.i >= 15 AND n.i < 90 GROUP BY ALL),
+shifts AS (SELECT recording_id, CAST(frame_idx AS INTEGER) AS pair_idx, CAST(4 * best.t - 60 AS INTEGER) AS dy, 1 - least(1, CAST(best.s AS DOUBLE) / 4800) AS conf
+  FROM (SELECT recording_id, frame_idx, min(struct_pack(s, t)) AS best FROM sums GROUP BY 1, 2))"""
+
 SQL = {
     "frame_plan": """
 WITH r AS (SELECT doc_id AS recording_id, CAST(n_chars * 7 + 0.5 AS DOUBLE) AS d FROM documents WHERE doc_id IS NOT NULL AND n_chars > 0)
@@ -314,4 +340,52 @@ SELECT recording_id, frame_no, CASE WHEN bad_file THEN 'sequence' ELSE 'time' EN
     "normalized_lines": f"""WITH {LINES} SELECT recording_id, CAST(sum(length({normalized('text')})) AS BIGINT) AS n_chars, count(*) AS n_lines FROM lines GROUP BY 1""",
     "digests": """SELECT doc_id AS run_id, sha256(text) AS sha256, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN text LIKE '%' || chr(10) THEN 1 ELSE 0 END END AS n_lines,
   length(text) AS n_chars FROM documents WHERE text IS NOT NULL""",
+    "scroll_regions": f"""WITH {POSITIONS},
+shown AS (SELECT recording_id, frame_idx, y, CASE WHEN y < 24 OR y >= 188 OR (y >= 70 AND y < 70 + recording_id % 60) THEN {page('recording_id', 'y')} ELSE {page('recording_id', '(y + position)')} END AS v,
+    max(frame_idx) OVER (PARTITION BY recording_id) + 1 AS n FROM placed, unnest(range(0, 200)) AS a(y)),
+spread AS (SELECT recording_id, y, sqrt(greatest(0, sum(v * v) / count(*) - (sum(v) / count(*)) * (sum(v) / count(*)))) AS s FROM shown WHERE frame_idx >= floor(n * 0.4::DOUBLE) GROUP BY 1, 2),
+cut AS (SELECT recording_id, greatest(10, p85 * 0.7::DOUBLE) AS high, greatest(4, p85 * 0.28::DOUBLE) AS low FROM (SELECT recording_id, list(s ORDER BY s)[171] AS p85 FROM spread GROUP BY 1)),
+run AS (SELECT recording_id, min(y) AS top, max(y) + 1 AS bottom FROM (SELECT recording_id, y, y - row_number() OVER (PARTITION BY recording_id ORDER BY y) AS island FROM spread JOIN cut USING (recording_id) WHERE s >= high)
+  GROUP BY recording_id, island),
+seed AS (SELECT recording_id, arg_max(struct_pack(top, bottom), struct_pack(n := bottom - top, first := -top)) AS seed FROM run GROUP BY 1),
+grown AS (SELECT recording_id, y, seed, CASE WHEN y < seed.top THEN 'up' ELSE 'down' END AS way, CASE WHEN y < seed.top THEN seed.top - 1 - y ELSE y - seed.bottom END AS away
+  FROM spread JOIN cut USING (recording_id) JOIN seed USING (recording_id) WHERE s >= low AND (y < seed.top OR y >= seed.bottom)),
+gaps AS (SELECT *, away - coalesce(lag(away) OVER (PARTITION BY recording_id, way ORDER BY away), -1) - 1 >= 40 AS far FROM grown),
+near AS (SELECT *, bool_or(far) OVER (PARTITION BY recording_id, way ORDER BY away) AS past FROM gaps),
+ends AS (SELECT recording_id, coalesce(min(y), 200) AS top, coalesce(max(y), -1) + 1 AS bottom FROM near WHERE NOT past GROUP BY 1),
+found AS (SELECT c.recording_id, high, seed IS NOT NULL AS seen, least(seed.top, coalesce(e.top, 200)) AS top, greatest(seed.bottom, coalesce(e.bottom, 0)) AS bottom
+  FROM cut c LEFT JOIN seed USING (recording_id) LEFT JOIN ends e USING (recording_id))
+SELECT recording_id, CAST(CASE WHEN seen THEN top ELSE 0 END AS INTEGER) AS top, CAST(CASE WHEN seen THEN bottom ELSE 200 END AS INTEGER) AS bottom, high AS threshold,
+  seen AND bottom - top >= 60 AS ok FROM found""",
+    "pixel_shifts": f"""WITH {PIXEL_SHIFTS} SELECT * FROM shifts""",
+    "key_frames": f"""WITH RECURSIVE {PIXEL_SHIFTS},
+moved AS (SELECT recording_id, 0 AS k, 0 AS dy FROM shifts GROUP BY 1 UNION ALL SELECT recording_id, pair_idx, dy FROM shifts),
+settled AS (SELECT recording_id, k, dy, sum(greatest(dy, 0)) OVER w AS place, max(CASE WHEN dy < 0 THEN 0 ELSE k END) OVER w AS solid FROM moved WINDOW w AS (PARTITION BY recording_id ORDER BY k)),
+known AS (SELECT s.*, t.place AS solid_place, lag(s.solid) OVER w AS before, lag(t.place) OVER w AS before_place FROM settled s JOIN settled t ON t.recording_id = s.recording_id AND t.k = s.solid
+  WINDOW w AS (PARTITION BY s.recording_id ORDER BY s.k)),
+walk AS (SELECT recording_id, k, 0 AS last, place AS last_place FROM known WHERE k = 0
+  UNION ALL SELECT n.recording_id, n.k, CASE WHEN n.place - w.last_place > 96 AND before > w.last THEN before WHEN n.place - w.last_place > 96 AND solid > w.last THEN solid ELSE w.last END,
+    CASE WHEN n.place - w.last_place > 96 AND before > w.last THEN before_place WHEN n.place - w.last_place > 96 AND solid > w.last THEN solid_place ELSE w.last_place END
+  FROM walk w JOIN known n ON n.recording_id = w.recording_id AND n.k = w.k + 1),
+kept AS (SELECT DISTINCT recording_id, last AS k FROM walk UNION SELECT recording_id, max(solid) FROM known GROUP BY 1),
+steps AS (SELECT recording_id, k, row_number() OVER w - 1 AS keep_no, place - lag(place) OVER w >= 160 AS wide FROM kept JOIN settled USING (recording_id, k) WINDOW w AS (PARTITION BY recording_id ORDER BY k))
+SELECT recording_id, CAST(keep_no AS INTEGER) AS keep_no, CAST(k AS INTEGER) AS frame_idx, CAST(dropped AS INTEGER) AS dropped, CAST(count(*) FILTER (wide) OVER (PARTITION BY recording_id) AS INTEGER) AS too_far
+FROM steps JOIN (SELECT recording_id, count(*) FILTER (dy < 0) AS dropped FROM moved GROUP BY 1) USING (recording_id)""",
+    # The scroll is known by construction: a frame is placed where it lies if that is below all before it.
+    "stitched_images": f"""WITH {POSITIONS},
+further AS (SELECT *, coalesce(position > max(position) OVER (PARTITION BY recording_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS new FROM placed)
+SELECT recording_id, CAST(4 AS INTEGER) AS width, CAST(max(position) - 100 + 480 AS INTEGER) AS height, string_agg(CAST(position - 100 AS VARCHAR), ',' ORDER BY frame_idx) FILTER (new) AS offsets,
+  CAST(count(*) FILTER (NOT new) AS INTEGER) AS skipped, CAST(0 AS INTEGER) AS n_unsure FROM further GROUP BY 1""",
+    "region_colours": f"""WITH {POSITIONS}, {pixels("range(0, 480)", "range(0, 4)")},
+asked AS (SELECT recording_id, frame_idx, kind, x0, y0, x1, y1 FROM (
+    SELECT recording_id, frame_idx, 'inside' AS kind, 1 AS x0, 40 + (11 * recording_id + 7 * frame_idx) % 300 AS y0, 3 AS x1, 43 + (11 * recording_id + 7 * frame_idx) % 300 + recording_id % 30 AS y1 FROM placed
+    UNION ALL SELECT recording_id, frame_idx, 'edge', 0, 470 - recording_id % 50, 2, least(480, 560 - recording_id % 50) FROM placed)),
+lit AS (SELECT a.*, p.r, p.g, p.b, p.r + p.g + p.b > 450 AS bright FROM asked a JOIN pixels p ON p.recording_id = a.recording_id AND p.frame_idx = a.frame_idx AND p.x >= x0 AND p.x < x1 AND p.y >= y0 AND p.y < y1),
+chosen AS (SELECT *, count(*) FILTER (bright) OVER w AS n_bright, count(*) OVER w AS n FROM lit WINDOW w AS (PARTITION BY recording_id, frame_idx, kind)),
+median AS (SELECT recording_id, frame_idx, kind, CAST(median(r) AS DOUBLE) AS red, CAST(median(g) AS DOUBLE) AS green, CAST(median(b) AS DOUBLE) AS blue, any_value(n_bright) AS n_bright, any_value(n) AS n
+  FROM chosen WHERE bright OR n_bright < 20 GROUP BY 1, 2, 3)
+SELECT recording_id, kind || '-' || frame_idx AS id, red, green, blue, CAST(n_bright AS INTEGER) AS bright_pixels, CAST(n AS INTEGER) AS decoded_pixels,
+  CASE WHEN green - blue > 40 THEN 'me' WHEN red > 245 AND green > 245 AND blue > 245 THEN 'them' END AS side, NULL::VARCHAR AS error FROM median
+UNION ALL SELECT recording_id, kind || '-' || frame_idx, NULL, NULL, NULL, 0, 0, NULL, error
+FROM placed, (VALUES ('empty', 'E_RECT'), ('outside', 'E_RECT'), ('frame', 'E_FULL_FRAME_FORBIDDEN'), ('missing', 'E_FRAME')) AS e(kind, error)""",
 }

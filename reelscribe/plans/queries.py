@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import ANCHOR_PARTS
 from ..functions.geometry import bubble_colour
 from ..functions.text import frame_file, normalized
-from ..operators import anchors, bands, bubbles, checks, dedupe, placement, planning, rows
+from ..operators import anchors, bands, bubbles, checks, dedupe, pixels, placement, planning, rows
 from ..sources import bundles
 from . import scroll
 from .oracles import SQL as SQL
@@ -249,6 +249,44 @@ def digests(spark, sf_dir):
     return checks.digests(docs.select(F.col("doc_id").alias("run_id"), "text"))
 
 
+def scroll_regions(spark, sf_dir):
+    return pixels.scroll_regions(scroll.preview_images(table(spark, sf_dir, "documents")))
+
+
+def pixel_shifts(spark, sf_dir):
+    images = scroll.scroll_images(table(spark, sf_dir, "documents"))
+    return pixels.adjacent_shifts(pixels.coarse_images(images, 8, 472))
+
+
+def key_frames(spark, sf_dir):
+    found = pixels.key_frames(pixel_shifts(spark, sf_dir), 160)
+    return found.select("recording_id", F.posexplode("keep").alias("keep_no", "frame_idx"), "dropped", "too_far")
+
+
+def stitched_images(spark, sf_dir):
+    made = pixels.stitched(scroll.scroll_images(table(spark, sf_dir, "documents")))
+    return made.select("recording_id", "width", "height", F.array_join("offsets", ",").alias("offsets"), "skipped", F.size("unsure").alias("n_unsure"))
+
+
+def region_colours(spark, sf_dir):
+    images = scroll.scroll_images(table(spark, sf_dir, "documents"))
+    k, r = F.col("frame_idx"), F.col("recording_id")
+    boxes = [  # inside, over an edge, empty, outside, the whole frame, no such frame
+        ("inside", k, F.lit(1), 40 + F.pmod(11 * r + 7 * k, F.lit(300)), F.lit(2), 3 + F.pmod(r, F.lit(30))),
+        ("edge", k, F.lit(-3), 470 - F.pmod(r, F.lit(50)), F.lit(5), F.lit(90)),
+        ("empty", k, F.lit(1), F.lit(5), F.lit(0), F.lit(9)),
+        ("outside", k, F.lit(9), F.lit(5), F.lit(4), F.lit(9)),
+        ("frame", k, F.lit(-1), F.lit(0), F.lit(9), F.lit(480)),
+        ("missing", k + 100_000_000, F.lit(1), F.lit(5), F.lit(2), F.lit(9)),
+    ]
+    names = ("id", "frame_idx", "x", "y", "width", "height")
+    made = F.array(*(F.struct(F.concat(F.lit(kind + "-"), k.cast("string")).alias("id"), *(v.cast("int").alias(n) for n, v in zip(names[1:], rest))) for kind, *rest in boxes))
+    frames = scroll.scroll_positions(table(spark, sf_dir, "documents"))
+    asked = frames.select("recording_id", F.explode(made).alias("box")).select("recording_id", "box.*")
+    rgb = [F.col("rgb")[i].alias(c) for i, c in enumerate(("red", "green", "blue"))]
+    return pixels.region_samples(asked, images).select("recording_id", "id", *rgb, "bright_pixels", "decoded_pixels", "side", "error")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -256,5 +294,6 @@ QUERIES = {
         frame_placement, anchor_warnings, content_lines, dedupe_lines, dedupe_stats, run_stats, plain_transcripts, format_plain, text_dedupe,
         spatial_dedupe, align_peaks, bubble_groups, speaker_sides, speaker_stats, chat_transcripts, region_requests, format_chat, bubble_colours,
         timing_reconcile, bundle_validation, normalized_lines, transcript_scores, digests,
+        scroll_regions, pixel_shifts, key_frames, stitched_images, region_colours,
     )
 }

@@ -10,16 +10,22 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized
 from ..operators import anchors, bands, dedupe, placement
 from ..operators.folds import dealt
+from ..operators.pixels import per_row
 from ..operators.rows import render_plain
 from .storage import kept
 
 PITCH, SCROLL, VIEW, HEADER_Y, CONTENT_Y, TOP_SLACK = 53, 131, 420, 100, 160, 390
+#: Images of the recordings: a view of a patterned page that starts at row 100.
+IMAGE_WIDTH, IMAGE_HEIGHT, PAGE_START = 4, 480, 100
+#: Grey preview images: their height, where what scrolls begins and ends, and where a quiet stretch in it begins.
+PREVIEW_HEIGHT, MOVES, RESTS, QUIET = 200, 24, 188, 70
 
 
 def document_lines(documents: DataFrame) -> DataFrame:
@@ -61,6 +67,53 @@ def scroll_observations(documents: DataFrame, misread: bool = False) -> DataFram
     )
 
 
+def scroll_positions(documents: DataFrame) -> DataFrame:
+    """``recording_id, frame_idx, position``: the page row at which each frame's view starts. It moves by -20 to 96 rows
+    a frame, in steps of four, and at most one step in three goes back."""
+    frames = scroll_frames(document_lines(documents)).select("recording_id", "frame_idx")
+    step = F.when(F.col("frame_idx") == 0, PAGE_START).otherwise(4 * (F.pmod(7 * F.col("recording_id") + 20 * F.col("frame_idx"), F.lit(30)) - 5))
+    so_far = Window.partitionBy("recording_id").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0)
+    return frames.withColumn("position", F.sum(step).over(so_far))
+
+
+def page(recording: int, rows: np.ndarray, width: int) -> np.ndarray:
+    """A pattern that no scroll within a view maps to itself."""
+    return (7 * rows * rows + 31 * rows + 13 * recording)[:, None] % 251 + np.arange(width)
+
+
+def view_pixels(recording: int, frame: int, position: int) -> tuple[bytes, int, int]:
+    """RGBA pixels of a view; one frame in three has a striped pop-up over it."""
+    y = np.arange(IMAGE_HEIGHT)
+    v = page(recording, y + position, IMAGE_WIDTH)
+    if frame % 3 == 1:
+        v[y % 28 == 12] = 17 * np.arange(IMAGE_WIDTH) + 5 * frame % 200
+    rgba = np.stack([v, 3 * v, 5 * v + 7, np.full_like(v, 255)], -1) % 256
+    return rgba.astype(np.uint8).tobytes(), IMAGE_WIDTH, IMAGE_HEIGHT
+
+
+def preview_pixels(recording: int, position: int) -> tuple[bytes, int, int]:
+    """Grey pixels of a preview: what scrolls between a still head and foot, around a quiet stretch."""
+    y = np.arange(PREVIEW_HEIGHT)
+    still = (y < MOVES) | (y >= RESTS) | ((y >= QUIET) & (y < QUIET + recording % 60))
+    v = np.where(still[:, None], page(recording, y, IMAGE_WIDTH), page(recording, y + position, IMAGE_WIDTH))
+    return v.astype(np.uint8).tobytes(), IMAGE_WIDTH, PREVIEW_HEIGHT
+
+
+IMAGE = "data binary, width int, height int"
+
+
+def scroll_images(documents: DataFrame) -> DataFrame:
+    """``recording_id, frame_idx, data, width, height``: RGBA views of the scrolled documents."""
+    made = per_row(view_pixels, IMAGE, "recording_id", "frame_idx", "position")
+    return scroll_positions(documents).select("recording_id", "frame_idx", made.alias("image")).select("recording_id", "frame_idx", "image.*")
+
+
+def preview_images(documents: DataFrame) -> DataFrame:
+    """``recording_id, frame_idx, data, width, height``: grey previews of the scrolled documents."""
+    made = per_row(preview_pixels, IMAGE, "recording_id", "position")
+    return scroll_positions(documents).select("recording_id", "frame_idx", made.alias("image")).select("recording_id", "frame_idx", "image.*")
+
+
 class Analysis:
     """The stages of the anchor plan, keyed by recording, from ``observations(recording_id, frame_idx, line_no, text, x,
     y, w, h)`` and ``frames(recording_id, frame_idx)``.

@@ -94,8 +94,8 @@ def fit(docs: DataFrame, most_rows: int = 5_000, least: float = 2e-5) -> Languag
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     rows = known.groupBy("lang").count().collect()  # a row per language
-    shares = [(r["lang"], min(1.0, most_rows / r["count"])) for r in rows]
-    shares = docs.sparkSession.createDataFrame(shares, "lang string, share double")  # of known size: broadcast if that is small
+    lang, share = pa.array([r["lang"] for r in rows], pa.string()), pa.array([min(1.0, most_rows / r["count"]) for r in rows], pa.float64())
+    shares = docs.sparkSession.createDataFrame(pa.table({"lang": lang, "share": share}))  # Arrow: Spark knows its size and broadcasts it if small
     picked = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.lit(1 << 30)) < F.col("share") * (1 << 30)
     known = known.join(shares, "lang").where(picked)
     counts = count_features(known.select("text", "lang"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, brown, fingerprints, jaccard, language_id, packing, quality, sharding, substrings, token_counts
+from . import bpe, brown, fingerprints, jaccard, language_id, packing, quality, sharding, substrings, token_counts, toxicity, variants, vector_codes
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_byte_shards": sharding.op8_byte_shards,
     "op9_language_id": language_id.op9_language_id,
     "op10_fingerprints": fingerprints.op10_fingerprints,
+    "op11_ftrl_toxicity": toxicity.op11_ftrl_toxicity,
+    "op12_spelling_variants": variants.op12_spelling_variants,
+    "op13_cover_tree_codes": vector_codes.op13_cover_tree_codes,
 }
 
 #: Each document's words and their places from 1.
@@ -55,13 +58,44 @@ low AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n_shingles, 0) AS n_shingles, component_id FROM low LEFT JOIN sizes USING (doc_id)
 """
 
-SHARDS = """
+#: CRC-32 of bytes, a table step for each.
+CRC = """
 WITH RECURSIVE bits AS (
   SELECT range AS n, range AS v, 0 AS step FROM range(256)
   UNION ALL SELECT n, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, step + 1 FROM bits WHERE step < 8
 ),
 lookup AS (SELECT list(v ORDER BY n) AS tab FROM bits WHERE step = 8),
+"""
+
+VARIANTS = rf"""{CRC}
+found AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents)
+),
+runs AS (SELECT doc_id, run, count(*) AS times FROM found GROUP BY ALL),
 octets AS (
+  SELECT *, [4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)), '..'), lambda b: CAST('0x' || b AS BIGINT)) AS b FROM runs
+),
+hashed AS (SELECT run, times, xor(list_reduce(b, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM octets, lookup),
+cut AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM hashed),
+vocab AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+holes AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM vocab, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM holes a JOIN holes b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM holes a JOIN vocab b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM holes a JOIN vocab b ON a.rest = b.word
+),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS top FROM near GROUP BY word),
+firsts AS (SELECT word, min(other) AS form FROM near JOIN best USING (word) WHERE other_n = top GROUP BY word),
+forms AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * n THEN form END AS form, CASE WHEN top >= 2 * n THEN top END AS form_n
+  FROM vocab LEFT JOIN best USING (word) LEFT JOIN firsts USING (word)
+),
+chain AS (SELECT word, word AS root, form AS next FROM forms UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON c.next = f.word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, root FROM chain WHERE next IS NULL) USING (word)
+"""
+
+SHARDS = f"""{CRC}octets AS (
   SELECT doc_id, [4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: CAST('0x' || b AS BIGINT)) AS b FROM documents
 ),
 sums AS (SELECT doc_id, xor(list_reduce(b, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM octets, lookup),
@@ -78,5 +112,34 @@ SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTI
 FROM cut JOIN sums USING (doc_id)
 """
 
+
+
+def codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Vector codes, a round after the other."""
+    sql = [f"""
+WITH sound AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, [CAST(floor(x * 4096) AS BIGINT) FOR x IN CAST(embedding AS DOUBLE[])] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+pieces AS (SELECT row, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS v FROM sound, range({parts}) t(p)),
+book0 AS (SELECT p, row - 1 AS e, v FROM pieces WHERE row <= {entries})"""]
+    for i in range(rounds + 1):
+        off = "list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        sql.append(f"""near{i} AS MATERIALIZED (
+  SELECT row, p, min(struct_pack(d := CAST({off} AS BIGINT), e := e)) AS best FROM pieces x JOIN book{i} b USING (p) GROUP BY row, p
+)""")
+        if i < rounds:
+            sql.append(f"""parts{i} AS (
+  SELECT p, best.e AS e, j, CAST(sum(v[j]) AS BIGINT) AS s, count(*) AS c FROM pieces JOIN near{i} USING (row, p), LATERAL (SELECT unnest(range(1, len(v) + 1)) AS j) GROUP BY ALL
+),
+moved{i} AS (SELECT p, e, list((s - ((s % c) + c) % c) // c ORDER BY j) AS v FROM parts{i} GROUP BY p, e),
+book{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.v, b.v) AS v FROM book{i} b LEFT JOIN moved{i} m USING (p, e))""")
+    return ",\n".join(sql) + f"""
+, codes AS (SELECT row, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near{rounds} GROUP BY row),
+digest AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM sound JOIN codes USING (row), digest
+"""
+
+
 #: The others score with trained models, run merge rounds of a vocabulary file or sketch hashes, which SQL can't express.
-SQL: dict[str, str] = {"op4_block_anchors": REPEATS, "op6_shingle_jaccard": NEAR, "op8_byte_shards": SHARDS}
+SQL: dict[str, str] = {"op4_block_anchors": REPEATS, "op6_shingle_jaccard": NEAR, "op8_byte_shards": SHARDS, "op12_spelling_variants": VARIANTS, "op13_cover_tree_codes": codes_sql()}

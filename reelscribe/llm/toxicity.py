@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.storage import discard, kept
-from .exchange import arrays, row_key
+from .exchange import arrays, packed_rows, row_key, unpacked_rows
 from .language_id import letters_of
 from .names import only
 from .words import as_array, hash_strings, horner, lookup, mix, slices, split_words, window_starts
@@ -89,18 +89,20 @@ def learn(state: State, features: np.ndarray, offsets: np.ndarray, labels: np.nd
         n[at] += g * g
 
 
-def sample(docs: DataFrame, labels: DataFrame, most_rows: int) -> DataFrame:
-    """``key, text, toxic``: distinct labelled texts of about ``most_rows`` labelled doc_ids at most, picked by a hash of the id."""
+def sample(docs: DataFrame, labels: DataFrame, most_rows: int) -> tuple[DataFrame, int]:
+    """``key, text, toxic``, distinct labelled texts of about ``most_rows`` labelled doc_ids at most, picked by a hash of the
+    id; and about how many ids there are."""
     known = only(labels, "doc_id", "toxic").where("doc_id is not null and toxic is not null")
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    share = min(1.0, most_rows / max(1, known.count()))
+    found = known.count()
+    share = min(1.0, most_rows / max(1, found))
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     texts = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(picked), "doc_id")  # at most about most_rows ids
-    return rows.groupBy(row_key().alias("key")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    return rows.groupBy(row_key().alias("key")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")), min(found, most_rows)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 16_000) -> Weights:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 8_000) -> Weights:
     """Learns from the texts of ``docs(doc_id, text)`` that ``labels(doc_id, toxic)`` marks 0 or 1.
 
     ``most_rows`` bounds the labelled documents: of more, a hash of doc_id picks about that many. An id with several labels
@@ -110,19 +112,22 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 16_000) -> Weights:
     spark = docs.sparkSession
 
     def pack(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("key")
-        texts, found = as_array(rows["text"]), []
+        block = packed_rows(rows.sort_by("key").select(["text", "toxic"]).combine_chunks().to_batches()[0])
+        return pa.table({"shard": rows["shard"].slice(0, 1), "block": pa.array([block], pa.binary())})
+
+    def features(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A shard's features, their number in each row, and the rows' labels."""
+        rows = unpacked_rows(block)
+        texts, flat, sizes = as_array(rows["text"]), [np.empty(0, "<u4")], [np.empty(0, np.int64)]
         for lo, hi in slices(texts):
-            flat, ends = distinct_features(texts.slice(lo, hi - lo))
-            found += [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
-        flat, sizes = np.concatenate([np.empty(0, "<u4"), *found]), np.array([len(x) for x in found], "<u4")
-        label = rows["toxic"].to_numpy().astype("u1")
-        return pa.table({"shard": rows["shard"].slice(0, 1), "features": pa.array([flat.tobytes()], pa.binary()), "sizes": pa.array([sizes.tobytes()], pa.binary()), "labels": pa.array([label.tobytes()], pa.binary())})
+            found, ends = distinct_features(texts.slice(lo, hi - lo))
+            flat.append(found)
+            sizes.append(np.diff(ends))
+        return np.concatenate(flat), np.concatenate(sizes), rows["toxic"].to_numpy()
 
-    rows = kept(sample(docs, labels, most_rows), "sample")
-    count_of = min(SHARDS, max(1, rows.count() // ROWS))
-    dealt = rows.withColumn("shard", F.pmod("key", F.lit(count_of)).cast("int"))
-    shards = kept(dealt.groupBy("shard").applyInArrow(pack, "shard int, features binary, sizes binary, labels binary"), "shards")
+    rows, labelled = sample(docs, labels, most_rows)
+    dealt = rows.withColumn("shard", F.pmod("key", F.lit(min(SHARDS, max(1, labelled // ROWS)))).cast("int"))
+    shards = kept(dealt.groupBy("shard").applyInArrow(pack, "shard int, block binary"), "shards")
 
     def spread(bucket_of: np.ndarray, columns: dict[str, np.ndarray]):
         """A shard's sorted coordinates by bucket, so that no task meets all of them."""
@@ -133,17 +138,28 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 16_000) -> Weights:
 
     def count(batches):
         for batch in batches:
-            for packed in batch.column("features").to_pylist():
-                keys, n = np.unique(np.frombuffer(packed, "<u4"), return_counts=True)
-                yield from spread(keys.astype(np.int64) * SHARDS >> BITS, {"keys": keys, "n": n.astype("<u4")})
+            for block in batch.column("block").to_pylist():
+                keys, n = np.unique(features(block)[0], return_counts=True)
+                yield from spread(keys.astype(np.int64) * SHARDS >> BITS, {"keys": keys, "n": n.astype("<u2")})
 
     def admit(found: pa.Table) -> pa.Table:
-        keys, n = (np.concatenate(arrays(found[name], "<u4")) for name in ("keys", "n"))
+        keys, n = np.concatenate(arrays(found["keys"], "<u4")), np.concatenate(arrays(found["n"], "<u2"))
         each, back = np.unique(keys, return_inverse=True)
         return pa.table({"keys": [each[np.bincount(back, weights=n) >= SEEN].astype("<u4").tobytes()]})
 
     admitted = shards.mapInArrow(count, "bucket int, keys binary, n binary").groupBy("bucket").applyInArrow(admit, "keys binary")
     known = np.sort(np.concatenate([np.empty(0, "<u4"), *(np.frombuffer(r[0], "<u4") for r in admitted.collect())]))  # at most 2 ** BITS
+
+    def place(batches):
+        for batch in batches:
+            for block in batch.column("block").to_pylist():
+                flat, sizes, toxic = features(block)
+                at = lookup(known, flat)
+                sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[at >= 0], minlength=len(sizes))
+                columns = {"places": at[at >= 0].astype("<u4"), "sizes": sizes.astype("<u4"), "labels": toxic.astype("u1")}
+                yield pa.RecordBatch.from_pydict({name: [x.tobytes()] for name, x in columns.items()})
+
+    placed = kept(shards.mapInArrow(place, "places binary, sizes binary, labels binary"), "shards")
     state = State(known, np.zeros(len(known) + 1), np.zeros(len(known) + 1))
     held = []
     for _ in range(ROUNDS if len(known) else 0):
@@ -153,31 +169,29 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 16_000) -> Weights:
         def train(batches, at_start=at_start):
             keys, z, n = at_start.value
             for batch in batches:
-                for packed, sizes, labels in zip(*(batch.column(c).to_pylist() for c in ("features", "sizes", "labels"))):
+                for places, sizes, toxic in zip(*(batch.column(c).to_pylist() for c in ("places", "sizes", "labels"))):
                     own = State(keys, z.copy(), n.copy())
-                    at = lookup(keys, np.frombuffer(packed, "<u4"))
-                    rows = np.repeat(np.arange(len(sizes) // 4), np.frombuffer(sizes, "<u4"))[at >= 0]
-                    offsets = np.searchsorted(rows, np.arange(len(sizes) // 4 + 1))
-                    learn(own, at[at >= 0], offsets, np.frombuffer(labels, "u1"))
+                    offsets = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64))])
+                    learn(own, np.frombuffer(places, "<u4"), offsets, np.frombuffer(toxic, "u1"))
                     moved = np.flatnonzero(own.n != n)
-                    columns = {"at": moved.astype("<u4"), "z": (own.z - z)[moved].astype("<f4"), "n": (own.n - n)[moved].astype("<f4")}
+                    columns = {"at": moved.astype("<u4"), "z": (own.z - z)[moved].astype("<f2"), "n": (own.n - n)[moved].astype("<f2")}
                     yield from spread(moved * SHARDS // len(z), columns)
 
         def average(found: pa.Table) -> pa.Table:
             at = np.concatenate(arrays(found["at"], "<u4"))
             each, back, times = np.unique(at, return_inverse=True, return_counts=True)
-            order = np.lexsort((np.concatenate(arrays(found["z"], "<f4")), back))  # sums don't depend on which shard came first
-            z, n = (np.bincount(back[order], weights=np.concatenate(arrays(found[c], "<f4"))[order]) / times for c in ("z", "n"))
+            order = np.lexsort((np.concatenate(arrays(found["z"], "<f2")), back))  # sums don't depend on which shard came first
+            z, n = (np.bincount(back[order], weights=np.concatenate(arrays(found[c], "<f2"))[order]) / times for c in ("z", "n"))
             return pa.table({"at": [each.astype("<u4").tobytes()], "z": [z.tobytes()], "n": [n.tobytes()]})
 
-        moved = shards.mapInArrow(train, "bucket int, at binary, z binary, n binary").groupBy("bucket").applyInArrow(average, "at binary, z binary, n binary")
+        moved = placed.mapInArrow(train, "bucket int, at binary, z binary, n binary").groupBy("bucket").applyInArrow(average, "at binary, z binary, n binary")
         for row in moved.collect():  # at most 2 ** BITS coordinates
             at = np.frombuffer(row["at"], "<u4")
             state.z[at] += np.frombuffer(row["z"])
             state.n[at] += np.frombuffer(row["n"])
     for x in held:
         x.destroy()
-    discard(rows, shards)
+    discard(shards, placed)
     w = weights_of(state.z, state.n, np.append(np.full(len(known), L1), 0.0))
     there = np.flatnonzero(w[:-1])
     return Weights(known[there], w[there], float(w[-1]))

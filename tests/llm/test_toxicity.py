@@ -100,4 +100,4 @@ def test_no_rows_and_no_labels(spark):
 def test_the_sample_is_bounded(spark):
     docs, labels = rows(3000)
     d, l = spark.createDataFrame(docs * 2, DOCS), spark.createDataFrame(labels, LABELS)
-    assert 200 < toxicity.sample(d, l, 300).count() < 400
+    assert 200 < toxicity.sample(d, l, 300)[0].count() < 400

@@ -40,8 +40,23 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def kept_by(df: DataFrame, name: str, column: str) -> DataFrame:
+    """Like ``kept``, in as many buckets of ``column`` as shuffles have partitions: grouping the table by it shuffles nothing."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{table}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", path).saveAsTable(table)
+    files, where = _file_system(spark, path)
+    files.deleteOnExit(where)
+    found = spark.table(table)
+    found.kept_path, found.kept_table = path, table
+    return found
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of ``kept`` that nothing reads any more."""
     for table in tables:
+        if hasattr(table, "kept_table"):
+            table.sparkSession.sql(f"DROP TABLE IF EXISTS {table.kept_table}")
         files, where = _file_system(table.sparkSession, table.kept_path)
         files.delete(where, True)

@@ -5,8 +5,8 @@ keys travels as one binary column per (chunk, bucket) of the key space, sorted,
 hundreds of millions of keys moves a few bytes each and no row objects. A key that every document has
 reaches its bucket once per chunk, not once per document, so no bucket grows with one key's frequency.
 
-``chunked`` deals rows by a hash of doc_id and text; rows that needn't meet can instead stay where they are scanned
-(``batch_chunks``), and then travel once, as compressed blocks, to meet the answers.
+``chunked`` deals rows by a hash of doc_id and text; rows that needn't meet can instead stay where they are scanned, as
+compressed ``blocks`` that are written once, in buckets of their names, where the answers come to them.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import kept_by
 from .words import as_array, slices
 
 #: Bytes of text per chunk and per bucket.
@@ -75,8 +76,7 @@ def first_value(column: pa.ChunkedArray) -> int:
 def batch_chunks(batch: pa.RecordBatch, most: int = CHUNK) -> Iterator[tuple[int, pa.RecordBatch]]:
     """``chunk, rows`` of a scanned batch: stretches of at most ``most`` bytes of text, named by a hash of their row_keys.
 
-    Two scans of the same files cut the same chunks. Who asks in one scan and uses the answers in another compares
-    their numbers (``answers_of``), so that rows that changed in between are an error and never a wrong result.
+    How rows come in batches depends on their bytes and columns, so chunks are only named once, in ``blocks``.
     """
     for lo, hi in slices(as_array(batch.column("text")), most):
         rows = batch.slice(lo, hi - lo)
@@ -96,14 +96,15 @@ def unpacked_rows(block: bytes) -> pa.Table:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """``chunk, block``: the rows of ``docs(row_key, text, …)`` as compressed blocks, one for each chunk of the scan."""
+    """``chunk, block``: the rows of ``docs(row_key, text, …)`` as compressed blocks, one for each chunk, written once. All
+    later steps read these, so that a chunk asks and is answered for the same rows whatever is lost or recomputed."""
 
     def pack(batches):
         for batch in batches:
             for chunk, rows in batch_chunks(batch):
                 yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([packed_rows(rows)], pa.binary())], ["chunk", "block"])
 
-    return docs.mapInArrow(pack, "chunk long, block binary")
+    return kept_by(docs.mapInArrow(pack, "chunk long, block binary"), "blocks", "chunk")
 
 
 def answers_of(answers: pa.Table, name: str, kind: str, wanted: int) -> np.ndarray:
@@ -112,5 +113,5 @@ def answers_of(answers: pa.Table, name: str, kind: str, wanted: int) -> np.ndarr
     _, first = np.unique(answers["bucket"].to_numpy(), return_index=True)
     flat = np.concatenate([np.empty(0, kind), *(got[i] for i in first)])
     if len(flat) != wanted:
-        raise ValueError(f"{len(flat)} answers for {wanted} questions: the rows changed between two scans")
+        raise ValueError(f"{len(flat)} answers for {wanted} questions")
     return flat

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from ..plans.storage import kept
 from .components import connected_components
 from .exchange import arrays, bucket_bits, chunked, first_value, row_key, runs, table, text_bytes
+from .names import numbered, only, place
 from .words import as_array, mix, shingle_sets
 
 GROUPS, LEAF, FAN = 64, 32, 8
@@ -433,15 +434,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     text the one whose other columns have the least hash. Rows without words, null texts among them, all stay. Repeats of
     one row are reduced before they are shuffled.
     """
-    found = grouped(docs)
+    found = grouped(only(docs, "doc_id", "text"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
     stays = found.where("n_shingles > 0").groupBy("root").agg(F.min_by("row_key", order).alias("key")).select("key")
-    worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
-    keyed = docs.where(worded).select(row_key().alias("key"), F.xxhash64(*hashed).alias("tie"), whole)
+    rows, doc_id, text = numbered(docs), F.col(f"c{place(docs, 'doc_id')}"), F.col(f"c{place(docs, 'text')}")
+    worded = F.coalesce(text.cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    hashed = [f"c{i}" for i, f in enumerate(docs.schema) if "map<" not in f.dataType.simpleString()]
+    keyed = rows.where(worded).select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(*hashed).alias("tie"), F.struct(*rows.columns).alias("whole"))
+    keyed = keyed.select(row_key().alias("key"), "tie", "whole")
     once = keyed.groupBy("key").agg(F.min_by("whole", "tie").alias("whole")).join(stays, "key", "left_semi")
-    return once.select("whole.*").unionByName(docs.where(~worded))
+    return once.select("whole.*").unionByName(rows.where(~worded)).toDF(*docs.columns)
 
 
 def op6_shingle_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A word that any language's word list holds is scored by its log frequency in each language. Any other
 word falls back to its character 4-grams, and where the model knows none of them to 3-grams, 2-grams
-and single characters. The lists are sorted arrays of 64-bit hashes. They hold what makes up at least
-``least`` of a language's tokens (or n-grams), so each has at most 1 / least entries per language.
+and single characters. The lists are sorted arrays of 64-bit hashes, with the languages that have each entry beside them,
+so their size is that of the sample's distinct words and n-grams and doesn't multiply with the number of languages.
 """
 
 from __future__ import annotations
@@ -16,18 +16,38 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import as_array, hash_strings, horner, lookup, mix, slices, split_words, sum_by_text, window_starts
+from ..plans.storage import discard, kept
+from .names import numbered, only, place
+from .words import as_array, hash_strings, horner, lookup, mix, ragged_take, slices, split_words, sum_by_text, window_starts
 
 ORDERS = (4, 3, 2, 1)
 #: Words whose joint evidence a score reflects at most.
 EVIDENCE = 20
 
 
+class Entries(NamedTuple):
+    """Sorted keys; entry i's languages and log frequencies, less ``floor``, are at ``starts[i]:starts[i + 1]``. A language
+    without the entry has the ``floor``, half a sighting in the language with the most."""
+
+    keys: np.ndarray
+    starts: np.ndarray
+    langs: np.ndarray
+    gains: np.ndarray
+    floor: float
+
+
 class LanguageModel(NamedTuple):
-    """Per order (0: words): sorted keys and a keys x languages matrix of log frequencies."""
+    """``Entries`` per order (0: words)."""
 
     languages: list[str]
-    tables: dict[int, tuple[np.ndarray, np.ndarray]]
+    tables: dict[int, Entries]
+
+
+def gains(table: Entries, at: np.ndarray, rows: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """A rows x languages matrix of the summed gains of entries ``at`` that belong to ``rows``."""
+    places, times = ragged_take(np.arange(len(table.langs)), table.starts, at)
+    cell = np.repeat(rows, times) * shape[1] + table.langs[places]
+    return np.bincount(cell, weights=table.gains[places], minlength=shape[0] * shape[1]).reshape(shape)
 
 
 def letters_of(vocab: pa.Array) -> pa.Array:
@@ -85,59 +105,61 @@ def count_features(docs: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, most_rows: int = 5_000, least: float = 2e-5) -> LanguageModel:
+def fit(docs: DataFrame, most_rows: int = 5_000, most_languages: int = 200) -> LanguageModel:
     """Learns from rows of ``docs(doc_id, text, lang)`` that have a lang and a text.
 
-    Of a language with more than ``most_rows`` such rows a hash of doc_id and text picks about that many; that is the
-    classifier's bound, and a rare language keeps all its rows. A feature needs at least two sightings and ``least`` of
-    its language's total. Further columns are ignored; no rows give a model without languages.
+    Of a language with more than ``most_rows`` such rows a hash of doc_id and text picks about that many, and of more than
+    ``most_languages`` those with the most rows (ties: in order) are learned; that is the classifier's bound, and a rare
+    language keeps all its rows. Every word and n-gram seen twice in a language's sample is learned. Further columns are
+    ignored; no rows give a model without languages.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    rows = known.groupBy("lang").count().collect()  # a row per language
+    known = only(docs, "doc_id", "text", "lang").where("lang is not null and text is not null")
+    rows = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     lang, share = pa.array([r["lang"] for r in rows], pa.string()), pa.array([min(1.0, most_rows / r["count"]) for r in rows], pa.float64())
     shares = docs.sparkSession.createDataFrame(pa.table({"lang": lang, "share": share}))  # Arrow: Spark knows its size and broadcasts it if small
     picked = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.lit(1 << 30)) < F.col("share") * (1 << 30)
     known = known.join(shares, "lang").where(picked)
-    counts = count_features(known.select("text", "lang"))
-    totals = counts.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
-    found = (
-        counts.join(totals, ["lang", "kind"])  # a row per language and kind
-        .where((F.col("n") >= 2) & (F.col("n") >= F.col("total") * least))
-        .select("lang", "kind", "key", F.log(F.col("n") / F.col("total")).alias("logp"))
-        .toPandas()
-    )
-    languages = sorted(found["lang"].unique())
+    counts = kept(count_features(known.select("text", "lang")), "features")
+    totals = counts.groupBy("lang", "kind").agg(F.sum("n").alias("total")).toPandas()  # a row per language and kind
+    found = counts.where("n >= 2").toArrow()  # as many as the sample's rows have
+    discard(counts)
+    languages = sorted(str(x) for x in totals["lang"].unique())
+    kinds, of_lang = found["kind"].to_numpy(), np.searchsorted(languages, found["lang"].to_numpy().astype(str)) if len(found) else np.empty(0, np.int64)
+    keys, n = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()
     tables = {}
     for kind in (0, *ORDERS):
-        own = found[found["kind"] == kind]
-        keys, row = np.unique(own["key"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
-        matrix = np.full((len(keys), len(languages)), np.log(least / 4), np.float32)
-        matrix[row, np.searchsorted(languages, own["lang"].to_numpy(str)) if len(own) else []] = own["logp"]
-        tables[kind] = (keys, matrix)
-    return LanguageModel([str(x) for x in languages], tables)
+        total = np.ones(len(languages))
+        own = totals[totals["kind"] == kind]
+        total[np.searchsorted(languages, own["lang"].to_numpy().astype(str)) if len(own) else []] = own["total"]
+        floor = float(np.log(0.5 / total.max(initial=1)))
+        at = np.flatnonzero(kinds == kind)
+        at = at[np.lexsort((of_lang[at], keys[at]))]
+        each, starts = np.unique(keys[at], return_index=True)
+        logp = np.log(n[at] / total[of_lang[at]])
+        tables[kind] = Entries(each, np.append(starts, len(at)), of_lang[at].astype(np.int16), (logp - floor).astype(np.float32), floor)
+    return LanguageModel(languages, tables)
 
 
 def word_scores(model: LanguageModel, vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A row of log scores for each word, and whether it has a letter."""
     clean = letters_of(vocab)
     written = pc.binary_length(clean).to_numpy(zero_copy_only=False) > 0
-    keys, matrix = model.tables[0]
-    out = np.zeros((len(vocab), len(model.languages)), np.float64)
-    at = lookup(keys, hash_strings(clean))
-    out[at >= 0] = matrix[at[at >= 0]]
+    languages, table = len(model.languages), model.tables[0]
+    at = lookup(table.keys, hash_strings(clean))
+    known = np.flatnonzero(at >= 0)
+    out = gains(table, at[known], known, (len(vocab), languages)) + table.floor
     rest = np.flatnonzero(written & (at < 0))
     for order in ORDERS:
         if not len(rest):
             break
         points, offsets = code_points(clean.take(pa.array(rest)))
         gram, word = grams(points, offsets, order)
-        keys, matrix = model.tables[order]
-        at = lookup(keys, gram)
+        table = model.tables[order]
+        at = lookup(table.keys, gram)
         word, at = word[at >= 0], at[at >= 0]
         hits = np.bincount(word, minlength=len(rest))
         done = hits > 0
-        for lang in range(len(model.languages)):
-            out[rest[done], lang] = np.bincount(word, weights=matrix[at, lang], minlength=len(rest))[done] / hits[done]
+        out[rest[done]] = (gains(table, at, word, (len(rest), languages)) / np.maximum(1, hits)[:, None] + table.floor)[done]
         rest = rest[~done]
     out[~written] = 0
     return out, written
@@ -178,22 +200,25 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     ["doc_id", "lang_pred", "score"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+    return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         predict, "doc_id long, lang_pred string, score double"
     )
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language with a score of ``least`` or more."""
+    """The rows of ``docs``, all columns under any names, whose text has a language with a score of ``least`` or more. Null
+    texts, and those without a letter, go; repeated rows are judged each; a very long text is a slice of its own."""
+    at = place(docs, "text")
 
     def keep(batches):
         for batch in batches:
-            texts = as_array(batch.column("text"))
+            texts = as_array(batch.column(at))
             for lo, hi in slices(texts):
                 best, share = languages_of(texts.slice(lo, hi - lo), model)
                 yield batch.slice(lo, hi - lo).filter(pa.array((best != "und") & (share >= least)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    rows = numbered(docs)
+    return rows.mapInArrow(keep, rows.schema).toDF(*docs.columns)
 
 
 def held_out():

@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..plans.storage import discard, kept
-from .exchange import answers_of, arrays, batch_chunks, blocks, bucket_bits, first_value, packed_rows, runs, table, text_bytes, unpacked_rows
+from .exchange import answers_of, arrays, blocks, bucket_bits, first_value, packed_rows, runs, table, text_bytes, unpacked_rows
+from .names import carried, only, restored
 from .words import Words, as_array, hash_strings, horner, lookup, mix, split_words, sum_by_text, window_starts
 
 ORDER = 5
@@ -219,28 +220,27 @@ def merge(rows: pa.Table) -> pa.Table:
 
 
 def scanned(docs: DataFrame, *more) -> DataFrame:
-    """``row_key, doc_id, text, lang`` and what ``more`` adds; a null lang is ``und``."""
+    """``row_key, doc_id, text, lang`` and the columns ``more``; a null lang is ``und``."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN))
     key = F.xxhash64(F.col("doc_id").cast("long"), F.lit(0), F.col("text").cast("string"), lang).alias("row_key")
     return docs.select(key, F.col("doc_id").cast("long"), F.col("text").cast("string"), lang.alias("lang"), *more)
 
 
-def gram_table(docs: DataFrame) -> DataFrame:
-    """All grams of ``docs(row_key, text, lang, …)`` by bucket, ``bucket, key, lang, gram, n``, and rows ``bucket, chunk,
-    places`` that say which of a bucket's grams a chunk of the scan has."""
-    bits = bucket_bits(text_bytes(docs))
+def gram_table(held: DataFrame, bits: int) -> DataFrame:
+    """All grams of the texts in ``held``, which are ``blocks``, by bucket, ``bucket, key, lang, gram, n``, and rows ``bucket,
+    chunk, places`` that say which of a bucket's grams a chunk has."""
 
     def ask(batches):
         for batch in batches:
-            for chunk, rows in batch_chunks(batch):
-                yield from tell(chunk, chunk_part(rows), bits).to_batches()
+            for chunk, block in zip(batch.column("chunk").to_pylist(), batch.column("block").to_pylist()):
+                yield from tell(chunk, chunk_part(unpacked_rows(block)), bits).to_batches()
 
-    return docs.mapInArrow(ask, "bucket int, chunk long, block binary").groupBy("bucket").applyInArrow(merge, MERGED_TEXT)
+    return held.mapInArrow(ask, "bucket int, chunk long, block binary").groupBy("bucket").applyInArrow(merge, MERGED_TEXT)
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
     """``lang, gram, n``: character 5-grams of all words of ``docs(doc_id, text, lang)``; a null lang is ``und``."""
-    return gram_table(scanned(docs)).where("gram is not null").select("lang", "gram", "n")
+    return gram_table(blocks(scanned(only(docs, "doc_id", "text", "lang"))), bucket_bits(text_bytes(docs))).where("gram is not null").select("lang", "gram", "n")
 
 
 def gram_scores(counts: DataFrame) -> DataFrame:
@@ -313,9 +313,9 @@ MEASURED = (
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_perplexity", "log_level"]
 
 
-def measure(docs: DataFrame, found: DataFrame, more: list[str]) -> DataFrame:
+def measure(blocks_: DataFrame, found: DataFrame, more: list[T.StructField]) -> DataFrame:
     """``doc_id, lang``, the base counts, ``base_failed``, ``log_perplexity`` and ``log_level`` (null without words) per row,
-    and the columns ``more`` of ``docs``, which is ``scanned``; ``found`` is its ``gram_table``."""
+    and the columns ``more`` of the rows in ``blocks_``; ``found`` is their ``gram_table``."""
 
     def answer(requests: pa.Table, held: pa.Table) -> pa.Table:
         keys = held["key"].to_numpy().view(np.uint64)
@@ -331,14 +331,14 @@ def measure(docs: DataFrame, found: DataFrame, more: list[str]) -> DataFrame:
             known = distinct_grams(part)
             columns = measured(as_array(rows["text"]), part, known, answers_of(answers, "logp", "<f8", len(known)))
             named = dict(zip(COUNTS, (pa.array(c, from_pandas=True) for c in columns)))
-            done.append(pa.table({"doc_id": rows["doc_id"], "lang": rows["lang"]} | named | {c: rows[c] for c in more}))
+            done.append(pa.table({"doc_id": rows["doc_id"], "lang": rows["lang"]} | named | {c.name: rows[c.name] for c in more}))
         return pa.concat_tables(done) if done else to_arrow_schema(schema).empty_table()
 
-    schema = T.StructType(T._parse_datatype_string(MEASURED).fields + [docs.schema[c] for c in more])
+    schema = T.StructType(T._parse_datatype_string(MEASURED).fields + more)
     scores = gram_scores(found.where("gram is not null").select("lang", "gram", "n", "bucket", "key")).select("bucket", "key", "p")
     requests = found.where("chunk is not null").select(F.col("bucket").alias("asked"), "chunk", "places")
     answers = requests.groupBy("asked").cogroup(scores.groupBy("bucket")).applyInArrow(answer, "chunk long, bucket int, logp binary")
-    return blocks(docs).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(weigh, schema)
+    return blocks_.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(weigh, schema)
 
 
 def measured(texts: pa.Array, part: Part, known: np.ndarray, gram_logps: np.ndarray) -> list[np.ndarray]:
@@ -382,9 +382,10 @@ def by_language(rows: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame, width: float, narrowest: float, more: list[str]) -> DataFrame:
-    found = kept(gram_table(docs.select("row_key", "doc_id", "text", "lang")), "grams")
-    scored = kept(measure(docs, found, more), "quality")
-    discard(found)
+    written = blocks(docs)
+    found = kept(gram_table(written, bucket_bits(text_bytes(docs))), "grams")
+    scored = kept(measure(written, found, [docs.schema[c] for c in more]), "quality")
+    discard(found, written)
     sound = scored.where(~F.col("base_failed") & F.col("log_level").isNotNull()).select("lang", "log_level")
     middle = by_language(median(sound, "log_level", "middle"))
     spread = sound.join(middle, "lang").select("lang", F.abs(F.col("log_level") - F.col("middle")).alias("off"))
@@ -403,19 +404,16 @@ def judge(docs: DataFrame, width: float = WIDTH, narrowest: float = NARROWEST) -
     the base rules and have a null perplexity. A very long text is a chunk of its own. Further columns are ignored.
     Repeated rows count and return each; no rows give no rows.
     """
-    out = judged(scanned(docs), width, narrowest, [])
+    out = judged(scanned(only(docs, "doc_id", "text", "lang")), width, narrowest, [])
     exact = {name: F.exp(old) for name, old in (("perplexity", "log_perplexity"), ("level", "log_level"), ("low", "low"), ("high", "high"))}
     return out.withColumns(exact).drop("log_perplexity", "log_level")
 
 
 def keep_sound(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns under any names, that pass; each row travels through the scoring itself, and
-    its text, where it is a string, once."""
-    once = "text" in docs.columns and docs.schema["text"].dataType == T.StringType()
-    others = [c for c in docs.columns if not (once and c == "text")]
-    rest = F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest")
-    sound = judged(scanned(docs, rest), WIDTH, NARROWEST, ["text", "rest"] if once else ["rest"]).where("kept")
-    return sound.select(*(F.col(f"rest.`{c}`") if c in others else F.col("text") for c in docs.columns))
+    """The rows of ``docs``, all columns under any names, that ``judge`` keeps; each row travels through the scoring itself.
+    Rows with a null text, or without words, go; repeated rows are judged, and stay, each."""
+    rows = carried(docs, "doc_id", "text", "lang")
+    return restored(judged(scanned(rows, "rest"), WIDTH, NARROWEST, ["text", "rest"]).where("kept"), docs)
 
 
 def op2_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .exchange import arrays, bucket_bits, chunked, first_value, runs, table, text_bytes
+from .names import carried, numbered, place, restored
 from .words import as_array, hash_strings, horner, slices, split_words, window_starts
 
 BLOCK, WINDOW = 25, 50
@@ -239,13 +240,14 @@ def remove_repeats(docs: DataFrame, *more) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, with the repeats gone from text and n_chars, if there, counted anew."""
-    others = [c for c in docs.columns if c != "text"]
-    left = remove_repeats(docs, F.struct(*others).alias("rest"))
-    rows = left.select("rest.*", F.col("left_text").alias("text"))
-    if "n_chars" in others:
-        rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
-    return rows.select(*docs.columns)
+    """The rows of ``docs``, all columns under any names, with the repeats gone from text; a column n_chars is counted anew.
+    Nulls, ties and repeated rows are as in ``remove_repeats``; of a row that loses all its words white space may stay."""
+    left = remove_repeats(carried(docs, "doc_id", "text"), "rest")
+    rows = restored(left, docs, "left_text")
+    if "n_chars" not in docs.columns:
+        return rows
+    at, n = place(docs, "n_chars"), F.char_length(F.col(f"c{place(docs, 'text')}")).cast("long")
+    return numbered(rows).withColumn(f"c{at}", n).toDF(*docs.columns)
 
 
 def op4_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:

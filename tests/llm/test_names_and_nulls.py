@@ -24,10 +24,13 @@ def test_clashing_columns_and_null_ids(spark):
     docs = documents(spark).withColumn("doc_id", half)
     for i, name in enumerate(CLASHING):
         docs = docs.withColumn(name, F.concat(F.lit(f"{name}-{i}-"), F.coalesce(F.md5("text"), F.lit("none"))))
+    dotted = F.concat(F.lit("a.b-"), F.coalesce(F.md5("text"), F.lit("none")))
+    docs = docs.select("*", dotted.alias("a.b"), dotted.alias("Text"), dotted.alias("DOC_ID"))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, "")
         rows = out.collect()
         assert out.columns == docs.columns and rows
+        assert all(r["a.b"] == r["Text"] == r["DOC_ID"] and r["a.b"].startswith("a.b-") for r in rows)
         for i, name in enumerate(CLASHING):
             assert all(str(r[name]).startswith(f"{name}-{i}-") for r in rows)
 
@@ -87,8 +90,8 @@ def test_perplexity_and_verdicts_against_brute_force(spark):
 
 
 def test_language_scores_against_brute_force(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where(~language_id.held_out())
-    rows, least = docs.collect(), 2e-5
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(~language_id.held_out())
+    rows = docs.collect()
 
     def clean(text):
         return [re.sub(r"[^\W\d_]", lambda m: m[0], "".join(c for c in w.decode().lower() if c.isalpha())) for w in (text or "").encode().split()]
@@ -108,11 +111,12 @@ def test_language_scores_against_brute_force(spark):
     names = sorted(seen)
     logs = {k: {} for k in (0, *language_id.ORDERS)}
     for k, table in logs.items():
+        most = max(sum(seen[lang][k].values()) for lang in names)
         for i, lang in enumerate(names):
             total = sum(seen[lang][k].values())
             for feature, n in seen[lang][k].items():
-                if n >= 2 and n >= total * least:
-                    table.setdefault(feature, np.full(len(names), math.log(least / 4)))[i] = math.log(n / total)
+                if n >= 2:
+                    table.setdefault(feature, np.full(len(names), math.log(0.5 / most)))[i] = math.log(n / total)
 
     def score(word):
         if word in logs[0]:
@@ -153,3 +157,12 @@ def test_sketches_merge_across_parts(spark):
         assert got[key].fingerprint == fingerprints.to_text(whole[: fingerprints.K])
         assert got[key].distinct_shingles == pytest.approx(len(whole), rel=0.5)
     assert fingerprints.merged_sketches(empty(spark), "lang").count() == 0
+
+
+def test_learning_covers_what_is_rare_in_a_large_sample(spark):
+    common = [(i, "the and of to " * 30_000, "en", None, None, None, None, None) for i in range(2)]
+    docs = spark.createDataFrame(common + [(7, "zyx zyx", "en", None, None, None, None, None), (8, "qua qua", "la", None, None, None, None, None)], SCHEMA)
+    model = language_id.fit(docs)
+    asked = spark.createDataFrame([(1, "zyx", None, None, None, None, None, None)], SCHEMA)
+    assert [(r.lang_pred, r.score > 0.5) for r in language_id.identify(asked, model).collect()] == [("en", True)]
+    assert language_id.fit(docs, most_languages=1).languages == ["en"]

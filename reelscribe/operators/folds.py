@@ -96,6 +96,28 @@ def keep_rows(df: DataFrame, keys: list[str], order: list[str | Column], columns
     return sorted_groups(df, keys, order).mapInArrow(rows, df.schema)
 
 
+def scan_rows(df: DataFrame, keys: list[str], order: list[str], columns: list[str], begin: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
+    """A row of ``keys``, ``order`` and ``schema`` for each row. ``begin`` gives a fresh step for each group of ``keys``; it gets one
+    row after another, in ``order``, as the values of ``columns``, and returns those of ``schema``. Only its own state is held."""
+    types = T.StructType([df.schema[k] for k in keys + order] + T._parse_datatype_string(schema).fields)
+    target = to_arrow_schema(types)
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, step = None, begin()
+        for batch in batches:
+            made = []
+            values = [batch.column(c) for c in columns]
+            for key, lo, hi in runs(batch, keys):
+                if key != last:
+                    last, step = key, begin()
+                made += [step(*(v[i].as_py() for v in values)) for i in range(lo, hi)]
+            found = [pa.array(column, kind) for column, kind in zip(zip(*made), target.types[len(keys + order) :])]
+            if made:
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys + order), *found], schema=target)
+
+    return sorted_groups(df.select(*dict.fromkeys(keys + order + columns)), keys, list(order)).mapInArrow(rows, types)
+
+
 def islands(df: DataFrame, keys: list[str], at: str, gap: float, order: list[str | Column], inclusive: bool) -> DataFrame:
     """Numbers stretches of ``at`` in ``island``: a new one begins where the step from the row before is over
     ``gap`` (or equals it, unless ``inclusive``)."""

@@ -178,7 +178,12 @@ def stitched(frames: DataFrame) -> DataFrame:
 
 def row_spread(greys: np.ndarray) -> np.ndarray:
     """Per row, the mean over every fourth column of the spread across the last three fifths of the frames."""
-    late = greys[int(len(greys) * 0.4) :, :, ::4].astype(np.float64)
+    return spread_of(greys[:, :, ::4])
+
+
+def spread_of(columns: np.ndarray) -> np.ndarray:
+    """``row_spread`` of frames that hold those columns only."""
+    late = columns[int(len(columns) * 0.4) :].astype(np.float64)
     return np.sqrt(np.maximum(0, (late**2).mean(0) - late.mean(0) ** 2)).mean(1)
 
 
@@ -195,7 +200,11 @@ def reach(spread: np.ndarray, start: int, low: float, gap: int) -> int:
 
 def scroll_region(greys: np.ndarray, high: float = 0.70, low: float = 0.28, gap: int = 40) -> dict:
     """The rows that scroll: the longest run over a high threshold, grown over a low one; ok if it is 3/10 of the height."""
-    spread = row_spread(greys)
+    return scroll_region_of(row_spread(greys), high, low, gap)
+
+
+def scroll_region_of(spread: np.ndarray, high: float = 0.70, low: float = 0.28, gap: int = 40) -> dict:
+    """``scroll_region`` from the rows' spread."""
     height = len(spread)
     p85 = np.sort(spread)[int(height * 0.85)]
     seed_at, grow_at = max(10, p85 * high), max(4, p85 * low)

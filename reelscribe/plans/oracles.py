@@ -249,6 +249,87 @@ sums AS (SELECT n.recording_id, n.frame_idx, o.i - n.i + 15 AS t, sum(abs(o.v -
 shifts AS (SELECT recording_id, CAST(frame_idx AS INTEGER) AS pair_idx, CAST(4 * best.t - 60 AS INTEGER) AS dy, 1 - least(1, CAST(best.s AS DOUBLE) / 4800) AS conf
   FROM (SELECT recording_id, frame_idx, min(struct_pack(s, t)) AS best FROM sums GROUP BY 1, 2))"""
 
+def regions(shown: str, height: int) -> str:
+    """``found(recording_id, high, seen, top, bottom)``: what scrolls, from ``spread(recording_id, y, s)``, which ``shown`` makes."""
+    return f"""{shown},
+cut AS (SELECT recording_id, greatest(10, p85 * 0.7::DOUBLE) AS high, greatest(4, p85 * 0.28::DOUBLE) AS low FROM (SELECT recording_id, list(s ORDER BY s)[{int(height * 0.85) + 1}] AS p85 FROM spread GROUP BY 1)),
+run AS (SELECT recording_id, min(y) AS top, max(y) + 1 AS bottom FROM (SELECT recording_id, y, y - row_number() OVER (PARTITION BY recording_id ORDER BY y) AS island FROM spread JOIN cut USING (recording_id) WHERE s >= high)
+  GROUP BY recording_id, island),
+seed AS (SELECT recording_id, arg_max(struct_pack(top, bottom), struct_pack(n := bottom - top, first := -top)) AS seed FROM run GROUP BY 1),
+grown AS (SELECT recording_id, y, seed, CASE WHEN y < seed.top THEN 'up' ELSE 'down' END AS way, CASE WHEN y < seed.top THEN seed.top - 1 - y ELSE y - seed.bottom END AS away
+  FROM spread JOIN cut USING (recording_id) JOIN seed USING (recording_id) WHERE s >= low AND (y < seed.top OR y >= seed.bottom)),
+gaps AS (SELECT *, away - coalesce(lag(away) OVER (PARTITION BY recording_id, way ORDER BY away), -1) - 1 >= 40 AS far FROM grown),
+near AS (SELECT *, bool_or(far) OVER (PARTITION BY recording_id, way ORDER BY away) AS past FROM gaps),
+ends AS (SELECT recording_id, coalesce(min(y), {height}) AS top, coalesce(max(y), -1) + 1 AS bottom FROM near WHERE NOT past GROUP BY 1),
+found AS (SELECT c.recording_id, high, seed IS NOT NULL AS seen, least(seed.top, coalesce(e.top, {height})) AS top, greatest(seed.bottom, coalesce(e.bottom, 0)) AS bottom
+  FROM cut c LEFT JOIN seed USING (recording_id) LEFT JOIN ends e USING (recording_id))"""
+
+
+def key_frames(limit: str, view: str, views: str = "(SELECT DISTINCT recording_id FROM moved)") -> str:
+    """``kept(recording_id, k)``, ``steps(…, keep_no, wide)`` and ``bounced`` from ``moved(recording_id, k, dy)``; ``views`` has what ``limit`` and ``view`` name."""
+    return f"""
+settled AS (SELECT recording_id, k, dy, sum(greatest(dy, 0)) OVER w AS place, max(CASE WHEN dy < 0 THEN 0 ELSE k END) OVER w AS solid FROM moved WINDOW w AS (PARTITION BY recording_id ORDER BY k)),
+known AS (SELECT s.*, t.place AS solid_place, lag(s.solid) OVER w AS before, lag(t.place) OVER w AS before_place FROM settled s JOIN settled t ON t.recording_id = s.recording_id AND t.k = s.solid
+  WINDOW w AS (PARTITION BY s.recording_id ORDER BY s.k)),
+walk AS (SELECT recording_id, k, 0 AS last, place AS last_place FROM known WHERE k = 0
+  UNION ALL SELECT n.recording_id, n.k, CASE WHEN n.place - w.last_place > {limit} AND before > w.last THEN before WHEN n.place - w.last_place > {limit} AND solid > w.last THEN solid ELSE w.last END,
+    CASE WHEN n.place - w.last_place > {limit} AND before > w.last THEN before_place WHEN n.place - w.last_place > {limit} AND solid > w.last THEN solid_place ELSE w.last_place END
+  FROM walk w JOIN known n ON n.recording_id = w.recording_id AND n.k = w.k + 1 JOIN {views} AS v ON v.recording_id = n.recording_id),
+kept AS (SELECT DISTINCT recording_id, last AS k FROM walk UNION SELECT recording_id, max(solid) FROM known GROUP BY 1),
+steps AS (SELECT recording_id, k, row_number() OVER w - 1 AS keep_no, place - lag(place) OVER w >= {view} AS wide FROM kept JOIN settled USING (recording_id, k) JOIN {views} AS v USING (recording_id)
+  WINDOW w AS (PARTITION BY recording_id ORDER BY k)),
+bounced AS (SELECT recording_id, count(*) FILTER (dy < 0) AS dropped FROM moved GROUP BY 1)"""
+
+
+def screen(row: str, column: str) -> str:
+    return f"(((7 + {row} // 251) * {row} * {row} + 31 * {row} + 13 * recording_id) % 251 + {column})"
+
+
+def shade(v: str, *weights: int) -> str:
+    return "(" + " + ".join(f"{w} * ({part} % 256)" for w, part in zip(weights, (v, f"(3 * {v})", f"(5 * {v} + 7)"))) + ")"
+
+
+#: Rows' spread over all frames of the small previews.
+PREVIEW_SPREAD = f"""shown AS (SELECT recording_id, frame_idx, y, CASE WHEN y < 24 OR y >= 188 OR (y >= 70 AND y < 70 + recording_id % 60) THEN {page('recording_id', 'y')} ELSE {page('recording_id', '(y + position)')} END AS v,
+    max(frame_idx) OVER (PARTITION BY recording_id) + 1 AS n FROM placed, unnest(range(0, 200)) AS a(y)),
+spread AS (SELECT recording_id, y, sqrt(greatest(0, sum(v * v) / count(*) - (sum(v) / count(*)) * (sum(v) / count(*)))) AS s FROM shown WHERE frame_idx >= floor(n * 0.4::DOUBLE) GROUP BY 1, 2)"""
+
+#: Rows' spread over the preview frames; a frame picked several times counts as often.
+SCREEN_SPREAD = f"""picked AS (SELECT recording_id, CAST(floor(i * (n - 1) / 23 + 0.5) AS INTEGER) AS frame_idx, i FROM (SELECT DISTINCT recording_id, n FROM screens), unnest(range(9, 24)) AS u(i)),
+times AS (SELECT recording_id, frame_idx, count(*) AS times FROM picked GROUP BY ALL),
+thin AS (SELECT recording_id, y, x, times, {shade('v', 77, 150, 29)} // 256 AS g FROM (
+  SELECT recording_id, y, x, times, {screen('(CASE WHEN y < 40 OR y >= 1000 THEN y ELSE y + position END)', 'x')} AS v FROM screens JOIN times USING (recording_id, frame_idx), unnest(range(0, 1040)) AS a(y), (VALUES (0), (4)) AS b(x))),
+spread AS (SELECT recording_id, y, avg(s) AS s FROM (SELECT recording_id, y, x, sqrt(greatest(0, sum(times * g * g) / 15 - (sum(times * g) / 15) * (sum(times * g) / 15))) AS s FROM thin GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+
+#: The stitch plan: region and neighbours' scroll are searched pixel by pixel. Where a key frame lies under the last one placed
+#: is known from the pages: it is found if the template is in that frame, and unsure otherwise.
+STITCH = f"""{LINES},
+screens AS (SELECT recording_id, n, CAST(i AS INTEGER) AS frame_idx, CAST(sum(CASE WHEN i = 0 THEN 400 WHEN recording_id % 3 = 0 AND i % 7 = 5 THEN 2400 ELSE 24 * ((7 * recording_id + 20 * i) % 30 - 5) END)
+  OVER (PARTITION BY recording_id ORDER BY i) AS BIGINT) AS position FROM (SELECT recording_id, count(*) // 2 + 1 AS n FROM lines GROUP BY 1), unnest(range(0, n)) AS u(i)),
+{regions(SCREEN_SPREAD, 1040)},
+views AS (SELECT recording_id, CAST(top AS INTEGER) AS top, CAST(bottom AS INTEGER) AS bottom, CAST(bottom - top AS INTEGER) AS vh FROM found WHERE seen AND bottom - top >= 312),
+coarse AS (SELECT recording_id, frame_idx, i, x, vh // 4 AS n, {shade('v', 77, 150, 29)} // 256 AS g FROM (
+  SELECT recording_id, frame_idx, i, x, vh, {screen('(top + 4 * i + position)', 'x')} AS v FROM screens JOIN views USING (recording_id), unnest(range(0, vh // 4)) AS a(i), (VALUES (0), (4)) AS b(x))),
+sums AS (SELECT c.recording_id, c.frame_idx, o.i - c.i + 15 AS t, sum(abs(o.g - c.g)) AS s FROM coarse c JOIN coarse o ON o.recording_id = c.recording_id AND o.frame_idx = c.frame_idx - 1 AND o.x = c.x
+    AND o.i BETWEEN c.i - 15 AND c.i - 15 + c.n - 75 WHERE c.i >= 15 AND c.i < 90 GROUP BY ALL),
+shifts AS (SELECT recording_id, frame_idx AS k, 4 * best.t - 60 AS dy FROM (SELECT recording_id, frame_idx, min(struct_pack(s, t)) AS best FROM sums GROUP BY 1, 2)),
+moved AS (SELECT recording_id, 0 AS k, 0 AS dy FROM views UNION ALL SELECT * FROM shifts),
+{key_frames('vh * 0.6::DOUBLE', 'vh', 'views')},
+ordered AS (SELECT recording_id, CAST(keep_no AS INTEGER) AS keep_no, k, position, vh FROM steps JOIN screens s USING (recording_id) JOIN views USING (recording_id) WHERE s.frame_idx = k),
+laid AS (SELECT recording_id, keep_no, k, vh, position AS last, 0::BIGINT AS off, 0::BIGINT AS move, true AS sure FROM ordered WHERE keep_no = 0
+  UNION ALL SELECT recording_id, keep_no, k, vh, CASE WHEN move > 0 THEN position ELSE last END, off + move, move, sure FROM (
+    SELECT o.*, p.last, p.off, o.position - p.last BETWEEN -60 AND o.vh - 360 AS sure,
+      CASE WHEN o.position - p.last BETWEEN -60 AND o.vh - 360 THEN greatest(0, o.position - p.last) ELSE CAST(floor(o.vh * 0.95::DOUBLE + 0.5) AS BIGINT) END AS move
+    FROM laid p JOIN ordered o ON o.recording_id = p.recording_id AND o.keep_no = p.keep_no + 1)),
+shown AS (SELECT recording_id, k, last, off, least(vh, coalesce(lead(off) OVER (PARTITION BY recording_id ORDER BY keep_no) - off, vh)) AS size FROM laid WHERE move > 0 OR keep_no = 0),
+sums_of AS (SELECT recording_id, CAST(sum({shade('v', 1, 2, 3)} * ((off + y) % 97 + 1)) AS BIGINT) AS checksum FROM (
+  SELECT recording_id, off, y, {screen('(top + y + last)', 'x')} AS v FROM shown JOIN views USING (recording_id), unnest(range(0, size)) AS a(y), unnest(range(0, 8)) AS b(x)) GROUP BY 1),
+counted AS (SELECT recording_id, CAST(count(*) AS INTEGER) AS n_key, CAST(count(*) FILTER (move > 0 OR keep_no = 0) AS INTEGER) AS n_placed, CAST(count(*) FILTER (NOT sure) AS INTEGER) AS n_unsure, max(off) AS reach FROM laid GROUP BY 1)
+SELECT recording_id, CASE WHEN v.recording_id IS NULL THEN 'no_region' ELSE 'ok' END AS status, CAST(f.n AS INTEGER) AS n_frames, CAST(CASE WHEN seen THEN found.top ELSE 0 END AS INTEGER) AS top, CAST(CASE WHEN seen THEN found.bottom ELSE 1040 END AS INTEGER) AS bottom,
+  n_key, CAST(dropped AS INTEGER) AS dropped, CAST(too_far AS INTEGER) AS too_far, n_placed, n_unsure, reach + vh AS height, checksum
+FROM found JOIN (SELECT DISTINCT recording_id, n FROM screens) f USING (recording_id) LEFT JOIN views v USING (recording_id) LEFT JOIN bounced USING (recording_id)
+  LEFT JOIN (SELECT recording_id, count(*) FILTER (wide) AS too_far FROM steps GROUP BY 1) USING (recording_id) LEFT JOIN counted USING (recording_id) LEFT JOIN sums_of USING (recording_id)"""
+
 SQL = {
     "frame_plan": """
 WITH r AS (SELECT doc_id AS recording_id, CAST(n_chars * 7 + 0.5 AS DOUBLE) AS d FROM documents WHERE doc_id IS NOT NULL AND n_chars > 0)
@@ -340,42 +421,21 @@ SELECT recording_id, frame_no, CASE WHEN bad_file THEN 'sequence' ELSE 'time' EN
     "normalized_lines": f"""WITH {LINES} SELECT recording_id, CAST(sum(length({normalized('text')})) AS BIGINT) AS n_chars, count(*) AS n_lines FROM lines GROUP BY 1""",
     "digests": """SELECT doc_id AS run_id, sha256(text) AS sha256, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN text LIKE '%' || chr(10) THEN 1 ELSE 0 END END AS n_lines,
   length(text) AS n_chars FROM documents WHERE text IS NOT NULL""",
-    "scroll_regions": f"""WITH {POSITIONS},
-shown AS (SELECT recording_id, frame_idx, y, CASE WHEN y < 24 OR y >= 188 OR (y >= 70 AND y < 70 + recording_id % 60) THEN {page('recording_id', 'y')} ELSE {page('recording_id', '(y + position)')} END AS v,
-    max(frame_idx) OVER (PARTITION BY recording_id) + 1 AS n FROM placed, unnest(range(0, 200)) AS a(y)),
-spread AS (SELECT recording_id, y, sqrt(greatest(0, sum(v * v) / count(*) - (sum(v) / count(*)) * (sum(v) / count(*)))) AS s FROM shown WHERE frame_idx >= floor(n * 0.4::DOUBLE) GROUP BY 1, 2),
-cut AS (SELECT recording_id, greatest(10, p85 * 0.7::DOUBLE) AS high, greatest(4, p85 * 0.28::DOUBLE) AS low FROM (SELECT recording_id, list(s ORDER BY s)[171] AS p85 FROM spread GROUP BY 1)),
-run AS (SELECT recording_id, min(y) AS top, max(y) + 1 AS bottom FROM (SELECT recording_id, y, y - row_number() OVER (PARTITION BY recording_id ORDER BY y) AS island FROM spread JOIN cut USING (recording_id) WHERE s >= high)
-  GROUP BY recording_id, island),
-seed AS (SELECT recording_id, arg_max(struct_pack(top, bottom), struct_pack(n := bottom - top, first := -top)) AS seed FROM run GROUP BY 1),
-grown AS (SELECT recording_id, y, seed, CASE WHEN y < seed.top THEN 'up' ELSE 'down' END AS way, CASE WHEN y < seed.top THEN seed.top - 1 - y ELSE y - seed.bottom END AS away
-  FROM spread JOIN cut USING (recording_id) JOIN seed USING (recording_id) WHERE s >= low AND (y < seed.top OR y >= seed.bottom)),
-gaps AS (SELECT *, away - coalesce(lag(away) OVER (PARTITION BY recording_id, way ORDER BY away), -1) - 1 >= 40 AS far FROM grown),
-near AS (SELECT *, bool_or(far) OVER (PARTITION BY recording_id, way ORDER BY away) AS past FROM gaps),
-ends AS (SELECT recording_id, coalesce(min(y), 200) AS top, coalesce(max(y), -1) + 1 AS bottom FROM near WHERE NOT past GROUP BY 1),
-found AS (SELECT c.recording_id, high, seed IS NOT NULL AS seen, least(seed.top, coalesce(e.top, 200)) AS top, greatest(seed.bottom, coalesce(e.bottom, 0)) AS bottom
-  FROM cut c LEFT JOIN seed USING (recording_id) LEFT JOIN ends e USING (recording_id))
+    "scroll_regions": f"""WITH {POSITIONS}, {regions(PREVIEW_SPREAD, 200)}
 SELECT recording_id, CAST(CASE WHEN seen THEN top ELSE 0 END AS INTEGER) AS top, CAST(CASE WHEN seen THEN bottom ELSE 200 END AS INTEGER) AS bottom, high AS threshold,
   seen AND bottom - top >= 60 AS ok FROM found""",
     "pixel_shifts": f"""WITH {PIXEL_SHIFTS} SELECT * FROM shifts""",
     "key_frames": f"""WITH RECURSIVE {PIXEL_SHIFTS},
 moved AS (SELECT recording_id, 0 AS k, 0 AS dy FROM shifts GROUP BY 1 UNION ALL SELECT recording_id, pair_idx, dy FROM shifts),
-settled AS (SELECT recording_id, k, dy, sum(greatest(dy, 0)) OVER w AS place, max(CASE WHEN dy < 0 THEN 0 ELSE k END) OVER w AS solid FROM moved WINDOW w AS (PARTITION BY recording_id ORDER BY k)),
-known AS (SELECT s.*, t.place AS solid_place, lag(s.solid) OVER w AS before, lag(t.place) OVER w AS before_place FROM settled s JOIN settled t ON t.recording_id = s.recording_id AND t.k = s.solid
-  WINDOW w AS (PARTITION BY s.recording_id ORDER BY s.k)),
-walk AS (SELECT recording_id, k, 0 AS last, place AS last_place FROM known WHERE k = 0
-  UNION ALL SELECT n.recording_id, n.k, CASE WHEN n.place - w.last_place > 96 AND before > w.last THEN before WHEN n.place - w.last_place > 96 AND solid > w.last THEN solid ELSE w.last END,
-    CASE WHEN n.place - w.last_place > 96 AND before > w.last THEN before_place WHEN n.place - w.last_place > 96 AND solid > w.last THEN solid_place ELSE w.last_place END
-  FROM walk w JOIN known n ON n.recording_id = w.recording_id AND n.k = w.k + 1),
-kept AS (SELECT DISTINCT recording_id, last AS k FROM walk UNION SELECT recording_id, max(solid) FROM known GROUP BY 1),
-steps AS (SELECT recording_id, k, row_number() OVER w - 1 AS keep_no, place - lag(place) OVER w >= 160 AS wide FROM kept JOIN settled USING (recording_id, k) WINDOW w AS (PARTITION BY recording_id ORDER BY k))
+{key_frames("96", "160")}
 SELECT recording_id, CAST(keep_no AS INTEGER) AS keep_no, CAST(k AS INTEGER) AS frame_idx, CAST(dropped AS INTEGER) AS dropped, CAST(count(*) FILTER (wide) OVER (PARTITION BY recording_id) AS INTEGER) AS too_far
-FROM steps JOIN (SELECT recording_id, count(*) FILTER (dy < 0) AS dropped FROM moved GROUP BY 1) USING (recording_id)""",
+FROM steps JOIN bounced USING (recording_id)""",
     # The scroll is known by construction: a frame is placed where it lies if that is below all before it.
     "stitched_images": f"""WITH {POSITIONS},
 further AS (SELECT *, coalesce(position > max(position) OVER (PARTITION BY recording_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS new FROM placed)
 SELECT recording_id, CAST(4 AS INTEGER) AS width, CAST(max(position) - 100 + 480 AS INTEGER) AS height, string_agg(CAST(position - 100 AS VARCHAR), ',' ORDER BY frame_idx) FILTER (new) AS offsets,
   CAST(count(*) FILTER (NOT new) AS INTEGER) AS skipped, CAST(0 AS INTEGER) AS n_unsure FROM further GROUP BY 1""",
+    "stitch_plan": f"""WITH RECURSIVE {STITCH}""",
     "region_colours": f"""WITH {POSITIONS}, {pixels("range(0, 480)", "range(0, 4)")},
 asked AS (SELECT recording_id, frame_idx, kind, x0, y0, x1, y1 FROM (
     SELECT recording_id, frame_idx, 'inside' AS kind, 1 AS x0, 40 + (11 * recording_id + 7 * frame_idx) % 300 AS y0, 3 AS x1, 43 + (11 * recording_id + 7 * frame_idx) % 300 + recording_id % 30 AS y1 FROM placed

@@ -12,6 +12,7 @@ from ..operators import anchors, bands, bubbles, checks, dedupe, pixels, placeme
 from ..sources import bundles
 from . import scroll
 from .oracles import SQL as SQL
+from .stitch import StitchPlan, band_sums
 from .storage import kept
 
 
@@ -268,6 +269,12 @@ def stitched_images(spark, sf_dir):
     return made.select("recording_id", "width", "height", F.array_join("offsets", ",").alias("offsets"), "skipped", F.size("unsure").alias("n_unsure"))
 
 
+def stitch_plan(spark, sf_dir):
+    plan = StitchPlan(kept(scroll.screens(table(spark, sf_dir, "documents")), "screens"))
+    placed = kept(plan.placed, "placed")
+    return plan.summary(placed).join(band_sums(plan.bands(placed)), "recording_id", "left")
+
+
 def region_colours(spark, sf_dir):
     images = scroll.scroll_images(table(spark, sf_dir, "documents"))
     k, r = F.col("frame_idx"), F.col("recording_id")
@@ -294,6 +301,6 @@ QUERIES = {
         frame_placement, anchor_warnings, content_lines, dedupe_lines, dedupe_stats, run_stats, plain_transcripts, format_plain, text_dedupe,
         spatial_dedupe, align_peaks, bubble_groups, speaker_sides, speaker_stats, chat_transcripts, region_requests, format_chat, bubble_colours,
         timing_reconcile, bundle_validation, normalized_lines, transcript_scores, digests,
-        scroll_regions, pixel_shifts, key_frames, stitched_images, region_colours,
+        scroll_regions, pixel_shifts, key_frames, stitched_images, stitch_plan, region_colours,
     )
 }

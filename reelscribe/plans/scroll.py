@@ -100,6 +100,40 @@ def preview_pixels(recording: int, position: int) -> tuple[bytes, int, int]:
 
 
 IMAGE = "data binary, width int, height int"
+#: Full screens: their size, where what scrolls begins and ends, and how far a page jump goes.
+SCREEN_WIDTH, SCREEN_HEIGHT, SCREEN_TOP, SCREEN_BOTTOM, JUMP = 8, 1040, 40, 1000, 2400
+
+
+def screen_positions(documents: DataFrame) -> DataFrame:
+    """``recording_id, frame_idx, position``: a frame for every two lines. It moves by -120 to 576 rows a frame, in steps of 24;
+    now and then a third of the recordings jump to where nothing of the frame before shows."""
+    counted = document_lines(documents).groupBy("recording_id").agg(F.count("*").alias("n"))
+    frames = counted.select("recording_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 2).cast("int"))).alias("frame_idx"))
+    step = 24 * (F.pmod(7 * F.col("recording_id") + 20 * F.col("frame_idx"), F.lit(30)) - 5)
+    leaps = (F.pmod("recording_id", F.lit(3)) == 0) & (F.pmod("frame_idx", F.lit(7)) == 5)
+    moved = F.when(F.col("frame_idx") == 0, 400).when(leaps, JUMP).otherwise(step)
+    so_far = Window.partitionBy("recording_id").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0)
+    return frames.withColumn("position", F.sum(moved).over(so_far))
+
+
+def screen_page(recording: int, rows: np.ndarray) -> np.ndarray:
+    """A pattern whose stretches of 251 rows differ, so that no scroll maps it to itself."""
+    return ((7 + rows // 251) * rows * rows + 31 * rows + 13 * recording)[:, None] % 251 + np.arange(SCREEN_WIDTH)
+
+
+def screen_pixels(recording: int, position: int) -> tuple[bytes, int, int]:
+    """RGBA pixels of a screen: what scrolls between a still head and foot."""
+    y = np.arange(SCREEN_HEIGHT)
+    v = screen_page(recording, np.where((y < SCREEN_TOP) | (y >= SCREEN_BOTTOM), y, y + position))
+    rgba = np.stack([v, 3 * v, 5 * v + 7, np.full_like(v, 255)], -1) % 256
+    return rgba.astype(np.uint8).tobytes(), SCREEN_WIDTH, SCREEN_HEIGHT
+
+
+def screens(documents: DataFrame) -> DataFrame:
+    """``recording_id, frame_idx, data, width, height``: full screens of the scrolled documents."""
+    made = per_row(screen_pixels, IMAGE, "recording_id", "position")
+    return screen_positions(documents).select("recording_id", "frame_idx", made.alias("image")).select("recording_id", "frame_idx", "image.*")
+
 
 
 def scroll_images(documents: DataFrame) -> DataFrame:

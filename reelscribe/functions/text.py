@@ -41,6 +41,12 @@ def common_start(left: Column, right: Column) -> Column:
     return F.when(least > 0, F.aggregate(powers, F.lit(0), step)).otherwise(F.lit(0))
 
 
+def first_difference(left: Column, right: Column) -> Column:
+    """The first byte at which two binaries differ, by halves: -1 if they are equal, the shorter one's length if it begins the
+    other; null if one is null."""
+    return F.when(left == right, F.lit(-1)).when(left.isNotNull() & right.isNotNull(), common_start(left, right))
+
+
 def edit_distance(lines: DataFrame, left: str, right: str, name: str, bound: str | None = None) -> DataFrame:
     """Adds ``name``, the edit distance of two columns; with ``bound``, an SQL expression, -1 beyond it.
 

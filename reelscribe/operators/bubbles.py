@@ -98,7 +98,11 @@ def nickname_kind(wide_body: bool = True) -> Column:
 
 
 def message_segments(rows: DataFrame, internal: bool = True, wide_body: bool = True) -> DataFrame:
-    """``…bubble, segment_no, text, nickname, body, kind``: bubbles cut before each display name inside them."""
+    """``…bubble, segment_no, text, nickname, body, kind``: bubbles cut before each display name inside them.
+
+    Nothing may be lost by a cut: a name and its body that aren't the segment's text leave it without a name, and segments
+    that don't join to the bubble's text leave the bubble whole. Null texts are left out of a text, wherever it is joined.
+    """
     kind = nickname_kind(wide_body)
     if not internal:
         kind = F.when(F.col("row_no") == 0, kind)
@@ -108,15 +112,17 @@ def message_segments(rows: DataFrame, internal: bool = True, wide_body: bool = T
     numbered = marked.withColumn("segment_no", F.sum(cut).over(running))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("row_no", "text"))), lambda r: r["text"])
     grouped = numbered.groupBy(*BUBBLE, "segment_no").agg(listed.alias("texts"), F.min_by("kind", "row_no").alias("kind"))
-    named = F.col("kind").isNotNull()
-    return grouped.select(
-        *BUBBLE,
-        "segment_no",
-        F.array_join("texts", "").alias("text"),
-        F.when(named, F.element_at("texts", 1)).alias("nickname"),
-        F.when(named, F.array_join(F.slice("texts", 2, F.greatest(F.size("texts") - 1, F.lit(0))), "")).alias("body"),
-        "kind",
-    )
+    parts = F.struct("segment_no", "texts", F.array_join("texts", "").alias("text"), "kind")
+    whole = rows.groupBy(*BUBBLE).agg(F.array_join(listed, "").alias("whole"))
+    bubbles = grouped.groupBy(*BUBBLE).agg(F.array_sort(F.collect_list(parts)).alias("parts")).join(whole, BUBBLE)
+    joined = F.array_join(F.transform("parts", lambda p: p["text"]), "")
+    bare = F.array(F.struct(F.lit(0).cast("long").alias("segment_no"), F.array("whole").alias("texts"), F.col("whole").alias("text"), F.lit(None).cast("string").alias("kind")))
+    segments = bubbles.select(*BUBBLE, F.explode(F.when(joined == F.col("whole"), F.col("parts")).otherwise(bare)).alias("p")).select(*BUBBLE, "p.*")
+    body = F.array_join(F.slice("texts", 2, F.greatest(F.size("texts") - 1, F.lit(0))), "")
+    named = F.col("kind").isNotNull() & (F.concat(F.element_at("texts", 1), body) == F.col("text"))
+    return segments.select(
+        *BUBBLE, "segment_no", "text", F.when(named, F.element_at("texts", 1)).alias("nickname"), F.when(named, body).alias("body"), F.when(named, F.col("kind")).alias("kind"),
+    )
 
 
 def bubble_labels(rows: DataFrame) -> DataFrame:
@@ -174,10 +180,12 @@ def region_requests(bubbles: DataFrame, frames: DataFrame) -> DataFrame:
 def resolved_bubbles(bubbles: DataFrame, samples: DataFrame) -> DataFrame:
     """Labels with the samples' sides: ``label, kind, error, warned``; a bubble that stays without one is warned of.
 
-    ``samples(recording_id, id, side, error)``; a missing sample is an error of its own.
+    ``samples(recording_id, id, side, error)``, with ``decoded_pixels`` and ``sampled_pixels`` if counted; a missing sample is
+    an error of its own and has no pixels.
     """
+    counts = [F.col(c) if c in samples.columns else F.lit(None).cast("long").alias(c) for c in ("decoded_pixels", "sampled_pixels")]
     keyed = bubbles.withColumn("id", F.concat(F.lit("bubble-"), F.col("bubble_no").cast("string")))
-    sampled = samples.select("recording_id", "id", "side", "error", F.lit(True).alias("answered"))
+    sampled = samples.select("recording_id", "id", "side", "error", F.lit(True).alias("answered"), *counts)
     joined = keyed.join(sampled, ["recording_id", "id"], "left")
     pending = F.col("kind") == "pixel-pending"
     error = F.when(pending & F.col("answered").isNull(), "E_RESULT_MISSING").when(pending, F.col("error"))
@@ -187,7 +195,7 @@ def resolved_bubbles(bubbles: DataFrame, samples: DataFrame) -> DataFrame:
     )
     return joined.select(
         *BUBBLE, "bubble_no", "first_seq", "text", F.coalesce("label", side).alias("label"), kind.alias("kind"), error.alias("error"),
-        (pending & side.isNull()).alias("warned"),
+        (pending & side.isNull()).alias("warned"), *(F.when(pending, F.col(c)).alias(c) for c in ("decoded_pixels", "sampled_pixels")),
     )
 
 
@@ -203,13 +211,28 @@ def chat_transcript(resolved: DataFrame, segments: DataFrame) -> DataFrame:
     return document(mine.unionByName(theirs), ["bubble_no", "segment_no"])
 
 
-def speaker_stats(resolved: DataFrame) -> DataFrame:
+def speaker_stats(resolved: DataFrame, segments: DataFrame) -> DataFrame:
+    """Per recording of ``resolved_bubbles``: how sides were found, the pixels looked at, and what became of the display names
+    in ``message_segments``: found by either rule, cut out of the inside of bubbles, and applied to incoming messages."""
     sampled = F.col("kind").startswith("pixel")
-    return resolved.groupBy("recording_id").agg(
+    sides = resolved.groupBy("recording_id").agg(
         F.count_if(sampled).alias("dual"),
         F.count_if(F.col("kind") == "pixel-color").alias("pixel_resolved"),
         F.count_if((F.col("kind") == "pixel-color") & (F.col("label") == "me")).alias("pixel_me"),
         F.count_if((F.col("kind") == "pixel-color") & (F.col("label") == "them")).alias("pixel_them"),
         F.count_if("warned").alias("pixel_unresolved"),
         F.count_if(F.col("error").isNotNull()).alias("pixel_errors"),
+        F.sum(F.coalesce("decoded_pixels", F.lit(0).cast("long"))).alias("decoded_pixels"),
+        F.sum(F.coalesce("sampled_pixels", F.lit(0).cast("long"))).alias("sampled_pixels"),
     )
+    labels = resolved.select(*BUBBLE, "label")
+    wide = F.col("kind") == "separate-top-line-wide-body"
+    names = segments.join(labels, BUBBLE, "left").groupBy("recording_id").agg(
+        F.count("nickname").alias("nickname_candidates"),
+        F.count_if(F.col("nickname").isNotNull() & ~wide).alias("nickname_high_confidence"),
+        F.count_if(F.col("nickname").isNotNull() & wide).alias("nickname_wide_body"),
+        F.count_if(F.col("segment_no") > 0).alias("nickname_internal_splits"),
+        F.count_if(F.col("nickname").isNotNull() & (F.col("label") == "them")).alias("nickname_applied"),
+    )
+    counts = ["nickname_candidates", "nickname_high_confidence", "nickname_wide_body", "nickname_internal_splits", "nickname_applied"]
+    return sides.join(names, "recording_id", "left").fillna(0, counts)

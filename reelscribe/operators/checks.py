@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import difflib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import OTHER, SELF, VISUAL_MESSAGE
@@ -180,3 +180,35 @@ def digests(texts: DataFrame, key: str = "run_id") -> DataFrame:
     parts = F.split("text", "\n")
     lines = F.when(F.char_length("text") == 0, 0).otherwise(F.size(parts) - F.col("text").endswith("\n").cast("int"))
     return texts.select(key, F.sha2("text", 256).alias("sha256"), lines.alias("n_lines"), F.char_length("text").alias("n_chars"))
+
+
+def capture_marks(wanted: DataFrame, captured: DataFrame) -> DataFrame:
+    """``captured`` beside what was asked for, and the ``rule`` that each row breaks, null for none.
+
+    ``wanted(recording_id, idx, time_ms)`` are the requested frames, ``captured(recording_id, idx, uri, width, height, requested_ms)``
+    the delivered ones. Rules: ``count`` (a recording has more or fewer frames than wanted; at each of its rows),
+    ``invalid`` (no uri or no finite size), ``time`` (it answers another time) and ``size`` (not that of its recording's frame of
+    the least idx). A frame that nobody asked for, or that never came, has nulls on that side. The marks ride on the
+    rows; no row is read twice for them.
+    """
+    both = wanted.select("recording_id", "idx", "time_ms", F.lit(1).alias("asked")).join(captured.withColumn("came", F.lit(1)), ["recording_id", "idx"], "full")
+    every = Window.partitionBy("recording_id")
+    first = every.orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counts = F.count("asked").over(every) != F.count("came").over(every)
+    invalid = F.col("uri").isNull() | ~finite(F.col("width")) | ~finite(F.col("height"))
+    other = ~F.col("width").eqNullSafe(F.first("width", True).over(first)) | ~F.col("height").eqNullSafe(F.first("height", True).over(first))
+    rule = F.when(counts, "count").when(F.coalesce(invalid, F.lit(True)), "invalid").when(~F.col("requested_ms").eqNullSafe(F.col("time_ms")), "time").when(other, "size")
+    return both.withColumn("rule", rule).drop("asked", "came")
+
+
+def capture_faults(wanted: DataFrame, captured: DataFrame) -> DataFrame:
+    """``recording_id, rule, idx, n_faults``: the first fault of each recording that has one, and how many rows break a rule."""
+    broken = capture_marks(wanted, captured).where("rule is not null")
+    return broken.groupBy("recording_id").agg(F.min_by("rule", "idx").alias("rule"), F.min("idx").alias("idx"), F.count("*").alias("n_faults"))
+
+
+def checked_captures(wanted: DataFrame, captured: DataFrame) -> DataFrame:
+    """``captured``, if every recording is sound; reading a row that breaks a rule is an error that names it."""
+    name = F.concat(F.lit("recording "), F.col("recording_id").cast("string"), F.lit(", frame "), F.col("idx").cast("string"), F.lit(": "), "rule")
+    marked = capture_marks(wanted, captured)
+    return marked.withColumn("uri", F.when(F.col("rule").isNull(), F.col("uri")).otherwise(F.raise_error(name))).select(*captured.columns)

@@ -188,19 +188,27 @@ def spaced(name: str, source: str) -> str:
 
 
 #: Chat lines, their peaks, bubbles and bubbles' rows.
-CHAT = """
+SEQS = """
 parts AS (SELECT conv_id AS recording_id, turn, role, i - 1 AS part, p[i] AS text FROM (SELECT *, string_split(text, chr(10)) AS p FROM conversations
     WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL), unnest(range(1, len(p) + 1)) AS u(i)),
 seqs AS (SELECT *, CAST(row_number() OVER (PARTITION BY recording_id ORDER BY turn, part, role, text) - 1 AS INTEGER) AS seq, CAST(least(20 * length(text), 451) AS DOUBLE) AS w
   FROM parts WHERE trim(text, ' ') <> ''),
-chat AS (SELECT *, CASE WHEN role = 'user' THEN 585 - w ELSE 134 END AS x, CAST(70 * turn + 40 * seq AS DOUBLE) AS gy, seq // 4 AS frame_idx FROM seqs),
+plain_chat AS (SELECT *, CASE WHEN role = 'user' THEN 585 - w ELSE 134 END AS x, CAST(70 * turn + 40 * seq AS DOUBLE) AS gy, 30::DOUBLE AS h FROM seqs)"""
+PEAKS = """
 width AS (SELECT recording_id, greatest(max(x + w), 1) AS width FROM chat GROUP BY 1),
 peaks AS (SELECT recording_id,
     (SELECT x FROM (SELECT x, count(*) AS n, min(seq) AS seen FROM chat c WHERE c.recording_id = t.recording_id AND length(text) >= 2 AND x < width / 2 GROUP BY 1) ORDER BY n DESC, seen LIMIT 1) AS left_peak,
     (SELECT r FROM (SELECT x + w AS r, count(*) AS n, min(seq) AS seen FROM chat c WHERE c.recording_id = t.recording_id AND length(text) >= 2 AND x + w > width / 2 GROUP BY 1) ORDER BY n DESC, seen LIMIT 1) AS right_peak
   FROM width t)"""
+CHAT = SEQS + ", chat AS (SELECT *, seq // 4 AS frame_idx FROM plain_chat)," + PEAKS
+#: The same with display names above most of the others' turns.
+NAMED_CHAT = SEQS + """,
+flagged AS (SELECT *, row_number() OVER (PARTITION BY recording_id, turn, role ORDER BY seq) = 1 AND role = 'assistant' AND (recording_id + turn) % 5 <> 4 AS named FROM plain_chat),
+chat AS (SELECT *, seq // 4 AS frame_idx FROM (
+  SELECT recording_id, turn, role, text, CAST(2 * seq + 1 AS INTEGER) AS seq, w, CASE WHEN named AND turn % 2 = 1 THEN 128 ELSE x END AS x, gy, CASE WHEN named AND turn % 2 = 1 THEN 34 ELSE h END AS h FROM flagged
+  UNION ALL SELECT recording_id, turn, role, '友' || (turn % 4), CAST(2 * seq AS INTEGER), 40, 114, gy - 50, 16 + 4 * (turn % 4) FROM flagged WHERE named)),""" + PEAKS
 TIME = f"regexp_matches({trimmed('text')}, '^(昨天[{WHITE}]*)?[0-9]{{1,2}}[:：][0-9]{{2}}$')"
-BUBBLES = CHAT + f""",
+BUBBLE_STEPS = f""",
 shown AS (SELECT *, gy % 1600 AS y, row_number() OVER (PARTITION BY recording_id ORDER BY gy, seq) AS i FROM (
     SELECT *, coalesce(abs(x - left_peak) <= 30, false) AS left_hit, coalesce(abs(x + w - right_peak) <= 30, false) AS right_hit FROM chat JOIN peaks USING (recording_id)) WHERE (left_hit OR right_hit) AND NOT {TIME}),
 walk AS (
@@ -216,11 +224,20 @@ rows AS (SELECT s.*, g, row_number() OVER (PARTITION BY recording_id, g ORDER BY
 bubbles AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY first_seq) - 1 AS bubble_no,
     CASE WHEN l AND r THEN NULL WHEN r THEN 'me' ELSE 'them' END AS label, CASE WHEN l AND r THEN 'pixel-pending' WHEN r THEN 'definite-right' ELSE 'definite-left' END AS kind
   FROM (SELECT recording_id, g, min(seq) AS first_seq, min(gy) AS gy, string_agg(text, '' ORDER BY row_no) AS text, bool_or(left_hit) AS l, bool_or(right_hit) AS r,
-    arg_max(struct_pack(frame_idx, x, y, w), struct_pack(a := w * 30, b := -row_no)) AS sample FROM rows GROUP BY 1, 2))"""
-#: Bubbles with the samples that the query derives from their numbers.
-RESOLVED = BUBBLES + """,
+    arg_max(struct_pack(frame_idx, x, y, w), struct_pack(a := w * h, b := -row_no)) AS sample FROM rows GROUP BY 1, 2))"""
+BUBBLES = CHAT + BUBBLE_STEPS
+#: Bubbles with the samples that the query derives from their numbers, and the messages that display names cut them into.
+RESOLVED = NAMED_CHAT + BUBBLE_STEPS + """,
 answered AS (SELECT *, kind = 'pixel-pending' AS pending, bubble_no % 7 <> 0 AS given, CASE bubble_no * 37 % 90 % 3 WHEN 0 THEN 'me' WHEN 1 THEN 'them' END AS said FROM bubbles),
+nicked AS (SELECT *, CASE WHEN common AND body BETWEEN -2 AND 2 AND bh BETWEEN 26 AND 37 AND dx >= 14 THEN 1 WHEN common AND body BETWEEN -11 AND -3 AND bh BETWEEN 31 AND 37 AND bh - h >= 5 AND dx >= 7 THEN 2 END AS nick FROM (
+    SELECT *, lead(x) OVER w - left_peak AS body, lead(h) OVER w AS bh, lead(x) OVER w - x AS dx,
+      left_hit AND NOT right_hit AND lead(left_hit) OVER w AND left_peak - x BETWEEN 14 AND 30 AND h BETWEEN 16 AND 27 AND lead(gy) OVER w - gy BETWEEN 44 AND 56 AS common
+    FROM rows WINDOW w AS (PARTITION BY recording_id, g ORDER BY row_no))),
+split AS (SELECT *, count(*) FILTER (nick IS NOT NULL AND row_no > 0) OVER (PARTITION BY recording_id, g ORDER BY row_no) AS segment_no FROM nicked),
+segments AS (SELECT recording_id, g, segment_no, string_agg(text, '' ORDER BY row_no) AS text, arg_min(text, row_no) AS first_text, coalesce(string_agg(text, '' ORDER BY row_no) FILTER (row_no > start), '') AS body,
+  max(nick) FILTER (row_no = start) AS nick FROM (SELECT *, min(row_no) OVER (PARTITION BY recording_id, g, segment_no) AS start FROM split) GROUP BY 1, 2, 3),
 resolved AS (SELECT recording_id, g, bubble_no, text, coalesce(label, CASE WHEN given THEN said END) AS label, pending AND (NOT given OR said IS NULL) AS warned, pending AND NOT given AS failed,
+  CASE WHEN pending AND given AND bubble_no % 2 = 0 THEN 13 * bubble_no + 5 ELSE 0 END AS decoded, CASE WHEN pending AND given THEN 7 * bubble_no ELSE 0 END AS sampled,
   CASE WHEN NOT pending THEN kind WHEN NOT given THEN 'pixel-error' WHEN said IS NOT NULL THEN 'pixel-color' ELSE 'pixel-unresolved' END AS kind FROM answered)"""
 
 #: Where each frame's view starts on the page, and the pixels of views and previews, as the queries derive them.
@@ -379,15 +396,14 @@ given AS (SELECT recording_id, CAST(line_no AS INTEGER) AS line_no, text, CAST(1
     "speaker_sides": f"""WITH {CHAT} SELECT recording_id, seq, coalesce(abs(x - left_peak) <= 30, false) AS left_hit, coalesce(abs(x + w - right_peak) <= 30, false) AS right_hit
 FROM chat JOIN peaks USING (recording_id)""",
     "bubble_groups": f"""WITH RECURSIVE {BUBBLES} SELECT recording_id, CAST(bubble_no AS INTEGER) AS bubble_no, first_seq, gy, text, label, kind FROM bubbles""",
-    "speaker_stats": f"""WITH RECURSIVE {RESOLVED} SELECT recording_id, count(*) FILTER (kind LIKE 'pixel%') AS dual, count(*) FILTER (kind = 'pixel-color') AS pixel_resolved,
+    "speaker_stats": f"""WITH RECURSIVE {RESOLVED} SELECT * FROM (SELECT recording_id, count(*) FILTER (kind LIKE 'pixel%') AS dual, count(*) FILTER (kind = 'pixel-color') AS pixel_resolved,
   count(*) FILTER (kind = 'pixel-color' AND label = 'me') AS pixel_me, count(*) FILTER (kind = 'pixel-color' AND label = 'them') AS pixel_them, count(*) FILTER (warned) AS pixel_unresolved,
-  count(*) FILTER (failed) AS pixel_errors FROM resolved GROUP BY 1""",
+  count(*) FILTER (failed) AS pixel_errors, CAST(sum(decoded) AS BIGINT) AS decoded_pixels, CAST(sum(sampled) AS BIGINT) AS sampled_pixels FROM resolved GROUP BY 1)
+JOIN (SELECT recording_id, count(nick) AS nickname_candidates, count(*) FILTER (nick = 1) AS nickname_high_confidence, count(*) FILTER (nick = 2) AS nickname_wide_body,
+  count(*) FILTER (segment_no > 0) AS nickname_internal_splits, count(*) FILTER (nick IS NOT NULL AND label = 'them') AS nickname_applied FROM segments JOIN resolved USING (recording_id, g) GROUP BY 1) USING (recording_id)""",
     "chat_transcripts": f"""WITH RECURSIVE {RESOLVED},
-named AS (SELECT *, CASE WHEN common AND body BETWEEN -2 AND 2 AND bh BETWEEN 26 AND 37 AND dx >= 14 THEN 1 WHEN common AND body BETWEEN -11 AND -3 AND bh BETWEEN 31 AND 37 AND bh - 30 >= 5 AND dx >= 7 THEN 2 END AS nick FROM (
-    SELECT *, lead(x) OVER w - left_peak AS body, lead(30) OVER w AS bh, lead(x) OVER w - x AS dx, left_hit AND NOT right_hit AND lead(left_hit) OVER w AND left_peak - x BETWEEN 14 AND 30 AND false AS common
-    FROM rows WINDOW w AS (PARTITION BY recording_id, g ORDER BY row_no))),
 said AS (SELECT recording_id, bubble_no, 0 AS segment_no, '[我] ' || text AS text FROM resolved WHERE label = 'me'
-  UNION ALL SELECT r.recording_id, bubble_no, 0, '[对方] ' || string_agg(n.text, '' ORDER BY row_no) FROM resolved r JOIN named n USING (recording_id, g) WHERE label = 'them' AND nick IS NULL GROUP BY ALL)
+  UNION ALL SELECT recording_id, bubble_no, segment_no, CASE WHEN nick IS NULL THEN '[对方] ' || s.text ELSE '[' || first_text || '] ' || body END FROM resolved JOIN segments s USING (recording_id, g) WHERE label = 'them')
 SELECT recording_id, string_agg(text, chr(10) ORDER BY bubble_no, segment_no) AS markdown FROM said GROUP BY 1""",
     "region_requests": f"""WITH RECURSIVE {BUBBLES}, b AS (SELECT recording_id, bubble_no, sample.frame_idx AS frame_idx, sample.x - 140.25 AS x, sample.y + 0.5 AS y, sample.w AS w FROM bubbles WHERE l AND r)
 SELECT recording_id, 'bubble-' || bubble_no AS id, CAST(bubble_no AS INTEGER) AS bubble_no, frame_idx, 'f_' || lpad(CAST(frame_idx + 1 AS VARCHAR), 4, '0') || '.jpg' AS uri,
@@ -418,6 +434,21 @@ f AS (SELECT recording_id, CAST(frame_idx AS INTEGER) AS frame_no, CASE WHEN rec
   frame_idx + 1 + CASE WHEN recording_id % 11 = 5 AND frame_idx > 1 THEN 1 ELSE 0 END AS file_no FROM frames),
 v AS (SELECT recording_id, frame_no, file_no <> frame_no + 1 AS bad_file, time_ms <= lag(time_ms) OVER (PARTITION BY recording_id ORDER BY frame_no) AS bad_time FROM f)
 SELECT recording_id, frame_no, CASE WHEN bad_file THEN 'sequence' ELSE 'time' END AS rule FROM v WHERE bad_file OR bad_time""",
+    "capture_guards": """
+WITH r AS (SELECT doc_id AS recording_id, CAST(n_chars * 7 + 0.5 AS DOUBLE) AS d FROM documents WHERE doc_id IS NOT NULL AND n_chars > 0),
+wanted AS (SELECT recording_id, CAST(i // 5 AS INTEGER) AS idx, max(i // 5) OVER (PARTITION BY recording_id) AS last FROM r, unnest(range(0, greatest(1, CAST(floor(d / 250 + 0.5) AS BIGINT)), 5)) AS u(i)),
+marked AS (SELECT recording_id, idx, CASE WHEN recording_id % 13 = 4 THEN 'count' WHEN recording_id % 17 = 6 AND idx = 1 THEN 'invalid' WHEN recording_id % 11 = 3 AND idx = 2 THEN 'time'
+  WHEN recording_id % 7 = 2 AND idx >= 3 THEN 'size' END AS rule FROM wanted)
+SELECT recording_id, arg_min(rule, idx) AS rule, min(idx) AS idx, count(*) AS n_faults FROM marked WHERE rule IS NOT NULL GROUP BY 1""",
+    "first_differences": """
+WITH copies AS (SELECT doc_id, text, CASE WHEN doc_id % 4 = 0 THEN text WHEN doc_id % 4 = 1 THEN substr(text, 1, length(text) // 2)
+  WHEN doc_id % 4 = 2 AND length(text) > 0 THEN substr(text, 1, length(text) // 3) || '~' || substr(text, length(text) // 3 + 2) END AS copy FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+octets AS (SELECT *, regexp_extract_all(hex(encode(text)), '..') AS a, regexp_extract_all(hex(encode(copy)), '..') AS b FROM copies),
+found AS (SELECT *, list_position(list_transform(list_zip(a[1:least(len(a), len(b))], b[1:least(len(a), len(b))]), lambda z: z[1] = z[2]), false) AS spot FROM octets)
+SELECT doc_id, CAST(CASE WHEN copy IS NULL THEN NULL WHEN text = copy THEN -1 WHEN coalesce(spot, 0) > 0 THEN spot - 1 ELSE least(len(a), len(b)) END AS INTEGER) AS first_difference, md5(text) AS md5 FROM found""",
+    "cached_bands": f"""WITH {frames()}, total AS (SELECT recording_id, count(*) AS frames FROM frames GROUP BY 1)
+SELECT recording_id, band, hits, frames FROM (SELECT recording_id, CAST(floor(y / 20 + 0.5) AS BIGINT) AS band, count(DISTINCT frame_idx) AS hits FROM obs WHERE frame_idx % 3 <> 2 GROUP BY 1, 2)
+  JOIN total USING (recording_id) WHERE frames > 1 AND hits / frames >= 0.8""",
     "normalized_lines": f"""WITH {LINES} SELECT recording_id, CAST(sum(length({normalized('text')})) AS BIGINT) AS n_chars, count(*) AS n_lines FROM lines GROUP BY 1""",
     "digests": """SELECT doc_id AS run_id, sha256(text) AS sha256, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN text LIKE '%' || chr(10) THEN 1 ELSE 0 END END AS n_lines,
   length(text) AS n_chars FROM documents WHERE text IS NOT NULL""",

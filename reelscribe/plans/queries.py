@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import ANCHOR_PARTS
 from ..functions.geometry import bubble_colour
-from ..functions.text import frame_file, normalized
+from ..functions.text import first_difference, frame_file, normalized
 from ..operators import anchors, bands, bubbles, checks, dedupe, pixels, placement, planning, rows
 from ..sources import bundles
 from . import scroll
 from .oracles import SQL as SQL
 from .stitch import StitchPlan, band_sums
-from .storage import kept
+from .storage import kept, shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,16 +144,34 @@ def bubble_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     gy = (70 * F.col("turn") + 40 * F.col("seq")).cast("double")
     x = F.when(F.col("role") == "user", 585 - F.col("w")).otherwise(134.0)
     return lines.select(
-        "recording_id", "seq", F.floor(F.col("seq") / 4).cast("int").alias("frame_idx"), "text", x.alias("x"), F.pmod(gy, F.lit(1600)).alias("y"), "w", F.lit(30.0).alias("h"), gy.alias("gy"), "role"
+        "recording_id", "turn", "seq", F.floor(F.col("seq") / 4).cast("int").alias("frame_idx"), "text", x.alias("x"), F.pmod(gy, F.lit(1600)).alias("y"), "w", F.lit(30.0).alias("h"), gy.alias("gy"), "role"
     )
 
 
+def named_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``bubble_lines`` in which a small display name stands above most of the others' turns, further left; every second of
+    these has its first line in a larger box that reaches further left, and one name in four is too large to be one."""
+    lines = bubble_lines(spark, sf_dir).drop("frame_idx", "y")
+    begins = F.row_number().over(Window.partitionBy("recording_id", "turn", "role").orderBy("seq")) == 1
+    named = begins & (F.col("role") == "assistant") & (F.pmod(F.col("recording_id") + F.col("turn"), F.lit(5)) != 4)
+    lines = lines.withColumn("named", named)
+    wide = F.col("named") & (F.pmod("turn", F.lit(2)) == 1)
+    bodies = lines.withColumns({"seq": 2 * F.col("seq") + 1, "x": F.when(wide, 128.0).otherwise(F.col("x")), "h": F.when(wide, 34.0).otherwise(F.col("h"))})
+    fourth = F.pmod("turn", F.lit(4))
+    names = lines.where("named").withColumns({
+        "seq": 2 * F.col("seq"), "text": F.concat(F.lit("友"), fourth.cast("string")), "x": F.lit(114.0), "w": F.lit(40.0),
+        "h": (16 + 4 * fourth).cast("double"), "gy": F.col("gy") - 50,
+    })
+    both = bodies.unionByName(names).withColumn("y", F.pmod("gy", F.lit(1600.0)))
+    return both.withColumn("frame_idx", F.floor(F.col("seq") / 4).cast("int"))
+
+
 def align_peaks(spark, sf_dir):
     return bubbles.align_peaks(bubble_lines(spark, sf_dir))
 
 
-def labelled(spark, sf_dir):
-    found = kept(bubbles.bubble_rows(bubble_lines(spark, sf_dir)), "bubble_rows")
+def labelled(spark, sf_dir, lines=bubble_lines):
+    found = kept(bubbles.bubble_rows(lines(spark, sf_dir)), "bubble_rows")
     return found, bubbles.numbered_bubbles(bubbles.bubble_labels(found))
 
 
@@ -167,17 +187,19 @@ def speaker_sides(spark, sf_dir):
 
 def sampled(spark, sf_dir):
     """Bubbles with colour samples derived from their numbers; every seventh is missing."""
-    found, labels = labelled(spark, sf_dir)
+    found, labels = labelled(spark, sf_dir, named_lines)
     n = F.pmod(F.col("bubble_no") * 37, F.lit(90))
     side = F.when(F.pmod(n, F.lit(3)) == 0, "me").when(F.pmod(n, F.lit(3)) == 1, "them")
     answers = labels.where("sample is not null and bubble_no % 7 <> 0").select(
-        "recording_id", F.concat(F.lit("bubble-"), F.col("bubble_no").cast("string")).alias("id"), side.alias("side"), F.lit(None).cast("string").alias("error")
-    )
+        "recording_id", F.concat(F.lit("bubble-"), F.col("bubble_no").cast("string")).alias("id"), side.alias("side"), F.lit(None).cast("string").alias("error"),
+        F.when(F.col("bubble_no") % 2 == 0, 13 * F.col("bubble_no") + 5).cast("long").alias("decoded_pixels"), (7 * F.col("bubble_no")).cast("long").alias("sampled_pixels"),
+    )
     return found, bubbles.resolved_bubbles(labels, answers)
 
 
 def speaker_stats(spark, sf_dir):
-    return bubbles.speaker_stats(sampled(spark, sf_dir)[1])
+    found, resolved = sampled(spark, sf_dir)
+    return bubbles.speaker_stats(resolved, bubbles.message_segments(found))
 
 
 def chat_transcripts(spark, sf_dir):
@@ -231,6 +253,47 @@ def bundle_validation(spark, sf_dir):
     return bundles.frame_violations(bundle_frames(spark, sf_dir))
 
 
+def captures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The planned frames, and delivered ones among which some recordings lack the last frame, answer another time, change
+    their size or have a frame without a file."""
+    plan = planning.frame_plan(recordings(spark, sf_dir)).where("extracted")
+    wanted = plan.select("recording_id", F.floor(F.col("source_idx") / 5).cast("int").alias("idx"), "time_ms")
+    last, r, i = F.max("idx").over(Window.partitionBy("recording_id")), F.col("recording_id"), F.col("idx")
+    came = wanted.withColumn("last", last).where(~((r % 13 == 4) & (i == F.col("last"))))
+    return wanted, came.select(
+        "recording_id", "idx", F.when(~((r % 17 == 6) & (i == 1)), frame_file(i + 1)).alias("uri"), F.when((r % 7 == 2) & (i >= 3), 1080.0).otherwise(720.0).alias("width"),
+        F.lit(1600.0).alias("height"), (F.col("time_ms") + F.when((r % 11 == 3) & (i == 2), 1).otherwise(0)).alias("requested_ms"),
+    )
+
+
+def capture_guards(spark, sf_dir):
+    return checks.capture_faults(*captures(spark, sf_dir))
+
+
+def first_differences(spark, sf_dir):
+    """Texts as bytes against copies that are equal, cut, changed at one place, or missing."""
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null and text is not null")
+    r, n = F.pmod(F.col("doc_id"), F.lit(4)), F.char_length("text")
+    changed = F.concat(F.expr("substring(text, 1, cast(char_length(text) / 3 as int))"), F.lit("~"), F.expr("substring(text, cast(char_length(text) / 3 as int) + 2)"))
+    copy = F.when(r == 0, F.col("text")).when(r == 1, F.expr("substring(text, 1, cast(char_length(text) / 2 as int))")).when((r == 2) & (n > 0), changed)
+    at = first_difference(F.encode("text", "UTF-8"), F.encode(copy, "UTF-8"))
+    return docs.select("doc_id", at.cast("int").alias("first_difference"), F.md5("text").alias("md5"))
+
+
+def cached_bands(spark, sf_dir):
+    """Fixed bands of recordings that were written as caches and read again. Every third frame shows nothing, and counts: a header
+    that all other frames have isn't in four fifths of them."""
+    seen, frames = observed(spark, sf_dir)
+    line = F.struct("line_no", F.struct("text", "x", "y", "w", "h", F.lit(None).cast("double").alias("conf")).alias("line"))
+    shown = seen.where(F.pmod("frame_idx", F.lit(3)) != 2).groupBy("recording_id", "frame_idx").agg(F.transform(F.array_sort(F.collect_list(line)), lambda s: s["line"]).alias("lines"))
+    held = frames.join(shown, ["recording_id", "frame_idx"], "left")
+    folder = f"{shared_folder(spark)}/caches-{uuid.uuid4().hex}"
+    file, i = F.format_string("f_%04d.json", F.col("frame_idx") + 1), F.col("frame_idx").cast("long")
+    bundles.write_caches(held.select("recording_id", file.alias("file"), i.alias("source_idx"), (i * 250.0).alias("time_ms"), "lines"), folder)
+    again, lines = bundles.cached_observations(spark, folder)
+    return bands.fixed_bands(lines, again).withColumn("recording_id", F.col("recording_id").cast("long"))
+
+
 def normalized_lines(spark, sf_dir):
     lines = scroll.document_lines(table(spark, sf_dir, "documents"))
     return lines.groupBy("recording_id").agg(F.sum(F.char_length(normalized(F.col("text")))).alias("n_chars"), F.count("*").alias("n_lines"))
@@ -300,7 +363,7 @@ QUERIES = {
         frame_plan, uniform_plan, ocr_segments, scroll_observations, fixed_bands, exact_anchors, fuzzy_anchors, shift_votes, shift_table,
         frame_placement, anchor_warnings, content_lines, dedupe_lines, dedupe_stats, run_stats, plain_transcripts, format_plain, text_dedupe,
         spatial_dedupe, align_peaks, bubble_groups, speaker_sides, speaker_stats, chat_transcripts, region_requests, format_chat, bubble_colours,
-        timing_reconcile, bundle_validation, normalized_lines, transcript_scores, digests,
+        timing_reconcile, bundle_validation, capture_guards, first_differences, cached_bands, normalized_lines, transcript_scores, digests,
         scroll_regions, pixel_shifts, key_frames, stitched_images, stitch_plan, region_colours,
     )
 }

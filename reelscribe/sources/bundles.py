@@ -11,6 +11,7 @@ from ..functions.text import cache_file, trimmed
 BOX = "struct<left: double, top: double, width: double, height: double>"
 RESULT = f"array<struct<frame: {BOX}, lines: array<struct<text: string, confidence: double, frame: {BOX}>>>>"
 LINE = "text string, x double, y double, w double, h double, conf double"
+CACHED = "array<struct<text: string, x: double, y: double, w: double, h: double, conf: double>>"
 LINES = "array<struct<text: string, x: double, y: double, w: double, h: double, conf: double>>"
 BUNDLE = (
     "formatVersion int, stats struct<formatVersion: int, fps: double, sourceFrameCount: int, capturedFrameCount: int, capturesEverySourceFrame: boolean>, "
@@ -41,24 +42,55 @@ def valid_line(line: Column) -> Column:
     return F.coalesce(ok & (conf.isNull() | finite(conf)), F.lit(False))
 
 
+def in_folder(spark: SparkSession, root: str, path: Column) -> Column:
+    """A file's path below ``root``."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
+    return F.substring(path, len(full) + 2, 1 << 30)
+
+
+def frame_caches(spark: SparkSession, root: str, stride: int = 1) -> tuple[DataFrame, DataFrame]:
+    """``frames(recording_id, frame_idx, file)`` and their observations, from folders with one JSON array of lines per frame.
+
+    A recording is a folder below ``root`` (``root`` itself is ''); its files in order of name are its frames, of which every
+    ``stride``-th is taken and numbered. A frame without lines is a frame. Lines without a text are left out; a file that is no
+    JSON array is an error, and one of no bytes, which Spark doesn't list, no frame. Files are numbered by their names alone, per recording; no file is read
+    for that.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).load(root)
+    name = in_folder(spark, root, F.col("path"))
+    file, folder = F.element_at(F.split(name, "/"), -1), F.regexp_replace(name, "/?[^/]*$", "")
+    place = F.row_number().over(Window.partitionBy("recording_id").orderBy("file")) - 1
+    listed = files.select("path", folder.alias("recording_id"), file.alias("file")).withColumn("i", place)
+    taken = listed.where(F.col("i") % stride == 0).select("path", "recording_id", F.floor(F.col("i") / stride).cast("int").alias("frame_idx"), "file")
+    content = F.decode("content", "UTF-8")
+    lines = F.from_json(content, CACHED)
+    lines = F.when(lines.isNull() | ~F.ltrim(content).startswith("["), F.raise_error(F.concat(F.lit("no JSON array of lines: "), "path"))).otherwise(lines)
+    read = taken.join(files.select("path", lines.alias("lines")), "path")
+    line = read.select("recording_id", "frame_idx", F.posexplode("lines").alias("line_no", "line"))
+    seen = line.where("line.text is not null").select("recording_id", "frame_idx", "line_no", "line.*")
+    return taken.select("recording_id", "frame_idx", "file"), seen
+
+
 def read_frame_caches(spark: SparkSession, path: str, recording_id: str, stride: int = 1) -> DataFrame:
-    """Observations of a folder with one JSON array of lines per frame, every ``stride``-th file in order of name."""
-    raw = spark.read.schema(LINE).option("multiLine", True).json(path).select("*", F.col("_metadata.file_name").alias("file"))
-    place = F.dense_rank().over(Window.orderBy("file")) - 1  # over the names of one recording's files
-    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"))
-    names = names.select("file", place.alias("i")).where(F.col("i") % stride == 0).select("file", F.floor(F.col("i") / stride).cast("int").alias("frame_idx"))
-    numbered = raw.withColumn("row", F.monotonically_increasing_id()).join(names, "file")
-    line = (F.row_number().over(Window.partitionBy("file").orderBy("row")) - 1).alias("line_no")
-    return numbered.where("text is not null").select(F.lit(recording_id).alias("recording_id"), "frame_idx", line, "text", "x", "y", "w", "h", "conf")
+    """Observations of one recording's folder; see ``frame_caches``."""
+    return frame_caches(spark, path, stride)[1].where("recording_id = ''").withColumn("recording_id", F.lit(recording_id))
 
 
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
-    """One row per bundle file: ``bundle, formatVersion, stats, frames``."""
-    return spark.read.schema(BUNDLE).option("multiLine", True).json(path).withColumn("bundle", F.col("_metadata.file_name"))
+    """One row per bundle file at ``path`` or in folders below: ``bundle, formatVersion, stats, frames``. A bundle's name is its
+    whole path, so files of one name in several folders are apart."""
+    found = spark.read.schema(BUNDLE).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
+    return found.withColumn("bundle", F.col("_metadata.file_path"))
 
 
 def bundle_violations(bundles: DataFrame) -> DataFrame:
     """``bundle, violations``: names of the rules that a bundle breaks, none for one that can be imported."""
+    return bundles.select("bundle", broken_rules().alias("violations"))
+
+
+def broken_rules() -> Column:
+    """The rules that a row of ``read_bundles`` breaks."""
     frames, stats = F.col("frames"), F.col("stats")
     count = F.coalesce(F.size("frames"), F.lit(0))
     rules = {
@@ -73,8 +105,7 @@ def bundle_violations(bundles: DataFrame) -> DataFrame:
         "lines": ~F.forall(frames, lambda f: F.coalesce(F.forall(f["lines"], valid_line), F.lit(False))),
         "captured": stats["capturedFrameCount"] != count,
     }
-    broken = F.array_compact(F.array(*(F.when(F.coalesce(rule, F.lit(True)), F.lit(name)) for name, rule in rules.items())))
-    return bundles.select("bundle", broken.alias("violations"))
+    return F.array_compact(F.array(*(F.when(F.coalesce(rule, F.lit(True)), F.lit(name)) for name, rule in rules.items())))
 
 
 def frame_violations(frames: DataFrame) -> DataFrame:
@@ -88,15 +119,62 @@ def frame_violations(frames: DataFrame) -> DataFrame:
     return frames.select("recording_id", "frame_no", rule.alias("rule")).where("rule is not null")
 
 
+def sound_bundles(bundles: DataFrame) -> DataFrame:
+    """The same bundles; reading one that breaks a rule is an error that names it."""
+    broken = broken_rules()
+    failed = F.raise_error(F.concat("bundle", F.lit(" breaks: "), F.array_join(broken, ", ")))
+    return bundles.withColumn("frames", F.when(F.size(broken) == 0, F.col("frames")).otherwise(failed))
+
+
 def bundle_observations(bundles: DataFrame) -> DataFrame:
     """Observations of bundles that break no rule; an error names one that does."""
-    checked = bundles.join(bundle_violations(bundles), "bundle").withColumn(
-        "frames", F.when(F.size("violations") == 0, F.col("frames")).otherwise(F.raise_error(F.concat(F.lit("bundle breaks: "), F.array_join("violations", ", "))))
-    )
-    frame = checked.select(F.col("bundle").alias("recording_id"), F.posexplode("frames").alias("frame_idx", "frame"))
+    frame = sound_bundles(bundles).select(F.col("bundle").alias("recording_id"), F.posexplode("frames").alias("frame_idx", "frame"))
     return frame.select("recording_id", "frame_idx", F.posexplode("frame.lines").alias("line_no", "line")).select("recording_id", "frame_idx", "line_no", "line.*")
 
 
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def write_caches(frames: DataFrame, path: str) -> DataFrame:
+    """Writes ``frames(recording_id, file, source_idx, time_ms, lines)`` and returns ``recording_id, file, bytes`` of its frames.
+
+    The target may be missing or empty; one that holds anything is refused before any work. Frames are rows of JSON in
+    folders ``recording_id=…``, put in place by Spark's committer once all are written, so that a failed write leaves no
+    part of itself to be read. A null or empty list of lines is a frame without lines. Repeated rows are written each.
+    """
+    spark = frames.sparkSession
+    files, where = _files(spark, path)
+    if files.exists(where) and len(files.listStatus(where)):
+        raise ValueError(f"the target is not empty: {path}")
+    lines = F.coalesce(F.col("lines"), F.from_json(F.lit("[]"), CACHED))
+    rows = frames.select("recording_id", "file", "source_idx", F.col("time_ms").cast("double"), F.to_json(lines, {"ignoreNullFields": "false"}).alias("content"))
+    by_recording = rows.repartition("recording_id", F.col("file")).sortWithinPartitions("recording_id", "source_idx")
+    by_recording.write.mode("append").partitionBy("recording_id").json(path)
+    return written_caches(spark, path).select("recording_id", "file", F.octet_length("content").alias("bytes"))
+
+
+def written_caches(spark: SparkSession, path: str) -> DataFrame:
+    """``recording_id, file, source_idx, time_ms, content`` of what ``write_caches`` wrote; an id is a string, null included."""
+    schema = "file string, source_idx long, time_ms double, content string, recording_id string"
+    return spark.read.schema(schema).json(path).select("recording_id", "file", "source_idx", "time_ms", "content")
+
+
+def cached_observations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``frames(recording_id, frame_idx, file, time_ms)`` and observations of what ``write_caches`` wrote."""
+    held = written_caches(spark, path)
+    line = held.select("recording_id", F.col("source_idx").cast("int").alias("frame_idx"), F.posexplode(F.from_json("content", CACHED)).alias("line_no", "line"))
+    frames = held.select("recording_id", F.col("source_idx").cast("int").alias("frame_idx"), "file", "time_ms")
+    return frames, line.select("recording_id", "frame_idx", "line_no", "line.*")
+
+
+def import_bundles(bundles: DataFrame, path: str) -> DataFrame:
+    """Writes the frames of ``read_bundles`` as caches and returns ``write_caches``' rows; one broken bundle fails them all."""
+    frame = sound_bundles(bundles).select(F.col("bundle").alias("recording_id"), F.explode("frames").alias("f"))
+    return write_caches(frame.select("recording_id", F.col("f.file"), F.col("f.sourceIndex").cast("long").alias("source_idx"), F.col("f.timeMs").alias("time_ms"), "f.lines"), path)
+
+
 def cache_exports(frames: DataFrame) -> DataFrame:
     """``recording_id, file, content``: one JSON array per frame of ``frames(recording_id, name, source_idx, time_ms, lines)``.
 

@@ -119,7 +119,7 @@ def test_sides_samples_and_requests(spark):
     resolved = bubbles.resolved_bubbles(labels, said)
     text = bubbles.chat_transcript(resolved, bubbles.message_segments(found)).first().markdown
     assert text == "[对方] left a\n[对方] left b\n[我] right a\n[我] right b\n[我] both"
-    stats = bubbles.speaker_stats(resolved).first()
+    stats = bubbles.speaker_stats(resolved, bubbles.message_segments(found)).first()
     assert (stats.dual, stats.pixel_resolved, stats.pixel_me, stats.pixel_unresolved) == (1, 1, 1, 0)
 
 
@@ -221,11 +221,11 @@ def test_bundles(spark, tmp_path):
     write("time", [frame(0), frame(1, timeMs=0.0)])
     write("lines", [frame(0), frame(1, lines=[{"text": "", "x": 1, "y": 1, "w": 1, "h": 1}])])
     df = bundles.read_bundles(spark, str(tmp_path))
-    got = {r.bundle[:-5]: r.violations for r in bundles.bundle_violations(df).collect()}
+    got = {r.bundle.split('/')[-1][:-5]: r.violations for r in bundles.bundle_violations(df).collect()}
     assert got == {"good": [], "short": ["completeness", "captured"], "order": ["sequence"], "time": ["time"], "lines": ["lines"]}
-    assert bundles.bundle_observations(df.where("bundle = 'good.json'")).count() == 2
-    with pytest.raises(Exception, match="bundle breaks: time"):
-        bundles.bundle_observations(df.where("bundle = 'time.json'")).collect()
+    assert bundles.bundle_observations(df.where("bundle like '%/good.json'")).count() == 2
+    with pytest.raises(Exception, match="breaks: time"):
+        bundles.bundle_observations(df.where("bundle like '%/time.json'")).collect()
 
 
 def test_recognised_lines_and_caches(spark, tmp_path):
@@ -246,3 +246,92 @@ def test_recognised_lines_and_caches(spark, tmp_path):
         bundles.cache_exports(twice).collect()
     stats = bundles.export_stats(frames, spark.createDataFrame([(1, 2)], "recording_id long, source_frames int")).first()
     assert (stats.captured_frames, stats.ocr_lines, stats.null_confidence, stats.captures_every_source_frame) == (2, 1, 1, True)
+
+
+def test_frames_without_lines_are_frames(spark, tmp_path):
+    from reelscribe.operators import bands
+
+    head = '[{"text": "head", "x": 1, "y": 100, "w": 9, "h": 9, "conf": null}]'
+    for folder in ("one", "deep/one"):
+        (tmp_path / folder).mkdir(parents=True)
+        for i in range(6):
+            (tmp_path / folder / f"f_{i:04d}.json").write_text(["[]", " [ ]\\n"][i // 2 % 2] if i in (1, 3) else head)
+    frames, seen = bundles.frame_caches(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in frames.groupBy("recording_id").count().collect()) == [("deep/one", 6), ("one", 6)]
+    assert seen.count() == 8 and bands.fixed_bands(seen, frames).count() == 0
+    frames, seen = bundles.frame_caches(spark, str(tmp_path), stride=2)
+    assert [r.frame_idx for r in frames.where("recording_id = 'one'").orderBy("file").collect()] == [0, 1, 2]
+    assert {tuple(r) for r in bands.fixed_bands(seen, frames).select("hits", "frames").collect()} == {(3, 3)}
+    (tmp_path / "one" / "f_0009.json").write_text("{}")
+    with pytest.raises(Exception, match="no JSON array"):
+        bundles.frame_caches(spark, str(tmp_path))[1].collect()
+
+
+def test_caches_come_back_and_a_filled_target_is_refused(spark, tmp_path):
+    rows = [(1, "f_0001.json", 0, 0.0, [("a\n\"b", 1.0, 2.5, 3.0, 4.0, None)]), (1, "f_0002.json", 1, 250.0, []), (2, "f_0001.json", 0, 0.0, None), (None, "f_0001.json", 0, 0.0, [("é", 0.0, 0.0, 1.0, 1.0, 0.5)])]
+    frames = spark.createDataFrame(rows, f"recording_id long, file string, source_idx long, time_ms double, lines {bundles.LINES}")
+    (tmp_path / "out").mkdir()
+    sizes = {(r.recording_id, r.file): r.bytes for r in bundles.write_caches(frames, str(tmp_path / "out")).collect()}
+    assert sizes[("1", "f_0002.json")] == sizes[("2", "f_0001.json")] == 2 and len(sizes) == 4
+    back, lines = bundles.cached_observations(spark, str(tmp_path / "out"))
+    assert back.count() == 4
+    got = {(r.recording_id, r.frame_idx, r.text, r.y, r.conf) for r in lines.collect()}
+    assert got == {("1", 0, 'a\n"b', 2.5, None), (None, 0, "é", 0.0, 0.5)}
+    with pytest.raises(ValueError, match="not empty"):
+        bundles.write_caches(frames, str(tmp_path / "out"))
+    assert bundles.written_caches(spark, str(tmp_path / "out")).count() == 4
+
+
+def test_bundles_are_imported_whole_or_not_at_all(spark, tmp_path):
+    def bundle(folder, times):
+        lines = [{"text": "t", "x": 1, "y": 2, "w": 3, "h": 4, "conf": None}]
+        frames = [{"file": f"f_{i + 1:04d}.json", "sourceIndex": i, "timeMs": t, "lines": lines if i else []} for i, t in enumerate(times)]
+        stats = {"formatVersion": 1, "fps": 4, "sourceFrameCount": len(times), "capturedFrameCount": len(times), "capturesEverySourceFrame": True}
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "b.json").write_text(json.dumps({"formatVersion": 1, "stats": stats, "frames": frames}))
+
+    import json
+
+    bundle("a", [0, 250])
+    bundle("c", [0, 250, 500])
+    read = bundles.read_bundles(spark, str(tmp_path / "in"))
+    found = bundles.import_bundles(read, str(tmp_path / "out"))
+    assert found.groupBy("recording_id").count().count() == 2 and found.count() == 5
+    bundle("bad", [0, 0])
+    with pytest.raises(Exception, match="breaks: time"):
+        bundles.import_bundles(bundles.read_bundles(spark, str(tmp_path / "in")), str(tmp_path / "other"))
+    assert not list((tmp_path / "other").rglob("part-*")) if (tmp_path / "other").exists() else True
+
+
+def test_capture_guards_name_the_first_fault(spark):
+    wanted = spark.createDataFrame([(r, i, 250.0 * i) for r in range(5) for i in range(3)], "recording_id int, idx int, time_ms double")
+    rows = [(r, i, f"f{i}", 720.0, 1600.0, 250.0 * i) for r in range(5) for i in range(3) if (r, i) != (1, 2)] + [(9, 0, "f0", 1.0, 1.0, 0.0)]
+    rows[rows.index((2, 1, "f1", 720.0, 1600.0, 250.0))] = (2, 1, None, 720.0, 1600.0, 250.0)
+    rows[rows.index((3, 2, "f2", 720.0, 1600.0, 500.0))] = (3, 2, "f2", 721.0, 1600.0, 500.0)
+    rows[rows.index((4, 0, "f0", 720.0, 1600.0, 0.0))] = (4, 0, "f0", 720.0, float("nan"), 0.0)
+    schema = "recording_id int, idx int, uri string, width double, height double, requested_ms double"
+    captured = spark.createDataFrame(rows, schema)
+    got = {r.recording_id: (r.rule, r.idx) for r in checks.capture_faults(wanted, captured).collect()}
+    assert got == {1: ("count", 0), 2: ("invalid", 1), 3: ("size", 2), 4: ("invalid", 0), 9: ("count", 0)}
+    assert checks.checked_captures(wanted.where("recording_id = 0"), captured.where("recording_id = 0")).count() == 3
+    with pytest.raises(Exception, match="recording 3, frame 2: size"):
+        checks.checked_captures(wanted.where("recording_id = 3"), captured.where("recording_id = 3")).collect()
+    assert checks.capture_faults(wanted, captured.where("false")).count() == 5
+
+
+@pytest.mark.parametrize("left,right,at", [(b"", b"", -1), (b"abc", b"abc", -1), (b"abc", b"abd", 2), (b"abc", b"ab", 2), (b"", b"x", 0), (None, b"x", None), (b"\xff" * 999 + b"a", b"\xff" * 999 + b"b", 999)])
+def test_first_difference(spark, left, right, at):
+    from pyspark.sql import functions as F
+
+    from reelscribe.functions.text import first_difference
+
+    assert spark.createDataFrame([(left, right)], "a binary, b binary").select(first_difference(F.col("a"), F.col("b"))).first()[0] == at
+
+
+def test_a_cut_that_would_lose_text_is_not_made(spark):
+    rows = [(1, 0, 0, 0, 0, 0, "Ann", 114.0, 0.0, 40.0, 20.0, 0.0, True, False, 134.0), (1, 0, 0, 1, 1, 0, "hello", 134.0, 50.0, 100.0, 30.0, 50.0, True, False, 134.0)]
+    names = "recording_id int, island int, group_no int, row_no int, seq int, frame_idx int, text string, x double, y double, w double, h double, gy double, left_hit boolean, right_hit boolean, left_peak double"
+    whole = bubbles.message_segments(spark.createDataFrame(rows, names)).collect()
+    assert [(r.text, r.nickname, r.body) for r in whole] == [("Annhello", "Ann", "hello")]
+    lost = [(*rows[0][:6], None, *rows[0][7:]), rows[1]]
+    assert [(r.text, r.nickname) for r in bubbles.message_segments(spark.createDataFrame(lost, names)).collect()] == [("hello", None)]

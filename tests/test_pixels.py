@@ -123,3 +123,24 @@ def test_ppm_and_bad_frames(spark):
     asked = spark.createDataFrame([(1, str(f), f, 0, 0, 1, 1) for f in range(4)], "recording_id long, id string, frame_idx int, x int, y int, width int, height int")
     got = {r.id: r.error for r in pixels.region_samples(asked, bad).collect()}
     assert got == {"0": "E_DECODE", "1": "E_CONFIG", "2": "E_DECODE", "3": "E_FRAME"}
+
+
+def test_the_stitch_plan_marks_what_it_cannot_stitch(spark):
+    from reelscribe.plans import scroll
+    from reelscribe.plans.stitch import StitchPlan
+
+    def frames(recording, positions):
+        return [(recording, i, *scroll.screen_pixels(recording, p)) for i, p in enumerate(positions)]
+
+    rows = frames(1, [400, 640, 880, 880, 1360]) + frames(2, [400]) + frames(3, [400, 640, 880]) + frames(4, [400, 640, 880]) + frames(5, [400, 640, 4000, 4200])
+    rows[6] = (3, 0, b"\0" * 32, 2, 4)
+    del rows[-7]
+    plan = StitchPlan(spark.createDataFrame(rows, "recording_id int, frame_idx int, data binary, width int, height int"))
+    placed = plan.placed
+    got = {r.recording_id: r for r in plan.summary(placed).collect()}
+    assert {k: r.status for k, r in got.items()} == {1: "ok", 2: "no_region", 3: "mixed_sizes", 4: "gaps", 5: "ok"}
+    assert got[1].height == got[1].bottom - got[1].top + 960 and got[5].n_unsure == 1 and got[4].n_key is None
+    bands = plan.bands(placed).where("recording_id = 1").orderBy("offset").collect()
+    image = np.concatenate([np.frombuffer(bytes(b.data), np.uint8).reshape(b.rows, b.width, 4) for b in bands])
+    page = scroll.screen_page(1, got[1].top + 400 + np.arange(len(image)))
+    assert len(image) == got[1].height and (image[..., 0] == page % 256).all()

@@ -212,3 +212,17 @@ def checked_captures(wanted: DataFrame, captured: DataFrame) -> DataFrame:
     name = F.concat(F.lit("recording "), F.col("recording_id").cast("string"), F.lit(", frame "), F.col("idx").cast("string"), F.lit(": "), "rule")
     marked = capture_marks(wanted, captured)
     return marked.withColumn("uri", F.when(F.col("rule").isNull(), F.col("uri")).otherwise(F.raise_error(name))).select(*captured.columns)
+
+
+def report_field(text: Column, name: str) -> Column:
+    """What a report's line ``name: value`` says; null without such a line or value."""
+    found = F.regexp_extract(text, rf"(?m)^\Q{name}\E: (.+)$", 1)
+    return F.when(found != "", found)
+
+
+def retry_requests(runs: DataFrame, fallback: str = "stitch") -> DataFrame:
+    """``run_id, asset, mode, engine``: runs of ``runs(run_id, engine, status, unresolved, asset, mode)`` to offer again with the other
+    engine. An anchor run is offered if it warned or left samples unresolved, and if its asset and mode are known."""
+    doubtful = (F.col("engine") == "anchor") & ((F.col("status") == "warning") | (F.coalesce("unresolved", F.lit(0)) > 0))
+    known = (F.coalesce("asset", F.lit("")) != "") & (F.coalesce("mode", F.lit("")) != "")
+    return runs.where(F.coalesce(doubtful, F.lit(False)) & known).select("run_id", "asset", "mode", F.lit(fallback).alias("engine"))

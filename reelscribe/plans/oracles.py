@@ -449,6 +449,17 @@ SELECT doc_id, CAST(CASE WHEN copy IS NULL THEN NULL WHEN text = copy THEN -1 WH
     "cached_bands": f"""WITH {frames()}, total AS (SELECT recording_id, count(*) AS frames FROM frames GROUP BY 1)
 SELECT recording_id, band, hits, frames FROM (SELECT recording_id, CAST(floor(y / 20 + 0.5) AS BIGINT) AS band, count(DISTINCT frame_idx) AS hits FROM obs WHERE frame_idx % 3 <> 2 GROUP BY 1, 2)
   JOIN total USING (recording_id) WHERE frames > 1 AND hits / frames >= 0.8""",
+    "term_rules": """
+WITH rules(rule_no, term, allow, allow_label) AS (VALUES (0, 'worthless', NULL, NULL), (1, 'idiot', 'clown|loser', NULL), (2, 'tion the', 'and', NULL), (3, 'lich', 'ung|der', NULL), (4, 'ment de', NULL, '^src[0-4]$'),
+  (5, 'ción', 'que|los', NULL), (6, 'the', '[aeiou]{4}', NULL), (7, 'the the', NULL, NULL), (8, '@', NULL, 'src1'), (9, 'idiot', NULL, NULL)),
+docs AS (SELECT doc_id, source, string_split(text, chr(10)) AS p FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND NOT regexp_matches(substr(text, 1, 2000), '[#*$%&]{3}')),
+lines AS (SELECT doc_id AS recording_id, CAST(i - 1 AS INTEGER) AS line_no, source, p[i] AS text FROM docs, unnest(range(1, len(p) + 1)) AS u(i))
+SELECT recording_id, line_no, rule_no, term FROM lines JOIN rules ON contains(text, term)
+WHERE NOT coalesce(regexp_matches(text, allow), false) AND NOT coalesce(regexp_matches(source, allow_label), false)""",
+    "retry_requests": f"""WITH RECURSIVE {RESOLVED}
+SELECT recording_id AS run_id, 'f_' || lpad(CAST(recording_id AS VARCHAR), 4, '0') || '.jpg' AS asset, 'chat' AS mode, 'stitch' AS engine
+FROM (SELECT recording_id, count(*) FILTER (warned) AS unresolved FROM resolved GROUP BY 1) JOIN (SELECT recording_id, count(nick) AS names FROM segments GROUP BY 1) USING (recording_id)
+WHERE recording_id % 5 < 3 AND (names > 2 OR unresolved > 0)""",
     "normalized_lines": f"""WITH {LINES} SELECT recording_id, CAST(sum(length({normalized('text')})) AS BIGINT) AS n_chars, count(*) AS n_lines FROM lines GROUP BY 1""",
     "digests": """SELECT doc_id AS run_id, sha256(text) AS sha256, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN text LIKE '%' || chr(10) THEN 1 ELSE 0 END END AS n_lines,
   length(text) AS n_chars FROM documents WHERE text IS NOT NULL""",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import ANCHOR_PARTS
 from ..functions.geometry import bubble_colour
 from ..functions.text import first_difference, frame_file, normalized
-from ..operators import anchors, bands, bubbles, checks, dedupe, pixels, placement, planning, rows
+from ..operators import anchors, bands, bubbles, checks, dedupe, pixels, placement, planning, rows, terms
 from ..sources import bundles
 from . import scroll
 from .oracles import SQL as SQL
@@ -294,6 +294,32 @@ def cached_bands(spark, sf_dir):
     return bands.fixed_bands(lines, again).withColumn("recording_id", F.col("recording_id").cast("long"))
 
 
+#: What the lines of documents are held against: a term, what allows it in a line, and what in its document's source.
+TERM_RULES = [
+    terms.Rule("worthless"), terms.Rule("idiot", "clown|loser"), terms.Rule("tion the", "and"), terms.Rule("lich", "ung|der"), terms.Rule("ment de", None, "^src[0-4]$"),
+    terms.Rule("ción", "que|los"), terms.Rule("the", "[aeiou]{4}"), terms.Rule("the the"), terms.Rule("@", None, "src1"), terms.Rule("idiot"),
+]
+SEALED = "[#*$%&]{3}"
+
+
+def term_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where(~terms.sealed(F.col("text"), SEALED))
+    lines = scroll.document_lines(docs).join(docs.select(F.col("doc_id").alias("recording_id"), F.col("source").alias("label")), "recording_id")
+    return terms.term_hits(lines, TERM_RULES)
+
+
+def retry_requests(spark, sf_dir):
+    """Chat runs whose bubbles warned or stayed without a side, to be run again from images."""
+    found, resolved = sampled(spark, sf_dir)
+    stats = bubbles.speaker_stats(resolved, bubbles.message_segments(found))
+    odd = F.pmod("recording_id", F.lit(5))
+    runs = stats.select(
+        F.col("recording_id").alias("run_id"), F.when(odd == 3, "stitch").otherwise("anchor").alias("engine"), F.when(F.col("nickname_candidates") > 2, "warning").otherwise("ok").alias("status"),
+        F.col("pixel_unresolved").alias("unresolved"), F.when(odd != 4, frame_file(F.col("recording_id").cast("int"))).alias("asset"), F.lit("chat").alias("mode"),
+    )
+    return checks.retry_requests(runs)
+
+
 def normalized_lines(spark, sf_dir):
     lines = scroll.document_lines(table(spark, sf_dir, "documents"))
     return lines.groupBy("recording_id").agg(F.sum(F.char_length(normalized(F.col("text")))).alias("n_chars"), F.count("*").alias("n_lines"))
@@ -363,7 +389,7 @@ QUERIES = {
         frame_plan, uniform_plan, ocr_segments, scroll_observations, fixed_bands, exact_anchors, fuzzy_anchors, shift_votes, shift_table,
         frame_placement, anchor_warnings, content_lines, dedupe_lines, dedupe_stats, run_stats, plain_transcripts, format_plain, text_dedupe,
         spatial_dedupe, align_peaks, bubble_groups, speaker_sides, speaker_stats, chat_transcripts, region_requests, format_chat, bubble_colours,
-        timing_reconcile, bundle_validation, capture_guards, first_differences, cached_bands, normalized_lines, transcript_scores, digests,
+        timing_reconcile, bundle_validation, capture_guards, first_differences, cached_bands, term_rules, retry_requests, normalized_lines, transcript_scores, digests,
         scroll_regions, pixel_shifts, key_frames, stitched_images, stitch_plan, region_colours,
     )
 }

@@ -79,5 +79,19 @@ def cache_file(name: Column) -> Column:
     ).otherwise(F.raise_error(F.concat(F.lit("not a frame name: "), F.coalesce(name, F.lit("null")))))
 
 
+def local_path(source: Column, provider: bool = False) -> Column:
+    """The path that a source on this machine names, else null: an absolute path, or the path of a ``file:`` address.
+
+    With ``provider``, as for videos, ``content:`` addresses come through as they are. What stands before the first colon is the
+    scheme, and its case counts; a query or fragment is no part of a path, and an escape that can't be decoded has none.
+    """
+    head = F.when(F.instr(source, ":") > 0, F.substring_index(source, ":", 1))
+    rest = F.when(head.isNull(), source).otherwise(F.regexp_replace(source, "^[^:]*:", ""))
+    bare = F.regexp_extract(rest, r"^(?://[^/?#]*+)?+(/[^?#]*)", 1)
+    path = F.when(bare != "", F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))))
+    local = F.when(head.isNull() | (head == "file"), path)
+    return F.when(head == "content", source).otherwise(local) if provider else local
+
+
 def compact_time(ts: Column) -> Column:
     return F.date_format(ts, "yyyyMMdd'T'HHmmss'Z'")

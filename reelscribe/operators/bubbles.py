@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import ALIGN_TOLERANCE, BUBBLE_DX, BUBBLE_DY, OTHER, SELF
+from ..functions.geometry import band
 from ..functions.text import is_time_label
 from .folds import Columns, fold, islands
 
@@ -125,8 +126,14 @@ def message_segments(rows: DataFrame, internal: bool = True, wide_body: bool = T
     )
 
 
-def bubble_labels(rows: DataFrame) -> DataFrame:
-    """``…bubble, first_seq, gy, text, label, kind`` and ``sample``, the largest row of a bubble whose sides disagree."""
+def bubble_labels(rows: DataFrame, policy: str = "pixels") -> DataFrame:
+    """``…bubble, first_seq, gy, text, label, kind`` and ``sample``, the largest row of a bubble whose sides disagree.
+
+    By ``pixels`` such a bubble waits for a colour sample. By ``geometry``, for recordings without frames, it is mine if rows at
+    the right peak lie in two bands of height or more, else the other's, and has no sample. No rows give no bubbles.
+    """
+    if policy not in ("pixels", "geometry"):
+        raise ValueError(f"unknown policy: {policy}")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("row_no", "text"))), lambda r: r["text"])
     box = F.struct("frame_idx", "x", "y", "w", "h")
     grouped = rows.groupBy(*BUBBLE).agg(
@@ -136,16 +143,20 @@ def bubble_labels(rows: DataFrame) -> DataFrame:
         F.bool_or("left_hit").alias("has_left"),
         F.bool_or("right_hit").alias("has_right"),
         F.max_by(box, F.struct(F.col("w") * F.col("h"), -F.col("row_no"))).alias("sample"),
+        F.size(F.collect_set(F.when(F.col("right_hit"), band(F.col("gy"))))).alias("right_bands"),
     )
     both = F.col("has_left") & F.col("has_right")
+    mine, pixels = F.col("right_bands") >= 2, F.lit(policy == "pixels")
+    guess = F.when(~pixels, F.when(mine, "me").otherwise("them"))
+    how = F.when(pixels, "pixel-pending").when(mine, "weak-right-repeat").otherwise("double-default-left")
     return grouped.select(
         *BUBBLE,
         "first_seq",
         "gy",
         "text",
-        F.when(both, None).when(F.col("has_right"), "me").otherwise("them").alias("label"),
-        F.when(both, "pixel-pending").when(F.col("has_right"), "definite-right").otherwise("definite-left").alias("kind"),
-        F.when(both, F.col("sample")).alias("sample"),
+        F.when(both, guess).when(F.col("has_right"), "me").otherwise("them").alias("label"),
+        F.when(both, how).when(F.col("has_right"), "definite-right").otherwise("definite-left").alias("kind"),
+        F.when(both & pixels, F.col("sample")).alias("sample"),
     )
 
 

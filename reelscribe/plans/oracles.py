@@ -226,6 +226,10 @@ bubbles AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY firs
   FROM (SELECT recording_id, g, min(seq) AS first_seq, min(gy) AS gy, string_agg(text, '' ORDER BY row_no) AS text, bool_or(left_hit) AS l, bool_or(right_hit) AS r,
     arg_max(struct_pack(frame_idx, x, y, w), struct_pack(a := w * h, b := -row_no)) AS sample FROM rows GROUP BY 1, 2))"""
 BUBBLES = CHAT + BUBBLE_STEPS
+#: The same where some turns reach over the whole width.
+WIDE_BUBBLES = SEQS + """, chat AS (SELECT recording_id, turn, role, text, seq, CASE WHEN wide THEN 451 ELSE w END AS w, CASE WHEN wide THEN 134 ELSE x END AS x,
+    CASE WHEN wide THEN CAST(70 * turn + CASE WHEN turn % 2 = 0 THEN 30 * (seq % 3) ELSE 0 END AS DOUBLE) ELSE gy END AS gy, h, seq // 4 AS frame_idx
+  FROM (SELECT *, role = 'user' AND (recording_id + turn) % 3 = 0 AS wide FROM plain_chat)),""" + PEAKS + BUBBLE_STEPS
 #: Bubbles with the samples that the query derives from their numbers, and the messages that display names cut them into.
 RESOLVED = NAMED_CHAT + BUBBLE_STEPS + """,
 answered AS (SELECT *, kind = 'pixel-pending' AS pending, bubble_no % 7 <> 0 AS given, CASE bubble_no * 37 % 90 % 3 WHEN 0 THEN 'me' WHEN 1 THEN 'them' END AS said FROM bubbles),
@@ -355,6 +359,12 @@ FROM r, unnest(range(0, greatest(1, CAST(floor(d / 250 + 0.5) AS BIGINT)))) AS u
     "uniform_plan": """
 WITH r AS (SELECT doc_id AS recording_id, CAST(n_chars * 7 + 0.5 AS DOUBLE) AS d FROM documents WHERE doc_id IS NOT NULL AND n_chars > 0)
 SELECT recording_id, CAST(i AS INTEGER) AS idx, floor(i * greatest(0, d - 1) / 11 + 0.5) AS time_ms FROM r, unnest(range(0, 12)) AS u(i)""",
+    "preset_requests": """
+WITH r AS (SELECT doc_id AS recording_id, CAST(n_chars * 7 + 0.5 AS DOUBLE) AS d, CASE doc_id % 3 WHEN 0 THEN 12 ELSE 24 END AS n, CASE doc_id % 3 WHEN 0 THEN 5 ELSE 3 END AS stride,
+    CASE doc_id % 3 WHEN 0 THEN 'chat' ELSE 'plain' END AS mode FROM documents WHERE doc_id IS NOT NULL AND n_chars > 0)
+SELECT recording_id, mode, 'prescan' AS purpose, CAST(i AS INTEGER) AS idx, floor(i * greatest(0, d - 1) / (n - 1) + 0.5) AS time_ms, 0.4::DOUBLE AS quality FROM r, unnest(range(0, n)) AS u(i)
+UNION ALL SELECT recording_id, mode, 'keyframe', CAST(i AS INTEGER), least(d - 1, CAST(i * 250 AS DOUBLE)), 1.0::DOUBLE
+  FROM r, unnest(range(0, greatest(1, CAST(floor(d / 250 + 0.5) AS BIGINT)))) AS u(i) WHERE i % stride = 0""",
     "ocr_segments": """
 SELECT doc_id AS image_id, CAST(i AS INTEGER) AS segment, 1200 * i AS top, least(1400, n_chars - 1200 * i) AS height
 FROM documents, unnest(range(0, (n_chars - 1) // 1200 + 1)) AS u(i) WHERE doc_id IS NOT NULL AND n_chars >= 1""",
@@ -396,6 +406,9 @@ given AS (SELECT recording_id, CAST(line_no AS INTEGER) AS line_no, text, CAST(1
     "speaker_sides": f"""WITH {CHAT} SELECT recording_id, seq, coalesce(abs(x - left_peak) <= 30, false) AS left_hit, coalesce(abs(x + w - right_peak) <= 30, false) AS right_hit
 FROM chat JOIN peaks USING (recording_id)""",
     "bubble_groups": f"""WITH RECURSIVE {BUBBLES} SELECT recording_id, CAST(bubble_no AS INTEGER) AS bubble_no, first_seq, gy, text, label, kind FROM bubbles""",
+    "geometry_sides": f"""WITH RECURSIVE {WIDE_BUBBLES}, bands AS (SELECT recording_id, g, count(DISTINCT floor(gy / 20 + 0.5)) FILTER (right_hit) AS n FROM rows GROUP BY 1, 2)
+SELECT recording_id, CAST(bubble_no AS INTEGER) AS bubble_no, gy, text, coalesce(label, CASE WHEN n >= 2 THEN 'me' ELSE 'them' END) AS label,
+  CASE WHEN label IS NOT NULL THEN kind WHEN n >= 2 THEN 'weak-right-repeat' ELSE 'double-default-left' END AS kind FROM bubbles JOIN bands USING (recording_id, g)""",
     "speaker_stats": f"""WITH RECURSIVE {RESOLVED} SELECT * FROM (SELECT recording_id, count(*) FILTER (kind LIKE 'pixel%') AS dual, count(*) FILTER (kind = 'pixel-color') AS pixel_resolved,
   count(*) FILTER (kind = 'pixel-color' AND label = 'me') AS pixel_me, count(*) FILTER (kind = 'pixel-color' AND label = 'them') AS pixel_them, count(*) FILTER (warned) AS pixel_unresolved,
   count(*) FILTER (failed) AS pixel_errors, CAST(sum(decoded) AS BIGINT) AS decoded_pixels, CAST(sum(sampled) AS BIGINT) AS sampled_pixels FROM resolved GROUP BY 1)
@@ -423,6 +436,16 @@ SELECT recording_id, string_agg(CASE text[1] WHEN 'M' THEN '[我] ' ELSE '[对
     "bubble_colours": """
 SELECT p_partkey, CASE WHEN g - b > 40 THEN 'self' WHEN r > 200 AND g > 200 AND b > 200 THEN 'other' ELSE 'system' END AS side
 FROM (SELECT p_partkey, p_partkey * 7 % 256 AS r, p_partkey * 11 % 256 AS g, p_partkey * 13 % 256 AS b FROM part)""",
+    "colour_channels": """
+WITH p AS (SELECT p_partkey, p_partkey % 7 AS form, p_partkey * 7 % 256 AS r, p_partkey * 11 % 256 AS g, p_partkey * 13 % 256 AS b FROM part WHERE p_partkey IS NOT NULL),
+c AS (SELECT p_partkey, CASE WHEN form <> 4 THEN r::DOUBLE END AS red, g::DOUBLE AS green, CASE WHEN form <> 3 THEN b::DOUBLE END AS blue FROM p)
+SELECT *, CASE WHEN red IS NULL OR blue IS NULL THEN 'system' WHEN green - blue > 40 THEN 'self' WHEN least(red, green, blue) > 200 THEN 'other' ELSE 'system' END AS side FROM c""",
+    "local_sources": """
+WITH p AS (SELECT page_id, page_id % 8 AS k, url, regexp_replace(url, '^[a-z]+://[^/]*', '') AS path FROM pages WHERE page_id IS NOT NULL AND url IS NOT NULL),
+s AS (SELECT *, CASE k WHEN 0 THEN path WHEN 1 THEN 'file://' || path WHEN 2 THEN 'content://media' || path WHEN 3 THEN '.' || path WHEN 4 THEN 'file://host' || path || '%20+a?q=1#f'
+    WHEN 5 THEN 'file:' || path[2:] WHEN 6 THEN 'File://' || path ELSE url END AS source, CASE WHEN k < 2 OR k = 4 THEN regexp_replace(path, '[?#].*$', '') || CASE WHEN k = 4 AND NOT regexp_matches(path, '[?#]') THEN ' +a' ELSE '' END END AS image FROM p)
+SELECT page_id, source, CASE WHEN k = 2 THEN source ELSE image END AS video, image FROM s""",
+    "export_names": """SELECT event_id, 'export-' || strftime(ts, '%Y%m%dT%H%M%SZ') AS name FROM events WHERE event_id IS NOT NULL AND ts IS NOT NULL""",
     "timing_reconcile": """
 WITH s AS (SELECT user_id, CAST(ts AS DATE) AS day, sum(CAST(round(value * 100) AS BIGINT)) AS ms FROM events
   WHERE user_id IS NOT NULL AND ts IS NOT NULL AND value >= 0 AND event_type IS NOT NULL GROUP BY 1, 2),

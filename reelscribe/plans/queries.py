@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..constants import ANCHOR_PARTS
-from ..functions.geometry import bubble_colour
-from ..functions.text import first_difference, frame_file, normalized
+from ..constants import ANCHOR_PARTS, PRESETS
+from ..functions.geometry import bubble_colour, rgb_channels
+from ..functions.text import compact_time, first_difference, frame_file, local_path, normalized
 from ..operators import anchors, bands, bubbles, checks, dedupe, pixels, placement, planning, rows, terms
 from ..sources import bundles
 from . import scroll
@@ -51,6 +51,11 @@ def uniform_plan(spark, sf_dir):
     return recordings(spark, sf_dir).select("recording_id", F.posexplode(times).alias("idx", "time_ms"))
 
 
+def preset_requests(spark, sf_dir):
+    preset = F.element_at(F.array(*map(F.lit, PRESETS)), (F.pmod("recording_id", F.lit(len(PRESETS))) + 1).cast("int"))
+    return planning.preset_requests(recordings(spark, sf_dir).withColumn("preset", preset))
+
+
 def ocr_segments(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("doc_id is not null")
     return planning.ocr_segments(docs.select(F.col("doc_id").alias("image_id"), F.col("n_chars").alias("total_height")))
@@ -148,6 +153,15 @@ def bubble_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def wide_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``bubble_lines`` in which every third of the users' turns has lines over the whole width, 30 apart or all at one height."""
+    lines = bubble_lines(spark, sf_dir)
+    wide = (F.col("role") == "user") & (F.pmod(F.col("recording_id") + F.col("turn"), F.lit(3)) == 0)
+    part = F.when(F.pmod("turn", F.lit(2)) == 0, 30 * F.pmod("seq", F.lit(3))).otherwise(0)
+    gy = F.when(wide, 70 * F.col("turn") + part).otherwise(F.col("gy")).cast("double")
+    return lines.withColumns({"x": F.when(wide, 134.0).otherwise(F.col("x")), "w": F.when(wide, 451.0).otherwise(F.col("w")), "gy": gy, "y": F.pmod(gy, F.lit(1600.0))})
+
+
 def named_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``bubble_lines`` in which a small display name stands above most of the others' turns, further left; every second of
     these has its first line in a larger box that reaches further left, and one name in four is too large to be one."""
@@ -179,6 +193,12 @@ def bubble_groups(spark, sf_dir):
     return labelled(spark, sf_dir)[1].select("recording_id", "bubble_no", "first_seq", "gy", "text", "label", "kind")
 
 
+def geometry_sides(spark, sf_dir):
+    """Sides of all bubbles where there are no frames to take colours from."""
+    rows_ = kept(bubbles.bubble_rows(wide_turns(spark, sf_dir)), "bubble_rows")
+    return bubbles.numbered_bubbles(bubbles.bubble_labels(rows_, "geometry")).select("recording_id", "bubble_no", "gy", "text", "label", "kind")
+
+
 def speaker_sides(spark, sf_dir):
     lines = bubble_lines(spark, sf_dir)
     seen = bubbles.hits(lines, bubbles.align_peaks(lines))
@@ -225,6 +245,36 @@ def bubble_colours(spark, sf_dir):
     return parts.select("p_partkey", bubble_colour(F.col("r"), F.col("g"), F.col("b"), 200.0).alias("side"))
 
 
+def colour_channels(spark, sf_dir):
+    """Sides of colours that come as JSON: arrays or objects, some of them without a channel or with one that is no number."""
+    r, g, b = (F.pmod(F.col("p_partkey") * k, F.lit(256)).cast("string") for k in (7, 11, 13))
+    form = F.pmod("p_partkey", F.lit(7))
+    whole = F.when(form < 3, F.concat(F.lit("["), F.concat_ws(",", r, g, b), F.lit("]"))).when(form == 3, F.concat(F.lit("["), F.concat_ws(",", r, g), F.lit("]")))
+    named = F.concat(F.lit('{"b":'), b, F.lit(',"r":'), F.when(form == 4, F.lit('"dark"')).otherwise(r), F.lit(',"g":'), g, F.lit("}"))
+    made = table(spark, sf_dir, "part").where("p_partkey is not null").select("p_partkey", F.coalesce(whole, named).alias("colour"))
+    channels = made.select("p_partkey", *(c.alias(n) for c, n in zip(rgb_channels(F.col("colour"), made.schema["colour"].dataType), ("red", "green", "blue"))))
+    return channels.withColumn("side", bubble_colour(F.col("red"), F.col("green"), F.col("blue"), 200.0))
+
+
+def local_sources(spark, sf_dir):
+    """Which addresses of pages name a video or an image on this machine, after other schemes and hosts were put in some."""
+    pages = table(spark, sf_dir, "pages").where("page_id is not null and url is not null")
+    k, path = F.pmod("page_id", F.lit(8)), F.regexp_replace("url", "^[a-z]+://[^/]*", "")
+    made = (
+        F.when(k == 0, path).when(k == 1, F.concat(F.lit("file://"), path)).when(k == 2, F.concat(F.lit("content://media"), path)).when(k == 3, F.concat(F.lit("."), path))
+        .when(k == 4, F.concat(F.lit("file://host"), path, F.lit("%20+a?q=1#f"))).when(k == 5, F.concat(F.lit("file:"), F.substring(path, 2, 1000))).when(k == 6, F.concat(F.lit("File://"), path))
+        .otherwise(F.col("url"))
+    )
+    named = pages.select("page_id", made.alias("source"))
+    return named.select("page_id", "source", local_path(F.col("source"), provider=True).alias("video"), local_path(F.col("source")).alias("image"))
+
+
+def export_names(spark, sf_dir):
+    """File names of exports: the event's time to the second, in UTC."""
+    events = table(spark, sf_dir, "events").where("event_id is not null and ts is not null")
+    return events.select("event_id", F.concat(F.lit("export-"), compact_time(F.col("ts"))).alias("name"))
+
+
 def timings(spark, sf_dir):
     """Per user and day: the events' values summed by type as seven parts, and a total that some days don't add up to."""
     events = table(spark, sf_dir, "events").where("user_id is not null and ts is not null and value >= 0 and event_type is not null")
@@ -386,10 +436,10 @@ def region_colours(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        frame_plan, uniform_plan, ocr_segments, scroll_observations, fixed_bands, exact_anchors, fuzzy_anchors, shift_votes, shift_table,
+        frame_plan, uniform_plan, preset_requests, ocr_segments, scroll_observations, fixed_bands, exact_anchors, fuzzy_anchors, shift_votes, shift_table,
         frame_placement, anchor_warnings, content_lines, dedupe_lines, dedupe_stats, run_stats, plain_transcripts, format_plain, text_dedupe,
-        spatial_dedupe, align_peaks, bubble_groups, speaker_sides, speaker_stats, chat_transcripts, region_requests, format_chat, bubble_colours,
-        timing_reconcile, bundle_validation, capture_guards, first_differences, cached_bands, term_rules, retry_requests, normalized_lines, transcript_scores, digests,
+        spatial_dedupe, align_peaks, bubble_groups, geometry_sides, speaker_sides, speaker_stats, chat_transcripts, region_requests, format_chat, bubble_colours,
+        colour_channels, local_sources, export_names, timing_reconcile, bundle_validation, capture_guards, first_differences, cached_bands, term_rules, retry_requests, normalized_lines, transcript_scores, digests,
         scroll_regions, pixel_shifts, key_frames, stitched_images, stitch_plan, region_colours,
     )
 }

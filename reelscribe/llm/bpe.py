@@ -4,11 +4,16 @@ The distinct words of a slice are normalised, cut into pieces and laid out as sy
 array. Each round finds every neighbouring pair's rank by binary search over the sorted pair keys and
 merges, in every word at once, the occurrences of its lowest-ranked pair. A word leaves the rounds when
 no pair of it has a rank. The whole texts' ids are then gathered from their words' ids.
+
+A round looks at all symbols that are left, so words that outlast ``ROUNDS`` of them go on in another kind of round: it takes
+the lowest rank of all these words, and looks only at the pairs of that rank and at the neighbours that their merges change. A
+word of a million letters costs about as many steps as it has letters.
 """
 
 from __future__ import annotations
 
 import json
+from heapq import heapify, heappop, heappush
 from typing import NamedTuple
 
 import numpy as np
@@ -22,6 +27,8 @@ from pyspark.sql import functions as F
 from .words import Words, as_array, lookup, ragged_take, slices, split_words
 
 NEVER = np.iinfo(np.int64).max
+#: Rounds over all symbols, before long words go on by rank.
+ROUNDS = 48
 #: How the lower-case word vocabulary cuts normalised text into pieces.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
@@ -59,11 +66,79 @@ def load_word_bpe(path: str, end: str = "</w>") -> WordBpe:
     return WordBpe(table[:, 0].copy(), table[:, 1].copy(), table[:, 2].copy(), inner, final, tokens, special)
 
 
+def apart(starts: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Of runs of overlapping occurrences, given in order and where one follows the one before it, every other from the left."""
+    if not follows.any():
+        return starts
+    run = np.flatnonzero(np.concatenate([[True], ~follows]))
+    place = np.arange(len(starts)) - np.repeat(run, np.diff(np.concatenate([run, [len(starts)]])))
+    return starts[place % 2 == 0]
+
+
+def rank_rounds(bpe: WordBpe, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What ``merge_rounds`` gives, in a round per rank: places wait in a queue by the rank of the pair they begin."""
+    size, n = len(bpe.tokens), len(symbols)
+    by_rank = np.zeros(len(bpe.ranks), np.int64)
+    by_rank[bpe.ranks] = bpe.merged
+    symbols, rank = symbols.copy(), np.full(n, NEVER)
+    edge = word[1:] != word[:-1]
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # neighbours that are left; n and -1 beyond a word
+    after[:-1][edge], before[1:][edge] = n, -1
+    waiting: dict[int, list[np.ndarray]] = {}
+    order: list[int] = []
+
+    def wait(places: np.ndarray) -> list[int]:
+        """Ranks and queues these places' pairs; returns the ranks that nothing waited for."""
+        right = after[places]
+        inner = right < n
+        at = lookup(bpe.pairs, symbols[places] * size + symbols[np.where(inner, right, 0)])
+        known = inner & (at >= 0)
+        rank[places] = np.where(known, bpe.ranks[at], NEVER)
+        places = places[known]
+        ranks = rank[places]
+        by = np.argsort(ranks, kind="stable")
+        places, ranks = places[by], ranks[by]
+        cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+        new = []
+        for lo, hi, r in zip([0, *cuts], [*cuts, len(ranks)], ranks[[0, *cuts]].tolist() if len(ranks) else ()):
+            if r not in waiting:
+                waiting[r] = []
+                new.append(r)
+            waiting[r].append(places[lo:hi])
+        return new
+
+    order.extend(wait(np.arange(n)))
+    heapify(order)
+    while order:
+        lowest = heappop(order)
+        places = np.concatenate(waiting.pop(lowest))
+        places = np.unique(places[rank[places] == lowest])
+        if not len(places):
+            continue
+        places = apart(places, after[places[:-1]] == places[1:])
+        right = after[places]
+        beyond = after[right]
+        symbols[places], symbols[right], rank[right] = by_rank[lowest], -1, NEVER
+        after[places] = beyond
+        inner = beyond < n
+        before[beyond[inner]] = places[inner]
+        left = before[places]
+        for r in wait(np.concatenate([left[left >= 0], places])):
+            heappush(order, r)
+    live = symbols >= 0
+    return symbols[live], word[live]
+
+
 def merge_rounds(bpe: WordBpe, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Merges flat symbols, each with its word's number in ascending order, until no pair has a rank."""
     size = len(bpe.tokens)
     done: list[tuple[np.ndarray, np.ndarray]] = []
+    rounds = 0
     while len(symbols):
+        rounds += 1
+        if rounds > ROUNDS:
+            done.append(rank_rounds(bpe, symbols, word))
+            break
         at = lookup(bpe.pairs, symbols[:-1] * size + symbols[1:])
         at[word[1:] != word[:-1]] = -1
         rank = np.full(len(symbols), NEVER)
@@ -73,10 +148,7 @@ def merge_rounds(bpe: WordBpe, symbols: np.ndarray, word: np.ndarray) -> tuple[n
         over = lowest == NEVER
         done.append((symbols[over], word[over]))
         take = np.flatnonzero((rank == lowest) & ~over)
-        if len(take):  # of overlapping occurrences every other one, from the left
-            run = np.flatnonzero(np.concatenate([[True], np.diff(take) > 1]))
-            place = np.arange(len(take)) - np.repeat(run, np.diff(np.concatenate([run, [len(take)]])))
-            take = take[place % 2 == 0]
+        take = apart(take, np.diff(take) == 1)
         symbols = symbols.copy()
         symbols[take] = bpe.merged[at[take]]
         live = ~over
@@ -144,7 +216,8 @@ def encode_decode(docs: DataFrame, bpe: WordBpe) -> DataFrame:
 
     ids is binary, little-endian unsigned 32-bit; decoded joins the ids' tokens by a space, special ones
     included, as a file without a decoder asks for. Null and empty texts give no ids and an empty string.
-    Rows stay as they are; other columns are ignored.
+    Rows stay as they are, repeated ones too, and equal pairs merge from the left; other columns are ignored. A text over 8 MB is
+    a slice of its own, and one long word takes time about in proportion to its length.
     """
 
     def run(batches):

@@ -1,6 +1,7 @@
 """Operators 1, 5, 7, 8, 9 and 10 against brute force, the tokenizers library and round trips."""
 
 import hashlib
+import random
 import zlib
 from collections import defaultdict
 
@@ -68,6 +69,31 @@ def test_bpe_rounds_match_the_library(spark, rows):
     assert bpe.encode_decode(empty(spark), bpe.load_word_bpe(WORD)).count() == 0
 
 
+def test_long_words_match_the_library():
+    import pyarrow as pa
+
+    library, rng = Tokenizer.from_file(WORD), random.Random(3)
+
+    def letters(n, among="etaoinshrdlucmfwypvbgkqjxz"):
+        return "".join(rng.choices(among, weights=range(len(among), 0, -1), k=n))
+
+    texts = [letters(300_000), "x" * 70_001, "ab" * 9_000, letters(30_000, "ha"), "é漢字Ü" * 2_000, "#$%&" * 3_000, "the", letters(2_000) + "<|endoftext|>" + letters(900), letters(5_000)]
+    ids, offsets = bpe.encode_vocab(bpe.load_word_bpe(WORD), pa.array(texts))
+    for i, text in enumerate(texts):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_rounds_by_rank_equal_rounds_over_all(monkeypatch, rounds):
+    import pyarrow as pa
+
+    rng, model = random.Random(rounds), bpe.load_word_bpe(WORD)
+    texts = pa.array(["".join(rng.choices("aehlnost", k=rng.randrange(1, 60))) for _ in range(2_000)] + ["a" * n for n in range(1, 40)])
+    wanted = bpe.encode_vocab(model, texts)
+    monkeypatch.setattr(bpe, "ROUNDS", rounds)
+    assert all((a == b).all() for a, b in zip(bpe.encode_vocab(model, texts), wanted))
+
+
 def test_byte_level_ids_match_the_library(rows):
     import pyarrow as pa
 

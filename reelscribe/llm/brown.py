@@ -4,10 +4,13 @@ Word counts are gathered over all training documents, and exchange clustering gi
 
 1. The ``CORE`` most frequent words are put into classes by the sequential exchange algorithm, which moves a word to the
    class that raises the class-bigram likelihood most until a sweep moves none. Their matrix of counts has a fixed size.
-2. Every other training word goes to the class under which its neighbours are likeliest: Spark gathers each word's counts
-   of the classes before and after it in buckets of the key space, whatever the size of the vocabulary.
-3. ``SWEEPS`` sweeps then exchange all words, the core too, given the classes of all their neighbours. A sweep that
-   doesn't raise the likelihood is taken back and ends the exchange, as does one that moves no word.
+2. Every other training word goes to the class that raises the likelihood most: Spark gathers each word's counts of the
+   classes before and after it in buckets of the key space, whatever the size of the vocabulary.
+3. Sweeps then exchange all words, the core too, given the classes of all their neighbours: a word is taken out of the
+   table of class bigrams and goes where the likelihood is highest. All words of a sweep move at once, each as if the others
+   stayed, so half of them, by their keys, take turns. The exchange ends when both halves in turn raise the
+   likelihood by less than ``TOLERANCE`` of it; a sweep that lowers it is taken back. Words seen once move together, by their
+   endings.
 
 A text's score adds, for each token, the smoothed log probability of its class after the class before it and of the word
 in its class. Words never seen in training go to the class that holds most words seen once with their ending.
@@ -26,15 +29,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import discard, kept
+from ..plans.storage import discard, kept, kept_by
 from .exchange import answers_of, arrays, batch_chunks, bucket_bits, first_value, packed_rows, row_key, runs, table, text_bytes, unpacked_rows
 from .words import as_array, hash_strings, lookup, lower_ascii, split_words, sum_by_text
 
-#: Words that are exchanged one by one, classes of words, endings (a power of two), sweeps over the whole vocabulary.
-CORE, CLASSES, ENDINGS, SWEEPS = 1024, 48, 16, 1
+#: Words that are exchanged one by one, classes of words, endings (a power of two).
+CORE, CLASSES, ENDINGS = 1024, 48, 16
+#: The least share by which two sweeps must raise the likelihood for more to follow.
+TOLERANCE = 1e-3
+#: Words whose gains are found together.
+BATCH = 1024
 #: Classes that aren't exchanged: the text's end, and words without a class yet.
 END, OPEN, FIXED = 0, 1, 2
 WIDTH = FIXED + CLASSES
+#: A word's contexts: classes before it, classes after it, and itself.
+ITSELF = 2 * WIDTH
+CONTEXTS = ITSELF + 1
 #: Weight of the class unigram in transitions, in observations.
 PRIOR = 50.0
 #: Key of the token that ends a text: no word has it, and it sorts first.
@@ -105,6 +115,13 @@ class Texts(NamedTuple):
         use = self.train[self.of_text]
         return self.tokens[use], before[use], after[use]
 
+    def contexts(self, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the training tokens: places, once for what is before and once for what is after, and contexts."""
+        own, before, after = self.neighbours(classes)
+        again = np.concatenate([[False], self.tokens[1:] == self.tokens[:-1]])  # texts end in a token that no word is
+        repeated, repeats = again[self.train[self.of_text]], np.concatenate([again[1:], [False]])[self.train[self.of_text]]
+        return np.concatenate([own, own[~repeats]]), np.concatenate([np.where(repeated, ITSELF, before), WIDTH + after[~repeats]])
+
 
 COUNTED = {"bucket": pa.int32(), "chunk": pa.int64(), "keys": pa.binary(), "counts": pa.binary(), "places": pa.binary()}
 COUNTED_TEXT = "bucket int, chunk long, keys binary, counts binary, places binary"
@@ -247,13 +264,11 @@ TOLD_TEXT = "bucket int, block binary, pair int, n long"
 
 
 def context_rows(texts: list[Texts], keys: np.ndarray, classes: np.ndarray, wanted: np.ndarray, bits: int) -> pa.Table:
-    """By bucket, the wanted words' counts of classes before them and (from WIDTH on) after them, compressed."""
-    tokens, before, after = (np.concatenate(c) for c in zip(*(t.neighbours(classes) for t in texts)))
+    """By bucket, the wanted words' counts of their contexts, compressed."""
+    tokens, beside = (np.concatenate(c) for c in zip(*(t.contexts(classes) for t in texts)))
     use = wanted[tokens]
-    tokens, before, after = tokens[use], before[use], after[use]
-    both = np.concatenate([tokens * 2 * WIDTH + before, tokens * 2 * WIDTH + WIDTH + after])
-    pair, n = np.unique(both, return_counts=True)
-    word, context = pair // (2 * WIDTH), (pair % (2 * WIDTH)).astype(np.uint8)
+    pair, n = np.unique(tokens[use] * CONTEXTS + beside[use], return_counts=True)
+    word, context = pair // CONTEXTS, (pair % CONTEXTS).astype(np.uint8)
     words, first = np.unique(word, return_index=True)
     ends = np.append(first[1:], len(word))
     out = {name: [] for name in TOLD}
@@ -266,40 +281,104 @@ def context_rows(texts: list[Texts], keys: np.ndarray, classes: np.ndarray, want
     return table(out, TOLD)
 
 
-def bucket_contexts(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A bucket's words, sorted, and their context counts."""
+def bucket_contexts(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A bucket's words, sorted, and their counted contexts: places among the words, ascending, contexts and counts."""
     told = pa.concat_tables([unpacked_rows(x) for x in blocks])
     keys = np.concatenate(arrays(told["keys"], "<u8"))
     sizes, contexts, n = (np.concatenate(arrays(told[c], kind)) for c, kind in (("sizes", "u1"), ("contexts", "u1"), ("n", "<u4")))
     keys, back = np.unique(keys, return_inverse=True)
-    cell = np.repeat(back, sizes) * 2 * WIDTH + contexts
-    return keys, np.bincount(cell, weights=n, minlength=len(keys) * 2 * WIDTH).reshape(len(keys), 2 * WIDTH)
+    cells, cell = np.unique(np.repeat(back, sizes) * CONTEXTS + contexts, return_inverse=True)
+    return keys, cells // CONTEXTS, cells % CONTEXTS, np.bincount(cell, weights=n)
+
 
+def gains_beside(n: np.ndarray, other: np.ndarray, own: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """What the cells beside a word's class, but for the diagonal, gain by its ``n[word, class]`` bigrams in each class it may get.
 
-def best_classes(counts: np.ndarray, grid: np.ndarray) -> np.ndarray:
-    """The class of greatest likelihood for each word, given its neighbours' classes and the class bigrams ``grid``."""
-    smooth = grid + 0.1
-    to = np.log(smooth / smooth.sum(1, keepdims=True))  # [d, c]: log p(c | d)
-    size = np.log(grid.sum(0) + 1.0)
-    n = counts[:, :WIDTH].sum(1, keepdims=True)
-    score = counts[:, :WIDTH] @ to + counts[:, WIDTH:] @ to.T - n * size
-    return FIXED + score[:, FIXED:].argmax(1)
+    ``grid[class, beside]`` has the word in its ``own`` class; ``other`` are the word's bigrams on its other side.
+    """
+    gain = np.zeros((len(n), CLASSES))
+    word, beside = np.nonzero(n)
+    if not len(word):
+        return gain
+    count, mine = n[word, beside], own[word]
+    cells = grid[FIXED:, beside].T.copy()
+    at = np.flatnonzero(mine >= FIXED)
+    cells[at, mine[at] - FIXED] -= count[at]
+    at = np.flatnonzero(beside == mine)
+    cells[at] -= other[word[at], FIXED:]
+    more = xlogx(cells + count[:, None]) - xlogx(cells)
+    at = np.flatnonzero(beside >= FIXED)
+    more[at, beside[at] - FIXED] = 0
+    first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    gain[word[first]] = np.add.reduceat(more, first)
+    return gain
+
+
+def class_gains(counts: np.ndarray, own: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """By how much each class raises the likelihood if a word, of ``counts[word, context]`` and taken out of its ``own`` class,
+    is put there and all other words stay; up to what is the same for all classes."""
+    before, after, loop = counts[:, :WIDTH], counts[:, WIDTH:ITSELF], counts[:, ITSELF:]
+    here = (own[:, None] == np.arange(FIXED, WIDTH)).astype(float)
+    gain = gains_beside(after, before, own, grid) + gains_beside(before, after, own, grid.T)
+    both = after[:, FIXED:] + before[:, FIXED:] + loop
+    diagonal = np.diag(grid)[FIXED:] - here * both
+    gain += xlogx(diagonal + both) - xlogx(diagonal)
+    for side, total in ((after, grid.sum(1)), (before, grid.sum(0))):
+        size = side.sum(1, keepdims=True) + loop
+        left = total[FIXED:] - here * size
+        gain -= xlogx(left + size) - xlogx(left)
+    return gain
+
+
+def best_classes(word: np.ndarray, context: np.ndarray, n: np.ndarray, own: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """The class that raises the likelihood most for each word, given its counted contexts, its ``own`` class and the class
+    bigrams ``grid``; of equal ones its own, then the first."""
+    best = own.copy()
+    for lo in range(0, len(own), BATCH):
+        mine = own[lo : lo + BATCH]
+        a, b = np.searchsorted(word, [lo, lo + len(mine)])
+        counts = np.zeros((len(mine), CONTEXTS))
+        counts[word[a:b] - lo, context[a:b]] = n[a:b]
+        gain = class_gains(counts, mine, grid)
+        held = np.flatnonzero(mine >= FIXED)
+        gain[held, mine[held] - FIXED] += 1e-9 * (1 + np.abs(gain[held, mine[held] - FIXED]))
+        best[lo : lo + len(mine)] = FIXED + gain.argmax(1)
+    return best
+
+
+def shared_classes(keys: np.ndarray, word: np.ndarray, context: np.ndarray, n: np.ndarray, own: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``best_classes`` of a bucket's words, and which of two turns each takes. Those seen once are placed together, by their
+    endings: without its one sighting such a word is like one never seen, so what stands beside it says nothing of its own."""
+    once = np.bincount(word, weights=n * ((context < WIDTH) | (context == ITSELF)), minlength=len(keys)) == 1
+    group = (keys & np.uint64(ENDINGS - 1)).astype(np.int64)
+    of = np.where(once, group, ENDINGS + np.arange(len(keys)))  # groups first, then words of their own
+    cells, cell = np.unique(of[word] * CONTEXTS + context, return_inverse=True)
+    low, high = np.full(ENDINGS, WIDTH), np.full(ENDINGS, -1)
+    np.minimum.at(low, group[once], own[once])
+    np.maximum.at(high, group[once], own[once])
+    held = np.concatenate([np.where(low == high, low, OPEN), own])  # a group that is spread has no class to be taken out of
+    best = best_classes(cells // CONTEXTS, cells % CONTEXTS, np.bincount(cell, weights=n), held, grid)
+    return best[of], np.where(once, group, (keys // np.uint64(ENDINGS)).astype(np.int64)) % 2
 
 
 PLACED = {"bucket": pa.int32(), "keys": pa.binary(), "counts": pa.binary(), "classes": pa.binary()}
 PLACED_TEXT = "bucket int, keys binary, counts binary, classes binary"
 
 
-def placed(words: DataFrame, contexts: DataFrame, grid: np.ndarray, known: np.ndarray, of: np.ndarray) -> DataFrame:
-    """``bucket, keys, counts, classes`` of the vocabulary; words with contexts get their best class, of the others the core
-    keeps its own and words never seen in training are open."""
+def placed(words: DataFrame, contexts: DataFrame, grid: np.ndarray, known: np.ndarray, of: np.ndarray, turn: int | None = None) -> DataFrame:
+    """``bucket, keys, counts, classes`` of the vocabulary; words with contexts get their best class, in a ``turn`` only those of
+    that half. Words that have no class yet begin with the core's, or open."""
+    given = "classes" in words.columns
 
     def place(held: pa.Table, told: pa.Table) -> pa.Table:
         keys = np.concatenate([np.empty(0, np.uint64), *arrays(held["keys"], "<u8")])
-        classes = core_classes(keys, known, of)
+        classes = arrays(held["classes"], "u1")[0].astype(np.int64) if given and held.num_rows else core_classes(keys, known, of)
         if told.num_rows:
-            there, counts = bucket_contexts(told["block"].to_pylist())
-            classes[lookup(keys, there)] = best_classes(counts, grid)
+            there, *counted = bucket_contexts(told["block"].to_pylist())
+            at = lookup(keys, there)
+            best, turns = shared_classes(there, *counted, classes[at], grid)
+            now = slice(None) if turn is None else turns == turn
+            classes[at[now]] = best[now]
         return table({"bucket": held["bucket"].to_pylist(), "keys": [keys.tobytes()], "counts": held["counts"].to_pylist(), "classes": [classes.astype("u1").tobytes()]}, PLACED)
 
     told = contexts.where("bucket is not null").select(F.col("bucket").alias("told_bucket"), "block")
@@ -410,12 +489,12 @@ class Fitted(NamedTuple):
     words: DataFrame
 
 
-def fit(docs: DataFrame, sweeps: int = SWEEPS) -> Fitted:
+def fit(docs: DataFrame, sweeps: int | None = None, tolerance: float = TOLERANCE) -> Fitted:
     """The model, the numbered chunks of ``docs(doc_id, text)``, what they ask for, and all words with counts and classes.
-    Rows that are held out are numbered too, but nothing is learned from them."""
+    Rows that are held out are numbered too, but nothing is learned from them. ``sweeps`` ends the exchange early."""
     bits = bucket_bits(text_bytes(docs))
     given = docs.select(row_key().alias("row_key"), F.col("doc_id").cast("long"), F.col("text").cast("string"), (~held_out()).alias("train"))
-    chunks = kept(numbered(given), "chunks")
+    chunks = kept_by(numbered(given), "chunks", "chunk")
     found = kept(vocabulary(chunks, bits), "vocabulary")
     counts, requests = found.where("chunk is null").select("bucket", "keys", "counts"), found.where("chunk is not null").select("bucket", "chunk", "places")
     known, _ = frequent_words(counts, CORE)
@@ -423,16 +502,21 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS) -> Fitted:
     of = exchange(bigrams, CLASSES)
     grid, known_classes = grid_of(bigrams, of), of[FIXED:]
     words = kept(placed(counts, first_contexts(chunks, known, known_classes, bits), grid, known, known_classes), "classes")
-    for last in range(sweeps + 1):
-        passed = kept(counted_pass(chunks, answered(requests, words), bits, last < sweeps), "class_bigrams")
-        now = summed_grid(passed)
-        if last and likelihood(now) <= likelihood(grid):
-            words = before  # the sweep is taken back
-            break
-        grid, before = now, words
-        if last < sweeps:
-            words = kept(placed(counts, passed, grid, known, known_classes), "classes")
-        discard(passed)
+
+    def passed_with(held: DataFrame, contexts: bool) -> tuple[DataFrame, np.ndarray]:
+        passed = kept(counted_pass(chunks, answered(requests, held), bits, contexts), "class_bigrams")
+        return passed, summed_grid(passed)
+
+    passed, grid = passed_with(words, sweeps != 0)
+    rose: list[float] = []
+    while len(rose) != sweeps and (len(rose) < 2 or max(rose[-2:]) >= tolerance):
+        tried = kept(placed(words, passed, grid, known, known_classes, len(rose) % 2), "classes")
+        tried_passed, tried_grid = passed_with(tried, len(rose) + 1 != sweeps)
+        rose.append((likelihood(tried_grid) - likelihood(grid)) / max(1.0, abs(likelihood(grid))))
+        if rose[-1] > 0:
+            words, passed, grid, tried, tried_passed = tried, tried_passed, tried_grid, words, passed
+        discard(tried, tried_passed)
+    discard(passed)
     return Fitted(class_model(words, grid), chunks, requests, words)
 
 

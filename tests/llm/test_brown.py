@@ -61,6 +61,57 @@ def test_exchange_finds_a_local_best():
             assert likelihood(bigrams, other) <= best + 1e-6
 
 
+def contexts_of(bigrams, of):
+    """Of each place: counts of classes before it and after it, and of itself."""
+    member = np.zeros((len(of), brown.WIDTH))
+    member[np.arange(len(of)), of] = 1
+    other = bigrams - np.diag(np.diag(bigrams))
+    return np.hstack([other.T @ member, other @ member, np.diag(bigrams)[:, None]]), member.T @ bigrams @ member
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_gains_equal_the_likelihoods_of_all_moves(monkeypatch, seed):
+    rng, size = np.random.default_rng(seed), brown.FIXED + 30
+    bigrams = rng.poisson(0.4 * 3**seed, (size, size)).astype(float)
+    bigrams[brown.OPEN + 1 :, brown.OPEN + 1 :] += np.diag(rng.poisson(1, size - brown.FIXED))
+    classes = rng.choice([brown.FIXED, brown.FIXED + 1, brown.FIXED + 2, brown.WIDTH - 1], size)
+    classes[:2], classes[2:5] = [brown.END, brown.OPEN], brown.OPEN  # words without a class yet, too
+    counts, grid = contexts_of(bigrams, classes)
+    gains = brown.class_gains(counts, classes, grid)
+    wanted = classes.copy()
+    for w in range(brown.FIXED, size):
+        each = []
+        for c in range(brown.FIXED, brown.WIDTH):
+            other = classes.copy()
+            other[w] = c
+            each.append(brown.likelihood(contexts_of(bigrams, other)[1]))
+        assert np.allclose(gains[w] - gains[w][0], np.array(each) - each[0], atol=1e-6)
+        own = classes[w] - brown.FIXED
+        wanted[w] = classes[w] if own >= 0 and each[own] >= max(each) - 1e-9 else brown.FIXED + int(np.argmax(gains[w]))
+    word, context = np.nonzero(counts)
+    monkeypatch.setattr(brown, "BATCH", 7)
+    assert (brown.best_classes(word, context, counts[word, context], classes, grid)[brown.FIXED :] == wanted[brown.FIXED :]).all()
+
+
+def test_contexts_are_those_of_the_words():
+    tokens = np.array([1, 1, 1, 2, 0, 2, 1, 0, 0, 3, 3, 0])
+    offsets = np.array([0, 5, 8, 9, 12])
+    train = np.array([True, True, True, False])
+    texts = brown.Texts(tokens, np.repeat(np.arange(4), np.diff(offsets)), offsets, train, pa.array([1, 2, 3, 4]))
+    classes = np.array([brown.END, 5, 7, 9])
+    got = Counter(zip(*(x.tolist() for x in texts.contexts(classes))))
+    w, itself = brown.WIDTH, brown.ITSELF
+    mine = {k: n for k, n in got.items() if k[0] != 0}
+    assert mine == {(1, itself): 2, (1, brown.END): 1, (1, 7): 1, (1, w + 7): 1, (1, w + brown.END): 1, (2, 5): 1, (2, brown.END): 1, (2, w + brown.END): 1, (2, w + 5): 1}
+
+
+def test_words_seen_once_move_by_their_endings():
+    keys = np.array([0x10, 0x20, 0x31, 0x41], np.uint64)  # endings 0, 0, 1, 1; the last is seen twice
+    word, context, n = np.array([0, 0, 1, 1, 2, 2, 3, 3]), np.array([5, 60, 6, 61, 7, 62, 7, 62]), np.array([1, 1, 1, 1, 1, 1, 2, 2])
+    best, turns = brown.shared_classes(keys, word, context, n, np.array([2, 3, 4, 5]), np.ones((brown.WIDTH, brown.WIDTH)) * 9)
+    assert best[0] == best[1] and turns.tolist() == [0, 0, 1, 0]
+
+
 def test_classes_beat_the_base_on_held_out_text(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = brown.class_scores(docs).where("held_out").toPandas()

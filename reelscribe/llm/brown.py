@@ -495,13 +495,13 @@ def fit(docs: DataFrame, sweeps: int | None = None, tolerance: float = TOLERANCE
     bits = bucket_bits(text_bytes(docs))
     given = docs.select(row_key().alias("row_key"), F.col("doc_id").cast("long"), F.col("text").cast("string"), (~held_out()).alias("train"))
     chunks = kept_by(numbered(given), "chunks", "chunk")
-    found = kept(vocabulary(chunks, bits), "vocabulary")
+    found = kept_by(vocabulary(chunks, bits), "vocabulary", "bucket")
     counts, requests = found.where("chunk is null").select("bucket", "keys", "counts"), found.where("chunk is not null").select("bucket", "chunk", "places")
     known, _ = frequent_words(counts, CORE)
     bigrams = core_bigrams(chunks, known)
     of = exchange(bigrams, CLASSES)
     grid, known_classes = grid_of(bigrams, of), of[FIXED:]
-    words = kept(placed(counts, first_contexts(chunks, known, known_classes, bits), grid, known, known_classes), "classes")
+    words = kept_by(placed(counts, first_contexts(chunks, known, known_classes, bits), grid, known, known_classes), "classes", "bucket")
 
     def passed_with(held: DataFrame, contexts: bool) -> tuple[DataFrame, np.ndarray]:
         passed = kept(counted_pass(chunks, answered(requests, held), bits, contexts), "class_bigrams")
@@ -510,7 +510,7 @@ def fit(docs: DataFrame, sweeps: int | None = None, tolerance: float = TOLERANCE
     passed, grid = passed_with(words, sweeps != 0)
     rose: list[float] = []
     while len(rose) != sweeps and (len(rose) < 2 or max(rose[-2:]) >= tolerance):
-        tried = kept(placed(words, passed, grid, known, known_classes, len(rose) % 2), "classes")
+        tried = kept_by(placed(words, passed, grid, known, known_classes, len(rose) % 2), "classes", "bucket")
         tried_passed, tried_grid = passed_with(tried, len(rose) + 1 != sweeps)
         rose.append((likelihood(tried_grid) - likelihood(grid)) / max(1.0, abs(likelihood(grid))))
         if rose[-1] > 0:

@@ -30,7 +30,7 @@ from ..plans.storage import kept
 from .components import connected_components
 from .exchange import arrays, bucket_bits, chunked, first_value, row_key, runs, table, text_bytes
 from .names import numbered, only, place
-from .words import as_array, mix, shingle_sets
+from .words import as_array, mix, shingle_sets, then_free
 
 GROUPS, LEAF, FAN = 64, 32, 8
 #: Blocks up to this size list their pairs; sets of a bucket's salt, and of a grid's part.
@@ -358,11 +358,11 @@ def grouped(docs: DataFrame) -> DataFrame:
     total = text_bytes(docs)
     bits = bucket_bits(total)
     chunks = chunked(docs, total, row_key().alias("row_key")).groupBy("chunk")
-    probes = chunks.applyInArrow(lambda rows: probe(rows, bits), "bucket int, chunk int, keys binary")
-    hits = probes.groupBy("bucket").applyInArrow(shared, "bucket int, chunk int, keys binary")
+    probes = chunks.applyInArrow(lambda rows: then_free(probe, rows, bits), "bucket int, chunk int, keys binary")
+    hits = probes.groupBy("bucket").applyInArrow(lambda rows: then_free(shared, rows), "bucket int, chunk int, keys binary")
     documents = kept(
         chunks.cogroup(hits.groupBy("chunk")).applyInArrow(
-            lambda rows, found: survive(rows, found, bits), "doc_id long, row_key long, chunk int, set_key long, n_shingles long, hashes binary"
+            lambda rows, found: then_free(survive, rows, found, bits), "doc_id long, row_key long, chunk int, set_key long, n_shingles long, hashes binary"
         ),
         "shingle_sets",
     )
@@ -376,7 +376,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     blocks = block_rows(shown, wide, salts)
     found = kept(
         blocks.groupBy("bucket", "salt").applyInArrow(
-            lambda rows: gather(rows, salts > 1), "a long, b long, block long, members binary, centre long, same binary"
+            lambda rows: then_free(gather, rows, salts > 1), "a long, b long, block long, members binary, centre long, same binary"
         ),
         "candidates",
     )
@@ -408,7 +408,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     cells = open_.withColumn("other", other).select(
         "low", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "set_key", "component", "n_shingles", "point", "fine"
     )
-    more = cells.groupBy("low", "x", "y").applyInArrow(cross_pairs, "a long, b long").distinct()
+    more = cells.groupBy("low", "x", "y").applyInArrow(lambda rows: then_free(cross_pairs, rows), "a long, b long").distinct()
     extra = verify(more.join(pairs, ["a", "b"], "left_anti"), survivors)
     roots = connected_components(links.unionByName(extra))
 

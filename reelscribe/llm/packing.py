@@ -22,11 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import as_array, ragged_take, slices
+from .words import as_array, ragged_take, slices, then_free
 
 TIERS = (256, 512, 1024, 2048)
 #: Tokens that a task gathers before it packs them, and tokens of a step group.
 BLOCK, STEP = 1 << 20, 8 * 2048
+#: Bytes of text that are encoded at once.
+SLICE = 4 << 20
 #: The splitting pattern of the byte-level vocabulary (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -173,9 +175,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int = 1) -> DataFrame:
 
         for batch in batches:
             texts = as_array(batch.column("text"))
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, SLICE):
                 doc_ids = batch.column("doc_id").slice(lo, hi - lo).to_pylist()
-                for doc_id, ids in zip(doc_ids, token_ids(texts.slice(lo, hi - lo), tokenizer, end)):
+                for doc_id, ids in zip(doc_ids, then_free(token_ids, texts.slice(lo, hi - lo), tokenizer, end)):
                     pool.append(Piece(len(ids), order, doc_id, 0, ids))
                     order += 1
                     held += len(ids)

@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..plans.storage import discard, kept
 from .exchange import answers_of, arrays, blocks, bucket_bits, first_value, packed_rows, runs, table, text_bytes, unpacked_rows
 from .names import carried, only, restored
-from .words import Words, as_array, hash_strings, horner, lookup, mix, split_words, sum_by_text, window_starts
+from .words import Words, as_array, hash_strings, horner, lookup, mix, split_words, sum_by_text, then_free, window_starts
 
 ORDER = 5
 #: Band half-width in robust standard deviations of log perplexity, and the least such deviation.
@@ -233,9 +233,9 @@ def gram_table(held: DataFrame, bits: int) -> DataFrame:
     def ask(batches):
         for batch in batches:
             for chunk, block in zip(batch.column("chunk").to_pylist(), batch.column("block").to_pylist()):
-                yield from tell(chunk, chunk_part(unpacked_rows(block)), bits).to_batches()
+                yield from then_free(lambda: tell(chunk, chunk_part(unpacked_rows(block)), bits)).to_batches()
 
-    return held.mapInArrow(ask, "bucket int, chunk long, block binary").groupBy("bucket").applyInArrow(merge, MERGED_TEXT)
+    return held.mapInArrow(ask, "bucket int, chunk long, block binary").groupBy("bucket").applyInArrow(lambda rows: then_free(merge, rows), MERGED_TEXT)
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -337,8 +337,8 @@ def measure(blocks_: DataFrame, found: DataFrame, more: list[T.StructField]) ->
     schema = T.StructType(T._parse_datatype_string(MEASURED).fields + more)
     scores = gram_scores(found.where("gram is not null").select("lang", "gram", "n", "bucket", "key")).select("bucket", "key", "p")
     requests = found.where("chunk is not null").select(F.col("bucket").alias("asked"), "chunk", "places")
-    answers = requests.groupBy("asked").cogroup(scores.groupBy("bucket")).applyInArrow(answer, "chunk long, bucket int, logp binary")
-    return blocks_.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(weigh, schema)
+    answers = requests.groupBy("asked").cogroup(scores.groupBy("bucket")).applyInArrow(lambda asked, held: then_free(answer, asked, held), "chunk long, bucket int, logp binary")
+    return blocks_.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda held, told: then_free(weigh, held, told), schema)
 
 
 def measured(texts: pa.Array, part: Part, known: np.ndarray, gram_logps: np.ndarray) -> list[np.ndarray]:

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from .exchange import arrays, bucket_bits, chunked, first_value, runs, table, text_bytes
 from .names import carried, numbered, place, restored
-from .words import as_array, hash_strings, horner, slices, split_words, window_starts
+from .words import PASS, as_array, hash_strings, horner, lookup, slices, split_words, then_free, window_starts
 
 BLOCK, WINDOW = 25, 50
 #: Bits of a probe within its bucket; the two lowest of its 32 are flags.
@@ -33,7 +33,7 @@ LAST = np.iinfo(np.int64).max
 def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts and the texts' offsets."""
     parts, ends = [], [np.zeros(1, np.int64)]
-    for lo, hi in slices(texts):
+    for lo, hi in slices(texts, PASS):
         words = split_words(texts.slice(lo, hi - lo))
         parts.append(hash_strings(words.vocab)[words.codes])
         ends.append(words.offsets[1:] + ends[-1][-1])
@@ -55,24 +55,38 @@ def text_of_word(offsets: np.ndarray) -> np.ndarray:
 PROBES = {"bucket": pa.int32(), "chunk": pa.int32(), "keys": pa.binary()}
 
 
+def block_keys(texts: pa.Array, which: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The leading bits of every window of BLOCK words, the document it lies in, and 1 where it is a block."""
+    hashes, offsets = hashed_words(texts)
+    at = np.flatnonzero(window_starts(offsets, BLOCK, len(hashes)))
+    text = text_of_word(offsets)[at]
+    block = (at - offsets[text]) % BLOCK == 0
+    return block_windows(hashes)[at] >> np.uint64(64 - bits - RESIDUE), which[text], block.astype(np.uint8)
+
+
 def probe(rows: pa.Table, bits: int) -> pa.Table:
     """One chunk's distinct block windows by bucket, each with its flags."""
-    hashes, offsets = hashed_words(as_array(rows["text"]))
-    windows = block_windows(hashes)
-    at = np.flatnonzero(window_starts(offsets, BLOCK, len(hashes)))
+    texts, which = as_array(rows["text"]), np.unique(ids_of(rows), return_inverse=True)[1].astype(np.int32)
+    parts = [block_keys(texts.slice(lo, hi - lo), which[lo:hi], bits) for lo, hi in slices(texts, PASS)]
     out = {"bucket": [], "chunk": [], "keys": []}
-    if len(at):
-        text = text_of_word(offsets)[at]
-        block = (at - offsets[text]) % BLOCK == 0
-        ids = ids_of(rows)[text]
-        order = np.argsort(windows[at] >> np.uint64(64 - bits - RESIDUE))
-        short, block, ids = windows[at][order] >> np.uint64(64 - bits - RESIDUE), block[order], ids[order]
-        first = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]]))
-        several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
-        flags = np.maximum.reduceat(block, first).astype(np.uint64) | (several.astype(np.uint64) << np.uint64(1))
-        short = short[first]
+    if any(len(keys) for keys, _, _ in parts):
+        short, which, flags = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        order = np.argsort(short)
+        short, which, flags = short[order], which[order], flags[order]
+        del order
+        again = short[1:] == short[:-1]
+        if again.any():  # the first row of a key gets the flags of all
+            begins = np.concatenate([[True], ~again])
+            heads = begins & np.concatenate([again, [False]])
+            own = np.flatnonzero(heads | ~begins)
+            first = np.flatnonzero(heads[own])
+            several = np.minimum.reduceat(which[own], first) != np.maximum.reduceat(which[own], first)
+            flags[heads] = np.bitwise_or.reduceat(flags[own], first) | (several.astype(np.uint8) << 1)
+            short, flags = short[begins], flags[begins]
         packed = (((short << np.uint64(2)) | flags) & np.uint64(0xFFFFFFFF)).astype("<u4")
-        for bucket, lo, hi in runs(short << np.uint64(64 - bits - RESIDUE), bits):
+        short <<= np.uint64(64 - bits - RESIDUE)
+        for bucket, lo, hi in runs(short, bits):
             out["bucket"].append(bucket)
             out["chunk"].append(first_value(rows["chunk"]))
             out["keys"].append(packed[lo:hi].tobytes())
@@ -82,21 +96,24 @@ def probe(rows: pa.Table, bits: int) -> pa.Table:
 def shared(rows: pa.Table) -> pa.Table:
     """A bucket's keys that are a block somewhere and lie in two documents or more, back to each chunk."""
     each = arrays(rows["keys"], "<u4")
-    sizes = [len(x) for x in each]
     keys = np.concatenate(each)
-    order = np.argsort(keys >> np.uint32(2), kind="stable")
-    residue = (keys >> np.uint32(2))[order]
-    first = np.flatnonzero(np.concatenate([[True], residue[1:] != residue[:-1]]))
-    flags = np.bitwise_or.reduceat(keys[order] & np.uint32(3), first)
-    times = np.diff(np.concatenate([first, [len(residue)]]))
-    good = residue[first][((flags & 1) > 0) & ((times > 1) | ((flags & 2) > 0))]
-    hit = np.isin(keys >> np.uint32(2), good)
+    keys.sort()  # the flags are the lowest bits
+    again = (keys[1:] ^ keys[:-1]) < 4
+    twice = np.concatenate([again, [False]]) | np.concatenate([[False], again])
+    once = keys[~twice & ((keys & 3) == 3)] >> np.uint32(2)
+    keys = keys[twice]
+    residue, flags = keys >> np.uint32(2), keys & np.uint32(3)
+    first = np.flatnonzero(np.concatenate([[True], residue[1:] != residue[:-1]])[: len(residue)])
+    blocks = np.bitwise_or.reduceat(flags, first) & 1 if len(first) else first
+    good = np.sort(np.concatenate([once, residue[first[blocks > 0]]]))
     out = {"bucket": [], "chunk": [], "keys": []}
-    for chunk, own, mark in zip(rows["chunk"].to_pylist(), each, np.split(hit, np.cumsum(sizes)[:-1])):
+    for chunk, own in zip(rows["chunk"].to_pylist(), each):
+        short = own >> np.uint32(2)
+        mark = lookup(good, short) >= 0
         if mark.any():
             out["bucket"].append(first_value(rows["bucket"]))
             out["chunk"].append(chunk)
-            out["keys"].append((own[mark] >> np.uint32(2)).tobytes())
+            out["keys"].append(short[mark].tobytes())
     return table(out, PROBES)
 
 
@@ -205,12 +222,12 @@ def remove_repeats(docs: DataFrame, *more) -> DataFrame:
     bits = bucket_bits(total)
     chunks = chunked(docs, total, *more)
     by_chunk = chunks.groupBy("chunk")
-    probes = by_chunk.applyInArrow(lambda rows: probe(rows, bits), "bucket int, chunk int, keys binary")
-    hits = probes.groupBy("bucket").applyInArrow(shared, "bucket int, chunk int, keys binary")
+    probes = by_chunk.applyInArrow(lambda rows: then_free(probe, rows, bits), "bucket int, chunk int, keys binary")
+    hits = probes.groupBy("bucket").applyInArrow(lambda rows: then_free(shared, rows), "bucket int, chunk int, keys binary")
     claims = by_chunk.cogroup(hits.groupBy("chunk")).applyInArrow(
-        lambda rows, found: claim(rows, found, bits), "bucket int, chunk int, keys binary, least binary, most binary"
+        lambda rows, found: then_free(claim, rows, found, bits), "bucket int, chunk int, keys binary, least binary, most binary"
     )
-    owners = claims.groupBy("bucket").applyInArrow(settle, "chunk int, keys binary, least binary")
+    owners = claims.groupBy("bucket").applyInArrow(lambda rows: then_free(settle, rows), "chunk int, keys binary, least binary")
     # One cogroup takes two sides, so hits and owners travel as one.
     answers = hits.withColumn("least", F.lit(None).cast("binary")).unionByName(owners.withColumn("bucket", F.lit(None).cast("int")))
 
@@ -236,7 +253,7 @@ def remove_repeats(docs: DataFrame, *more) -> DataFrame:
     schema = T._parse_datatype_string(
         "doc_id long, n_words long, n_removed long, spans array<struct<start: int, length: int>>, kept_text string, left_text string"
     )
-    return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(finish, T.StructType(schema.fields + chunks.schema.fields[3:]))
+    return by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(lambda rows, found: then_free(finish, rows, found), T.StructType(schema.fields + chunks.schema.fields[3:]))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ and code points give the same words. A null text has no words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -16,6 +17,8 @@ import pyarrow.compute as pc
 
 MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15))
 SHIFT = np.uint64(33)
+#: Bytes of text whose words are taken apart at once where only hashes of them go on.
+PASS = 2 << 20
 
 
 class Words(NamedTuple):
@@ -51,6 +54,23 @@ def slices(texts: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
     pa.default_memory_pool().release_unused()
 
 
+def give_back() -> None:
+    """Returns to the system what Arrow's pool and the C library's heap hold free. Python workers live from task to task and
+    stage to stage, and share their executor's memory with its JVM and each other."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def then_free(f: Callable, *args):
+    """``f(*args)``, after which the memory of its temporaries goes back."""
+    try:
+        return f(*args)
+    finally:
+        give_back()
+
+
 def lower_ascii(texts: pa.Array) -> pa.Array:
     return pc.ascii_lower(texts)
 
@@ -141,7 +161,7 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
     A text with fewer words has its whole word sequence as its one shingle; one without words, or null, has none.
     """
     out: list[np.ndarray] = []
-    for lo, hi in slices(texts):
+    for lo, hi in slices(texts, PASS):
         words = split_words(lower_ascii(texts.slice(lo, hi - lo)))
         hashed = hash_strings(words.vocab)[words.codes]
         windows = horner(hashed, width)

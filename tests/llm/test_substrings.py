@@ -1,8 +1,11 @@
 """Operator 4 against brute force over all windows."""
 
 import random
+import tracemalloc
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from reelscribe.llm import substrings
@@ -58,3 +61,27 @@ def test_shared_passages_of_every_length(spark, seed):
         rows.append((rng.randrange(70), rng.choice([" ", "\n", " \t"]).join(parts)))
     rows += [(200 + i, " ".join(passages[6:])) for i in range(30)]
     check(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def peak_mb(f, *args):
+    """The result, and the most that numpy and Python held on the way."""
+    tracemalloc.start()
+    try:
+        return f(*args), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_chunk_and_a_bucket_take_little_memory():
+    rng = np.random.default_rng(4)
+    vocab = np.array([f"w{i:05d}" for i in range(20_000)])
+    texts = [" ".join(vocab[rng.integers(0, len(vocab), 500)]) for _ in range(2300)]
+    texts[7] = texts[9]
+    chunk = pa.table({"doc_id": np.arange(2300), "text": texts, "chunk": pa.array([0] * 2300, pa.int32())})
+    probes, most = peak_mb(substrings.probe, chunk, 6)
+    assert sum(len(x) // 4 for x in probes["keys"].to_pylist()) == pytest.approx(2299 * 476, abs=50)  # few of the short keys collide
+    assert most < 80
+    other = probes.set_column(1, "chunk", pa.array([1] * len(probes), pa.int32()))
+    found, most = peak_mb(substrings.shared, pa.concat_tables([probes, other]))
+    assert sum(len(x) // 4 for x in found["keys"].to_pylist()) == pytest.approx(2 * 2299 * 20, abs=2_000)  # taken as one bucket
+    assert most < 80

@@ -8,9 +8,9 @@ Word counts are gathered over all training documents, and exchange clustering gi
    classes before and after it in buckets of the key space, whatever the size of the vocabulary.
 3. Sweeps then exchange all words, the core too, given the classes of all their neighbours: a word is taken out of the
    table of class bigrams and goes where the likelihood is highest. All words of a sweep move at once, each as if the others
-   stayed, so half of them, by their keys, take turns. The exchange ends when both halves in turn raise the
-   likelihood by less than ``TOLERANCE`` of it; a sweep that lowers it is taken back. Words seen once move together, by their
-   endings.
+   stayed, so half of them, by their keys, take turns, and only those due send their contexts. The exchange ends when both
+   halves in turn raise the likelihood by less than ``TOLERANCE`` of it; a sweep that lowers it is taken back. Words seen once
+   move together, by their endings.
 
 A text's score adds, for each token, the smoothed log probability of its class after the class before it and of the word
 in its class. Words never seen in training go to the class that holds most words seen once with their ending.
@@ -37,14 +37,16 @@ from .words import as_array, hash_strings, lookup, lower_ascii, split_words, sum
 CORE, CLASSES, ENDINGS = 1024, 48, 16
 #: The least share by which two sweeps must raise the likelihood for more to follow.
 TOLERANCE = 1e-3
-#: Words whose gains are found together.
-BATCH = 1024
+#: Words whose gains are found together, and counts up to which what they add to a cell is worked out once for all words.
+BATCH, SMALL = 1024, 16
 #: Classes that aren't exchanged: the text's end, and words without a class yet.
 END, OPEN, FIXED = 0, 1, 2
 WIDTH = FIXED + CLASSES
 #: A word's contexts: classes before it, classes after it, and itself.
 ITSELF = 2 * WIDTH
 CONTEXTS = ITSELF + 1
+#: Added to the class of a word that moves in the next sweep.
+DUE = 128
 #: Weight of the class unigram in transitions, in observations.
 PRIOR = 50.0
 #: Key of the token that ends a text: no word has it, and it sorts first.
@@ -286,27 +288,41 @@ def bucket_contexts(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
     told = pa.concat_tables([unpacked_rows(x) for x in blocks])
     keys = np.concatenate(arrays(told["keys"], "<u8"))
     sizes, contexts, n = (np.concatenate(arrays(told[c], kind)) for c, kind in (("sizes", "u1"), ("contexts", "u1"), ("n", "<u4")))
-    keys, back = np.unique(keys, return_inverse=True)
-    cells, cell = np.unique(np.repeat(back, sizes) * CONTEXTS + contexts, return_inverse=True)
-    return keys, cells // CONTEXTS, cells % CONTEXTS, np.bincount(cell, weights=n)
+    there = np.unique(keys)
+    cell = np.repeat(np.searchsorted(there, keys), sizes) * CONTEXTS + contexts
+    order = np.argsort(cell, kind="stable")  # of sorted runs, one for each block
+    cell, n = cell[order], n[order].astype(float)
+    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])[: len(cell)])
+    return there, cell[first] // CONTEXTS, cell[first] % CONTEXTS, np.add.reduceat(n, first) if len(first) else n
 
 
-def gains_beside(n: np.ndarray, other: np.ndarray, own: np.ndarray, grid: np.ndarray) -> np.ndarray:
-    """What the cells beside a word's class, but for the diagonal, gain by its ``n[word, class]`` bigrams in each class it may get.
+def small_gains(grid: np.ndarray) -> np.ndarray:
+    """``[n, beside, class]``: what ``n`` more bigrams, up to ``SMALL``, gain in the cell ``grid[class, beside]``."""
+    cells = grid[FIXED:].T
+    return xlogx(cells + np.arange(SMALL + 1)[:, None, None]) - xlogx(cells)
 
-    ``grid[class, beside]`` has the word in its ``own`` class; ``other`` are the word's bigrams on its other side.
+
+def gains_beside(cells: tuple[np.ndarray, np.ndarray, np.ndarray], other: np.ndarray, own: np.ndarray, grid: np.ndarray, small: np.ndarray) -> np.ndarray:
+    """What the cells beside a word's class, but for the diagonal, gain by its bigrams in each class it may get.
+
+    ``cells`` are words, ascending, the classes beside them and counts. ``grid[class, beside]`` has the word in its ``own``
+    class; ``other`` are the word's bigrams on its other side.
     """
-    gain = np.zeros((len(n), CLASSES))
-    word, beside = np.nonzero(n)
+    gain = np.zeros((len(own), CLASSES))
+    word, beside, count = cells
     if not len(word):
         return gain
-    count, mine = n[word, beside], own[word]
-    cells = grid[FIXED:, beside].T.copy()
+    mine = own[word]
+    more = small[np.minimum(count, SMALL).astype(np.int64), beside]
+    at = np.flatnonzero(count > SMALL)
+    large = grid[FIXED:, beside[at]].T
+    more[at] = xlogx(large + count[at, None]) - xlogx(large)
     at = np.flatnonzero(mine >= FIXED)
-    cells[at, mine[at] - FIXED] -= count[at]
+    held = grid[mine[at], beside[at]]
+    more[at, mine[at] - FIXED] = xlogx(held) - xlogx(held - count[at])
     at = np.flatnonzero(beside == mine)
-    cells[at] -= other[word[at], FIXED:]
-    more = xlogx(cells + count[:, None]) - xlogx(cells)
+    left = grid[FIXED:, beside[at]].T - other[word[at], FIXED:]
+    more[at] = xlogx(left + count[at, None]) - xlogx(left)
     at = np.flatnonzero(beside >= FIXED)
     more[at, beside[at] - FIXED] = 0
     first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
@@ -314,60 +330,80 @@ def gains_beside(n: np.ndarray, other: np.ndarray, own: np.ndarray, grid: np.nda
     return gain
 
 
-def class_gains(counts: np.ndarray, own: np.ndarray, grid: np.ndarray) -> np.ndarray:
+def class_gains(counts: np.ndarray, own: np.ndarray, grid: np.ndarray, small: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """By how much each class raises the likelihood if a word, of ``counts[word, context]`` and taken out of its ``own`` class,
-    is put there and all other words stay; up to what is the same for all classes."""
-    before, after, loop = counts[:, :WIDTH], counts[:, WIDTH:ITSELF], counts[:, ITSELF:]
-    here = (own[:, None] == np.arange(FIXED, WIDTH)).astype(float)
-    gain = gains_beside(after, before, own, grid) + gains_beside(before, after, own, grid.T)
-    both = after[:, FIXED:] + before[:, FIXED:] + loop
-    diagonal = np.diag(grid)[FIXED:] - here * both
-    gain += xlogx(diagonal + both) - xlogx(diagonal)
+    is put there and all other words stay; up to what is the same for all classes. ``small`` are the ``small_gains`` of the
+    grid and of its transpose."""
+    before, after, loop = counts[:, :WIDTH], counts[:, WIDTH:ITSELF], counts[:, ITSELF]
+    rows, columns = small or (small_gains(grid), small_gains(grid.T))
+    word, context = np.nonzero(counts)
+    n = counts[word, context]
+    ahead, behind = (context >= WIDTH) & (context < ITSELF), context < WIDTH
+    gain = gains_beside((word[ahead], context[ahead] - WIDTH, n[ahead]), before, own, grid, rows)
+    gain += gains_beside((word[behind], context[behind], n[behind]), after, own, grid.T, columns)
+    both = after[:, FIXED:] + before[:, FIXED:] + loop[:, None]
+    word, of = np.nonzero(both)
+    n = both[word, of]
+    diagonal = grid[FIXED + of, FIXED + of] - np.where(own[word] == FIXED + of, n, 0)
+    gain[word, of] += xlogx(diagonal + n) - xlogx(diagonal)
+    held = np.flatnonzero(own >= FIXED)
+    mine = own[held]
     for side, total in ((after, grid.sum(1)), (before, grid.sum(0))):
-        size = side.sum(1, keepdims=True) + loop
-        left = total[FIXED:] - here * size
-        gain -= xlogx(left + size) - xlogx(left)
+        size = side.sum(1) + loop
+        cases, case = np.unique(size, return_inverse=True)
+        less = (xlogx(total[FIXED:] + cases[:, None]) - xlogx(total[FIXED:]))[case]
+        less[held, mine - FIXED] = xlogx(total[mine]) - xlogx(total[mine] - size[held])
+        gain -= less
     return gain
 
 
 def best_classes(word: np.ndarray, context: np.ndarray, n: np.ndarray, own: np.ndarray, grid: np.ndarray) -> np.ndarray:
     """The class that raises the likelihood most for each word, given its counted contexts, its ``own`` class and the class
     bigrams ``grid``; of equal ones its own, then the first."""
-    best = own.copy()
+    best, small = own.copy(), (small_gains(grid), small_gains(grid.T))
     for lo in range(0, len(own), BATCH):
         mine = own[lo : lo + BATCH]
         a, b = np.searchsorted(word, [lo, lo + len(mine)])
         counts = np.zeros((len(mine), CONTEXTS))
         counts[word[a:b] - lo, context[a:b]] = n[a:b]
-        gain = class_gains(counts, mine, grid)
+        gain = class_gains(counts, mine, grid, small)
         held = np.flatnonzero(mine >= FIXED)
         gain[held, mine[held] - FIXED] += 1e-9 * (1 + np.abs(gain[held, mine[held] - FIXED]))
         best[lo : lo + len(mine)] = FIXED + gain.argmax(1)
     return best
 
 
+def turns_of(keys: np.ndarray, once: np.ndarray) -> np.ndarray:
+    """Which of two turns each word takes: words seen ``once`` that of their ending."""
+    return (np.where(once, keys, keys // np.uint64(ENDINGS)) % np.uint64(2)).astype(np.int64)
+
+
 def shared_classes(keys: np.ndarray, word: np.ndarray, context: np.ndarray, n: np.ndarray, own: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``best_classes`` of a bucket's words, and which of two turns each takes. Those seen once are placed together, by their
     endings: without its one sighting such a word is like one never seen, so what stands beside it says nothing of its own."""
     once = np.bincount(word, weights=n * ((context < WIDTH) | (context == ITSELF)), minlength=len(keys)) == 1
     group = (keys & np.uint64(ENDINGS - 1)).astype(np.int64)
     of = np.where(once, group, ENDINGS + np.arange(len(keys)))  # groups first, then words of their own
-    cells, cell = np.unique(of[word] * CONTEXTS + context, return_inverse=True)
+    shared = once[word]
+    together = np.bincount(group[word[shared]] * CONTEXTS + context[shared], weights=n[shared], minlength=ENDINGS * CONTEXTS)
+    cells = np.flatnonzero(together)
+    own_cells = of[word[~shared]] * CONTEXTS + context[~shared]
+    cells, n = np.concatenate([cells, own_cells]), np.concatenate([together[cells], n[~shared]])
     low, high = np.full(ENDINGS, WIDTH), np.full(ENDINGS, -1)
     np.minimum.at(low, group[once], own[once])
     np.maximum.at(high, group[once], own[once])
     held = np.concatenate([np.where(low == high, low, OPEN), own])  # a group that is spread has no class to be taken out of
-    best = best_classes(cells // CONTEXTS, cells % CONTEXTS, np.bincount(cell, weights=n), held, grid)
-    return best[of], np.where(once, group, (keys // np.uint64(ENDINGS)).astype(np.int64)) % 2
+    best = best_classes(cells // CONTEXTS, cells % CONTEXTS, n, held, grid)
+    return best[of], turns_of(keys, once)
 
 
 PLACED = {"bucket": pa.int32(), "keys": pa.binary(), "counts": pa.binary(), "classes": pa.binary()}
 PLACED_TEXT = "bucket int, keys binary, counts binary, classes binary"
 
 
-def placed(words: DataFrame, contexts: DataFrame, grid: np.ndarray, known: np.ndarray, of: np.ndarray, turn: int | None = None) -> DataFrame:
-    """``bucket, keys, counts, classes`` of the vocabulary; words with contexts get their best class, in a ``turn`` only those of
-    that half. Words that have no class yet begin with the core's, or open."""
+def placed(words: DataFrame, contexts: DataFrame, grid: np.ndarray, known: np.ndarray, of: np.ndarray) -> DataFrame:
+    """``bucket, keys, counts, classes`` of the vocabulary; words with contexts get their best class. Words that have no class
+    yet begin with the core's, or open."""
     given = "classes" in words.columns
 
     def place(held: pa.Table, told: pa.Table) -> pa.Table:
@@ -376,23 +412,24 @@ def placed(words: DataFrame, contexts: DataFrame, grid: np.ndarray, known: np.nd
         if told.num_rows:
             there, *counted = bucket_contexts(told["block"].to_pylist())
             at = lookup(keys, there)
-            best, turns = shared_classes(there, *counted, classes[at], grid)
-            now = slice(None) if turn is None else turns == turn
-            classes[at[now]] = best[now]
+            classes[at], _ = shared_classes(there, *counted, classes[at], grid)
         return table({"bucket": held["bucket"].to_pylist(), "keys": [keys.tobytes()], "counts": held["counts"].to_pylist(), "classes": [classes.astype("u1").tobytes()]}, PLACED)
 
     told = contexts.where("bucket is not null").select(F.col("bucket").alias("told_bucket"), "block")
     return words.groupBy("bucket").cogroup(told.groupBy("told_bucket")).applyInArrow(place, PLACED_TEXT)
 
 
-def answered(requests: DataFrame, words: DataFrame, endings: np.ndarray | None = None, counts: bool = False) -> DataFrame:
-    """``chunk, bucket, classes, counts``: classes (and counts) of each chunk's keys; with ``endings``, unseen words get theirs."""
+def answered(requests: DataFrame, words: DataFrame, endings: np.ndarray | None = None, counts: bool = False, turn: int | None = None) -> DataFrame:
+    """``chunk, bucket, classes, counts``: classes (and counts) of each chunk's keys; with ``endings``, unseen words get theirs;
+    the classes of words that move in ``turn`` are marked as ``DUE``."""
     kinds = {"chunk": pa.int64(), "bucket": pa.int32(), "classes": pa.binary(), "counts": pa.binary()}
 
     def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
         keys, n, classes = (arrays(held[c], kind)[0] for c, kind in (("keys", "<u8"), ("counts", "<i8"), ("classes", "u1")))
         if endings is not None:
             classes = np.where((n == 0) & (keys != END_KEY), endings[(keys & np.uint64(ENDINGS - 1)).astype(int)], classes)
+        if turn is not None:
+            classes = classes + DUE * ((turns_of(keys, n == 1) == turn) & (keys != END_KEY))
         places = arrays(asked["places"], "<i4")
         out = {"chunk": asked["chunk"].to_pylist(), "bucket": asked["asked"].to_pylist(), "classes": [classes[p].astype("u1").tobytes() for p in places]}
         return table(out | {"counts": [n[p].tobytes() if counts else None for p in places]}, kinds)
@@ -402,21 +439,23 @@ def answered(requests: DataFrame, words: DataFrame, endings: np.ndarray | None =
 
 
 def counted_pass(chunks: DataFrame, answers: DataFrame, bits: int, contexts: bool) -> DataFrame:
-    """``pair, n``: class bigrams of training texts given all words' classes; and, if asked for, ``bucket, block``: contexts."""
+    """``pair, n``: class bigrams of training texts given all words' classes; and, if asked for, ``bucket, block``: contexts of
+    the words that are due."""
 
     def count(held: pa.Table, found: pa.Table) -> pa.Table:
         out = [table(dict.fromkeys(TOLD, []), TOLD)]
         if held.num_rows:
             texts = [Texts.read(block) for block in held["block"].to_pylist()]
             keys = arrays(held["keys"], "<u8")[0] if contexts else np.empty(0, np.uint64)
-            classes = answers_of(found, "classes", "u1", held["size"][0].as_py()).astype(np.int64)
+            marked = answers_of(found, "classes", "u1", held["size"][0].as_py())
+            classes = (marked % DUE).astype(np.int64)
             own, before, _ = (np.concatenate(c) for c in zip(*(t.neighbours(classes) for t in texts)))
             grid = np.bincount(before * WIDTH + classes[own], minlength=WIDTH * WIDTH)
             there = np.flatnonzero(grid)
             none = [None] * len(there)
             out.append(table({"bucket": none, "block": none, "pair": there, "n": grid[there]}, TOLD))
             if contexts:
-                out.append(context_rows(texts, keys, classes, np.arange(len(classes)) > 0, bits))
+                out.append(context_rows(texts, keys, classes, marked >= DUE, bits))
         return pa.concat_tables(out)
 
     size = (F.octet_length("keys") / 8).cast("long").alias("size")
@@ -503,18 +542,26 @@ def fit(docs: DataFrame, sweeps: int | None = None, tolerance: float = TOLERANCE
     grid, known_classes = grid_of(bigrams, of), of[FIXED:]
     words = kept(placed(counts, first_contexts(chunks, known, known_classes, bits), grid, known, known_classes), "classes")
 
-    def passed_with(held: DataFrame, contexts: bool) -> tuple[DataFrame, np.ndarray]:
-        passed = kept(counted_pass(chunks, answered(requests, held), bits, contexts), "class_bigrams")
+    def passed_with(held: DataFrame, turn: int | None) -> tuple[DataFrame, np.ndarray]:
+        passed = kept(counted_pass(chunks, answered(requests, held, turn=turn), bits, turn is not None), "class_bigrams")
         return passed, summed_grid(passed)
 
-    passed, grid = passed_with(words, sweeps != 0)
     rose: list[float] = []
-    while len(rose) != sweeps and (len(rose) < 2 or max(rose[-2:]) >= tolerance):
-        tried = kept(placed(words, passed, grid, known, known_classes, len(rose) % 2), "classes")
-        tried_passed, tried_grid = passed_with(tried, len(rose) + 1 != sweeps)
+
+    def goes_on() -> bool:
+        return len(rose) != sweeps and (len(rose) < 2 or max(rose[-2:]) >= tolerance)
+
+    passed, grid = passed_with(words, 0 if goes_on() else None)
+    while goes_on():
+        tried = kept(placed(words, passed, grid, known, known_classes), "classes")
+        turn = None if len(rose) + 1 == sweeps else (len(rose) + 1) % 2
+        tried_passed, tried_grid = passed_with(tried, turn)
         rose.append((likelihood(tried_grid) - likelihood(grid)) / max(1.0, abs(likelihood(grid))))
         if rose[-1] > 0:
             words, passed, grid, tried, tried_passed = tried, tried_passed, tried_grid, words, passed
+        elif goes_on():  # the words that stay have told contexts of the half that was due before
+            discard(passed)
+            passed, _ = passed_with(words, turn)
         discard(tried, tried_passed)
     discard(passed)
     return Fitted(class_model(words, grid), chunks, requests, words)

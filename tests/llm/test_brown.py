@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from reelscribe.llm import brown
+from reelscribe.plans import storage
 
 from .fixtures import brute_words, documents, empty
 
@@ -159,3 +160,74 @@ def test_a_sweep_never_lowers_the_likelihood(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     none, some = (brown.likelihood(brown.fit(docs, n).model.grid) for n in (0, 2))
     assert some >= none
+
+
+def moved(tokens, classes, turn):
+    """``classes`` after all words are placed with all contexts, in buckets, but only those of ``turn`` move."""
+    contexts, grid = Counter(), np.zeros((brown.WIDTH, brown.WIDTH))
+    for ts in tokens:
+        for last, t, following in zip([0] + ts, ts, ts[1:] + [0]):
+            grid[classes[last], classes[t]] += 1
+            contexts[t, brown.ITSELF if last == t else classes[last]] += 1
+            if following != t:
+                contexts[t, brown.WIDTH + classes[following]] += 1
+    out, buckets = dict(classes), {}
+    for (t, c), n in sorted(contexts.items()):
+        if t:
+            buckets.setdefault(t >> 58, []).append((t, c, n))
+    for cells in buckets.values():
+        keys, context, n = (np.array(x) for x in zip(*cells))
+        keys, word = np.unique(keys.astype(np.uint64), return_inverse=True)
+        best, turns = brown.shared_classes(keys, word, context, n.astype(float), np.array([classes[k] for k in keys.tolist()]), grid)
+        out |= {k: int(b) for k, b, t in zip(keys.tolist(), best, turns) if t == turn}
+    return out
+
+
+@pytest.mark.parametrize("levels, turns, told_turns", [([0, 1, 2], [0, 1], [0, 1, None]), ([0, 1, 0, None, 2], [0, 0], [0, 1, 0, 0, None])])
+def test_a_sweep_is_told_of_the_words_it_moves_and_of_no_others(spark, monkeypatch, levels, turns, told_turns):
+    tables, grids = {"vocabulary": [], "classes": [], "class_bigrams": []}, []
+
+    def kept(df, name):
+        tables[name].append(storage.kept(df, name))
+        return tables[name][-1]
+
+    def summed_grid(passed, real=brown.summed_grid):
+        grids.append(real(passed))
+        return grids[-1]
+
+    monkeypatch.setattr(brown, "kept", kept)
+    monkeypatch.setattr(brown, "discard", lambda *tables: None)
+    monkeypatch.setattr(brown, "summed_grid", summed_grid)
+    monkeypatch.setattr(brown, "likelihood", lambda grid: next(n for g, n in zip(grids, levels) if g is grid))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    fitted = brown.fit(docs, sum(n is not None for n in levels) - 1)
+
+    def classes_of(words):
+        rows = [[np.frombuffer(r[c], kind).tolist() for c, kind in (("keys", "<u8"), ("classes", "u1"))] for r in words.collect()]
+        return {k: c for keys, classes in rows for k, c in zip(keys, classes)}
+
+    texts = [brute_words(lower(r.text)) for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 7 != 2]
+    vocab = sorted({w for ws in texts for w in ws})
+    key = dict(zip(vocab, brown.word_keys(pa.array([w.decode() for w in vocab])).tolist()))
+    tokens = [[key[w] for w in ws] + [0] for ws in texts]
+    wanted = classes_of(tables["classes"][0])
+    for turn in turns:
+        before, wanted = wanted, moved(tokens, wanted, turn)
+        assert wanted != before
+    assert classes_of(fitted.words) == wanted
+    seen = Counter(t for ts in tokens for t in ts if t)
+    keys = np.array(list(seen), np.uint64)
+    turn_of = np.array([(k % brown.ENDINGS if n == 1 else k // brown.ENDINGS) % 2 for k, n in seen.items()])
+    assert {*turn_of.tolist()} == {0, 1}
+    for passed, turn in zip(tables["class_bigrams"], told_turns, strict=True):
+        told = [brown.bucket_contexts([r.block])[0] for r in passed.where("bucket is not null").collect()]
+        assert {k for ks in told for k in ks.tolist()} == {*keys[turn_of == turn].tolist()}
+
+
+def test_gains_worked_out_once_are_those_of_each_word(monkeypatch):
+    rng = np.random.default_rng(3)
+    counts = rng.poisson(0.2, (40, brown.CONTEXTS)) * rng.choice([1.0, brown.SMALL, brown.SMALL + 1, 500], (40, 1))
+    own, grid = rng.integers(brown.OPEN, brown.WIDTH, 40), rng.integers(90000, 99000, (brown.WIDTH, brown.WIDTH)).astype(float)
+    gains = brown.class_gains(counts, own, grid)
+    monkeypatch.setattr(brown, "SMALL", 0)
+    assert np.isfinite(gains).all() and (gains == brown.class_gains(counts, own, grid)).all()

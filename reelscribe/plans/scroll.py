@@ -11,7 +11,7 @@ from __future__ import annotations
 from functools import cached_property
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalized
@@ -26,20 +26,29 @@ PITCH, SCROLL, VIEW, HEADER_Y, CONTENT_Y, TOP_SLACK = 53, 131, 420, 100, 160, 39
 IMAGE_WIDTH, IMAGE_HEIGHT, PAGE_START = 4, 480, 100
 #: Grey preview images: their height, where what scrolls begins and ends, and where a quiet stretch in it begins.
 PREVIEW_HEIGHT, MOVES, RESTS, QUIET = 200, 24, 188, 70
+LINE_ARRAY = "array<struct<line_no: int, text: string, top: bigint>>"
+
+
+def line_top(i: Column, recording: Column) -> Column:
+    """Where a recording's line ``i`` lies on its canvas."""
+    return PITCH * i + F.pmod(17 * i * i + 5 * recording, F.lit(29))
+
+
+def frames_to(top: Column) -> Column:
+    """How many frames it takes to see a line at ``top``, one at least."""
+    return F.greatest(F.lit(1).cast("long"), F.ceil((top - TOP_SLACK) / F.lit(float(SCROLL))) + 1)
 
 
 def document_lines(documents: DataFrame) -> DataFrame:
     """``recording_id, line_no, text, top``: a document's lines on its canvas."""
     line = F.posexplode(F.split("text", "\n")).alias("line_no", "text")
     lines = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("recording_id"), line)
-    i = F.col("line_no").cast("long")
-    return lines.withColumn("top", PITCH * i + F.pmod(17 * i * i + 5 * F.col("recording_id"), F.lit(29)))
+    return lines.withColumn("top", line_top(F.col("line_no").cast("long"), F.col("recording_id")))
 
 
 def scroll_frames(lines: DataFrame) -> DataFrame:
     """``recording_id, n_frames, frame_idx``: as many frames as it takes to see the last line, one at least."""
-    need = F.ceil((F.max("top") - TOP_SLACK) / F.lit(float(SCROLL))) + 1
-    counted = lines.groupBy("recording_id").agg(F.greatest(F.lit(1).cast("long"), need).alias("n_frames"))
+    counted = lines.groupBy("recording_id").agg(frames_to(F.max("top")).alias("n_frames"))
     return counted.withColumn("frame_idx", F.explode(F.sequence(F.lit(0), (F.col("n_frames") - 1).cast("int"))))
 
 
@@ -47,21 +56,31 @@ def scroll_observations(documents: DataFrame, misread: bool = False) -> DataFram
     """Observations of the scrolled documents: ``recording_id, frame_idx, line_no, text, x, y, w, h``.
 
     A line's frames follow from its height, so frames are generated per line and no line meets a frame that it isn't
-    in. With ``misread`` a recogniser's slip replaces the third character of some sightings.
+    in. With ``misread`` a recogniser's slip replaces the third character of some sightings. Documents are dealt by their
+    numbers once and lines come out of them where they lie, so that what is keyed by recording shuffles no text again.
     """
-    lines = document_lines(documents)
-    frames = scroll_frames(lines)
-    sized = lines.join(frames.where("frame_idx = 0").select("recording_id", "n_frames"), "recording_id")
-    low = F.greatest(F.lit(0).cast("long"), F.floor((F.col("top") - VIEW) / F.lit(float(SCROLL))) + 1)
-    high = F.least(F.col("n_frames") - 1, F.floor(F.col("top") / F.lit(float(SCROLL))))
-    seen = sized.where(low <= high).withColumn("frame_idx", F.explode(F.sequence(low.cast("int"), high.cast("int"))))
+    docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("recording_id"), "text")
+    docs = dealt(docs, "recording_id").withColumn("parts", F.split("text", "\n"))
+    tops = F.transform("parts", lambda _, i: line_top(i.cast("long"), F.col("recording_id")))
+    # Documents of one number are one recording with one header.
+    every = Window.partitionBy("recording_id")
+    docs = docs.select("recording_id", "parts", F.array_max(tops).alias("reach"))
+    docs = docs.withColumn("n_frames", frames_to(F.max("reach").over(every))).withColumn("nth", F.row_number().over(every.orderBy("reach")))
+    head = F.struct(F.lit(-1).alias("line_no"), F.lit("Fixed header").alias("text"), F.lit(0).cast("long").alias("top"))
+    rest = F.transform("parts", lambda t, i: F.struct(i.cast("int").alias("line_no"), t.alias("text"), line_top(i.cast("long"), F.col("recording_id")).alias("top")))
+    lines = docs.select("recording_id", "n_frames", F.explode(F.concat(F.when(F.col("nth") == 1, F.array(head)).otherwise(F.array().cast(LINE_ARRAY)), rest)).alias("line"))
+    lines = lines.select("recording_id", "n_frames", "line.*")
+    header = F.col("line_no") < 0
+    low = F.when(header, F.lit(0).cast("long")).otherwise(F.greatest(F.lit(0).cast("long"), F.floor((F.col("top") - VIEW) / F.lit(float(SCROLL))) + 1))
+    last = F.col("n_frames") - 1
+    high = F.when(header, last).otherwise(F.least(last, F.floor(F.col("top") / F.lit(float(SCROLL)))))
+    seen = lines.withColumn("low", low.cast("int")).withColumn("high", high.cast("int")).where("low <= high").withColumn("frame_idx", F.explode(F.sequence("low", "high")))
     text = F.col("text")
     if misread:
-        slip = (F.pmod(F.col("line_no") + F.col("frame_idx"), F.lit(7)) == 0) & (F.char_length("text") >= 12)
+        slip = (F.col("line_no") >= 0) & (F.pmod(F.col("line_no") + F.col("frame_idx"), F.lit(7)) == 0) & (F.char_length("text") >= 12)
         text = F.when(slip, F.concat(F.substring("text", 1, 2), F.lit("~"), F.expr("substring(text, 4)"))).otherwise(text)
-    content = seen.select("recording_id", "frame_idx", "line_no", text.alias("text"), (CONTENT_Y + F.col("top") - SCROLL * F.col("frame_idx")).cast("double").alias("y"))
-    header = frames.select("recording_id", "frame_idx", F.lit(-1).alias("line_no"), F.lit("Fixed header").alias("text"), F.lit(float(HEADER_Y)).alias("y"))
-    return content.unionByName(header).select(
+    y = F.when(header, F.lit(float(HEADER_Y))).otherwise((CONTENT_Y + F.col("top") - SCROLL * F.col("frame_idx")).cast("double"))
+    return seen.select("recording_id", "frame_idx", "line_no", text.alias("text"), y.alias("y")).select(
         "recording_id", "frame_idx", "line_no", "text", F.lit(134.0).alias("x"), "y",
         F.least(20 * F.char_length("text"), F.lit(451)).cast("double").alias("w"), F.lit(28.0).alias("h"),
     )

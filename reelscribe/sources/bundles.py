@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import finite, valid_box
 from ..functions.text import cache_file, trimmed
+from ..operators.folds import dealt
 
 BOX = "struct<left: double, top: double, width: double, height: double>"
 RESULT = f"array<struct<frame: {BOX}, lines: array<struct<text: string, confidence: double, frame: {BOX}>>>>"
 LINE = "text string, x double, y double, w double, h double, conf double"
 CACHED = "array<struct<text: string, x: double, y: double, w: double, h: double, conf: double>>"
 LINES = "array<struct<text: string, x: double, y: double, w: double, h: double, conf: double>>"
+#: Frames of a recording that its caches keep together.
+STRETCH = 1000
 BUNDLE = (
     "formatVersion int, stats struct<formatVersion: int, fps: double, sourceFrameCount: int, capturedFrameCount: int, capturesEverySourceFrame: boolean>, "
     f"frames array<struct<file: string, sourceIndex: int, timeMs: double, lines: {LINES}>>"
@@ -141,24 +144,26 @@ def write_caches(frames: DataFrame, path: str) -> DataFrame:
     """Writes ``frames(recording_id, file, source_idx, time_ms, lines)`` and returns ``recording_id, file, bytes`` of its frames.
 
     The target may be missing or empty; one that holds anything is refused before any work. Frames are rows of JSON in
-    folders ``recording_id=…``, put in place by Spark's committer once all are written, so that a failed write leaves no
-    part of itself to be read. A null or empty list of lines is a frame without lines. Repeated rows are written each.
+    compressed files, as many as the session shuffles to and not a folder per recording, which costs more than its rows once recordings are
+    many. A recording's frames stay together by the thousand, in order. Spark's committer puts files in place once all are
+    written, so that a failed write leaves no part of itself to be read. A null or empty list of lines is a frame without lines. Repeated rows are written each.
     """
     spark = frames.sparkSession
     files, where = _files(spark, path)
     if files.exists(where) and len(files.listStatus(where)):
         raise ValueError(f"the target is not empty: {path}")
     lines = F.coalesce(F.col("lines"), F.from_json(F.lit("[]"), CACHED))
-    rows = frames.select("recording_id", "file", "source_idx", F.col("time_ms").cast("double"), F.to_json(lines, {"ignoreNullFields": "false"}).alias("content"))
-    by_recording = rows.repartition("recording_id", F.col("file")).sortWithinPartitions("recording_id", "source_idx")
-    by_recording.write.mode("append").partitionBy("recording_id").json(path)
+    rows = frames.select(F.col("recording_id").cast("string"), "file", "source_idx", F.col("time_ms").cast("double"), F.to_json(lines, {"ignoreNullFields": "false"}).alias("content"))
+    together = rows.withColumn("stretch", F.floor(F.col("source_idx") / STRETCH))
+    by_recording = dealt(together, "recording_id", "stretch").sortWithinPartitions("recording_id", "source_idx").drop("stretch")
+    by_recording.write.mode("append").option("compression", "gzip").json(path)
     return written_caches(spark, path).select("recording_id", "file", F.octet_length("content").alias("bytes"))
 
 
 def written_caches(spark: SparkSession, path: str) -> DataFrame:
     """``recording_id, file, source_idx, time_ms, content`` of what ``write_caches`` wrote; an id is a string, null included."""
-    schema = "file string, source_idx long, time_ms double, content string, recording_id string"
-    return spark.read.schema(schema).json(path).select("recording_id", "file", "source_idx", "time_ms", "content")
+    schema = "recording_id string, file string, source_idx long, time_ms double, content string"
+    return spark.read.schema(schema).json(path)
 
 
 def cached_observations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

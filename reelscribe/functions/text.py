@@ -28,6 +28,11 @@ def norm_of(lines: DataFrame) -> Column:
     return F.col("norm") if "norm" in lines.columns else normalized(F.col("text"))
 
 
+def norm_length(lines: DataFrame) -> Column:
+    """The length of what ``norm_of`` gives: the column ``n_norm`` where an earlier stage has kept it."""
+    return F.col("n_norm") if "n_norm" in lines.columns else F.char_length(norm_of(lines))
+
+
 def common_start(left: Column, right: Column) -> Column:
     """How many characters two texts begin with alike, by halves: each step compares a stretch of a power of two."""
     least = F.least(F.char_length(left), F.char_length(right))

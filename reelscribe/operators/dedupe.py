@@ -6,14 +6,14 @@ from collections import Counter, deque
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import (
     DEDUPE_WINDOW, MAJORITY, REPEAT_LENGTH, REPEAT_WINDOW, SAME_BOX_OVERLAP, SPATIAL_DX, SPATIAL_DY, VARIANT_SIMILARITY,
 )
 from ..functions.geometry import finite
-from ..functions.text import edit_distance, norm_of, normalized, trimmed, utf16_length
+from ..functions.text import edit_distance, norm_length, normalized, trimmed, utf16_length
 from .folds import Columns, dealt, fold, islands, keep_rows
 
 CANON = ["gy", "x", "frame_idx", "line_no"]
@@ -51,7 +51,7 @@ def sightings(lines: Columns) -> Columns:
 
 
 SIGHTING = (
-    "group_no int, sighting int, is_longest boolean, frame_idx int, line_no int, text string, norm string, "
+    "group_no int, sighting int, is_longest boolean, frame_idx int, line_no int, text string, "
     "x double, y double, w double, h double, gy double"
 )
 
@@ -61,11 +61,12 @@ def sighting_groups(content: DataFrame) -> DataFrame:
 
     ``content(recording_id, segment_id, frame_idx, line_no, text, x, y, w, h, gy)``. Only lines of one segment can
     merge, and none over a stretch of more than the window without lines, so each such island is folded alone.
-    Lines without a text to compare are left out; a null recording is one of its own.
+    Lines without a text to compare are left out; a null recording is one of its own. Islands gather their lines,
+    so the fold deals nothing again.
     """
-    keyed = content.withColumn("norm", norm_of(content)).where(F.char_length("norm") > 0)
+    keyed = content.where(norm_length(content) > 0).select("recording_id", "segment_id", "frame_idx", "line_no", "text", "x", "y", "w", "h", "gy")
     cut = islands(keyed, ["recording_id", "segment_id"], "gy", DEDUPE_WINDOW, ["x", "frame_idx", "line_no"], inclusive=True)
-    return fold(cut, ["recording_id", "segment_id", "island"], CANON, sightings, SIGHTING)
+    return fold(cut, ["recording_id", "segment_id", "island"], CANON, sightings, SIGHTING, gathered=True)
 
 
 GROUP = ["recording_id", "segment_id", "island", "group_no"]
@@ -78,7 +79,7 @@ def frame_observations(groups: DataFrame) -> DataFrame:
     """
     parts = F.array_sort(F.collect_list(F.struct("x", "sighting", "text")))
     bottom = F.greatest(F.max(F.col("y") + F.col("h")) - F.min("y"), F.max(F.col("gy") + F.col("h")) - F.min("gy"))
-    alone = F.struct("frame_idx", F.lit(1).cast("long").alias("n_parts"), "text", "norm", "x", "y", "w", "h", "gy", F.array("text").alias("parts"))
+    alone = F.struct("frame_idx", F.lit(1).cast("long").alias("n_parts"), "text", "x", "y", "w", "h", "gy")
     joined = groups.groupBy(*GROUP, "frame_idx").agg(
         parts.alias("parts"),
         F.count("*").alias("n_parts"),
@@ -87,12 +88,11 @@ def frame_observations(groups: DataFrame) -> DataFrame:
         F.min("y").alias("y"),
         F.min("gy").alias("gy"),
         F.when(F.count("*") == 1, F.max("h")).otherwise(bottom).alias("h"),
-        F.max("norm").alias("norm"),
         F.max(F.when(F.col("is_longest"), alone)).alias("longest"),
         F.max(F.when(F.col("sighting") == 0, F.struct(*CANON))).alias("head"),
     )
     text = F.array_join(F.transform("parts", lambda p: p["text"]), "")
-    return joined.withColumn("text", text).withColumn("parts", F.transform("parts", lambda p: p["text"])).withColumn("norm", F.when(F.col("n_parts") == 1, F.col("norm")).otherwise(normalized(F.col("text"))))
+    return joined.withColumn("text", text).withColumn("parts", F.transform("parts", lambda p: p["text"])).withColumn("norm", normalized(F.col("text")))
 
 
 def selections(content: DataFrame, consensus: bool = True, similarity: float = VARIANT_SIMILARITY) -> DataFrame:
@@ -123,6 +123,8 @@ def selections(content: DataFrame, consensus: bool = True, similarity: float = V
         F.max("longest").alias("longest"),
         F.max("head").alias("group_rank"),
     )
+    alone = F.struct("longest.frame_idx", "longest.n_parts", "longest.text", normalized(F.col("longest.text")).alias("norm"), *(f"longest.{c}" for c in ("x", "y", "w", "h", "gy")), F.array("longest.text").alias("parts"))
+    joined = joined.withColumn("longest", alone)
     norm, other = F.col("best.proposed.norm"), F.col("longest.norm")
     eligible = F.lit(consensus) & (F.col("n_frames") >= MAJORITY)
     majority = eligible & (F.col("best.n") >= MAJORITY) & (F.col("best.n") * 2 > F.col("n_frames"))
@@ -148,10 +150,11 @@ def selections(content: DataFrame, consensus: bool = True, similarity: float = V
     )
 
 
-def dedupe_stats(chosen: DataFrame) -> DataFrame:
-    """Counters of ``selections`` per recording."""
+def dedupe_stats(chosen: DataFrame, *more: Column) -> DataFrame:
+    """Counters of ``selections`` per recording, after ``more`` aggregates of the same pass."""
     strict = F.col("kind") == "strict-majority"
     return chosen.groupBy("recording_id").agg(
+        *more,
         F.count_if(F.col("n_sightings") > 1).alias("candidate_groups"),
         F.sum("n_sightings").alias("observations"),
         F.sum("n_frames").alias("frame_observations"),

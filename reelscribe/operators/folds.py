@@ -40,9 +40,10 @@ def sorted_groups(df: DataFrame, keys: list[str], order: list[str | Column]) ->
     return dealt(df, *keys).sortWithinPartitions(*keys, *order)
 
 
-def fold(df: DataFrame, keys: list[str], order: list[str | Column], step: Callable[[Columns], Columns], schema: str) -> DataFrame:
+def fold(df: DataFrame, keys: list[str], order: list[str | Column], step: Callable[[Columns], Columns], schema: str, gathered: bool = False) -> DataFrame:
     """Rows of ``step`` for each group of ``keys``: it gets the group's columns in ``order`` and returns those of
-    ``schema``; rows lead with the keys. Null keys are a group; no rows give no rows."""
+    ``schema``; rows lead with the keys. Null keys are a group; no rows give no rows. With ``gathered`` a group's rows are in one
+    task already, as ``islands`` of some of the keys leaves them, and are only sorted there."""
     types = T.StructType([df.schema[k] for k in keys] + T._parse_datatype_string(schema).fields)
     target = to_arrow_schema(types)
 
@@ -75,7 +76,8 @@ def fold(df: DataFrame, keys: list[str], order: list[str | Column], step: Callab
             close()
             yield pa.RecordBatch.from_pydict(out, target)
 
-    return sorted_groups(df, keys, order).mapInArrow(rows, types)
+    ready = df.sortWithinPartitions(*keys, *order) if gathered else sorted_groups(df, keys, order)
+    return ready.mapInArrow(rows, types)
 
 
 def keep_rows(df: DataFrame, keys: list[str], order: list[str | Column], columns: list[str], begin: Callable[[], Callable[..., bool]]) -> DataFrame:

@@ -41,9 +41,10 @@ def document(rows: DataFrame, order: list[str], name: str = "markdown") -> DataF
 
 
 def render_plain(lines: DataFrame) -> DataFrame:
-    """The plain transcript of merged lines (see dedupe.selections); joined parts are spaced again."""
-    shown = lines.withColumn("text", F.array_join("parts", " "))
-    return document(visual_rows(shown, "gy", ["x", "group_rank"]), ["island", "row_no"])
+    """The plain transcript of merged lines (see dedupe.selections); joined parts are spaced again. A recording's transcript
+    is one text anyhow, so its rows are read in one fold, which is dealt nothing but what it shows."""
+    shown = lines.select("recording_id", F.array_join("parts", " ").alias("text"), "x", "gy", "group_rank")
+    return fold(shown, ["recording_id"], ["gy", "x", "group_rank"], lambda rows: {"markdown": ["\n".join(row_texts(rows, "gy")["text"])]}, "markdown string")
 
 
 def format_plain(lines: DataFrame) -> DataFrame:

@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 from ..constants import FUZZY_SIMILARITY, MIN_ANCHORS, MIN_KEY_LENGTH, MIN_VOTE, RESCUE_VOTE, SHIFT_TOLERANCE
 from ..functions.geometry import band
-from ..functions.text import edit_distance, norm_of
+from ..functions.text import edit_distance, norm_length, norm_of
 from .folds import dealt
 
 PAIR = ["recording_id", "pair_idx"]
 
 
 def anchor_lines(observations: DataFrame, fixed: DataFrame) -> DataFrame:
-    """Lines that can anchor: outside fixed bands, with a key of four characters or more. Null texts can't."""
-    keyed = observations.select("recording_id", "frame_idx", "line_no", "y", norm_of(observations).alias("key"), band(F.col("y")).alias("band"))
+    """Lines that can anchor: outside fixed bands, with a key of four characters or more. Null texts can't. Where an earlier
+    stage has numbered a recording's keys (``key_no``), the numbers stand for them."""
+    key = F.col("key_no") if "key_no" in observations.columns else norm_of(observations)
+    keyed = observations.select("recording_id", "frame_idx", "line_no", "y", key.alias("key"), norm_length(observations).alias("size"), band(F.col("y")).alias("band"))
     return (
-        keyed.where(F.char_length("key") >= MIN_KEY_LENGTH)
+        keyed.where(F.col("size") >= MIN_KEY_LENGTH)
         .join(fixed.select("recording_id", "band"), ["recording_id", "band"], "left_anti")
         .drop("band")
     )
@@ -25,8 +27,8 @@ def anchor_lines(observations: DataFrame, fixed: DataFrame) -> DataFrame:
 
 def sides(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The lines as the earlier and as the later frame of a pair; a pair has its later frame's number."""
-    before = lines.select("recording_id", (F.col("frame_idx") + 1).alias("pair_idx"), F.col("line_no").alias("prev_line"), F.col("y").alias("prev_y"), "key")
-    after = lines.select("recording_id", F.col("frame_idx").alias("pair_idx"), F.col("line_no").alias("cur_line"), F.col("y").alias("cur_y"), "key")
+    before = lines.select("recording_id", (F.col("frame_idx") + 1).alias("pair_idx"), F.col("line_no").alias("prev_line"), F.col("y").alias("prev_y"), "key", F.col("size").alias("prev_size"))
+    after = lines.select("recording_id", F.col("frame_idx").alias("pair_idx"), F.col("line_no").alias("cur_line"), F.col("y").alias("cur_y"), "key", F.col("size").alias("cur_size"))
     return before, after
 
 
@@ -39,17 +41,24 @@ def exact_anchors(lines: DataFrame) -> DataFrame:
     )
 
 
-def fuzzy_anchors(lines: DataFrame, exact: DataFrame, least: float = FUZZY_SIMILARITY) -> DataFrame:
+def fuzzy_anchors(lines: DataFrame, exact: DataFrame, least: float = FUZZY_SIMILARITY, texts: DataFrame | None = None) -> DataFrame:
     """Alike keys of lines without an exact anchor, where each is the other's one best partner.
 
     Lengths that differ by more than the allowed share are pruned before any distance is computed, and the distance is
     a bounded one: it gives up on a pair that is too far, and what it returns for the others is all that is needed.
+    Where keys are numbers, ``texts(recording_id, key, norm)`` has what they stand for; it meets only the pairs that are left.
     """
     before, after = sides(lines)
     before = before.join(exact.select(*PAIR, "prev_line"), [*PAIR, "prev_line"], "left_anti").withColumnRenamed("key", "prev_key")
     after = after.join(exact.select(*PAIR, "cur_line"), [*PAIR, "cur_line"], "left_anti").withColumnRenamed("key", "cur_key")
-    long_, short = (f(F.char_length("prev_key"), F.char_length("cur_key")) for f in (F.greatest, F.least))
-    near = dealt(before, *PAIR).join(dealt(after, *PAIR), PAIR).where(short >= long_ * F.lit(least) - F.lit(1e-9)).withColumn("longest", long_)
+    long_, short = (f("prev_size", "cur_size") for f in (F.greatest, F.least))
+    if texts is None:
+        before, after = dealt(before, *PAIR), dealt(after, *PAIR)
+    near = before.join(after, PAIR).where(short >= long_ * F.lit(least) - F.lit(1e-9)).withColumn("longest", long_).drop("prev_size", "cur_size")
+    if texts is not None:
+        for key in ("prev_key", "cur_key"):
+            named = texts.select("recording_id", F.col("key").alias(key), F.col("norm").alias(f"{key}_norm"))
+            near = near.join(named, ["recording_id", key]).drop(key).withColumnRenamed(f"{key}_norm", key)
     # The windows below stand between the distance and the filter on it, so that it is computed once.
     near = edit_distance(near, "prev_key", "cur_key", "far", f"cast(ceil((1 - {float(least)}D) * longest) as int)").drop("prev_key", "cur_key")
     far = F.when(F.col("far") >= 0, 1 - F.col("far") / F.col("longest")).otherwise(F.lit(-1.0))
@@ -66,13 +75,16 @@ def votes(diffs: DataFrame, keys: list[str]) -> DataFrame:
     """``*keys, total, runner_up, best(votes, members)`` of ``diffs(*keys, diff)``.
 
     Sorted values whose steps are at most the tolerance are a cluster; the largest wins, of equal ones the lowest.
-    ``runner_up`` is the size of the next one, null without any.
+    ``runner_up`` is the size of the next one, null without any. Equal values are counted first, so that no order is left open.
     """
+    diffs = diffs.groupBy(*keys, "diff").agg(F.count("*").alias("n"))
     by_value = Window.partitionBy(*keys).orderBy("diff")
     step = F.col("diff") - F.lag("diff").over(by_value)
     cut = diffs.withColumn("cut", F.when(step > SHIFT_TOLERANCE, 1).otherwise(0))
     chained = cut.withColumn("cluster", F.sum("cut").over(by_value.rowsBetween(Window.unboundedPreceding, 0)))
-    clusters = chained.groupBy(*keys, "cluster").agg(F.count("*").alias("votes"), F.min("diff").alias("first"), F.sort_array(F.collect_list("diff")).alias("members"))
+    listed = F.sort_array(F.collect_list(F.when(F.col("diff").isNotNull(), F.struct("diff", F.col("n").cast("int").alias("n")))))
+    clusters = chained.groupBy(*keys, "cluster").agg(F.sum("n").alias("votes"), F.min("diff").alias("first"), listed.alias("values"))
+    clusters = clusters.withColumn("members", F.flatten(F.transform("values", lambda v: F.array_repeat(v["diff"], v["n"]))))
     return clusters.groupBy(*keys).agg(
         F.sum("votes").alias("total"),
         F.try_element_at(F.sort_array(F.collect_list("votes"), asc=False), F.lit(2)).alias("runner_up"),

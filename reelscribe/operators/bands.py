@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import FIXED_RATIO
 from ..functions.geometry import band
-from ..functions.text import norm_of
+from ..functions.text import norm_length
 
 
 def fixed_bands(observations: DataFrame, frames: DataFrame) -> DataFrame:
@@ -24,4 +24,4 @@ def fixed_bands(observations: DataFrame, frames: DataFrame) -> DataFrame:
 def content_lines(observations: DataFrame, fixed: DataFrame) -> DataFrame:
     """Observations outside fixed bands with any text to compare."""
     kept = observations.withColumn("band", band(F.col("y"))).join(fixed.select("recording_id", "band"), ["recording_id", "band"], "left_anti")
-    return kept.where(F.char_length(norm_of(observations)) > 0).select(*observations.columns)
+    return kept.where(norm_length(observations) > 0).select(*observations.columns)

@@ -14,12 +14,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..constants import MIN_KEY_LENGTH
 from ..functions.text import normalized
 from ..operators import anchors, bands, dedupe, placement
 from ..operators.folds import dealt
 from ..operators.pixels import per_row
 from ..operators.rows import render_plain
-from .storage import kept
+from .storage import kept_by
 
 PITCH, SCROLL, VIEW, HEADER_Y, CONTENT_Y, TOP_SLACK = 53, 131, 420, 100, 160, 390
 #: Images of the recordings: a view of a patterned page that starts at row 100.
@@ -167,13 +168,25 @@ def preview_images(documents: DataFrame) -> DataFrame:
     return scroll_positions(documents).select("recording_id", "frame_idx", made.alias("image")).select("recording_id", "frame_idx", "image.*")
 
 
+MARKS = ["recording_id", "frame_idx", "line_no", "y", "n_norm", "key_no"]
+
+
+def numbered(observations: DataFrame) -> DataFrame:
+    """With ``n_norm``, the length of the text that is compared, and ``key_no``, its number: equal texts of a recording have the same."""
+    norm = observations.withColumn("norm", normalized(F.col("text")))
+    found = norm.withColumn("key_no", F.dense_rank().over(Window.partitionBy("recording_id").orderBy("norm")))
+    return found.withColumn("n_norm", F.char_length("norm")).drop("norm")
+
+
 class Analysis:
     """The stages of the anchor plan, keyed by recording, from ``observations(recording_id, frame_idx, line_no, text, x,
     y, w, h)`` and ``frames(recording_id, frame_idx)``.
 
     Nothing is computed before it is asked for. Stages that several later ones read are written once to the shared
-    folder when they are first asked for, which also keeps the plans small. A recording of one frame has no pairs; its
-    lines stay where they are.
+    folder when they are first asked for, which also keeps the plans small. All of these lie in buckets of recordings, so that what
+    follows groups and joins them where they are. A recording's texts are numbered once, and only numbers go on: texts are
+    looked up for the few pairs that may be alike, and stay with the observations that are merged. A recording of one
+    frame has no pairs; its lines stay where they are.
     """
 
     def __init__(self, observations: DataFrame, frames: DataFrame, fuzzy: bool = True):
@@ -181,29 +194,39 @@ class Analysis:
 
     @cached_property
     def observations(self) -> DataFrame:
-        """Dealt by recording, with ``norm``, the text that is compared, computed once."""
-        return kept(dealt(self.given, "recording_id").withColumn("norm", normalized(F.col("text"))), "observations")
+        """In buckets of recordings, with the columns of ``numbered``."""
+        return kept_by(numbered(self.given), "observations", "recording_id", "zstd")
+
+    @cached_property
+    def marks(self) -> DataFrame:
+        """Observations without their texts."""
+        if self.with_fuzzy:
+            return self.observations.select(*MARKS)
+        return kept_by(numbered(self.given).select(*MARKS), "marks", "recording_id")
 
     @cached_property
     def frames(self) -> DataFrame:
-        return kept(self.given_frames, "frames")
+        return kept_by(self.given_frames, "frames", "recording_id")
 
     @cached_property
     def fixed(self) -> DataFrame:
-        return kept(bands.fixed_bands(self.observations, self.frames), "fixed_bands")
+        return kept_by(bands.fixed_bands(self.marks, self.frames), "fixed_bands", "recording_id")
 
     @cached_property
     def lines(self) -> DataFrame:
-        return kept(anchors.anchor_lines(self.observations, self.fixed), "anchor_lines")
+        return kept_by(anchors.anchor_lines(self.marks, self.fixed), "anchor_lines", "recording_id")
 
     @cached_property
     def exact(self) -> DataFrame:
-        found = anchors.exact_anchors(self.lines)
-        return kept(found, "exact_anchors") if self.with_fuzzy else found
+        return kept_by(anchors.exact_anchors(self.lines), "exact_anchors", "recording_id")
 
     @cached_property
     def fuzzy(self) -> DataFrame:
-        return kept(anchors.fuzzy_anchors(self.lines, self.exact), "fuzzy_anchors") if self.with_fuzzy else self.exact.where("false")
+        if not self.with_fuzzy:
+            return self.exact.where("false")
+        keys = self.observations.where(F.col("n_norm") >= MIN_KEY_LENGTH).groupBy("recording_id", F.col("key_no").alias("key")).agg(F.first("text").alias("text"))
+        texts = keys.select("recording_id", "key", normalized(F.col("text")).alias("norm"))
+        return kept_by(anchors.fuzzy_anchors(self.lines, self.exact, texts=texts), "fuzzy_anchors", "recording_id")
 
     @cached_property
     def shifts(self) -> DataFrame:
@@ -211,7 +234,7 @@ class Analysis:
 
     @cached_property
     def kept_shifts(self) -> DataFrame:
-        return kept(self.shifts, "shifts")
+        return kept_by(self.shifts, "shifts", "recording_id")
 
     @cached_property
     def placed(self) -> DataFrame:
@@ -219,7 +242,12 @@ class Analysis:
 
     @cached_property
     def content(self) -> DataFrame:
-        return kept(bands.content_lines(self.placed, self.fixed), "content")
+        return kept_by(bands.content_lines(self.placed, self.fixed), "content", "recording_id", "zstd")
+
+    @cached_property
+    def content_marks(self) -> DataFrame:
+        """``content`` without texts and boxes."""
+        return bands.content_lines(placement.placed_lines(self.marks, self.kept_shifts), self.fixed)
 
     @cached_property
     def warnings(self) -> DataFrame:
@@ -242,11 +270,11 @@ def run_stats(found: Analysis, chosen: DataFrame) -> DataFrame:
     fixed = found.fixed.groupBy(key).agg(F.count("*").alias("fixed_band_count"))
     pairs = found.kept_shifts.groupBy(key).agg(F.count("*").alias("anchor_pairs"), F.sum("shift").alias("cumulative_shift"))
     warned = found.warnings.groupBy(key).agg(F.count("*").alias("warnings"))
-    seen = found.observations.groupBy(key).agg(F.count("*").alias("ocr_lines"))
-    content = found.content.groupBy(key).agg(F.count("*").alias("content_lines"))
-    unique = chosen.groupBy(key).agg(F.count("*").alias("unique_lines"))
+    seen = found.marks.groupBy(key).agg(F.count("*").alias("ocr_lines"))
+    content = found.content_marks.groupBy(key).agg(F.count("*").alias("content_lines"))
+    merged = dedupe.dedupe_stats(chosen, F.count("*").alias("unique_lines"))
     out = frames
-    for part in (fixed, pairs, warned, seen, content, unique, dedupe.dedupe_stats(chosen)):
+    for part in (fixed, pairs, warned, seen, content, merged):
         out = out.join(part, key, "left")
     out = out.fillna(0).withColumn("anchor_passed", F.col("anchor_pairs") - F.col("warnings"))
     return out.withColumn("status", F.when(F.col("warnings") > 0, "warning").otherwise("ok"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,12 +42,26 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
-def kept_by(df: DataFrame, name: str, column: str) -> DataFrame:
-    """Like ``kept``, in as many buckets of ``column`` as shuffles have partitions: grouping the table by it shuffles nothing."""
+@contextmanager
+def in_place(spark: SparkSession) -> Iterator[None]:
+    """Joins planned within may leave rows where a part of their keys has dealt them."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def kept_by(df: DataFrame, name: str, column: str, codec: str = "snappy") -> DataFrame:
+    """Like ``kept``, in as many buckets of ``column`` as shuffles have partitions: grouping the table by it shuffles nothing, nor
+    does joining it with other such tables by ``column`` and more, if the result is kept so too."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{table}"
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", path).saveAsTable(table)
+    with in_place(spark):
+        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", path).option("compression", codec).saveAsTable(table)
     files, where = _file_system(spark, path)
     files.deleteOnExit(where)
     found = spark.table(table)

@@ -149,6 +149,16 @@ def screen_pixels(recording: int, position: int) -> tuple[bytes, int, int]:
     return rgba.astype(np.uint8).tobytes(), SCREEN_WIDTH, SCREEN_HEIGHT
 
 
+def screen_data(recording: int, position: int) -> bytes:
+    return screen_pixels(recording, position)[0]
+
+
+def screen_sources(documents: DataFrame) -> DataFrame:
+    """``recording_id, frame_idx, position, octets, width, height``: what ``screen_data`` makes the full screens from, and their sizes."""
+    sizes = {"octets": 4 * SCREEN_WIDTH * SCREEN_HEIGHT, "width": SCREEN_WIDTH, "height": SCREEN_HEIGHT}
+    return screen_positions(documents).withColumns({name: F.lit(size) for name, size in sizes.items()})
+
+
 def screens(documents: DataFrame) -> DataFrame:
     """``recording_id, frame_idx, data, width, height``: full screens of the scrolled documents."""
     made = per_row(screen_pixels, IMAGE, "recording_id", "position")

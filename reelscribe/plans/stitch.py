@@ -8,6 +8,7 @@ frame, so no task holds a recording: the largest group is that of the preview fr
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from functools import cached_property
 
 import numpy as np
@@ -19,6 +20,8 @@ from ..operators.folds import Columns, fold, scan_rows
 from .storage import kept
 
 KEY = ["recording_id", "frame_idx"]
+#: Frames that are compared one after another in one task.
+STRETCH = 256
 
 
 class StitchPlan:
@@ -27,15 +30,19 @@ class StitchPlan:
     ``pre_scan`` frames, evenly spaced, tell which rows scroll. A recording of frames of several sizes, or of pixels that
     don't fill their size, is ``mixed_sizes``; one with frames missing or repeated ``gaps``; one in which less than 3/10 of the
     height scrolls, one of a single frame among them, ``no_region``. None of these is stitched, and none stops the others.
+
+    Frames needn't carry their pixels: with ``load``, a function of the columns ``source``, they have ``octets`` instead of ``data``,
+    and each stage has a frame's pixels only in the task that looks at them, so that none are written or shuffled.
     """
 
-    def __init__(self, frames: DataFrame, pre_scan: int = 24, overlap: float = 0.6):
-        self.frames, self.pre_scan, self.overlap = frames, pre_scan, overlap
+    def __init__(self, frames: DataFrame, pre_scan: int = 24, overlap: float = 0.6, load: Callable[..., bytes] | None = None, source: Sequence[str] = ()):
+        self.frames, self.pre_scan, self.overlap, self.load, self.source = frames, pre_scan, overlap, load, list(source)
 
     @cached_property
     def sizes(self) -> DataFrame:
         """``recording_id, n_frames, width, height, fault``: the guards, aggregates of one pass that reads no pixels but their number."""
-        area = F.octet_length("data") != 4 * F.col("width") * F.col("height")
+        octets = F.octet_length("data") if self.load is None else F.col("octets")
+        area = octets != 4 * F.col("width") * F.col("height")
         found = self.frames.groupBy("recording_id").agg(
             F.count("*").alias("n_frames"), F.min("width").alias("width"), F.min("height").alias("height"),
             (F.min("width") < F.max("width")).alias("wide"), (F.min("height") < F.max("height")).alias("high"), F.bool_or(F.coalesce(area, F.lit(True))).alias("odd"),
@@ -44,21 +51,37 @@ class StitchPlan:
         mixed = F.coalesce(F.col("wide") | F.col("high") | F.col("odd"), F.lit(True))
         return found.select("recording_id", "n_frames", "width", "height", F.when(mixed, "mixed_sizes").when(F.col("gaps"), "gaps").alias("fault"))
 
+    def lens(self, frames: DataFrame, look: Callable[..., np.ndarray], *more: str) -> tuple[DataFrame, list[str], Callable[..., np.ndarray]]:
+        """What a stage sees of each frame, ``look(image, *more)``: rows, the columns to hand on, and a function from their values to it.
+
+        Pixels that come with the frames are looked at before the rows are dealt; those that ``load`` gives, after it.
+        """
+        load, n = self.load, len(self.source)
+        if load is not None:
+            return frames, [*self.source, "width", "height", *more], lambda *row: look(pixels.rgba(load(*row[:n]), *row[n : n + 2]), *row[n + 2 :])
+
+        def run(data: bytes, width: int, height: int, *rest):
+            found = look(pixels.rgba(data, width, height), *rest)
+            return found.tobytes(), found.shape[1]
+
+        made, rest = pixels.per_row(run, "seen binary, columns int", "data", "width", "height", *more), [c for c in frames.columns if c != "data"]
+        seen = frames.select(*rest, made.alias("s")).select(*rest, "s.*")
+        return seen, ["seen", "columns"], lambda seen, columns: np.frombuffer(seen, np.uint8).reshape(-1, columns)
+
     @cached_property
     def regions(self) -> DataFrame:
         """``recording_id, top, bottom, ok``: the rows that scroll, of recordings without a fault."""
         last = F.col("n_frames") - 1
         at = F.transform(F.sequence(F.lit(0), F.lit(self.pre_scan - 1)), lambda i: F.floor(i * last / (self.pre_scan - 1) + 0.5).cast("int"))
         picks = self.sizes.where("fault is null").select("recording_id", F.explode(at).alias("frame_idx")).groupBy(*KEY).agg(F.count("*").cast("int").alias("times"))
-        thin = pixels.per_row(lambda d, w, h: (pixels.grey(pixels.rgba(d, w, h)[:, ::4]).tobytes(),), "thin binary", "data", "width", "height")
-        shown = self.frames.join(picks, KEY).select(*KEY, "times", "height", thin.alias("t")).select(*KEY, "times", "height", "t.thin")
+        shown, columns, view = self.lens(self.frames.join(picks, KEY), lambda image: pixels.grey(image[:, ::4]))
 
         def run(rows: Columns) -> Columns:
-            greys = [np.frombuffer(x, np.uint8).reshape(h, -1) for x, h, n in zip(rows["thin"], rows["height"], rows["times"]) for _ in range(n)]
+            greys = [x for row, n in zip(zip(*(rows[c] for c in columns)), rows["times"]) for x in [view(*row)] * n]
             found = pixels.scroll_region_of(pixels.spread_of(np.stack(greys)))
             return {name: [found[name]] for name in ("top", "bottom", "ok")}
 
-        return kept(fold(shown, ["recording_id"], ["frame_idx"], run, "top int, bottom int, ok boolean"), "regions")
+        return kept(fold(shown.select(*dict.fromkeys([*KEY, "times", *columns])), ["recording_id"], ["frame_idx"], run, "top int, bottom int, ok boolean"), "regions")
 
     @cached_property
     def views(self) -> DataFrame:
@@ -67,21 +90,26 @@ class StitchPlan:
 
     @cached_property
     def shifts(self) -> DataFrame:
-        """``recording_id, pair_idx, dy, conf`` between neighbours, which meet by their numbers."""
+        """``recording_id, pair_idx, dy, conf`` between neighbours. Stretches of a recording stream by, each led in by the frame before
+        it; what is held is the last frame's coarse image."""
+        k = F.col("frame_idx")
+        own = F.floor(k / STRETCH)
+        stretch = F.explode(F.when(F.pmod(k, F.lit(STRETCH)) == STRETCH - 1, F.array(own, own + 1)).otherwise(F.array(own)))
+        shown, columns, view = self.lens(self.frames.join(self.views, "recording_id"), lambda image, top, bottom: pixels.coarse(image[top:bottom]), "top", "bottom")
 
-        def small(data: bytes, width: int, height: int, top: int, bottom: int):
-            found = pixels.coarse(pixels.rgba(data, width, height)[top:bottom])
-            return found.tobytes(), found.shape[1]
+        def begin():
+            last: list[np.ndarray] = []
 
-        made = pixels.per_row(small, "small binary, columns int", "data", "width", "height", "top", "bottom")
-        coarse = self.frames.join(self.views, "recording_id").select(*KEY, made.alias("c")).select(*KEY, "c.*")
-        before = coarse.select("recording_id", (F.col("frame_idx") + 1).alias("frame_idx"), F.col("small").alias("old"))
+            def step(*row) -> tuple[int | None, float | None]:
+                image = view(*row)
+                found = pixels.coarse_shift(last[0], image) if last else (None, None)
+                last[:] = [image]
+                return found
 
-        def compare(old: bytes, new: bytes, columns: int):
-            return pixels.coarse_shift(*(np.frombuffer(x, np.uint8).reshape(-1, columns) for x in (old, new)))
+            return step
 
-        pair = pixels.per_row(compare, "dy int, conf double", "old", "small", "columns").alias("s")
-        return coarse.join(before, KEY).select("recording_id", F.col("frame_idx").alias("pair_idx"), pair).select("recording_id", "pair_idx", "s.*")
+        moved = scan_rows(shown.withColumn("stretch", stretch), ["recording_id", "stretch"], ["frame_idx"], columns, begin, "dy int, conf double")
+        return moved.where("dy is not null").select("recording_id", F.col("frame_idx").alias("pair_idx"), "dy", "conf")
 
     @cached_property
     def keys(self) -> DataFrame:
@@ -101,14 +129,13 @@ class StitchPlan:
         """``recording_id, frame_idx, offset, move, sure``: each key frame's row on the long image; one that shows nothing new
         has move 0 and no place of its own. A recording streams by; what is held of it is the last frame placed."""
         keep = self.keys.select("recording_id", F.explode("keep").alias("frame_idx"))
-        light = pixels.per_row(lambda d, w, h, a, b: (pixels.grey(pixels.rgba(d, w, h)[a:b]).tobytes(),), "light binary", "data", "width", "height", "top", "bottom")
-        rows = self.frames.join(keep, KEY).join(self.views, "recording_id").select(*KEY, "width", light.alias("l")).select(*KEY, "width", "l.light")
+        rows, columns, view = self.lens(self.frames.join(keep, KEY).join(self.views, "recording_id"), lambda image, top, bottom: pixels.grey(image[top:bottom]), "top", "bottom")
 
         def begin():
             last: list[np.ndarray] = []
 
-            def step(data: bytes, width: int) -> tuple[int, bool]:
-                image = np.frombuffer(data, np.uint8).reshape(-1, width)
+            def step(*row) -> tuple[int, bool]:
+                image = view(*row)
                 move, sure = pixels.advance(last[0], image) if last else (0, True)
                 if move or not last:
                     last[:] = [image]
@@ -116,7 +143,7 @@ class StitchPlan:
 
             return step
 
-        moved = scan_rows(rows, ["recording_id"], ["frame_idx"], ["light", "width"], begin, "move int, sure boolean")
+        moved = scan_rows(rows, ["recording_id"], ["frame_idx"], columns, begin, "move int, sure boolean")
         so_far = Window.partitionBy("recording_id").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0)
         return moved.withColumn("offset", F.sum("move").over(so_far)).select(*KEY, "offset", "move", "sure")
 
@@ -128,7 +155,14 @@ class StitchPlan:
         shown = shown.select(*KEY, "offset", below.alias("below")).join(self.views, "recording_id")
         size = F.coalesce(F.least(F.col("below") - F.col("offset"), F.col("bottom") - F.col("top")), F.col("bottom") - F.col("top"))
         cut = shown.select(*KEY, "offset", "top", size.cast("int").alias("rows"))
-        part = F.expr("substring(data, 4 * width * top + 1, 4 * width * rows)")
+        part, load, n = F.expr("substring(data, 4 * width * top + 1, 4 * width * rows)"), self.load, len(self.source)
+        if load is not None:
+
+            def slice_of(*row):
+                width, top, rows = row[n:]
+                return (load(*row[:n])[4 * width * top : 4 * width * (top + rows)],)
+
+            part = pixels.per_row(slice_of, "data binary", *self.source, "width", "top", "rows")["data"]
         return self.frames.join(cut, KEY).select(*KEY, "offset", "width", "rows", part.alias("data"))
 
     def summary(self, placed: DataFrame) -> DataFrame:

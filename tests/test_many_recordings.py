@@ -44,3 +44,20 @@ def test_a_transcript_is_dealt_once(spark):
     got = rows.render_plain(lines)
     assert {tuple(r) for r in got.collect()} == {(1, "left first\nlate part"), (None, "lost")}
     assert got._jdf.queryExecution().toString().split("== Physical Plan ==")[1].split("Initial Plan")[0].count("Exchange") <= 2
+
+
+def test_a_stitch_plan_loads_pixels_where_they_are_looked_at(spark):
+    from reelscribe.plans import scroll
+    from reelscribe.plans.stitch import StitchPlan, band_sums
+
+    at = [(r, i, 400 + (240 + 24 * r) * i + (2400 if i > 300 else 0)) for r, n in ((1, 270), (2, 6), (3, 1)) for i in range(n)]
+    rows = [(r, i, *scroll.screen_pixels(r, p)) for r, i, p in at]
+    held = StitchPlan(spark.createDataFrame(rows, "recording_id long, frame_idx int, data binary, width int, height int"))
+    asked = spark.createDataFrame([(r, i, p, 4 * 8 * 1040, 8, 1040) for r, i, p in at], "recording_id long, frame_idx int, position long, octets int, width int, height int")
+    light = StitchPlan(asked, load=scroll.screen_data, source=["recording_id", "position"])
+    found = []
+    for plan in (held, light):
+        assert plan.shifts.count() == 269 + 5
+        placed = plan.placed
+        found.append(sorted(map(str, plan.summary(placed).join(band_sums(plan.bands(placed)), "recording_id", "left").collect())))
+    assert found[0] == found[1] and len(found[0]) == 3

@@ -21,6 +21,10 @@ from ..functions.geometry import bubble_colour
 from .folds import Columns, fold
 
 
+#: Cells that are compared at once.
+CELLS = 1 << 18
+
+
 def rgba(data: bytes, width: int, height: int) -> np.ndarray:
     if width <= 0 or height <= 0 or len(data) != 4 * width * height:
         raise ValueError("pixels do not match the image's size")
@@ -39,8 +43,10 @@ def coarse(pixels: np.ndarray) -> np.ndarray:
 
 def differences(old: np.ndarray, template: np.ndarray, tops: range) -> np.ndarray:
     """Sums of absolute differences of the template against the old image at each top."""
-    wanted = template.astype(np.int16)
-    return np.array([np.abs(old[t : t + len(template)].astype(np.int16) - wanted).sum(dtype=np.int64) for t in tops])
+    wanted = template.astype(np.int16).T
+    places = np.lib.stride_tricks.sliding_window_view(old.astype(np.int16), len(template), axis=0)
+    step = max(1, CELLS // wanted.size)
+    return np.concatenate([np.abs(places[t : min(t + step, tops.stop)] - wanted).sum((1, 2), dtype=np.int64) for t in tops[::step]])
 
 
 def confidence(best: int, width: int, rows: int) -> float:

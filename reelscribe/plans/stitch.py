@@ -150,20 +150,28 @@ class StitchPlan:
     def bands(self, placed: DataFrame) -> DataFrame:
         """``recording_id, frame_idx, offset, width, rows, data``: the long image as RGBA bands in order of offset. A frame shows
         down to the next one's first row, which covers it."""
+        cut = self.cuts(placed)
+        part, load, n = F.expr("substring(data, 4 * width * top + 1, 4 * width * rows)"), self.load, len(self.source)
+        if load is not None:
+            part = pixels.per_row(lambda *row: (slice_of(load(*row[:n]), *row[n:]),), "data binary", *self.source, "width", "top", "rows")["data"]
+        return cut.select(*KEY, "offset", "width", "rows", part.alias("data"))
+
+    def checksums(self, placed: DataFrame) -> DataFrame:
+        """``band_sums`` of the bands. Pixels that ``load`` gives are summed as soon as they are there, one frame at a time."""
+        load, n = self.load, len(self.source)
+        if load is None:
+            return band_sums(self.bands(placed))
+        each = pixels.per_row(lambda *row: (band_sum(slice_of(load(*row[:n]), *row[n : n + 3]), row[n], row[n + 2], row[n + 3]),), "s bigint", *self.source, "width", "top", "rows", "offset")
+        return self.cuts(placed).select("recording_id", each.alias("b")).groupBy("recording_id").agg(F.sum("b.s").alias("checksum"))
+
+    def cuts(self, placed: DataFrame) -> DataFrame:
+        """Frames that show on the long image, with ``offset, top, rows``."""
         shown = placed.where("move > 0 or frame_idx = 0")
         below = F.lead("offset").over(Window.partitionBy("recording_id").orderBy("offset"))
         shown = shown.select(*KEY, "offset", below.alias("below")).join(self.views, "recording_id")
         size = F.coalesce(F.least(F.col("below") - F.col("offset"), F.col("bottom") - F.col("top")), F.col("bottom") - F.col("top"))
         cut = shown.select(*KEY, "offset", "top", size.cast("int").alias("rows"))
-        part, load, n = F.expr("substring(data, 4 * width * top + 1, 4 * width * rows)"), self.load, len(self.source)
-        if load is not None:
-
-            def slice_of(*row):
-                width, top, rows = row[n:]
-                return (load(*row[:n])[4 * width * top : 4 * width * (top + rows)],)
-
-            part = pixels.per_row(slice_of, "data binary", *self.source, "width", "top", "rows")["data"]
-        return self.frames.join(cut, KEY).select(*KEY, "offset", "width", "rows", part.alias("data"))
+        return self.frames.join(cut, KEY)
 
     def summary(self, placed: DataFrame) -> DataFrame:
         """A row per recording: its fault or ``ok``, region, counts, and the long image's height."""
@@ -179,12 +187,17 @@ class StitchPlan:
         )
 
 
+def slice_of(data: bytes, width: int, top: int, rows: int) -> bytes:
+    return data[4 * width * top : 4 * width * (top + rows)]
+
+
+def band_sum(data: bytes, width: int, rows: int, offset: int) -> int:
+    light = pixels.rgba(data, width, rows).astype(np.int64) @ np.array([1, 2, 3, 0])
+    return int((light.sum(1) * ((offset + np.arange(rows)) % 97 + 1)).sum())
+
+
 def band_sums(bands: DataFrame) -> DataFrame:
     """``recording_id, checksum``: every pixel of the long image, weighted by its row, as a sum over bands."""
 
-    def run(data: bytes, width: int, rows: int, offset: int):
-        light = pixels.rgba(data, width, rows).astype(np.int64) @ np.array([1, 2, 3, 0])
-        return (int((light.sum(1) * ((offset + np.arange(rows)) % 97 + 1)).sum()),)
-
-    each = pixels.per_row(run, "s bigint", "data", "width", "rows", "offset")
+    each = pixels.per_row(lambda *row: (band_sum(*row),), "s bigint", "data", "width", "rows", "offset")
     return bands.select("recording_id", each.alias("b")).groupBy("recording_id").agg(F.sum("b.s").alias("checksum"))

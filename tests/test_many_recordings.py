@@ -60,4 +60,5 @@ def test_a_stitch_plan_loads_pixels_where_they_are_looked_at(spark):
         assert plan.shifts.count() == 269 + 5
         placed = plan.placed
         found.append(sorted(map(str, plan.summary(placed).join(band_sums(plan.bands(placed)), "recording_id", "left").collect())))
+        assert sorted(plan.checksums(placed).collect()) == sorted(band_sums(plan.bands(placed)).collect())
     assert found[0] == found[1] and len(found[0]) == 3
